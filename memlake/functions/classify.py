@@ -32,10 +32,10 @@ def category_scores(col, spec: PlatformSpec | str) -> Column:
     return F.struct(*[_score(lc, kws).alias(cat) for cat, kws in spec.category_rules])
 
 
-def classify(col, spec: PlatformSpec | str) -> Column:
-    """Highest-scoring category; ties go to the earlier rule; no hit -> default."""
+def classify_scores(scores, spec: PlatformSpec | str) -> Column:
+    """Category from an already computed ``category_scores`` struct."""
     spec = get_platform(spec)
-    scores = category_scores(col, spec)
+    scores = F.col(scores) if isinstance(scores, str) else scores
     cats = [cat for cat, _ in spec.category_rules]
     best = F.greatest(*[scores[c] for c in cats])
     out = F.when(best <= 0, F.lit(spec.default_category))
@@ -44,6 +44,24 @@ def classify(col, spec: PlatformSpec | str) -> Column:
     return out.otherwise(F.lit(spec.default_category))
 
 
+def classify(col, spec: PlatformSpec | str) -> Column:
+    """Highest-scoring category; ties go to the earlier rule; no hit -> default.
+
+    For wide tables prefer ``classify_frame``, which projects the scores once.
+    """
+    return classify_scores(category_scores(col, spec), spec)
+
+
+def classify_frame(df, spec: PlatformSpec | str, col: str = "content", out: str = "category",
+                   keep_scores: bool = False):
+    """Add ``out`` (and optionally ``scores``) to ``df``: the scores struct is
+    materialised by one projection so every keyword test runs once per row."""
+    spec = get_platform(spec)
+    scored = df.withColumn("_scores", category_scores(col, spec))
+    res = scored.withColumn(out, classify_scores("_scores", spec))
+    return res.withColumnRenamed("_scores", "scores") if keep_scores else res.drop("_scores")
+
+
 def extract_tags(col, spec: PlatformSpec | str) -> Column:
     """Tags whose keyword (lower-cased) occurs in the lowered text: map order,
     distinct, at most ``spec.max_tags`` (P3)."""

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake import fixtures as fx
-from memlake.functions.classify import classify, extract_tags, category_scores
+from memlake.functions.classify import classify_frame, extract_tags, category_scores
 from memlake.functions.render import render_line
 from memlake.functions.text import context_line
 from memlake.functions.timefn import age_days, is_stale
@@ -269,7 +269,7 @@ def _tags_sql(spec) -> str:
     f"FROM records GROUP BY 2" for name, spec in PLATFORMS.items() if name in ("chatgpt", "claude", "gemini"))))
 def q_classify_counts(spark, sf_dir):
     rec = _rec(spark, sf_dir)
-    parts = [rec.select(F.lit(name).alias("platform"), classify("content", spec).alias("category"))
+    parts = [classify_frame(rec.select("content"), spec).select(F.lit(name).alias("platform"), "category")
              for name, spec in PLATFORMS.items() if name in ("chatgpt", "claude", "gemini")]
     out = parts[0]
     for p in parts[1:]:
@@ -330,3 +330,97 @@ def q_render_page(spark, sf_dir):
     rows, _ = fl.visible_page(_rec(spark, sf_dir), Rules(), limit=20, offset=0)
     numbered = fl.with_position(rows, start=1)
     return numbered.select("id", render_line(F.col("position")).alias("line"))
+
+
+# -------------------------------------------------------- near duplicates ---
+
+from memlake.operators import dedup as dd  # noqa: E402
+from memlake.functions.text import PY_WHITESPACE  # noqa: E402
+
+THRESHOLD = 0.75
+
+_WORDSETS_SQL = f"""
+, ws AS (
+  SELECT id, created_at,
+    list_distinct(list_filter(regexp_split_to_array(lower(content), '[{PY_WHITESPACE}]+'),
+                              lambda x: x <> '')) AS words
+  FROM records)
+, wk AS (SELECT id, created_at, words, sha256(array_to_string(list_sort(words), ' ')) AS set_key
+         FROM ws WHERE len(words) > 0)
+, grp AS (SELECT set_key, arg_max(id, created_at) AS rep_id, max(created_at) AS rep_created_at,
+                 COUNT(*) AS copies, any_value(words) AS words, len(any_value(words)) AS n
+          FROM wk GROUP BY set_key)
+, tok AS (SELECT set_key, n, unnest(words) AS w FROM grp)
+, shared AS (
+  SELECT a.set_key AS ka, b.set_key AS kb, any_value(a.n) AS na, any_value(b.n) AS nb, COUNT(*) AS inter
+  FROM tok a JOIN tok b ON a.w = b.w AND a.set_key < b.set_key
+   AND least(a.n, b.n) >= {THRESHOLD} * greatest(a.n, b.n) - 1e-9
+  GROUP BY a.set_key, b.set_key)
+, pairs AS (
+  SELECT s.inter / (s.na + s.nb - s.inter) AS jaccard, ga.rep_id AS ra, gb.rep_id AS rb,
+         ga.rep_created_at AS ta, gb.rep_created_at AS tb, ga.copies AS ca, gb.copies AS cb
+  FROM shared s JOIN grp ga ON ga.set_key = s.ka JOIN grp gb ON gb.set_key = s.kb
+  WHERE s.inter / (s.na + s.nb - s.inter) >= {THRESHOLD})
+, np AS (
+  SELECT CASE WHEN ta > tb OR (ta = tb AND ra < rb) THEN ra ELSE rb END AS id_a,
+         CASE WHEN ta > tb OR (ta = tb AND ra < rb) THEN rb ELSE ra END AS id_b,
+         round(jaccard, 6) AS jaccard,
+         CASE WHEN ta > tb OR (ta = tb AND ra < rb) THEN ca ELSE cb END AS copies_a,
+         CASE WHEN ta > tb OR (ta = tb AND ra < rb) THEN cb ELSE ca END AS copies_b
+  FROM pairs)"""
+
+
+@register("near_duplicates", _with(_WORDSETS_SQL + "\nSELECT * FROM np"))
+def q_near_duplicates(spark, sf_dir):
+    p = dd.near_duplicates(_rec(spark, sf_dir), THRESHOLD)
+    return p.select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"), "copies_a", "copies_b")
+
+
+@register("duplicate_copies", _with(_WORDSETS_SQL + """
+SELECT g.rep_id, w.id FROM wk w JOIN grp g ON w.set_key = g.set_key
+WHERE g.copies > 1 AND w.id <> g.rep_id"""))
+def q_duplicate_copies(spark, sf_dir):
+    return dd.duplicate_copies(_rec(spark, sf_dir))
+
+
+_PAIRS_TOTAL_SQL = """
+, total AS (SELECT CAST(COALESCE((SELECT SUM(copies_a * copies_b) FROM np), 0)
+                 + COALESCE((SELECT SUM(copies * (copies - 1) // 2) FROM grp), 0) AS BIGINT) AS pairs)"""
+
+
+@register("near_duplicate_pairs", _with(_WORDSETS_SQL + _PAIRS_TOTAL_SQL + "\nSELECT pairs FROM total"))
+def q_near_duplicate_pairs(spark, sf_dir):
+    return dd.pair_count(_rec(spark, sf_dir), THRESHOLD).select(F.col("pairs").cast("bigint"))
+
+
+@register("health", _with(_WORDSETS_SQL + _PAIRS_TOTAL_SQL + f"""
+, base AS (
+  SELECT COUNT(*) AS total, COUNT(*) FILTER (WHERE created_at < {STALE_CUTOFF_SQL}) AS stale,
+         COUNT(*) FILTER (WHERE sensitive) AS sensitive,
+         5 - COUNT(DISTINCT category) FILTER (WHERE category IN
+             ('professional', 'personal', 'preference', 'project', 'relationship')) AS missing
+  FROM records)
+, sc AS (
+  SELECT b.total, b.stale, b.sensitive, t.pairs, CAST(b.missing AS BIGINT) AS missing,
+    CAST(greatest(0, 100 - least(30, CAST(floor(b.stale / b.total * 100) AS BIGINT))
+         - least(20, t.pairs * 5) - b.missing * 5) AS BIGINT) AS score
+  FROM base b, total t WHERE b.total > 0)
+SELECT total, stale, sensitive, pairs, missing, score,
+  CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 50 THEN 'C' ELSE 'D' END AS grade,
+  score < 70 AS review_tip
+FROM sc"""))
+def q_health(spark, sf_dir):
+    rec = _rec(spark, sf_dir)
+    inputs = rp.health_inputs(rec, AS_OF, dd.pair_count(rec, THRESHOLD))
+    return rp.health(inputs).select("total", "stale", "sensitive", "pairs", "missing", "score",
+                                    "grade", "review_tip")
+
+
+@register("stalest", _with(f"""
+SELECT id, CAST(row_number() OVER (ORDER BY created_at, id) AS BIGINT) AS rank,
+  CAST(floor((epoch_us({AS_OF_SQL}) - epoch_us(created_at)) / 86400000000) AS BIGINT) AS age_days
+FROM records WHERE created_at < {STALE_CUTOFF_SQL}
+QUALIFY row_number() OVER (ORDER BY created_at, id) <= 5"""))
+def q_stalest(spark, sf_dir):
+    return rp.stalest(_rec(spark, sf_dir), AS_OF, n=5).select(
+        "id", F.col("rank").cast("bigint"), "age_days")
