@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.text import word_set
 from memlake.operators.filters import content_key
+from memlake.util import ensure_parallelism
 
 EPS = 1e-9
 
@@ -70,10 +71,12 @@ def _newest_key() -> F.Column:
 
 
 def word_sets(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """``(…by, id, created_at, words, set_key)``; empty word sets dropped."""
+    """``(…by, id, created_at, words, set_key)``; empty sets share one key."""
     by = list(by or [])
-    ws = df.select(*by, "id", "created_at", word_set("content").alias("words"))
-    ws = ws.filter(F.size("words") > 0)
+    # Empty sets are dropped after the copy-group aggregate (a filter here
+    # would be pushed below the repartition and tokenise in the scan task).
+    ws = ensure_parallelism(df.select(*by, "id", "created_at", "content"))
+    ws = ws.select(*by, "id", "created_at", word_set("content").alias("words"))
     return ws.withColumn("set_key", F.sha2(F.array_join(F.array_sort("words"), " "), 256))
 
 
@@ -84,9 +87,10 @@ def copy_groups(ws: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.min(F.struct(_newest_key().alias("k"), F.col("created_at"))).alias("_rep"),
         F.count(F.lit(1)).alias("copies"),
         F.any_value("words").alias("words"))
-    return g.select(*by, "set_key", F.col("_rep.k.id").alias("rep_id"),
-                    F.col("_rep.created_at").alias("rep_created_at"), "copies", "words",
-                    F.size("words").alias("n_words"))
+    out = g.select(*by, "set_key", F.col("_rep.k.id").alias("rep_id"),
+                   F.col("_rep.created_at").alias("rep_created_at"), "copies", "words",
+                   F.size("words").alias("n_words"))
+    return out.filter(F.col("n_words") > 0)
 
 
 def duplicate_copies(df: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -424,3 +424,84 @@ QUALIFY row_number() OVER (ORDER BY created_at, id) <= 5"""))
 def q_stalest(spark, sf_dir):
     return rp.stalest(_rec(spark, sf_dir), AS_OF, n=5).select(
         "id", F.col("rank").cast("bigint"), "age_days")
+
+
+# ------------------------------------------------- keyword search, prompts ---
+
+from memlake.operators import keyword as kw  # noqa: E402
+from memlake.operators import packs as pk  # noqa: E402
+
+_KW_SQL = f"""
+, q AS (SELECT item_id AS query_id, text AS query FROM benchmark)
+, qw AS (SELECT query_id, word, COUNT(*) AS repeats FROM (
+    SELECT query_id, unnest(regexp_split_to_array(lower(query), '[{PY_WHITESPACE}]+')) AS word FROM q)
+  WHERE word <> '' GROUP BY ALL)
+, d AS (SELECT id, created_at, lower(content || ' ' || array_to_string(tags, ' ')) AS txt FROM records)
+, hits AS (SELECT qw.query_id, d.id, d.created_at, CAST(SUM(qw.repeats) AS BIGINT) AS score
+           FROM qw JOIN d ON contains(d.txt, qw.word) GROUP BY ALL)
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, id) AS rank
+             FROM hits)"""
+
+
+@register("keyword_search", _with(_KW_SQL + """
+SELECT query_id, id, score, CAST(rank AS BIGINT) AS rank FROM ranked WHERE rank <= 5"""))
+def q_keyword_search(spark, sf_dir):
+    res = kw.keyword_search(_rec(spark, sf_dir), fx.queries_table(spark, sf_dir), limit=5)
+    return res.select("query_id", "id", "score", F.col("rank").cast("bigint"))
+
+
+@register("prompts", _with(_KW_SQL + """
+, vis AS (SELECT r.query_id, r.rank, '[' || upper(x.category) || '] ' || x.content AS line
+          FROM ranked r JOIN records x ON r.id = x.id WHERE r.rank <= 8 AND NOT x.sensitive)
+, agg AS (SELECT query_id, string_agg(line, chr(10) ORDER BY rank) AS block FROM vis GROUP BY query_id)
+SELECT q.query_id, CASE WHEN a.block IS NULL THEN q.query
+  ELSE '## Personal Context' || chr(10) || a.block || chr(10) || chr(10) || '---' || chr(10) || chr(10) || q.query
+  END AS prompt
+FROM q LEFT JOIN agg a ON q.query_id = a.query_id"""))
+def q_prompts(spark, sf_dir):
+    return pk.prompts(_rec(spark, sf_dir), fx.queries_table(spark, sf_dir), Rules(), limit=8)
+
+
+# Parameters of the pack queries (definitions, like rules, are settings).
+PACK_DEFS = [
+    ("coding", "professional, project", "python,AI", "src3", "Work context"),
+    ("life", "personal,preference,relationship,personal", "", "de, fr", ""),
+]
+
+
+def _packs(spark):
+    defs = spark.createDataFrame(PACK_DEFS, "name string, categories string, tags string, "
+                                            "exclude_tags string, description string")
+    return pk.parse_pack_defs(defs)
+
+
+_PACKS_SQL = """
+, packs(name, cat_list, ex_list, description) AS (VALUES
+    ('coding', ['professional', 'project'], ['src3'], 'Work context'),
+    ('life', ['personal', 'preference', 'relationship', 'personal'], ['de', 'fr'], ''))
+, pc AS (SELECT name AS pack, ex_list, unnest(cat_list) AS category,
+                generate_subscripts(cat_list, 1) - 1 AS cat_pos FROM packs)
+, mem AS (SELECT pc.pack, CAST(pc.cat_pos AS BIGINT) AS cat_pos, r.* FROM pc JOIN records r
+          ON r.category = pc.category
+          WHERE NOT r.sensitive AND len(list_intersect(r.tags, pc.ex_list)) = 0)"""
+
+
+@register("pack_members", _with(_PACKS_SQL + """
+SELECT pack, cat_pos, id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM mem"""))
+def q_pack_members(spark, sf_dir):
+    m = pk.pack_members(_rec(spark, sf_dir), _packs(spark), Rules())
+    return m.select("pack", F.col("cat_pos").cast("bigint"), "id", ts_str("created_at").alias("created_at"))
+
+
+@register("pack_lines", _with(_PACKS_SQL + """
+, present AS (SELECT DISTINCT pack FROM mem)
+SELECT pack, 0 AS part, '# ' || pack AS line FROM present
+UNION ALL SELECT p.name, 1, '# ' || p.description FROM packs p JOIN present x ON p.name = x.pack
+  WHERE p.description <> ''
+UNION ALL SELECT pack, 1, '' FROM present
+UNION ALL SELECT pack, 2, '[' || upper(category) || '] ' || content FROM mem"""))
+def q_pack_lines(spark, sf_dir):
+    rec = _rec(spark, sf_dir)
+    packs = _packs(spark)
+    lines = pk.pack_lines(pk.pack_members(rec, packs, Rules()), packs)
+    return lines.select("pack", F.col("part").cast("int"), "line")
