@@ -505,3 +505,122 @@ def q_pack_lines(spark, sf_dir):
     packs = _packs(spark)
     lines = pk.pack_lines(pk.pack_members(rec, packs, Rules()), packs)
     return lines.select("pack", F.col("part").cast("int"), "line")
+
+
+# ------------------------------------------------------- full-text search ---
+
+from memlake.operators import search as se  # noqa: E402
+
+_U = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_L = "abcdefghijklmnopqrstuvwxyz"
+_FTS_SPLIT = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+
+
+def _fts_tokens_sql(expr: str) -> str:
+    return (f"list_filter(regexp_split_to_array(translate({expr}, '{_U}', '{_L}'), '{_FTS_SPLIT}'), "
+            f"lambda x: x <> '')")
+
+
+_BM25_SQL = f"""
+, tk AS (SELECT id, unnest({_fts_tokens_sql('content')} || {_fts_tokens_sql("array_to_string(tags, ' ')")}) AS term
+         FROM records)
+, post AS (SELECT term, id, COUNT(*) AS tf FROM tk GROUP BY term, id)
+, lens AS (SELECT r.id, COALESCE(c.dl, 0) AS dl FROM records r
+           LEFT JOIN (SELECT id, COUNT(*) AS dl FROM tk GROUP BY id) c ON r.id = c.id)
+, st AS (SELECT COUNT(*) AS n_rows, SUM(dl) / COUNT(*) AS avgdl FROM lens)
+, tstat AS (SELECT term, COUNT(*) AS n_t FROM post GROUP BY term)
+, qt AS (SELECT query_id, term, COUNT(*) AS repeats FROM (
+          SELECT item_id AS query_id, unnest({_fts_tokens_sql('text')}) AS term FROM benchmark {{qfilter}})
+         GROUP BY ALL)
+, need AS (SELECT query_id, COUNT(*) AS n_terms FROM qt GROUP BY query_id)
+, m AS (SELECT qt.query_id, p.id, qt.repeats, p.tf, ts.n_t FROM qt JOIN post p ON p.term = qt.term
+        JOIN tstat ts ON ts.term = qt.term)
+, sc AS (SELECT m.query_id, m.id, COUNT(*) AS n_hit,
+           SUM(m.repeats * greatest(ln((st.n_rows - m.n_t + 0.5) / (m.n_t + 0.5)), 1e-6)
+               * (m.tf * 2.2) / (m.tf + 1.2 * (0.25 + 0.75 * l.dl / st.avgdl))) AS score
+         FROM m JOIN lens l ON l.id = m.id CROSS JOIN st GROUP BY m.query_id, m.id)
+, full_hits AS (SELECT sc.query_id, sc.id, sc.score, r.created_at, r.sensitive
+                FROM sc JOIN need n ON n.query_id = sc.query_id AND sc.n_hit = n.n_terms
+                JOIN records r ON r.id = sc.id)"""
+
+
+@register("search_bm25", _with(_BM25_SQL.replace("{qfilter}", "") + """
+, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, id) AS rank
+         FROM full_hits)
+SELECT query_id, id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM rk WHERE rank <= 5"""))
+def q_search_bm25(spark, sf_dir):
+    res = se.search(_rec(spark, sf_dir), fx.queries_table(spark, sf_dir), limit=5, stem=False)
+    return res.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
+
+
+@register("search_bm25_stemmed")
+def q_search_bm25_stemmed(spark, sf_dir):
+    res = se.search(_rec(spark, sf_dir), fx.queries_table(spark, sf_dir), limit=5, stem=True)
+    return res.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
+
+
+@register("relevant", _with(_BM25_SQL.replace("{qfilter}", "") + """
+, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, id) AS rank
+         FROM full_hits WHERE NOT sensitive)
+SELECT query_id, id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM rk WHERE rank <= 5"""))
+def q_relevant(spark, sf_dir):
+    res = se.relevant(_rec(spark, sf_dir), fx.queries_table(spark, sf_dir), Rules(), limit=5, stem=False)
+    return res.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
+
+
+@register("index_stats", _with(_BM25_SQL.replace("{qfilter}", "") + """
+SELECT CAST(n_rows AS BIGINT) AS n_rows, round(avgdl, 6) AS avgdl,
+       (SELECT COUNT(*) FROM tstat) AS n_terms, (SELECT COUNT(*) FROM post) AS n_postings FROM st"""))
+def q_index_stats(spark, sf_dir):
+    idx = se.build_index(_rec(spark, sf_dir), stem=False)
+    return idx.stats.select(
+        F.col("n_rows").cast("bigint"), F.round("avgdl", 6).alias("avgdl"),
+        idx.postings.select("term").distinct().agg(F.count(F.lit(1))).scalar().alias("n_terms"),
+        idx.postings.agg(F.count(F.lit(1))).scalar().alias("n_postings"))
+
+
+def routed_queries(spark, sf_dir) -> DataFrame:
+    """Benchmark texts as typed (punctuation sends them to the keyword route)
+    and the same texts with punctuation replaced by spaces (ranked route)."""
+    b = fx.table(spark, sf_dir, "benchmark")
+    raw = b.select((F.col("item_id") * 2).alias("query_id"), F.col("text").alias("query"))
+    clean = b.select((F.col("item_id") * 2 + 1).alias("query_id"),
+                     F.regexp_replace("text", r"[^\p{L}\p{N}\s]", " ").alias("query"))
+    return raw.unionByName(clean)
+
+
+_ROUTE_Q_SQL = """
+, rq AS (SELECT item_id * 2 AS query_id, text AS query FROM benchmark
+         UNION ALL SELECT item_id * 2 + 1, regexp_replace(text, '[^\\pL\\pN\\s]', ' ', 'g') FROM benchmark)
+, rw AS (SELECT *, string_split(trim(query), ' ') AS w FROM rq)
+, routed AS (SELECT query_id, query,
+    CASE WHEN regexp_full_match(query, '""" + se.VALID_QUERY.replace("'", "''") + """')
+          AND NOT list_contains(['AND','OR','NOT','NEAR'], list_filter(regexp_split_to_array(trim(query), '\\s+'), lambda x: true)[1])
+          AND NOT list_contains(['AND','OR','NOT','NEAR'], list_filter(regexp_split_to_array(trim(query), '\\s+'), lambda x: true)[-1])
+          AND NOT list_contains(regexp_split_to_array(trim(query), '\\s+'), 'NEAR')
+         THEN 'ranked' ELSE 'keyword' END AS mode FROM rq)"""
+
+
+@register("route_queries", _with(_ROUTE_Q_SQL + "\nSELECT query_id, mode FROM routed"))
+def q_route_queries(spark, sf_dir):
+    return se.route_queries(routed_queries(spark, sf_dir)).select("query_id", "mode")
+
+
+_ROUTED_SQL = (_ROUTE_Q_SQL + _BM25_SQL.replace(
+    "SELECT item_id AS query_id, unnest(" + _fts_tokens_sql('text') + ") AS term FROM benchmark {qfilter}",
+    "SELECT query_id, unnest(" + _fts_tokens_sql('query') + ") AS term FROM routed WHERE mode = 'ranked'")
+    + _KW_SQL.replace(", q AS (SELECT item_id AS query_id, text AS query FROM benchmark)",
+                      ", q AS (SELECT query_id, query FROM routed WHERE mode = 'keyword')")
+    .replace(", ranked AS", ", kranked AS") + """
+, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, id) AS rank
+         FROM full_hits)
+SELECT query_id, 'ranked' AS mode, id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM rk WHERE rank <= 5
+UNION ALL
+SELECT query_id, 'keyword', id, CAST(score AS DOUBLE), CAST(rank AS BIGINT) FROM kranked WHERE rank <= 5""")
+
+
+@register("routed_search", _with(_ROUTED_SQL))
+def q_routed_search(spark, sf_dir):
+    res = se.routed_search(_rec(spark, sf_dir), routed_queries(spark, sf_dir), limit=5, stem=False)
+    return res.select("query_id", "mode", "id", F.round("score", 6).alias("score"),
+                      F.col("rank").cast("bigint"))
