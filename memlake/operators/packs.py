@@ -10,7 +10,7 @@ stored but, as in the reference, never used to select members.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,8 +52,9 @@ def define_packs(existing: DataFrame, defs: DataFrame) -> DataFrame:
     new = parse_pack_defs(defs) if "categories" in defs.columns and \
         dict(defs.dtypes)["categories"] == "string" else defs
     if "seq" in new.columns:
-        w = Window.partitionBy("name").orderBy(F.col("seq").desc())
-        new = new.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "seq")
+        rest = [c for c in new.columns if c not in ("name", "seq")]
+        best = new.groupBy("name").agg(F.max_by(F.struct(*rest), F.col("seq")).alias("_p"))
+        new = best.select("name", *[F.col("_p")[c].alias(c) for c in rest])
     new = new.select(*[f.name for f in PACK_SCHEMA.fields])
     kept = existing.join(new.select("name"), "name", "left_anti")
     return kept.unionByName(new)
