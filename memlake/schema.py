@@ -15,7 +15,7 @@ RECORD_SCHEMA = T.StructType([
     T.StructField("content", T.StringType(), False),
     T.StructField("source", T.StringType(), False),
     T.StructField("category", T.StringType(), False),
-    T.StructField("tags", T.ArrayType(T.StringType(), False), False),
+    T.StructField("tags", T.ArrayType(T.StringType(), True), False),
     T.StructField("sensitive", T.BooleanType(), False),
     T.StructField("confidence", T.DoubleType(), False),
     T.StructField("created_at", T.TimestampType(), False),
