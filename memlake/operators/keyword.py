@@ -52,20 +52,23 @@ def _matcher(words_bc):
                 auto.add_word(w, i)
             auto.make_automaton()
         for pdf in batches:
-            ids, ts, hits = [], [], []
-            for rid, t, text in zip(pdf["_rid"], pdf["_t"], pdf["_txt"]):
-                if not words or text is None:
-                    continue
-                low = text.lower()
-                if ahocorasick is not None:
-                    found = {i for _, i in auto.iter(low)}
-                else:
-                    found = {i for i, w in enumerate(words) if w in low}
-                for i in found:
-                    ids.append(rid)
-                    ts.append(t)
-                    hits.append(words[i])
-            yield pd.DataFrame({"_rid": ids, "_t": ts, "word": hits})
+            idx, hits = [], []
+            if words:
+                for k, text in enumerate(pdf["_txt"]):
+                    if text is None:
+                        continue
+                    low = text.lower()
+                    if ahocorasick is not None:
+                        found = {i for _, i in auto.iter(low)}
+                    else:
+                        found = {i for i, w in enumerate(words) if w in low}
+                    for i in found:
+                        idx.append(k)
+                        hits.append(words[i])
+            # iloc keeps the input dtypes, also for an empty result
+            out = pdf.iloc[idx][["_rid", "_t"]].reset_index(drop=True)
+            out["word"] = pd.Series(hits, dtype=object)
+            yield out
     return run
 
 
