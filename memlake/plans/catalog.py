@@ -624,3 +624,42 @@ def q_routed_search(spark, sf_dir):
     res = se.routed_search(_rec(spark, sf_dir), routed_queries(spark, sf_dir), limit=5, stem=False)
     return res.select("query_id", "mode", "id", F.round("score", 6).alias("score"),
                       F.col("rank").cast("bigint"))
+
+
+# ----------------------------------------------------------------- import ---
+
+from memlake.operators import ingest as ig  # noqa: E402
+
+
+@register("import_plan", _with("""
+, inc AS (SELECT id, content, doc_pos FROM (SELECT r.*, CAST(r.id AS BIGINT) AS doc_pos FROM records r))
+, firsts AS (SELECT sha256(content) AS ck, min(doc_pos) AS first_pos FROM inc GROUP BY 1)
+, stored AS (SELECT DISTINCT sha256(text) AS ck FROM conversations)
+SELECT i.id, CASE WHEN s.ck IS NULL AND i.doc_pos = f.first_pos THEN 'insert' ELSE 'duplicate' END AS action
+FROM inc i JOIN firsts f ON f.ck = sha256(i.content) LEFT JOIN stored s ON s.ck = sha256(i.content)"""))
+def q_import_plan(spark, sf_dir):
+    """Document records imported into a table holding the conversation turns."""
+    conv = fx.conversation_records(spark, sf_dir).withColumn("category", F.lit("personal"))
+    table = ig.manual_records(conv, AS_OF)
+    incoming = (_rec(spark, sf_dir).withColumn("file", F.lit("documents"))
+                .withColumn("pos", F.col("id").cast("bigint")))
+    return ig.plan_import(table, incoming).select("id", "action")
+
+
+@register("import_report", _with("""
+, inc AS (SELECT id, content, source, CAST(id AS BIGINT) AS doc_pos FROM records)
+, firsts AS (SELECT sha256(content) AS ck, min(doc_pos) AS first_pos FROM inc GROUP BY 1)
+, stored AS (SELECT DISTINCT sha256(text) AS ck FROM conversations)
+, act AS (SELECT i.source, CASE WHEN s.ck IS NULL AND i.doc_pos = f.first_pos THEN 'added' ELSE 'duplicates' END AS a
+          FROM inc i JOIN firsts f ON f.ck = sha256(i.content) LEFT JOIN stored s ON s.ck = sha256(i.content))
+, newt AS (SELECT 'manual' AS source FROM conversations UNION ALL SELECT source FROM act WHERE a = 'added')
+SELECT a AS metric, CAST(NULL AS VARCHAR) AS key, COUNT(*) AS value FROM act GROUP BY a
+UNION ALL SELECT 'total', NULL, COUNT(*) FROM newt
+UNION ALL SELECT 'by_source', source, COUNT(*) FROM newt GROUP BY source"""))
+def q_import_report(spark, sf_dir):
+    conv = fx.conversation_records(spark, sf_dir).withColumn("category", F.lit("personal"))
+    table = ig.manual_records(conv, AS_OF)
+    incoming = (_rec(spark, sf_dir).withColumn("file", F.lit("documents"))
+                .withColumn("pos", F.col("id").cast("bigint")))
+    _, report = ig.import_records(table, incoming)
+    return report
