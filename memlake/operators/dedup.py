@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.text import word_set
 from memlake.operators.filters import content_key
-from memlake.util import ensure_parallelism
+from memlake.util import ensure_parallelism, materialize
 
 EPS = 1e-9
 
@@ -77,7 +77,7 @@ def word_sets(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     # would be pushed below the repartition and tokenise in the scan task).
     ws = ensure_parallelism(df.select(*by, "id", "created_at", "content"))
     ws = ws.select(*by, "id", "created_at", word_set("content").alias("words"))
-    return ws.withColumn("set_key", F.sha2(F.array_join(F.array_sort("words"), " "), 256))
+    return ws.withColumn("set_key", F.sha2(F.array_join(F.sort_array("words"), " "), 256))
 
 
 def copy_groups(ws: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -103,32 +103,54 @@ def duplicate_copies(df: DataFrame, by: list[str] | None = None) -> DataFrame:
             .select(*by, "rep_id", "id"))
 
 
+# Largest shared-word table broadcast to the prefix step (checked by count;
+# above it the same step runs as a shuffle join).
+MAX_BROADCAST_WORDS = 1_000_000
+
+
 def _prefixes(groups: DataFrame, threshold: float, by: list[str]) -> DataFrame:
-    """Prefix words of every representative, rare-first order."""
+    """Prefix words of every representative, rare-first order.
+
+    Order key: (number of sets holding the word, word).  Only words held by
+    two or more sets can produce a candidate, so only those are counted into
+    the frequency table; every other word has frequency 1.  When that table
+    is small enough (checked) it is broadcast and the tokens never leave the
+    partitions of their set, so the per-set prefix needs no shuffle.
+    """
     toks = groups.select(*by, "set_key", "n_words", F.explode("words").alias("w"))
-    dfreq = toks.groupBy(*by, "w").agg(F.count(F.lit(1)).alias("df"))
-    ranked = toks.join(dfreq, by + ["w"])
+    shared = (toks.groupBy(*by, "w").agg(F.count(F.lit(1)).alias("df"))
+              .filter(F.col("df") > 1))
+    shared = materialize(shared)
+    if shared.count() <= MAX_BROADCAST_WORDS:
+        shared = F.broadcast(shared)
+    ranked = toks.join(shared, by + ["w"], "left").withColumn("df", F.coalesce(F.col("df"), F.lit(1)))
     plen = (F.col("n_words") - F.ceil(F.col("n_words") * F.lit(threshold) - F.lit(EPS)) + 1).cast("int")
     per = ranked.groupBy(*by, "set_key", "n_words").agg(
-        F.array_sort(F.collect_list(F.struct("df", "w"))).alias("_ord"))
+        F.sort_array(F.collect_list(F.struct("df", "w"))).alias("_ord"))
     pref = per.select(*by, "set_key", "n_words",
                       F.explode(F.slice("_ord", 1, plen)).alias("_t"))
     # A word seen in one set only cannot pair anything.
     return pref.filter(F.col("_t.df") > 1).select(*by, "set_key", "n_words", F.col("_t.w").alias("w"))
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None = None,
+                    groups: DataFrame | None = None) -> DataFrame:
     """Pairs of distinct word sets with Jaccard >= ``threshold``.
 
     Columns ``(…by, id_a, id_b, jaccard, copies_a, copies_b)``; ``id_a`` is the
     newer representative.  Each such row stands for ``copies_a * copies_b``
     row pairs; pairs of identical sets are in ``duplicate_copies``.
+
+    The copy-group table and the prefix table each feed several branches, so
+    both are materialised once (``util.materialize``) instead of being
+    recomputed per branch; pass ``groups`` (from ``near_duplicate_groups``) to
+    share them with ``pair_count``.
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
     by = list(by or [])
-    groups = copy_groups(word_sets(df, by), by)
-    pref = _prefixes(groups, threshold, by)
+    groups = groups if groups is not None else near_duplicate_groups(df, by)
+    pref = materialize(_prefixes(groups, threshold, by))
     a = pref.select(*by, F.col("set_key").alias("ka"), F.col("n_words").alias("na"), "w")
     b = pref.select(*by, F.col("set_key").alias("kb"), F.col("n_words").alias("nb"), "w")
     cand = (a.join(b, by + ["w"])
@@ -155,15 +177,20 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None
     )
 
 
+def near_duplicate_groups(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The materialised copy-group table shared by D4 operators."""
+    return materialize(copy_groups(word_sets(df, by), by))
+
+
 def pair_count(df: DataFrame, threshold: float = 0.75, by: list[str] | None = None,
                pairs: DataFrame | None = None) -> DataFrame:
     """Exact number of unordered row pairs with Jaccard >= t, per scope:
     ``sum(copies_a * copies_b)`` over near pairs + ``sum(C(copies, 2))`` over
     identical sets.  ``(…by, pairs)``; computed from aggregates only."""
     by = list(by or [])
-    pairs = pairs if pairs is not None else near_duplicates(df, threshold, by)
+    groups = near_duplicate_groups(df, by)
+    pairs = pairs if pairs is not None else near_duplicates(df, threshold, by, groups=groups)
     near = pairs.select(*by, (F.col("copies_a") * F.col("copies_b")).cast("bigint").alias("p"))
-    groups = copy_groups(word_sets(df, by), by)
     same = groups.select(*by, (F.col("copies") * (F.col("copies") - 1) / 2).cast("bigint").alias("p"))
     scopes = df.select(*by).distinct().select(*by, F.lit(0).cast("bigint").alias("p")) if by else \
         df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("p"))

@@ -123,7 +123,7 @@ def prompts(df: DataFrame, tasks: DataFrame, rules: Rules | None = None, limit:
     rec = df.select("id", "content", "category", "tags", "sensitive")
     visible = exclude(hits.join(rec, "id"), rules if rules is not None else Rules())
     lines = visible.groupBy(*key_cols).agg(
-        F.array_sort(F.collect_list(F.struct("rank", context_line().alias("line")))).alias("_l"))
+        F.sort_array(F.collect_list(F.struct("rank", context_line().alias("line")))).alias("_l"))
     block = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
     out = tasks.select(*key_cols, F.col(task_col).alias("_task")).join(lines, key_cols, "left")
     prompt = F.when(F.col("_l").isNull(), F.col("_task")).otherwise(

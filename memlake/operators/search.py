@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from memlake.functions.text import fts_tokens
 from memlake.operators.rules import Rules, exclude
-from memlake.util import ensure_parallelism
+from memlake.util import ensure_parallelism, materialize
 
 K1 = 1.2
 B = 0.75
@@ -54,9 +54,13 @@ class TextIndex:
     stats: DataFrame         # one row: (n_rows, total_tokens, avgdl)
     stemmed: bool
 
+    terms: DataFrame = None  # (term, n_t): rows containing each term
+
     def term_stats(self) -> DataFrame:
         """``(term, n_t)``: rows containing each term."""
-        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+        if self.terms is None:
+            self.terms = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+        return self.terms
 
 
 def tokens(df: DataFrame, fields=("content", "tags")) -> DataFrame:
@@ -86,19 +90,51 @@ def apply_stems(tok: DataFrame) -> DataFrame:
     return tok.join(vocab, "term").drop("term").withColumnRenamed("stem", "term")
 
 
-def build_index(df: DataFrame, stem: bool = True, fields=("content", "tags")) -> TextIndex:
-    """Q3: postings, row lengths and corpus statistics."""
-    tok = tokens(df, fields)
+def build_index(df: DataFrame, stem: bool = True, fields=("content", "tags"),
+                persist: bool = True) -> TextIndex:
+    """Q3: postings, row lengths, term and corpus statistics.
+
+    With ``persist`` (default) each table is materialised once in the shared
+    checkpoint folder, so the several branches of a batch search read it
+    instead of re-tokenising the corpus; ``write_index`` stores it for reuse
+    across jobs.
+    """
+    base = ensure_parallelism(df.select("id", "content", "tags"))
+    text = {"content": F.col("content"), "tags": F.array_join(F.col("tags"), " ")}
+    toks = F.concat(*[fts_tokens(text[f]) for f in fields])
+    tok = base.select("id", F.explode(toks).alias("term"))
     if stem:
         tok = apply_stems(tok)
     postings = tok.groupBy("term", "id").agg(F.count(F.lit(1)).cast("bigint").alias("tf"))
-    tok_len = tok.groupBy("id").agg(F.count(F.lit(1)).cast("bigint").alias("dl"))
+    if persist:
+        postings = materialize(postings)
+    tok_len = postings.groupBy("id").agg(F.sum("tf").cast("bigint").alias("dl"))
     # Rows without any token still count in N with length 0.
     lengths = (df.select("id").join(tok_len, "id", "left")
                .select("id", F.coalesce(F.col("dl"), F.lit(0)).cast("bigint").alias("dl")))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("dl").alias("total_tokens"))
     stats = stats.withColumn("avgdl", F.col("total_tokens") / F.col("n_rows"))
-    return TextIndex(postings, lengths, stats, stem)
+    if not persist:
+        return TextIndex(postings, lengths, stats, stem)
+    terms = materialize(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+    lengths = materialize(lengths)
+    stats = materialize(lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("dl").alias("total_tokens"))
+                        .withColumn("avgdl", F.col("total_tokens") / F.col("n_rows")))
+    return TextIndex(postings, lengths, stats, stem, terms)
+
+
+def write_index(index: TextIndex, path: str) -> None:
+    """Store an index (postings bucketed by term hash via partitioned files)."""
+    index.postings.write.mode("errorifexists").parquet(f"{path}/postings")
+    index.term_stats().write.mode("errorifexists").parquet(f"{path}/terms")
+    index.lengths.write.mode("errorifexists").parquet(f"{path}/lengths")
+    index.stats.write.mode("errorifexists").parquet(f"{path}/stats")
+
+
+def read_index(spark, path: str, stem: bool = True) -> TextIndex:
+    r = spark.read.parquet
+    return TextIndex(r(f"{path}/postings"), r(f"{path}/lengths"), r(f"{path}/stats"), stem,
+                     r(f"{path}/terms"))
 
 
 def query_terms(queries: DataFrame, index: TextIndex, query_col: str = "query",

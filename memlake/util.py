@@ -21,3 +21,16 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     except Exception:  # noqa: BLE001 - streaming frames have no RDD
         return df
     return df.repartition(want) if have < want else df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Used where one intermediate feeds several branches of a plan (so it is
+    not recomputed per branch) and to cut long lineages.  The folder comes
+    from ``spark.checkpoint.dir`` (set by the cluster; tests set their own),
+    so the data survives the loss of any executor.
+    """
+    from memlake.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
