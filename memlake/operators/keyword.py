@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memlake.functions.text import WS_RUN
-from memlake.util import ensure_parallelism
+from memlake.util import broadcast_if_small, ensure_parallelism
 
 MAX_VOCAB_BYTES = 64 * 1024 * 1024
 MAX_VOCAB_WORDS = 2_000_000
@@ -107,7 +107,7 @@ def keyword_search(df: DataFrame, queries: DataFrame, limit: int | None = 5,
     qw = query_words(queries, query_col, key_cols)
     vocab = qw.select("word").distinct()
     hits = word_hits(df, vocab)
-    scored = (hits.join(qw, "word")
+    scored = (hits.join(broadcast_if_small(qw), "word")
               .groupBy(*key_cols, "id", "created_at")
               .agg(F.sum("repeats").cast("bigint").alias("score")))
     w = Window.partitionBy(*key_cols).orderBy(F.col("score").desc(), F.col("created_at").desc(),

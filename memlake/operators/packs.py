@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from memlake.functions.text import context_line
 from memlake.operators.keyword import keyword_search
 from memlake.operators.rules import Rules, exclude
+from memlake.util import broadcast_if_small
 
 PACK_SCHEMA = T.StructType([
     T.StructField("name", T.StringType(), False),
@@ -71,7 +72,9 @@ def pack_members(df: DataFrame, packs: DataFrame, rules: Rules | None = None,
     order (a repeated category repeats its rows), newest first inside each."""
     cats = packs.select(F.col("name").alias("pack"), F.col("exclude_tags").alias("_pack_ex"),
                         F.posexplode("categories").alias("cat_pos", "category"))
-    members = df.join(cats, "category")
+    # category has a handful of values: a shuffle join would put each in one
+    # task, so the (checked-small) pack side is broadcast instead.
+    members = df.join(broadcast_if_small(cats), "category")
     members = exclude(members, rules if rules is not None else Rules())
     extra = F.array(*[F.lit(t) for t in extra_exclude_tags]).cast("array<string>")
     ex = F.array_union(F.col("_pack_ex"), extra)

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from memlake.functions.text import fts_tokens
 from memlake.operators.rules import Rules, exclude
-from memlake.util import ensure_parallelism, materialize
+from memlake.util import BROADCAST_MAX_ROWS, ensure_parallelism, materialize
 
 K1 = 1.2
 B = 0.75
@@ -110,8 +110,8 @@ def build_index(df: DataFrame, stem: bool = True, fields=("content", "tags"),
         postings = materialize(postings)
     tok_len = postings.groupBy("id").agg(F.sum("tf").cast("bigint").alias("dl"))
     # Rows without any token still count in N with length 0.
-    lengths = (df.select("id").join(tok_len, "id", "left")
-               .select("id", F.coalesce(F.col("dl"), F.lit(0)).cast("bigint").alias("dl")))
+    lengths = (df.select("id", "created_at").join(tok_len, "id", "left")
+               .select("id", F.coalesce(F.col("dl"), F.lit(0)).cast("bigint").alias("dl"), "created_at"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("dl").alias("total_tokens"))
     stats = stats.withColumn("avgdl", F.col("total_tokens") / F.col("n_rows"))
     if not persist:
@@ -158,15 +158,23 @@ def match_all(index: TextIndex, qterms: DataFrame, key_cols=("query_id",)) -> Da
     key_cols = list(key_cols)
     ts = index.term_stats()
     need = qterms.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n_terms"))
-    known = qterms.join(ts, "term")
+    # Every query-side frame below (terms, known terms, seeds) has at most as
+    # many rows as the query terms: one count decides the broadcasts.
+    small = qterms.count() <= BROADCAST_MAX_ROWS
+    bc = F.broadcast if small else (lambda d: d)
+    known = bc(qterms).join(ts, "term")
     # Queries with a term absent from every row cannot match.
     have = known.groupBy(*key_cols).agg(
         F.count(F.lit(1)).alias("n_known"),
         F.min(F.struct("n_t", "term")).alias("_rare"))
     seeds = (have.join(need, key_cols).filter(F.col("n_known") == F.col("n_terms"))
              .select(*key_cols, F.col("_rare.term").alias("term"), "n_terms"))
-    cands = seeds.join(index.postings.select("term", "id"), "term").select(*key_cols, "id", "n_terms")
-    expanded = cands.join(known, key_cols)
+    cands = bc(seeds).join(index.postings.select("term", "id"), "term").select(*key_cols, "id", "n_terms")
+    # Candidates x their query's terms is small next to the postings: when a
+    # count proves it, broadcast it so the postings are streamed, not shuffled.
+    expanded = materialize(cands.join(bc(known), key_cols))
+    if expanded.count() <= BROADCAST_MAX_ROWS:
+        expanded = F.broadcast(expanded)
     matched = expanded.join(index.postings, ["term", "id"])
     per_row = matched.groupBy(*key_cols, "id", "n_terms").agg(
         F.count(F.lit(1)).alias("n_hit"),
@@ -177,7 +185,7 @@ def match_all(index: TextIndex, qterms: DataFrame, key_cols=("query_id",)) -> Da
         "_t", F.lit(0.0).cast("double"),
         lambda acc, x: acc + x["repeats"] * _bm25(x["tf"], F.col("dl"), F.col("avgdl"),
                                                   F.col("n_rows"), x["n_t"]))
-    return full.select(*key_cols, "id", score.alias("score"))
+    return full.select(*key_cols, "id", score.alias("score"), "created_at")
 
 
 def _with_stats(df: DataFrame, index: TextIndex) -> DataFrame:
@@ -189,7 +197,8 @@ def _with_stats(df: DataFrame, index: TextIndex) -> DataFrame:
 def top_k(scored: DataFrame, records: DataFrame, limit: int | None, key_cols=("query_id",)) -> DataFrame:
     """Rank ``(…keys, id, score)`` by score desc, newest, id; keep ``limit``."""
     key_cols = list(key_cols)
-    withc = scored.join(records.select("id", "created_at"), "id")
+    withc = scored if "created_at" in scored.columns else \
+        scored.join(records.select("id", "created_at"), "id")
     w = Window.partitionBy(*key_cols).orderBy(F.col("score").desc(), F.col("created_at").desc(),
                                               F.col("id").asc())
     out = withc.withColumn("rank", F.row_number().over(w))
@@ -231,7 +240,7 @@ def structured_search(df: DataFrame, queries: DataFrame, limit: int | None = 5,
     # OR: every row with at least one term, scored over the terms it has.
     at = _terms(any_q, "any_terms", key_cols, index).join(index.term_stats(), "term")
     hits = at.join(index.postings, "term")
-    any_scored = _with_stats(hits.join(index.lengths, "id"), index).groupBy(*key_cols, "id").agg(
+    any_scored = _with_stats(hits.join(index.lengths, "id"), index).groupBy(*key_cols, "id", "created_at").agg(
         F.sum(F.col("repeats") * _bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n_rows"),
                                        F.col("n_t"))).alias("score"))
     parts.append(any_scored)
@@ -241,7 +250,7 @@ def structured_search(df: DataFrame, queries: DataFrame, limit: int | None = 5,
     vocab = index.term_stats()
     pm = pq.join(vocab, F.col("term").startswith(F.col("prefix")))
     ph = pm.join(index.postings, "term")
-    pre_scored = _with_stats(ph.join(index.lengths, "id"), index).groupBy(*key_cols, "id").agg(
+    pre_scored = _with_stats(ph.join(index.lengths, "id"), index).groupBy(*key_cols, "id", "created_at").agg(
         F.sum(_bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n_rows"), F.col("n_t"))).alias("score"))
     parts.append(pre_scored)
     scored = parts[0]
@@ -307,9 +316,9 @@ def relevant(df: DataFrame, queries: DataFrame, rules: Rules | None = None, limi
     index = index or build_index(df, stem=stem)
     qt = query_terms(queries, index, query_col, key_cols)
     scored = match_all(index, qt, key_cols)
-    rec = df.select("id", "content", "category", "tags", "sensitive", "created_at")
+    rec = df.select("id", "content", "category", "tags", "sensitive")
     if overfetch is not None:
-        pool = top_k(scored, df, overfetch, key_cols).drop("rank", "created_at")
+        pool = top_k(scored, df, overfetch, key_cols).drop("rank")
         vis = exclude(pool.join(rec, "id"), rules)
     else:
         vis = exclude(scored.join(rec, "id"), rules)

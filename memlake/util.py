@@ -34,3 +34,16 @@ def materialize(df: DataFrame) -> DataFrame:
     from memlake.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# Row bound for broadcasting a side whose size is not fixed by construction.
+BROADCAST_MAX_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` when a count proves it has at most ``max_rows`` rows;
+    otherwise return it unchanged (the join then shuffles, and AQE can still
+    split skewed partitions).  Used for query batches and definition tables
+    joined against the records on low-cardinality or hot keys."""
+    from pyspark.sql import functions as F
+    return F.broadcast(df) if df.count() <= max_rows else df
