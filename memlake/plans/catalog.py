@@ -663,3 +663,77 @@ def q_import_report(spark, sf_dir):
                 .withColumn("pos", F.col("id").cast("bigint")))
     _, report = ig.import_records(table, incoming)
     return report
+
+
+# ------------------------------------------------------------ bulk changes ---
+
+from memlake.operators import changes as chg  # noqa: E402
+
+CHANGE_AS_OF_SQL = "TIMESTAMP '2024-07-20 00:00:00'"
+
+
+@register("mark_sensitive", _with("""
+, ch AS (SELECT CAST(doc_id AS VARCHAR) AS id, quality = 0 AS s FROM labels)
+, new AS (SELECT r.id, COALESCE(ch.s, r.sensitive) AS sensitive,
+             CASE WHEN ch.id IS NULL THEN r.updated_at ELSE """ + CHANGE_AS_OF_SQL + """ END AS updated_at
+          FROM records r LEFT JOIN ch ON r.id = ch.id)
+SELECT sensitive, strftime(updated_at, '%Y-%m') AS month, COUNT(*) AS n FROM new GROUP BY ALL"""))
+def q_mark_sensitive(spark, sf_dir):
+    """M3: every labelled row's flag set from its label (quality 0 -> sensitive)."""
+    ch = fx.table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("id"), (F.col("quality") == 0).alias("sensitive"))
+    new, _ = chg.apply_sensitive(_rec(spark, sf_dir), ch, AS_OF)
+    return new.groupBy("sensitive", F.date_format("updated_at", "yyyy-MM").alias("month")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("change_report", _with("""
+, ids AS (SELECT DISTINCT CAST(conv_id * 13 AS VARCHAR) AS id FROM conversations)
+SELECT 'matched' AS metric, COUNT(*) AS value FROM ids WHERE id IN (SELECT id FROM records)
+UNION ALL SELECT 'not_found', COUNT(*) FROM ids WHERE id NOT IN (SELECT id FROM records)"""))
+def q_change_report(spark, sf_dir):
+    """M1 report: updates keyed by conversation ids (some exist, some do not)."""
+    conv = fx.table(spark, sf_dir, "conversations")
+    ch = conv.filter(F.col("turn") == 0).select((F.col("conv_id") * 13).cast("string").alias("id"),
+                                                F.col("text").alias("content"))
+    _, rep = chg.apply_updates(_rec(spark, sf_dir), ch, AS_OF)
+    return rep
+
+
+@register("apply_updates", _with("""
+, ch AS (SELECT CAST(conv_id * 13 AS VARCHAR) AS id, text AS content FROM conversations WHERE turn = 0)
+SELECT r.id, sha256(COALESCE(ch.content, r.content)) AS content_key, r.category,
+       strftime(CASE WHEN ch.id IS NULL THEN r.updated_at ELSE """ + CHANGE_AS_OF_SQL + """ END,
+                '%Y-%m-%d %H:%M:%S') AS updated_at
+FROM records r LEFT JOIN ch ON r.id = ch.id"""))
+def q_apply_updates(spark, sf_dir):
+    """M1: the first turn of each conversation replaces the content of the
+    record with id conv_id*13 (where it exists)."""
+    conv = fx.table(spark, sf_dir, "conversations")
+    ch = conv.filter(F.col("turn") == 0).select((F.col("conv_id") * 13).cast("string").alias("id"),
+                                                F.col("text").alias("content"))
+    new, _ = chg.apply_updates(_rec(spark, sf_dir), ch, AS_OF)
+    return new.select("id", F.sha2("content", 256).alias("content_key"), "category",
+                      ts_str("updated_at").alias("updated_at"))
+
+
+@register("delete_flagged", _with("""
+SELECT category, COUNT(*) AS n FROM records
+WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1) GROUP BY category"""))
+def q_delete_flagged(spark, sf_dir):
+    """M4: delete every row its label marks toxic, then count by category."""
+    ids = fx.table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("id"))
+    new, _ = chg.delete_ids(_rec(spark, sf_dir), ids)
+    return rp.count_by_category(new)
+
+
+@register("health_examples", _with(_WORDSETS_SQL + """
+SELECT np.id_a, np.id_b, round(np.jaccard, 6) AS jaccard,
+  CAST(row_number() OVER (ORDER BY r.created_at DESC, np.id_a, np.id_b) AS BIGINT) AS rank
+FROM np JOIN records r ON r.id = np.id_a
+QUALIFY row_number() OVER (ORDER BY r.created_at DESC, np.id_a, np.id_b) <= 3"""))
+def q_health_examples(spark, sf_dir):
+    """The three newest near-duplicate pairs."""
+    rec = _rec(spark, sf_dir)
+    ex = dd.example_pairs(rec, dd.near_duplicates(rec, THRESHOLD), n=3)
+    return ex.select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"), F.col("rank").cast("bigint"))
