@@ -178,11 +178,13 @@ def match_all(index: TextIndex, qterms: DataFrame, key_cols=("query_id",)) -> Da
     matched = expanded.join(index.postings, ["term", "id"])
     per_row = matched.groupBy(*key_cols, "id", "n_terms").agg(
         F.count(F.lit(1)).alias("n_hit"),
-        F.collect_list(F.struct("tf", "n_t", "repeats")).alias("_t"))
+        F.collect_list(F.struct("term", "tf", "n_t", "repeats")).alias("_t"))
     full = per_row.filter(F.col("n_hit") == F.col("n_terms"))
     full = _with_stats(full.join(index.lengths, "id"), index)
+    # Summed in term order, so equal rows get bit-identical scores whatever
+    # order the shuffle delivered their terms in (ties then fall to newest).
     score = F.aggregate(
-        "_t", F.lit(0.0).cast("double"),
+        F.sort_array("_t"), F.lit(0.0).cast("double"),
         lambda acc, x: acc + x["repeats"] * _bm25(x["tf"], F.col("dl"), F.col("avgdl"),
                                                   F.col("n_rows"), x["n_t"]))
     return full.select(*key_cols, "id", score.alias("score"), "created_at")
@@ -271,36 +273,54 @@ def _terms(q: DataFrame, col: str, key_cols, index: TextIndex) -> DataFrame:
     return t.groupBy(*key_cols, "term").agg(F.count(F.lit(1)).cast("bigint").alias("repeats"))
 
 
+def _words(q) -> F.Column:
+    return F.filter(F.split(F.trim(q), r"\s+"), lambda w: w != "")
+
+
 def route_queries(queries: DataFrame, query_col: str = "query") -> DataFrame:
-    """Q6: add ``mode``: ``ranked`` for plain bareword queries, else ``keyword``
+    """Q6: add ``mode``: ``ranked`` for bareword queries, else ``keyword``
     (the fallback for text the ranked route cannot take: empty text,
-    punctuation, a leading or trailing operator word, unbalanced quotes)."""
+    punctuation, quotes, NEAR, and OR / NOT expressions, whose grammar is not
+    parsed here -- ``structured_search`` offers OR / NOT as columns).  An
+    upper-case AND between barewords is implicit and allowed.
+    Adds ``has_phrase``: some bareword splits into several tokens
+    (``snake_case``) and is matched as a phrase."""
     q = F.col(query_col)
-    words = F.split(F.trim(q), r"\s+")
-    ops = F.array(*[F.lit(o) for o in OPERATORS])
-    bad_op = (F.arrays_overlap(F.slice(words, 1, 1), ops) |
-              F.arrays_overlap(F.slice(words, -1, 1), ops) |
-              F.exists(words, lambda w: w == "NEAR"))
+    words = _words(q)
+    blocked = F.array(*[F.lit(o) for o in OPERATORS if o != "AND"])
+    bad_op = (F.arrays_overlap(words, blocked) |
+              F.arrays_overlap(F.slice(words, 1, 1), F.array(F.lit("AND"))) |
+              F.arrays_overlap(F.slice(words, -1, 1), F.array(F.lit("AND"))))
     ranked = F.coalesce(q.rlike(VALID_QUERY) & ~bad_op, F.lit(False))
-    return queries.withColumn("mode", F.when(ranked, "ranked").otherwise("keyword"))
+    has_phrase = F.exists(words, lambda w: F.size(fts_tokens(w)) > 1)
+    return (queries.withColumn("mode", F.when(ranked, "ranked").otherwise("keyword"))
+            .withColumn("has_phrase", ranked & has_phrase))
 
 
 def routed_search(df: DataFrame, queries: DataFrame, limit: int = 5, stem: bool = True,
                   index: TextIndex | None = None, query_col: str = "query",
                   key_cols=("query_id",)) -> DataFrame:
-    """Q6 end to end: ranked search for valid queries, keyword search (Q7)
-    for the rest; ``(…keys, mode, id, created_at, score, rank)`` with the
-    keyword score cast to double."""
+    """Q6 end to end: ranked search for valid queries (postings route, or the
+    phrase route when a bareword is a phrase), keyword search (Q7) for the
+    rest; ``(…keys, mode, id, created_at, score, rank)``, keyword score as
+    double."""
     from memlake.operators.keyword import keyword_search
     key_cols = list(key_cols)
+    index = index or build_index(df, stem=stem)
     routed = route_queries(queries, query_col)
-    ranked_q = routed.filter(F.col("mode") == "ranked")
+    plain_q = routed.filter((F.col("mode") == "ranked") & ~F.col("has_phrase"))
+    phrase_q = (routed.filter(F.col("has_phrase"))
+                .withColumn("phrases", F.filter(_words(F.col(query_col)), lambda w: w != "AND")))
     kw_q = routed.filter(F.col("mode") == "keyword")
-    r = search(df, ranked_q, limit, index, stem, query_col, key_cols).withColumn("mode", F.lit("ranked"))
-    k = keyword_search(df, kw_q, limit, query_col, key_cols).withColumn("mode", F.lit("keyword"))
     cols = key_cols + ["mode", "id", "created_at", "score", "rank"]
-    return r.select(*cols).unionByName(k.select(*key_cols, "mode", "id", "created_at",
-                                                F.col("score").cast("double"), "rank"))
+    r = search(df, plain_q, limit, index, stem, query_col, key_cols).withColumn("mode", F.lit("ranked"))
+    out = r.select(*cols)
+    if not phrase_q.isEmpty():
+        p = phrase_search(df, phrase_q, limit, index, stem=stem, key_cols=key_cols)
+        out = out.unionByName(p.withColumn("mode", F.lit("ranked")).select(*cols))
+    k = keyword_search(df, kw_q, limit, query_col, key_cols).withColumn("mode", F.lit("keyword"))
+    return out.unionByName(k.select(*key_cols, "mode", "id", "created_at",
+                                    F.col("score").cast("double"), "rank"))
 
 
 def relevant(df: DataFrame, queries: DataFrame, rules: Rules | None = None, limit: int = 5,
@@ -325,3 +345,53 @@ def relevant(df: DataFrame, queries: DataFrame, rules: Rules | None = None, limi
     w = Window.partitionBy(*key_cols).orderBy(F.col("score").desc(), F.col("created_at").desc(),
                                               F.col("id").asc())
     return vis.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+
+
+# ------------------------------------------------------------------ phrases --
+
+def build_positions(df: DataFrame, stem: bool = True, fields=("content", "tags")) -> DataFrame:
+    """``(id, field, pos, term)`` for phrase matching, materialised once."""
+    tok = tokens(df, fields)
+    if stem:
+        tok = apply_stems(tok)
+    return materialize(tok)
+
+
+def phrase_search(df: DataFrame, queries: DataFrame, limit: int | None = 5,
+                  index: TextIndex | None = None, positions: DataFrame | None = None,
+                  stem: bool = True, phrases_col: str = "phrases", key_cols=("query_id",)) -> DataFrame:
+    """Q5 phrases: rows containing *every* phrase of the query, each as
+    consecutive tokens of one field.  A phrase is scored as one BM25 unit
+    (frequency = its occurrences in the row, document frequency = rows
+    holding it).  ``(…keys, id, created_at, score, rank)``.
+
+    Each term occurrence at position p votes for the phrase start p - i (i =
+    the term's place in the phrase); a start with all k votes is an
+    occurrence.  The phrase side is broadcast (size-checked) and the
+    positions are streamed; the vote count is a partial aggregate.
+    """
+    key_cols = list(key_cols)
+    index = index or build_index(df, stem=stem)
+    positions = positions if positions is not None else build_positions(df, stem)
+    ph = queries.select(*key_cols, F.posexplode(F.col(phrases_col)).alias("ph_id", "phrase"))
+    pt = ph.select(*key_cols, "ph_id", F.posexplode(fts_tokens(F.col("phrase"))).alias("i", "term"))
+    if stem:
+        pt = pt.join(stem_vocabulary(pt), "term").drop("term").withColumnRenamed("stem", "term")
+    k = pt.groupBy(*key_cols, "ph_id").agg(F.count(F.lit(1)).alias("k"))
+    pt = pt.join(k, key_cols + ["ph_id"])
+    small = pt.count() <= BROADCAST_MAX_ROWS
+    side = F.broadcast(pt) if small else pt
+    votes = side.join(positions, "term").select(
+        *key_cols, "ph_id", "k", "id", "field", (F.col("pos") - F.col("i")).alias("start"), "i")
+    starts = (votes.groupBy(*key_cols, "ph_id", "k", "id", "field", "start")
+              .agg(F.count_distinct("i").alias("hits"))
+              .filter(F.col("hits") == F.col("k")))
+    occ = starts.groupBy(*key_cols, "ph_id", "id").agg(F.count(F.lit(1)).alias("tf"))
+    nph = occ.groupBy(*key_cols, "ph_id").agg(F.count(F.lit(1)).alias("n_t"))
+    need = k.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n_ph"))
+    scored = _with_stats(occ.join(nph, key_cols + ["ph_id"]).join(index.lengths, "id"), index)
+    per_row = scored.groupBy(*key_cols, "id", "created_at").agg(
+        F.count(F.lit(1)).alias("n_hit"),
+        F.sum(_bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n_rows"), F.col("n_t"))).alias("score"))
+    full = per_row.join(need, key_cols).filter(F.col("n_hit") == F.col("n_ph")).drop("n_hit", "n_ph")
+    return top_k(full, df, limit, key_cols)

@@ -595,9 +595,9 @@ _ROUTE_Q_SQL = """
 , rw AS (SELECT *, string_split(trim(query), ' ') AS w FROM rq)
 , routed AS (SELECT query_id, query,
     CASE WHEN regexp_full_match(query, '""" + se.VALID_QUERY.replace("'", "''") + """')
-          AND NOT list_contains(['AND','OR','NOT','NEAR'], list_filter(regexp_split_to_array(trim(query), '\\s+'), lambda x: true)[1])
-          AND NOT list_contains(['AND','OR','NOT','NEAR'], list_filter(regexp_split_to_array(trim(query), '\\s+'), lambda x: true)[-1])
-          AND NOT list_contains(regexp_split_to_array(trim(query), '\\s+'), 'NEAR')
+          AND len(list_intersect(regexp_split_to_array(trim(query), '\\s+'), ['OR', 'NOT', 'NEAR'])) = 0
+          AND regexp_split_to_array(trim(query), '\\s+')[1] <> 'AND'
+          AND regexp_split_to_array(trim(query), '\\s+')[-1] <> 'AND'
          THEN 'ranked' ELSE 'keyword' END AS mode FROM rq)"""
 
 
@@ -737,3 +737,33 @@ def q_health_examples(spark, sf_dir):
     rec = _rec(spark, sf_dir)
     ex = dd.example_pairs(rec, dd.near_duplicates(rec, THRESHOLD), n=3)
     return ex.select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"), F.col("rank").cast("bigint"))
+
+
+_PHRASE_SQL = f"""
+, fld AS (SELECT id, {_fts_tokens_sql('content')} AS toks FROM records
+          UNION ALL SELECT id, {_fts_tokens_sql("array_to_string(tags, ' ')")} FROM records)
+, pos AS (SELECT id, toks, generate_subscripts(toks, 1) AS p FROM fld)
+, ph AS (SELECT item_id AS query_id, {_fts_tokens_sql('text')} AS pt FROM benchmark)
+, occ AS (SELECT ph.query_id, pos.id, COUNT(*) AS tf FROM ph JOIN pos
+            ON pos.toks[pos.p] = ph.pt[1] AND pos.toks[pos.p:pos.p + len(ph.pt) - 1] = ph.pt
+          WHERE len(ph.pt) > 0 GROUP BY ALL)
+, lens2 AS (SELECT r.id, r.created_at, COALESCE(c.dl, 0) AS dl FROM records r LEFT JOIN
+            (SELECT id, SUM(len(toks)) AS dl FROM fld GROUP BY id) c ON r.id = c.id)
+, st2 AS (SELECT COUNT(*) AS n_rows, SUM(dl) / COUNT(*) AS avgdl FROM lens2)
+, nph AS (SELECT query_id, COUNT(*) AS n_t FROM occ GROUP BY query_id)
+, sc2 AS (SELECT o.query_id, o.id, l.created_at,
+            greatest(ln((st2.n_rows - n.n_t + 0.5) / (n.n_t + 0.5)), 1e-6)
+            * (o.tf * 2.2) / (o.tf + 1.2 * (0.25 + 0.75 * l.dl / st2.avgdl)) AS score
+          FROM occ o JOIN nph n ON n.query_id = o.query_id JOIN lens2 l ON l.id = o.id CROSS JOIN st2)
+, rk2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, id) AS rank
+          FROM sc2)"""
+
+
+@register("phrase_search", _with(_PHRASE_SQL + """
+SELECT query_id, id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM rk2 WHERE rank <= 5"""))
+def q_phrase_search(spark, sf_dir):
+    """Passage search: each benchmark text as one phrase (documents quote them)."""
+    q = fx.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.array(F.col("text")).alias("phrases"))
+    res = se.phrase_search(_rec(spark, sf_dir), q, limit=5, stem=False)
+    return res.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))

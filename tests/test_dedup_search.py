@@ -185,11 +185,20 @@ def test_structured_search(spark, make_records):
 
 def test_routing(spark):
     qs = ["python research", "", "user?", "what's up", "C++", "foo-bar", "NOT x", 'say "hi',
-          "ends with.", "snake_case words", "a OR b", "x NEAR y", "café crème"]
+          "ends with.", "snake_case words", "a OR b", "x NEAR y", "café crème", "a AND b", "AND b"]
     df = spark.createDataFrame(list(enumerate(qs)), "query_id long, query string")
-    modes = {r["query"]: r["mode"] for r in se.route_queries(df).collect()}
-    ranked = {q for q, m in modes.items() if m == "ranked"}
-    assert ranked == {"python research", "snake_case words", "a OR b", "café crème"}
+    got = {r["query"]: (r["mode"], r["has_phrase"]) for r in se.route_queries(df).collect()}
+    ranked = {q for q, (m, _) in got.items() if m == "ranked"}
+    assert ranked == {"python research", "snake_case words", "café crème", "a AND b"}
+    assert got["snake_case words"] == ("ranked", True) and got["python research"][1] is False
+
+
+def test_phrase_route(spark, make_records):
+    df = make_records([rec("1", "snake case style", created=t(1)), rec("2", "case snake style", created=t(2)),
+                       rec("3", "uses snake_case naming", created=t(3))])
+    q = spark.createDataFrame([(1, "snake_case"), (2, "snake case")], "query_id long, query string")
+    got = {(r["query_id"], r["id"]) for r in se.routed_search(df, q, limit=None, stem=False).collect()}
+    assert got == {(1, "1"), (1, "3"), (2, "1"), (2, "2"), (2, "3")}
 
 
 def test_relevant_filters_before_top_k(spark, make_records):
