@@ -365,10 +365,12 @@ def phrase_search(df: DataFrame, queries: DataFrame, limit: int | None = 5,
     (frequency = its occurrences in the row, document frequency = rows
     holding it).  ``(…keys, id, created_at, score, rank)``.
 
-    Each term occurrence at position p votes for the phrase start p - i (i =
-    the term's place in the phrase); a start with all k votes is an
-    occurrence.  The phrase side is broadcast (size-checked) and the
-    positions are streamed; the vote count is a partial aggregate.
+    Plan (as for terms): each phrase's rarest term seeds candidate starts
+    (its positions minus its place in the phrase); each candidate start is
+    expanded with the phrase's terms at their expected positions and checked
+    with an equi-join on ``(id, field, pos, term)`` -- a unique key, so a
+    common term never fans out.  Phrase-side and candidate tables are
+    broadcast when a count proves them small; the positions are streamed.
     """
     key_cols = list(key_cols)
     index = index or build_index(df, stem=stem)
@@ -377,21 +379,37 @@ def phrase_search(df: DataFrame, queries: DataFrame, limit: int | None = 5,
     pt = ph.select(*key_cols, "ph_id", F.posexplode(fts_tokens(F.col("phrase"))).alias("i", "term"))
     if stem:
         pt = pt.join(stem_vocabulary(pt), "term").drop("term").withColumnRenamed("stem", "term")
-    k = pt.groupBy(*key_cols, "ph_id").agg(F.count(F.lit(1)).alias("k"))
-    pt = pt.join(k, key_cols + ["ph_id"])
+    pt = materialize(pt)
     small = pt.count() <= BROADCAST_MAX_ROWS
-    side = F.broadcast(pt) if small else pt
-    votes = side.join(positions, "term").select(
-        *key_cols, "ph_id", "k", "id", "field", (F.col("pos") - F.col("i")).alias("start"), "i")
-    starts = (votes.groupBy(*key_cols, "ph_id", "k", "id", "field", "start")
-              .agg(F.count_distinct("i").alias("hits"))
+    bc = F.broadcast if small else (lambda d: d)
+    k = pt.groupBy(*key_cols, "ph_id").agg(F.count(F.lit(1)).alias("k"))
+    known = bc(pt).join(index.term_stats(), "term")
+    rare = known.groupBy(*key_cols, "ph_id").agg(
+        F.count(F.lit(1)).alias("n_known"), F.min(F.struct("n_t", "i", "term")).alias("_r"))
+    seeds = (rare.join(k, key_cols + ["ph_id"]).filter(F.col("n_known") == F.col("k"))
+             .select(*key_cols, "ph_id", "k", F.col("_r.i").alias("ri"), F.col("_r.term").alias("term")))
+    starts = bc(seeds).join(positions, "term").select(
+        *key_cols, "ph_id", "k", "id", "field", (F.col("pos") - F.col("ri")).alias("start"))
+    expanded = starts.join(bc(pt.select(*key_cols, "ph_id", "i", "term")), key_cols + ["ph_id"]) \
+        .select(*key_cols, "ph_id", "k", "id", "field", "start", "term",
+                (F.col("start") + F.col("i")).alias("pos"))
+    expanded = materialize(expanded)
+    if expanded.count() <= BROADCAST_MAX_ROWS:
+        expanded = F.broadcast(expanded)
+    checked = expanded.join(positions, ["id", "field", "pos", "term"])
+    starts = (checked.groupBy(*key_cols, "ph_id", "k", "id", "field", "start")
+              .agg(F.count(F.lit(1)).alias("hits"))
               .filter(F.col("hits") == F.col("k")))
     occ = starts.groupBy(*key_cols, "ph_id", "id").agg(F.count(F.lit(1)).alias("tf"))
     nph = occ.groupBy(*key_cols, "ph_id").agg(F.count(F.lit(1)).alias("n_t"))
     need = k.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n_ph"))
     scored = _with_stats(occ.join(nph, key_cols + ["ph_id"]).join(index.lengths, "id"), index)
+    part = _bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n_rows"), F.col("n_t"))
     per_row = scored.groupBy(*key_cols, "id", "created_at").agg(
         F.count(F.lit(1)).alias("n_hit"),
-        F.sum(_bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n_rows"), F.col("n_t"))).alias("score"))
+        F.sort_array(F.collect_list(F.struct("ph_id", part.alias("s")))).alias("_p"))
+    # summed in phrase order: deterministic, so equal rows tie exactly
+    per_row = per_row.withColumn("score", F.aggregate("_p", F.lit(0.0).cast("double"),
+                                                      lambda a, x: a + x["s"])).drop("_p")
     full = per_row.join(need, key_cols).filter(F.col("n_hit") == F.col("n_ph")).drop("n_hit", "n_ph")
     return top_k(full, df, limit, key_cols)
