@@ -134,13 +134,16 @@ def _prefixes(groups: DataFrame, threshold: float, by: list[str]) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None = None,
-                    groups: DataFrame | None = None) -> DataFrame:
+                    groups: DataFrame | None = None, candidate_cap: int | None = None) -> DataFrame:
     """Pairs of distinct word sets with Jaccard >= ``threshold``.
 
     Columns ``(…by, id_a, id_b, jaccard, copies_a, copies_b)``; ``id_a`` is the
     newer representative.  Each such row stands for ``copies_a * copies_b``
     row pairs; pairs of identical sets are in ``duplicate_copies``.
 
+    ``candidate_cap=n`` reproduces the reference's cap of comparing only the
+    n newest rows (default off).
+
     The copy-group table and the prefix table each feed several branches, so
     both are materialised once (``util.materialize``) instead of being
     recomputed per branch; pass ``groups`` (from ``near_duplicate_groups``) to
@@ -149,6 +152,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
     by = list(by or [])
+    from memlake.util import newest_rows
+    # candidate_cap=n reproduces the reference's comparison of only the n
+    # newest rows per scope; the default compares all rows.
+    df = newest_rows(df, candidate_cap, by)
     groups = groups if groups is not None else near_duplicate_groups(df, by)
     pref = materialize(_prefixes(groups, threshold, by))
     a = pref.select(*by, F.col("set_key").alias("ka"), F.col("n_words").alias("na"), "w")

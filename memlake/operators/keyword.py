@@ -98,12 +98,16 @@ def word_hits(df: DataFrame, vocab: DataFrame, text: F.Column | None = None,
 
 
 def keyword_search(df: DataFrame, queries: DataFrame, limit: int | None = 5,
-                   query_col: str = "query", key_cols=("query_id",)) -> DataFrame:
+                   query_col: str = "query", key_cols=("query_id",),
+                   candidate_cap: int | None = None) -> DataFrame:
     """Q7 for a table of queries: ``(…keys, id, created_at, score, rank)``.
 
-    ``limit=None`` keeps every row with score > 0.
+    ``limit=None`` keeps every row with score > 0.  ``candidate_cap=n``
+    reproduces the reference's scan of only the n newest rows (default: all).
     """
+    from memlake.util import newest_rows
     key_cols = list(key_cols)
+    df = newest_rows(df, candidate_cap)
     qw = query_words(queries, query_col, key_cols)
     vocab = qw.select("word").distinct()
     hits = word_hits(df, vocab)

@@ -116,8 +116,12 @@ def exclude(df: DataFrame, rules: Rules | DataFrame | None = None, by: list[str]
     if not by:
         raise ValueError("a rules DataFrame needs owner columns in by=[...]; "
                          "use a Rules value for a single scope")
+    from memlake.util import broadcast_if_small
     rule_cols = list(RULE_KEYS)
-    joined = df.join(rules.select(*by, *rule_cols), on=by, how="left")
+    # One rules row per owner: broadcast when a count proves it small, so an
+    # owner holding a third of the records never lands in one join task;
+    # otherwise AQE splits the skewed partition of the shuffle join.
+    joined = df.join(broadcast_if_small(rules.select(*by, *rule_cols)), on=by, how="left")
     return joined.filter(~hidden_by_columns()).drop(*rule_cols)
 
 

@@ -47,3 +47,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     joined against the records on low-cardinality or hot keys."""
     from pyspark.sql import functions as F
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def newest_rows(df: DataFrame, n: int | None, by: list[str] | None = None) -> DataFrame:
+    """The ``n`` newest rows per scope (``None`` = all rows).  Only used where
+    a caller asks to reproduce a single-machine row cap (``candidate_cap``);
+    a ranked window with a limit plans as WindowGroupLimit (top-n per task
+    before the shuffle)."""
+    if n is None:
+        return df
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    w = Window.partitionBy(*(by or [])).orderBy(F.col("created_at").desc(), F.col("id"))
+    return df.withColumn("_nr", F.row_number().over(w)).filter(F.col("_nr") <= n).drop("_nr")

@@ -246,3 +246,13 @@ def test_packs_and_prompts(spark, seeded):
     assert pr[2] == "zzz"
     assert pr[1].startswith("## Personal Context\n[PROFESSIONAL] Works as a backend developer")
     assert pr[1].endswith("\n\n---\n\npython help")
+
+
+def test_candidate_cap_reproduces_newest_n(spark, make_records):
+    df = make_records([rec("1", "a b c d", created=t(1)), rec("2", "a b c d", created=t(2)),
+                       rec("3", "a b c d e", created=t(3))])
+    assert {(r["id_a"], r["id_b"]) for r in dd.near_duplicates(df, 0.75).collect()} == {("3", "2")}
+    capped = dd.near_duplicates(df, 0.75, candidate_cap=1).count()
+    assert capped == 0
+    q = spark.createDataFrame([(1, "a")], "query_id long, query string")
+    assert [r["id"] for r in kw.keyword_search(df, q, limit=None, candidate_cap=2).orderBy("rank").collect()] == ["3", "2"]
