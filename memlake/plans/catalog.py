@@ -767,3 +767,52 @@ def q_phrase_search(spark, sf_dir):
         F.col("item_id").alias("query_id"), F.array(F.col("text")).alias("phrases"))
     res = se.phrase_search(_rec(spark, sf_dir), q, limit=5, stem=False)
     return res.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
+
+
+# ---------------------------------------------------------- export ingest ---
+
+from memlake.sources import exports as ex  # noqa: E402
+
+
+def conversation_exports(spark, sf_dir) -> DataFrame:
+    """Each conversation turn as one claude-style export document: user turns
+    as a bare string, assistant turns as ``{content}``, system turns as
+    ``{memory, created_at}`` with a time derived from the turn."""
+    c = fx.table(spark, sf_dir, "conversations")
+    ts = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    doc = (F.when(F.col("role") == "user", F.to_json(F.array(F.col("text"))))
+           .when(F.col("role") == "assistant", F.to_json(F.array(F.struct(F.col("text").alias("content")))))
+           .otherwise(F.to_json(F.array(F.struct(F.col("text").alias("memory"), ts.alias("created_at"))))))
+    return c.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("file"),
+                    doc.alias("value"))
+
+
+_CONV_STRIP = f"regexp_replace(text, '^[{PY_WHITESPACE}]+|[{PY_WHITESPACE}]+$', '', 'g')"
+_CLAUDE_CASE = _classify_sql(PLATFORMS["claude"]).replace("content", "c")
+
+
+@register("ingest_conversations", f"""
+WITH t AS (SELECT {_CONV_STRIP} AS c FROM conversations)
+, cls AS (SELECT {_CLAUDE_CASE} AS category FROM t WHERE c <> '')
+SELECT 'parsed' AS metric, CAST(NULL AS VARCHAR) AS key, COUNT(*) AS value FROM t WHERE c <> ''
+UNION ALL SELECT 'skipped', NULL, COUNT(*) FROM t WHERE c = ''
+UNION ALL SELECT 'category', category, COUNT(*) FROM cls GROUP BY category""")
+def q_ingest_conversations(spark, sf_dir):
+    """S1-S7 on export documents derived from the conversation turns."""
+    recs, rej = ex.parse_documents(conversation_exports(spark, sf_dir), "claude", AS_OF)
+    return ex.ingest_summary(recs, rej).select("metric", "key", "value")
+
+
+@register("ingest_records", f"""
+SELECT sha256('claude|' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) || '|0|' || {_CONV_STRIP})
+         AS id,
+       CASE WHEN role = 'system'
+            THEN strftime(TIMESTAMP '2024-01-01 00:00:00' + turn * INTERVAL '1' MINUTE, '%Y-%m-%d %H:%M:%S')
+            ELSE '2024-07-20 00:00:00' END AS created_at,
+       {_CLAUDE_CASE.replace('(c)', '(' + _CONV_STRIP + ')').replace('lower(c)', 'lower(' + _CONV_STRIP + ')')}
+         AS category
+FROM conversations WHERE {_CONV_STRIP} <> ''""")
+def q_ingest_records(spark, sf_dir):
+    """S1-S6 records (ids, parsed times, categories) from the same documents."""
+    recs, _ = ex.parse_documents(conversation_exports(spark, sf_dir), "claude", AS_OF)
+    return recs.select("id", ts_str("created_at").alias("created_at"), "category")

@@ -168,3 +168,14 @@ def ingest_summary(records: DataFrame, rejects: DataFrame) -> DataFrame:
 def reject_counts(rejects: DataFrame) -> DataFrame:
     """Skipped rows per platform and reason."""
     return rejects.groupBy("platform", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def parse_documents(docs: DataFrame, platform: PlatformSpec | str = "chatgpt", as_of=None,
+                    file_col: str = "file", text_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """S1-S5 for export documents already held in a table column (one JSON
+    document per row, e.g. landed from a message queue): ``(records, rejects)``."""
+    import datetime as _dt
+    spec = get_platform(platform)
+    as_of = as_of or _dt.datetime.now(_dt.timezone.utc)
+    files = docs.select(F.col(file_col).cast("string").alias("file"), F.col(text_col).alias("value"))
+    return parse_elements(_elements(files, spec), spec, as_of)
