@@ -256,3 +256,19 @@ def test_candidate_cap_reproduces_newest_n(spark, make_records):
     assert capped == 0
     q = spark.createDataFrame([(1, "a")], "query_id long, query string")
     assert [r["id"] for r in kw.keyword_search(df, q, limit=None, candidate_cap=2).orderBy("rank").collect()] == ["3", "2"]
+
+
+def test_results_independent_of_partitioning(spark, make_records):
+    rnd = random.Random(7)
+    vocab = ["red", "green", "blue", "cyan", "teal", "gold", "rose", "jade"]
+    rows = [rec(str(i), " ".join(rnd.sample(vocab, rnd.randint(2, 6))), created=t(rnd.randint(0, 50)))
+            for i in range(80)]
+    base = make_records(rows)
+    q = spark.createDataFrame([(1, "red blue"), (2, "gold")], "query_id long, query string")
+    def snap(df):
+        return (sorted(tuple(r) for r in dd.near_duplicates(df, 0.6).collect()),
+                dd.pair_count(df, 0.6).first()["pairs"],
+                sorted((r["query_id"], r["id"], round(r["score"], 9), r["rank"])
+                       for r in se.search(df, q, limit=3, stem=False).collect()),
+                sorted(tuple(r) for r in kw.keyword_search(df, q, limit=3).collect()))
+    assert snap(base.repartition(1)) == snap(base.repartition(7)) == snap(base.repartition(3, "category"))
