@@ -533,11 +533,13 @@ _BM25_SQL = f"""
           SELECT item_id AS query_id, unnest({_fts_tokens_sql('text')}) AS term FROM benchmark {{qfilter}})
          GROUP BY ALL)
 , need AS (SELECT query_id, COUNT(*) AS n_terms FROM qt GROUP BY query_id)
-, m AS (SELECT qt.query_id, p.id, qt.repeats, p.tf, ts.n_t FROM qt JOIN post p ON p.term = qt.term
+, m AS (SELECT qt.query_id, p.id, qt.term, qt.repeats, p.tf, ts.n_t FROM qt JOIN post p ON p.term = qt.term
         JOIN tstat ts ON ts.term = qt.term)
 , sc AS (SELECT m.query_id, m.id, COUNT(*) AS n_hit,
-           SUM(m.repeats * greatest(ln((st.n_rows - m.n_t + 0.5) / (m.n_t + 0.5)), 1e-6)
-               * (m.tf * 2.2) / (m.tf + 1.2 * (0.25 + 0.75 * l.dl / st.avgdl))) AS score
+           -- left fold in term order: equal rows get equal scores on every run
+           list_reduce(list(m.repeats * greatest(ln((st.n_rows - m.n_t + 0.5) / (m.n_t + 0.5)), 1e-6)
+               * (m.tf * 2.2) / (m.tf + 1.2 * (0.25 + 0.75 * l.dl / st.avgdl)) ORDER BY m.term),
+               lambda a, b: a + b) AS score
          FROM m JOIN lens l ON l.id = m.id CROSS JOIN st GROUP BY m.query_id, m.id)
 , full_hits AS (SELECT sc.query_id, sc.id, sc.score, r.created_at, r.sensitive
                 FROM sc JOIN need n ON n.query_id = sc.query_id AND sc.n_hit = n.n_terms
