@@ -133,6 +133,20 @@ def _prefixes(groups: DataFrame, threshold: float, by: list[str]) -> DataFrame:
     return pref.filter(F.col("_t.df") > 1).select(*by, "set_key", "n_words", F.col("_t.w").alias("w"))
 
 
+def _length_band(threshold: float):
+    """``(band(n), offsets)``: sets of sizes ``na <= nb`` pass the length
+    filter only if ``na >= t*nb``, i.e. ``ln nb - ln na <= ln(1/t)``.  Bands
+    are ``floor(ln n / w)`` with ``w`` a hair wider than ``ln(1/t)``, so two
+    such sizes are at most one band apart even after rounding; every
+    passing pair meets exactly once through offsets -1, 0, +1.  At t = 1 only
+    equal sizes can pass and the band is the size itself."""
+    import math
+    if threshold >= 1.0:
+        return (lambda n: n.cast("bigint")), (0,)
+    width = -math.log(threshold) * (1.0 + 1e-6)
+    return (lambda n: F.floor(F.log(n.cast("double")) / F.lit(width))), (-1, 0, 1)
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None = None,
                     groups: DataFrame | None = None, candidate_cap: int | None = None) -> DataFrame:
     """Pairs of distinct word sets with Jaccard >= ``threshold``.
@@ -158,9 +172,15 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None
     df = newest_rows(df, candidate_cap, by)
     groups = groups if groups is not None else near_duplicate_groups(df, by)
     pref = materialize(_prefixes(groups, threshold, by))
-    a = pref.select(*by, F.col("set_key").alias("ka"), F.col("n_words").alias("na"), "w")
-    b = pref.select(*by, F.col("set_key").alias("kb"), F.col("n_words").alias("nb"), "w")
-    cand = (a.join(b, by + ["w"])
+    # The join key is (word, length band): a word held in the prefixes of
+    # many sets is split by set length, and only bands that can pass the
+    # length filter meet (one side is copied to the two neighbour bands).
+    band, offsets = _length_band(threshold)
+    a = pref.select(*by, F.col("set_key").alias("ka"), F.col("n_words").alias("na"), "w",
+                    band(F.col("n_words")).alias("_band"))
+    b = pref.select(*by, F.col("set_key").alias("kb"), F.col("n_words").alias("nb"), "w",
+                    F.explode(F.array(*[band(F.col("n_words")) + F.lit(o) for o in offsets])).alias("_band"))
+    cand = (a.join(b, by + ["w", "_band"])
             .filter(F.col("ka") < F.col("kb"))
             .filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(EPS))
             .select(*by, "ka", "kb").distinct())

@@ -84,6 +84,26 @@ def test_near_duplicates_equal_brute_force(make_records, seed):
         assert n == len(want)
 
 
+def test_near_duplicates_across_length_bands(make_records):
+    """Sets of 1..24 words span many length bands; boundary ratios
+    (e.g. 8 of 16 words at t = 0.5) must still meet."""
+    rnd = random.Random(7)
+    vocab = [f"v{i}" for i in range(30)]
+    rows = []
+    for i in range(80):
+        if i and rnd.random() < 0.4:
+            base = rows[rnd.randrange(len(rows))][2].split()
+            words = base[: max(1, len(base) - rnd.randint(0, len(base) // 2))]
+        else:
+            words = rnd.sample(vocab, rnd.randint(1, 24))
+        rows.append((str(i), t(rnd.randint(0, 5)), " ".join(words)))
+    df = make_records([rec(i, c, created=ts) for i, ts, c in rows])
+    for th in (0.5, 0.6, 0.75, 0.9):
+        want = {frozenset(p) for p in brute_pairs(rows, th)}
+        got = expand(dd.near_duplicates(df, th), dd.duplicate_copies(df))
+        assert got == want, th
+
+
 def test_empty_sets_ignored(make_records):
     df = make_records([rec("1", "   "), rec("2", ""), rec("3", "x y")])
     assert dd.near_duplicates(df).count() == 0 and dd.pair_count(df).first()["pairs"] == 0
