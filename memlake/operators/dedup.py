@@ -128,9 +128,9 @@ def _prefixes(groups: DataFrame, threshold: float, by: list[str]) -> DataFrame:
     per = ranked.groupBy(*by, "set_key", "n_words").agg(
         F.sort_array(F.collect_list(F.struct("df", "w"))).alias("_ord"))
     pref = per.select(*by, "set_key", "n_words",
-                      F.explode(F.slice("_ord", 1, plen)).alias("_t"))
+                      F.posexplode(F.slice("_ord", 1, plen)).alias("pos", "_t"))
     # A word seen in one set only cannot pair anything.
-    return pref.filter(F.col("_t.df") > 1).select(*by, "set_key", "n_words", F.col("_t.w").alias("w"))
+    return pref.filter(F.col("_t.df") > 1).select(*by, "set_key", "n_words", F.col("_t.w").alias("w"), "pos")
 
 
 def _length_band(threshold: float):
@@ -177,13 +177,23 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None
     # length filter meet (one side is copied to the two neighbour bands).
     band, offsets = _length_band(threshold)
     a = pref.select(*by, F.col("set_key").alias("ka"), F.col("n_words").alias("na"), "w",
-                    band(F.col("n_words")).alias("_band"))
+                    F.col("pos").alias("pa"), band(F.col("n_words")).alias("_band"))
     b = pref.select(*by, F.col("set_key").alias("kb"), F.col("n_words").alias("nb"), "w",
+                    F.col("pos").alias("pb"),
                     F.explode(F.array(*[band(F.col("n_words")) + F.lit(o) for o in offsets])).alias("_band"))
+    # Each (pair, shared prefix word) meets once.  Positional bound: every
+    # shared word before the last shared prefix word is in both prefixes
+    # (global order), so overlap <= shared + min(words left after it in a,
+    # in b); Jaccard >= t needs overlap >= t/(1+t) * (na + nb).  Pairs that
+    # cannot reach it are dropped before any word list is fetched.
     cand = (a.join(b, by + ["w", "_band"])
             .filter(F.col("ka") < F.col("kb"))
             .filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(EPS))
-            .select(*by, "ka", "kb").distinct())
+            .groupBy(*by, "ka", "kb", "na", "nb")
+            .agg(F.count(F.lit(1)).alias("_shared"), F.max("pa").alias("_pa"), F.max("pb").alias("_pb")))
+    reach = F.col("_shared") + F.least(F.col("na") - F.col("_pa") - 1, F.col("nb") - F.col("_pb") - 1)
+    cand = (cand.filter(reach >= (F.col("na") + F.col("nb")) * F.lit(threshold / (1.0 + threshold)) - F.lit(EPS))
+            .select(*by, "ka", "kb"))
     g = groups.select(*by, "set_key", "rep_id", "rep_created_at", "copies", "words", "n_words")
     ga = g.select(*by, *[F.col(c).alias("ka" if c == "set_key" else c + "_a") for c in g.columns if c not in by])
     gb = g.select(*by, *[F.col(c).alias("kb" if c == "set_key" else c + "_b") for c in g.columns if c not in by])
