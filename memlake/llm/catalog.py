@@ -3,12 +3,43 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id, toxicity
 from .common import table
+from .packing import pack
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
 
+def _held_out(folds: int, fold: int):
+    """A row with a null id is in no fold: it is scored, and may be learned."""
+    return F.coalesce(toxicity.in_fold(F.col("doc_id"), folds, fold), F.lit(False))
+
+
+def toxic_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, score, predicted of ``docs``; the machine learns from the
+    labelled rows of the ``documents`` table outside the held-out fold."""
+    labels = (table(spark, sf_dir, "labels").where(~_held_out(3, 1))
+              .select("doc_id", F.col("toxic").alias("label")))
+    machine = toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return toxicity.score(docs, machine)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxic_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    return scores.select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents"), ~_held_out(4, 2))
+    return found.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -17,5 +48,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_bytes")
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_language_id, op4_substring_dedup, op8_packing, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
