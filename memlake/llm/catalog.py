@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import language_id, toxicity
 from .common import table
+from .decontamination import contamination
 from .packing import pack
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -36,6 +37,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -48,5 +53,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_bytes")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_language_id, op4_substring_dedup, op8_packing, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_language_id, op4_substring_dedup, op5_decontamination, op8_packing, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
