@@ -9,6 +9,7 @@ from . import language_id, toxicity
 from .common import table
 from .decontamination import contamination
 from .packing import pack
+from .secrets import secret_scan
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
@@ -27,6 +28,10 @@ def toxic_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.score(docs, machine)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxic_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
     return scores.select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted")
@@ -53,5 +58,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_bytes")
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_language_id, op4_substring_dedup, op5_decontamination, op8_packing, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op4_substring_dedup, op5_decontamination, op8_packing, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
