@@ -9,6 +9,7 @@ from . import language_id, toxicity
 from .common import table
 from .decontamination import contamination
 from .packing import pack
+from .quality import judge
 from .secrets import secret_scan
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -46,6 +47,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -58,5 +63,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_bytes")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op4_substring_dedup, op5_decontamination, op8_packing, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op4_substring_dedup, op5_decontamination, op7_quality_rules, op8_packing, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
