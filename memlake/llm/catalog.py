@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import language_id, toxicity
 from .common import table
 from .decontamination import contamination
+from .minhash_dedup import near_duplicates
 from .packing import pack
 from .quality import judge
 from .secrets import secret_scan
@@ -47,6 +48,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
@@ -63,5 +68,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_bytes")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op4_substring_dedup, op5_decontamination, op7_quality_rules, op8_packing, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op4_substring_dedup, op5_decontamination, op6_minhash_dedup, op7_quality_rules, op8_packing, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
