@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, toxicity
+from . import language_id, pii, toxicity
 from .common import table
 from .decontamination import contamination
 from .minhash_dedup import near_duplicates
@@ -16,6 +16,10 @@ from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 
 
+#: Key of the registered query and stage; production runs pass their own secret.
+SURROGATE_KEY = "registered-query-key"
+
+
 def _held_out(folds: int, fold: int):
     """A row with a null id is in no fold: it is scored, and may be learned."""
     return F.coalesce(toxicity.in_fold(F.col("doc_id"), folds, fold), F.lit(False))
@@ -64,9 +68,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_bytes")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op4_substring_dedup, op5_decontamination, op6_minhash_dedup, op7_quality_rules, op8_packing, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_language_id, op4_substring_dedup, op5_decontamination, op6_minhash_dedup, op7_quality_rules, op8_packing, op9_pii_surrogates, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}

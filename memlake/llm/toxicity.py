@@ -163,6 +163,17 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, id_col: str
             .mapInArrow(run, "doc_id long, score double, predicted int"))
 
 
+def without_toxic(docs: DataFrame, machine: Machine, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``."""
+    def run(batches):
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text_col))
+            found = np.array([machine.score(terms(t)) for t in byte_texts(column)], dtype=np.float64)
+            yield batch.filter(pa.array(found < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def in_fold(key: Column, folds: int, fold: int) -> Column:
     """Whether crc32 of the key as text leaves ``fold`` when divided by ``folds``."""
     return F.crc32(key.cast("string").cast("binary")) % folds == fold
