@@ -25,21 +25,16 @@ def _held_out(folds: int, fold: int):
     return F.coalesce(toxicity.in_fold(F.col("doc_id"), folds, fold), F.lit(False))
 
 
-def toxic_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, score, predicted of ``docs``; the machine learns from the
-    labelled rows of the ``documents`` table outside the held-out fold."""
+def toxicity_machine(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Machine:
+    """Learned from the labelled rows of ``docs`` outside the held-out fold."""
     labels = (table(spark, sf_dir, "labels").where(~_held_out(3, 1))
               .select("doc_id", F.col("toxic").alias("label")))
-    machine = toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
-    return toxicity.score(docs, machine)
-
-
-def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(table(spark, sf_dir, "documents")).drop("found")
+    return toxicity.fit(docs.select("doc_id", "text"), labels)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = toxic_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    scores = toxicity.score(docs, toxicity_machine(spark, docs, sf_dir))
     return scores.select("doc_id", _held_out(3, 1).alias("held_out"), "score", "predicted")
 
 
