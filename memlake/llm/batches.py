@@ -50,3 +50,20 @@ class Out:
         arrays = [pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, type=f.type)
                   for c, f in zip(columns, self.schema, strict=True)]
         return [pa.RecordBatch.from_arrays(arrays, schema=self.schema)]
+
+
+def listed(column: pa.Array):
+    """Each row's list of structs as a dict of numpy arrays (null: empty)."""
+    offsets = column.offsets.to_numpy()
+    fields = {f.name: column.values.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(column.type.value_type)}
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    for i in range(len(column)):
+        at = slice(offsets[i], offsets[i + 1] if valid[i] else offsets[i])
+        yield {k: v[at] for k, v in fields.items()}
+
+
+def spread(lo: np.ndarray, hi: np.ndarray):
+    """All numbers lo..hi of each range, and the range that each is from."""
+    size = hi - lo + 1
+    of = np.repeat(np.arange(len(lo)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + lo[of], of

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .batches import Out, byte_texts
+from .batches import Out, byte_texts, listed, spread
 from .common import id_text, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -74,14 +74,13 @@ def _whole_windows(length: int):
         out = Out(b=pa.int64(), x=pa.int64(), doc_id=pa.int64(), lo=pa.int32())
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            spots = batch.column("spots").to_pylist()
+            spots = listed(batch.column("spots"))
             for doc_id, text, found in zip(ids, byte_texts(batch.column("text")), spots, strict=True):
                 _, whole = _names(text, length)
-                for s in found:
-                    names = whole[s["lo"]: s["hi"] + 1] if whole is not None else ()
-                    if len(names):
-                        out.add(np.int64(s["b"]), names, np.int64(doc_id),
-                                np.arange(s["lo"], s["lo"] + len(names), dtype=np.int32))
+                if whole is None:
+                    continue
+                at, of = spread(found["lo"].astype(np.int64), found["hi"].astype(np.int64))
+                out.add(found["b"][of], whole[at], np.int64(doc_id), at.astype(np.int32))
                 if out.full():
                     yield from out.take()
         yield from out.take()
@@ -92,14 +91,12 @@ def _removal(length: int):
     def run(batches):
         for batch in batches:
             rows = []
-            ids, spots = batch.column("doc_id").to_pylist(), batch.column("spots").to_pylist()
+            ids, spots = batch.column("doc_id").to_pylist(), listed(batch.column("spots"))
             for doc_id, text, found in zip(ids, byte_texts(batch.column("text")), spots, strict=True):
                 words, n_removed = text.tobytes().split(), 0
                 n_words = len(words)
-                if found:
-                    lo = np.array([s["lo"] for s in found], np.int64)
-                    hi = np.array([s["hi"] for s in found], np.int64)
-                    starts, ends = W.stretches(lo, np.minimum(hi + length, n_words))
+                if len(found["lo"]):
+                    starts, ends = W.stretches(found["lo"].astype(np.int64), np.minimum(found["hi"].astype(np.int64) + length, n_words))
                     kept, at = [], 0
                     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                         kept += words[at:s]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .batches import Out, byte_texts
+from .batches import Out, byte_texts, listed, spread
 from .common import id_text, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -89,22 +89,20 @@ def _blocks(quarter: int):
         out = Out(**_types())
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            spots = batch.column("spots").to_pylist()
+            spots = listed(batch.column("spots"))
             for doc_id, text, found in zip(ids, byte_texts(batch.column("text")), spots, strict=True):
                 symbols, gram, whole = _names(text, quarter)
                 if whole is None:
                     continue
                 at, first, _ = W.anchors(gram, 6 * quarter + 1)
                 shared = W.gram_names(symbols, 8 * quarter - _BLOCK + 1)
-                for s in found:
-                    if s["hi"] >= len(whole):
-                        continue
-                    p = int(at[np.searchsorted(first, s["lo"], side="right") - 1])
-                    block = np.arange((s["lo"] - p) // _BLOCK, (s["hi"] - p) // _BLOCK + 1) * _BLOCK + p
-                    lo, hi = np.maximum(block, s["lo"]), np.minimum(block + _BLOCK - 1, s["hi"])
-                    bucket = W.join_names(shared[block + _BLOCK - 1], np.full(len(block), s["b"]).view(np.uint64))
-                    out.add(bucket, _span_names(whole, lo, hi), np.int64(s["n"]), np.int64(doc_id),
-                            lo.astype(np.int32), hi.astype(np.int32), np.bool_(s["own"]))
+                lo, hi = found["lo"].astype(np.int64), found["hi"].astype(np.int64)
+                p = at[np.searchsorted(first, lo, side="right") - 1]
+                block, of = spread((lo - p) // _BLOCK, (hi - p) // _BLOCK)
+                block = block * _BLOCK + p[of]
+                lo, hi = np.maximum(block, lo[of]), np.minimum(block + _BLOCK - 1, hi[of])
+                out.add(W.join_names(shared[block + _BLOCK - 1], found["b"].view(np.uint64)[of]), _span_names(whole, lo, hi),
+                        found["n"][of], np.int64(doc_id), lo.astype(np.int32), hi.astype(np.int32), found["own"][of])
                 if out.full():
                     yield from out.take()
         yield from out.take()
@@ -116,14 +114,14 @@ def _starts(quarter: int):
         out = Out(**_types())
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            spots = batch.column("spots").to_pylist()
+            spots = listed(batch.column("spots"))
             for doc_id, text, found in zip(ids, byte_texts(batch.column("text")), spots, strict=True):
                 _, _, whole = _names(text, quarter)
-                for s in found:
-                    names = whole[s["lo"]: s["hi"] + 1] if whole is not None else ()
-                    if len(names):
-                        at = np.arange(s["lo"], s["lo"] + len(names), dtype=np.int32)
-                        out.add(np.int64(s["b"]), names, np.int64(s["n"]), np.int64(doc_id), at, at, np.bool_(s["own"]))
+                if whole is None:
+                    continue
+                at, of = spread(found["lo"].astype(np.int64), found["hi"].astype(np.int64))
+                start = at.astype(np.int32)
+                out.add(found["b"][of], whole[at], found["n"][of], np.int64(doc_id), start, start, found["own"][of])
                 if out.full():
                     yield from out.take()
         yield from out.take()
@@ -175,12 +173,12 @@ def _removal(length: int):
     def run(batches):
         for batch in batches:
             rows = []
-            ids, spots = batch.column("doc_id").to_pylist(), batch.column("spots").to_pylist()
+            ids, spots = batch.column("doc_id").to_pylist(), listed(batch.column("spots"))
             for doc_id, text, found in zip(ids, byte_texts(batch.column("text")), spots, strict=True):
                 kept, n_spans = text, 0
-                if found:
-                    starts, ends = W.stretches(np.array([s["lo"] for s in found], np.int64),
-                                               np.minimum(np.array([s["hi"] for s in found], np.int64) + length, len(text)))
+                if len(found["lo"]):
+                    starts, ends = W.stretches(found["lo"].astype(np.int64),
+                                               np.minimum(found["hi"].astype(np.int64) + length, len(text)))
                     keep = np.ones(len(text), bool)
                     for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                         keep[s:e] = False
