@@ -1,8 +1,8 @@
 r"""Operator 7, quality rules by distribution divergence.
 
-Every document has two histograms: its characters by class (lower case,
-capitals, digits, white space, symbols ``#*$%&|<>``, other ASCII marks, all
-non-ASCII), and its words over the ``common`` most frequent short words of its
+Every document has two histograms: its characters by class (capitals, digits,
+symbols ``#*$%&|<>``, other ASCII marks, white space, the further bytes of
+non-ASCII characters, and all others, mostly small letters), and its words over the ``common`` most frequent short words of its
 language, plus all others.  Both are compared with the same histogram summed
 over all documents of the language (the reference) by Jensen-Shannon distance
 (square root of the divergence in bits, 0 to 1).  A document is rejected if
@@ -37,8 +37,9 @@ from pyspark.sql import functions as F
 from .common import staged
 
 _SPACE = r"[\x20\x09-\x0D]"
-_CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "symbol": "[#*$%&|<>]", "other": r"""[!"'()+,\-./:;=?@\[\\\]^_`{}~\x00-\x08\x0E-\x1F\x7F]""",
-            "wide": r"[^\x00-\x7F]", "space": _SPACE}
+_CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "symbol": "[#*$%&|<>]", "other": r"""[!"'()+,\-./:;=?@\[\\\]^_`{}~\x00-\x08\x0E-\x1F\x7F]"""}
+#: Counted classes, then: white space, bytes that non-ASCII characters need beyond one, all other characters.
+_N_CLASSES = len(_CLASSES) + 3
 
 
 def words(text: Column) -> Column:
@@ -50,7 +51,7 @@ def _matches(text: Column, pattern: str) -> Column:
     return (F.size(F.split(text, pattern, -1)) - 1).cast("long")
 
 
-def common_words(docs: DataFrame, common: int = 24, longest: int = 4) -> DataFrame:
+def common_words(docs: DataFrame, common: int = 16, longest: int = 4) -> DataFrame:
     """(lang, common): the most frequent short words of each language."""
     seen = (docs.where("lang is not null").select("lang", F.explode(words(F.col("text"))).alias("word"))
             .where(F.octet_length("word") <= longest).groupBy("lang", "word").count())
@@ -61,9 +62,11 @@ def common_words(docs: DataFrame, common: int = 24, longest: int = 4) -> DataFra
 
 def _repeat_words(length: int = 5) -> list[tuple[str, Column]]:
     """Steps that lead to n_repeat_words, from the column w."""
+    behind = ", ".join(f"get(hw, i + {k})" for k in range(1, length))
     return [
-        ("h", F.expr(f"if(size(w) < {length}, cast(array() as array<bigint>), "
-                     f"transform(sequence(1, size(w) - {length - 1}), i -> xxhash64(slice(w, i, {length}))))")),
+        ("hw", F.expr("transform(w, x -> xxhash64(x))")),
+        ("h", F.expr(f"if(size(hw) < {length}, cast(array() as array<bigint>), "
+                     f"slice(transform(hw, (x, i) -> xxhash64(x, {behind})), 1, size(hw) - {length - 1}))")),
         # Only texts with a repeat (fewer distinct hashes) are sorted.
         ("hs", F.expr("if(size(array_distinct(h)) = size(h), cast(array() as array<struct<h: bigint, at: int>>), "
                       "sort_array(transform(h, (x, i) -> named_struct('h', x, 'at', i))))")),
@@ -84,37 +87,48 @@ def measured(docs: DataFrame, common: DataFrame) -> DataFrame:
         df = df.withColumn(name, step)
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     counts = {f"c_{k}": _matches(F.col("text"), p) for k, p in _CLASSES.items()}
-    df = df.withColumn("lines", lines).withColumn("watched", F.filter("w", lambda x: x.isin(*watched)) if watched else F.array().cast("array<string>"))
-    df = df.select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"), F.size("w").cast("long").alias("n_words"),
+    df = df.withColumn("lines", lines)
+    # The watched words alone, each between two spaces of its own: how often one
+    # occurs is how much shorter the text gets without it.
+    df = df.withColumn("watched", F.concat(F.lit(" "), F.array_join(F.filter("w", lambda x: x.isin(*watched)), "  "), F.lit(" "))
+                       if watched else F.lit(""))
+    seen = F.transform(F.lit(watched).cast("array<string>"), lambda v: F.octet_length("watched") - F.octet_length(
+        F.replace("watched", F.concat(F.lit(" "), v, F.lit(" ")), F.lit(""))))
+    seen = F.zip_with(seen, F.lit(watched).cast("array<string>"), lambda n, v: F.floor(n / (F.octet_length(v) + 2)).cast("bigint"))
+    df = df.select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"), F.octet_length("text").cast("long").alias("n_bytes"), F.size("w").cast("long").alias("n_words"),
                    F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
                    (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
                    *(c.alias(k) for k, c in counts.items()),
-                   F.transform(F.lit(watched).cast("array<string>"), lambda v: F.size(F.filter("watched", lambda x: x == v)).cast("long")).alias("seen"))
+                   seen.alias("seen"))
     classes = [F.col(f"c_{k}") for k in _CLASSES]
-    lower = F.col("n_chars")
+    letters = F.col("word_chars")
     for c in classes:
-        lower = lower - c
+        letters = letters - c
+    classes += [F.col("n_chars") - F.col("word_chars"), F.col("n_bytes") - F.col("n_chars"), letters]
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return df.select("doc_id", "lang", "n_chars", "n_words", "word_chars", F.col("c_symbol").alias("n_symbols"), "n_dup_lines",
-                     "n_repeat_words", failed.alias("base_failed"), F.array(*classes, lower).alias("chars"),
+                     "n_repeat_words", failed.alias("base_failed"), F.array(*classes).alias("chars"),
                      F.map_from_arrays(F.lit(watched).cast("array<string>"), "seen").alias("seen"))
 
 
 def _distance(p: str, q: str) -> str:
-    """SQL of the Jensen-Shannon distance of two count arrays; null without counts."""
-    sp, sq = f"aggregate({p}, 0D, (a, x) -> a + x)", f"aggregate({q}, 0D, (a, x) -> a + x)"
+    """SQL of the Jensen-Shannon distance of two count arrays; null without
+    counts.  One-element arrays bind what is used more than once, so that
+    nothing is evaluated again for each element."""
     term = "if({0} <= 0, 0D, {0} * ln(2 * {0} / ({0} + {1})))"
-    return f"""if({sp} = 0 or {sq} = 0, null, sqrt(greatest(0D, aggregate(zip_with({p}, {q},
-        (a, b) -> named_struct('a', a / {sp}, 'b', b / {sq})), 0D,
-        (t, v) -> t + {term.format('v.a', 'v.b')} + {term.format('v.b', 'v.a')}) / (2 * ln(2D)))))"""
+    total = "aggregate({0}, 0D, (t, x) -> t + x)"
+    return f"""transform(transform(array(named_struct('p', {p}, 'q', {q})), y -> named_struct(
+        'p', y.p, 'q', y.q, 'sp', {total.format('y.p')}, 'sq', {total.format('y.q')})), z ->
+        if(z.sp = 0 or z.sq = 0, null, sqrt(greatest(0D, aggregate(zip_with(z.p, z.q,
+        (a, b) -> named_struct('a', a / z.sp, 'b', b / z.sq)), 0D,
+        (t, v) -> t + {term.format('v.a', 'v.b')} + {term.format('v.b', 'v.a')}) / (2 * ln(2D))))))[0]"""
 
 
 def references(counts: DataFrame, common: DataFrame, least_docs: int = 20) -> DataFrame:
     """(ref_lang, common, ref_chars, ref_words): sums over all documents of a language that pass the base rules."""
-    n = len(_CLASSES) + 1
     good = counts.where("lang is not null and not base_failed")
     sums = good.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n_words").alias("all_words"),
-                                    F.array(*(F.sum(F.col("chars")[i]) for i in range(n))).alias("ref_chars"))
+                                    F.array(*(F.sum(F.col("chars")[i]) for i in range(_N_CLASSES))).alias("ref_chars"))
     seen = (good.select("lang", F.explode("seen").alias("word", "k")).groupBy("lang", "word").agg(F.sum("k").alias("k"))
             .groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("word", "k"))).alias("ref_seen")))
     ref = sums.where(F.col("n_docs") >= least_docs).join(seen, "lang").join(common, "lang")
@@ -129,7 +143,7 @@ def _over_common(common: str, seen: str, total: str) -> str:
 
 
 def judge(docs: DataFrame, least_chars: int = 200, most_char: float = 0.3, least_words: int = 50, most_word: float = 0.42,
-          least_docs: int = 20, common: int = 24, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+          least_docs: int = 20, common: int = 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept, char_distance,
     word_distance."""
