@@ -120,12 +120,12 @@ def train(docs: DataFrame, sample_docs: int = 2000) -> dict[tuple[int, int], flo
         for a in signs:
             row = sum(seen.get((a, b), 0) for b in signs)
             for b in signs:
-                made[a, b] = (seen.get((a, b), 0) + 8 * share[b]) / (row + 8)
+                made[a, b] = (seen.get((a, b), 0) + 32 * share[b]) / (row + 32)
         return made
 
     random_p, ordinary_p = chances(counts[True]), chances(counts[False])
-    # Random strings of other alphabets than the sampled ones: never below half an even share of the signs.
-    return {k: math.log(max(p, 0.5 / len(signs)) / ordinary_p[k]) for k, p in random_p.items()}
+    # Random strings of other alphabets than the sampled ones: never below an even draw of the signs.
+    return {k: math.log(max(p, 1 / len(signs)) / ordinary_p[k]) for k, p in random_p.items()}
 
 
 def scan(docs: DataFrame, ratios: dict[tuple[int, int], float] | None, least_run: int = 20, least_ratio: float = 15.0,
