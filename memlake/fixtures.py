@@ -13,8 +13,6 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.util import ensure_parallelism
-
 # Fixed values of the view.
 VIEW_EPOCH = _dt.datetime(2024, 1, 1, tzinfo=_dt.timezone.utc)
 AS_OF = _dt.datetime(2024, 7, 20, tzinfo=_dt.timezone.utc)
@@ -40,9 +38,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     epoch = int(VIEW_EPOCH.timestamp())
     created = F.timestamp_seconds(F.lit(epoch) + F.col("doc_id") * F.lit(3600))
-    # The test tables are single-row-group files; spread the view over the
-    # cluster's cores (no-op for inputs that already arrive in many splits).
-    return ensure_parallelism(
+    return (
         d.join(lab, "doc_id", "left")
         .select(
             F.col("doc_id").cast("string").alias("id"),

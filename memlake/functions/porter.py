@@ -92,13 +92,14 @@ def _replace_group(w: str, groups, min_m: int) -> str:
 
 def _step1ab(w: str) -> str:
     if w.endswith("s"):
-        if w.endswith("sses"):
+        # The two longer endings need a letter before them, as in the C rendition.
+        if w.endswith("sses") and len(w) > 4:
             w = w[:-2]
-        elif w.endswith("ies"):
+        elif w.endswith("ies") and len(w) > 3:
             w = w[:-2]
         elif not w.endswith("ss"):
             w = w[:-1]
-    if w.endswith("eed"):
+    if w.endswith("eed") and len(w) > 3:
         if _measure(w, len(w) - 3) > 0:
             w = w[:-1]
         return w
@@ -107,7 +108,8 @@ def _step1ab(w: str) -> str:
             w = w[:-len(suf)]
             if w.endswith("at") or w.endswith("bl") or w.endswith("iz"):
                 return w + "e"
-            if _double_cons(w, len(w)):
+            # A doubled byte of a longer character is no doubled letter: cutting it would leave half a character.
+            if _double_cons(w, len(w)) and w[-1] < "\x80":
                 return w if w[-1] in "lsz" else w[:-1]
             if _measure(w, len(w)) == 1 and _cvc(w, len(w)):
                 return w + "e"
@@ -159,6 +161,8 @@ def stem(term: str) -> str:
     raw = term.encode("utf-8")
     if len(raw) < MIN_BYTES or len(raw) > MAX_BYTES:
         return term
-    out = stem_ascii(raw.decode("latin-1"))
-    return out.encode("latin-1").decode("utf-8", errors="surrogateescape") \
-        if out else out
+    out = stem_ascii(raw.decode("latin-1")).encode("latin-1")
+    try:
+        return out.decode("utf-8")
+    except UnicodeDecodeError:      # never cut a character in half
+        return term

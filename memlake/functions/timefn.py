@@ -27,10 +27,24 @@ def ts_lit(value) -> Column:
     raise TypeError(f"cannot make a timestamp from {value!r}")
 
 
+#: An ISO-8601 date (dashed or compact), with or without a time and an offset.
+_ISO = (r"^(\d{4})(?:-(\d{2})-(\d{2})|(\d{2})(\d{2}))(?:[T ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?"
+        r"(Z|[+-]\d{2}(?::?\d{2})?)?)?$")
+
+
 def parse_ts(col, as_of) -> Column:
-    """ISO-8601 text to a timestamp; ``Z`` and offsets accepted, offset-less
-    text read in the session time zone (UTC); missing or bad -> ``as_of``."""
-    return F.coalesce(F.try_to_timestamp(_c(col)), ts_lit(as_of))
+    """ISO-8601 text to a timestamp: a whole date, dashed or compact, with a
+    time or without; ``Z`` and offsets accepted, offset-less text is UTC.
+    Anything else (a time alone, a year, a month), impossible dates and
+    missing text give ``as_of``, so the result never depends on today."""
+    text = F.trim(_c(col))
+    part = lambda i, default="": F.coalesce(F.nullif(F.regexp_extract(text, _ISO, i), F.lit("")), F.lit(default))
+    month, day = F.concat(part(2), part(4)), F.concat(part(3), part(5))
+    offset = F.regexp_replace(part(10, "Z"), r"^([+-]\d{2}):?(\d{2})?$", "$1:$2")
+    offset = F.when(F.length(offset) == 4, F.concat(offset, F.lit("00"))).otherwise(offset)
+    iso = F.concat(part(1), F.lit("-"), month, F.lit("-"), day, F.lit("T"), part(6, "00"), F.lit(":"), part(7, "00"), F.lit(":"),
+                   part(8, "00"), F.lit("."), F.rpad(part(9, "0"), 6, "0"), offset)
+    return F.coalesce(F.when(text.rlike(_ISO), F.try_to_timestamp(iso)), ts_lit(as_of))
 
 
 def age_days(as_of, created="created_at") -> Column:

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.util import ensure_parallelism
 
 # The audit patterns, in report order.  They are applied with
 # Unicode character classes ((?U)) so \d, \b and \s behave as in Python 3.
@@ -46,10 +45,8 @@ def audit(df: DataFrame, preview_chars: int = 70) -> DataFrame:
     labels = F.array_compact(F.array(*[
         F.when(guards[label] & F.col("content").rlike(_java(p)), F.lit(label))
         for label, p in AUDIT_PATTERNS]))
-    # explode() of an empty array emits nothing: no filter on the regex
-    # results, which Catalyst would otherwise push into the scan.
-    return (ensure_parallelism(df.select("id", "content", "sensitive"))
-            .select("id", "content", "sensitive", labels.alias("_labels"))
+    # explode() of an empty array emits nothing: no filter repeats the patterns.
+    return (df.select("id", "content", "sensitive", labels.alias("_labels"))
             .select("id", F.explode("_labels").alias("label"),
                     F.substring("content", 1, preview_chars).alias("preview"), "sensitive"))
 

@@ -17,20 +17,27 @@ from memlake.schema import CATEGORIES, RECORD_COLUMNS
 
 def _one_per_id(changes: DataFrame) -> DataFrame:
     """One change per id: the highest ``seq`` wins (a partial aggregate, so a
-    heavily repeated id is reduced map-side)."""
+    heavily repeated id is reduced map-side).  Without a ``seq`` column ids may
+    not repeat; a repeated one fails the job rather than pick a change by chance."""
+    rest = [c for c in changes.columns if c not in ("id", "seq")]
     if "seq" in changes.columns:
-        rest = [c for c in changes.columns if c not in ("id", "seq")]
         best = changes.groupBy("id").agg(F.max_by(F.struct(*rest), F.col("seq")).alias("_c"))
-        return best.select("id", *[F.col("_c")[c].alias(c) for c in rest])
-    return changes.dropDuplicates(["id"])
+    else:
+        best = changes.groupBy("id").agg(F.any_value(F.struct(*rest)).alias("_one"), F.count(F.lit(1)).alias("_n"))
+        best = best.select("id", F.when(F.col("_n") == 1, F.col("_one")).otherwise(F.raise_error(
+            F.concat(F.lit("several changes of one id need a seq column: "), F.col("id")))).alias("_c"))
+    return best.select("id", *[F.col("_c")[c].alias(c) for c in rest])
 
 
-def _report(table: DataFrame, changes: DataFrame) -> DataFrame:
-    ids = changes.select("id").distinct()
-    hit = ids.join(table.select("id"), "id", "left_semi").agg(F.count(F.lit(1)).alias("v"))
-    miss = ids.join(table.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("v"))
-    return (hit.select(F.lit("matched").alias("metric"), F.col("v").alias("value"))
-            .unionByName(miss.select(F.lit("not_found").alias("metric"), F.col("v").alias("value"))))
+def _report(table: DataFrame, changes: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """One left join and one aggregate; ``rejected`` counts refused changes."""
+    ids = changes.select("id").distinct().join(table.select("id", F.lit(True).alias("_hit")), "id", "left")
+    counts = ids.agg(F.count_if(F.col("_hit")).alias("m"), F.count_if(F.col("_hit").isNull()).alias("n"))
+    row = lambda name, value: F.struct(F.lit(name).alias("metric"), value.alias("value"))
+    out = counts.select(F.inline(F.array(row("matched", F.col("m")), row("not_found", F.col("n")))))
+    if rejected is None:
+        return out
+    return out.unionByName(rejected.agg(F.count(F.lit(1)).alias("value")).select(F.lit("rejected").alias("metric"), "value"))
 
 
 def _apply(table: DataFrame, changes: DataFrame, setters: dict, as_of) -> DataFrame:
@@ -49,29 +56,42 @@ def _apply(table: DataFrame, changes: DataFrame, setters: dict, as_of) -> DataFr
     return j.select(*cols)
 
 
-def invalid_changes(changes: DataFrame) -> DataFrame:
-    """Changes naming a category outside the allowed set (checked before apply)."""
-    if "category" not in changes.columns:
-        return changes.limit(0)
-    return changes.filter(F.col("category").isNotNull() & (F.col("category") != "") &
-                          ~F.col("category").isin(CATEGORIES))
+def with_change_problems(changes: DataFrame, content_required: bool) -> DataFrame:
+    """P9 for changes: a category outside the allowed set, or a null content
+    where one is set, is named in ``problems``."""
+    flags = [F.when(F.col("id").isNull(), F.lit("missing_id"))]
+    if "category" in changes.columns:
+        flags.append(F.when(F.col("category").isNotNull() & (F.col("category") != "") & ~F.col("category").isin(CATEGORIES),
+                            F.lit("bad_category")))
+    if content_required:
+        flags.append(F.when(F.col("content").isNull(), F.lit("missing_content")))
+    return changes.withColumn("problems", F.array_compact(F.array(*flags)))
+
+
+def split_changes(changes: DataFrame, content_required: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(good, rejected)``; rejected changes keep their ``problems``."""
+    checked = with_change_problems(changes, content_required)
+    return checked.filter(F.size("problems") == 0).drop("problems"), checked.filter(F.size("problems") > 0)
 
 
-def apply_updates(table: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+def apply_updates(table: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame, DataFrame, DataFrame]:
     """M1: ``(id, content[, category][, tags])``: content is set as given; an
     empty or null category keeps the old one; null tags keep the old tags, an
-    empty list clears them; ``updated_at`` = as_of."""
+    empty list clears them; ``updated_at`` = as_of.  Invalid changes (P9) are
+    not applied: ``(new_table, rejected, report)``."""
+    changes, rejected = split_changes(changes)
     setters = {"content": F.col("_n_content")}
     if "category" in changes.columns:
         setters["category"] = F.coalesce(F.nullif(F.col("_n_category"), F.lit("")), F.col("category"))
     if "tags" in changes.columns:
         setters["tags"] = F.coalesce(F.col("_n_tags"), F.col("tags"))
-    return _apply(table, changes, setters, as_of), _report(table, changes)
+    return _apply(table, changes, setters, as_of), rejected, _report(table, changes, rejected)
 
 
-def apply_edits(table: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+def apply_edits(table: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame, DataFrame, DataFrame]:
     """M2: like M1 but an empty or null content keeps the old one, and tags
     come as comma-separated text (items trimmed, blanks kept; null = keep)."""
+    changes, rejected = split_changes(changes, content_required=False)
     setters = {"content": F.coalesce(F.nullif(F.col("_n_content"), F.lit("")), F.col("content"))}
     if "category" in changes.columns:
         setters["category"] = F.coalesce(F.nullif(F.col("_n_category"), F.lit("")), F.col("category"))
@@ -79,7 +99,7 @@ def apply_edits(table: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame,
         parsed = F.transform(F.split(F.col("_n_tags"), ","), lambda x: F.trim(x))
         setters["tags"] = F.when((F.col("_n_tags").isNull()) | (F.col("_n_tags") == ""), F.col("tags")) \
             .otherwise(parsed)
-    return _apply(table, changes, setters, as_of), _report(table, changes)
+    return _apply(table, changes, setters, as_of), rejected, _report(table, changes, rejected)
 
 
 def apply_sensitive(table: DataFrame, changes: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:

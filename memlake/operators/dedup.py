@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions.text import word_set
 from memlake.operators.filters import content_key
-from memlake.util import ensure_parallelism, materialize
+from memlake.util import materialize
 
 EPS = 1e-9
 
@@ -52,7 +52,9 @@ def dedup_batch(incoming: DataFrame, order_cols=("file", "pos"), by: list[str] |
 def new_rows(table: DataFrame, incoming: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Incoming rows whose content is not stored yet (per scope ``by``)."""
     by = list(by or [])
-    stored = table.select(*by, content_key().alias("_ck")).distinct()
+    # No distinct on the stored keys: both sides are then plain shuffles, and AQE
+    # splits the partition of a text that many incoming rows repeat.
+    stored = table.select(*by, content_key().alias("_ck"))
     return (incoming.withColumn("_ck", content_key())
             .join(stored, by + ["_ck"], "left_anti").drop("_ck"))
 
@@ -73,10 +75,7 @@ def _newest_key() -> F.Column:
 def word_sets(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """``(…by, id, created_at, words, set_key)``; empty sets share one key."""
     by = list(by or [])
-    # Empty sets are dropped after the copy-group aggregate (a filter here
-    # would be pushed below the repartition and tokenise in the scan task).
-    ws = ensure_parallelism(df.select(*by, "id", "created_at", "content"))
-    ws = ws.select(*by, "id", "created_at", word_set("content").alias("words"))
+    ws = df.select(*by, "id", "created_at", word_set("content").alias("words"))
     return ws.withColumn("set_key", F.sha2(F.array_join(F.sort_array("words"), " "), 256))
 
 
@@ -98,31 +97,25 @@ def duplicate_copies(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     linked to the newest row with that set."""
     by = list(by or [])
     ws = word_sets(df, by)
-    groups = copy_groups(ws, by).filter(F.col("copies") > 1).select(*by, "set_key", "rep_id")
+    # The group table is written first, so both join sides are plain shuffles
+    # and AQE can split the partition of a hot group of copies.
+    groups = materialize(copy_groups(ws, by).filter(F.col("copies") > 1).select(*by, "set_key", "rep_id"), "copies")
     return (ws.join(groups, by + ["set_key"]).filter(F.col("id") != F.col("rep_id"))
             .select(*by, "rep_id", "id"))
 
 
-# Largest shared-word table broadcast to the prefix step (checked by count;
-# above it the same step runs as a shuffle join).
-MAX_BROADCAST_WORDS = 1_000_000
-
-
 def _prefixes(groups: DataFrame, threshold: float, by: list[str]) -> DataFrame:
     """Prefix words of every representative, rare-first order.
 
     Order key: (number of sets holding the word, word).  Only words held by
     two or more sets can produce a candidate, so only those are counted into
-    the frequency table; every other word has frequency 1.  When that table
-    is small enough (checked) it is broadcast and the tokens never leave the
-    partitions of their set, so the per-set prefix needs no shuffle.
+    the frequency table; every other word has frequency 1.  AQE decides from
+    the table's bytes whether it is broadcast.
     """
     toks = groups.select(*by, "set_key", "n_words", F.explode("words").alias("w"))
     shared = (toks.groupBy(*by, "w").agg(F.count(F.lit(1)).alias("df"))
               .filter(F.col("df") > 1))
-    shared = materialize(shared)
-    if shared.count() <= MAX_BROADCAST_WORDS:
-        shared = F.broadcast(shared)
+    shared = materialize(shared, "shared-words")
     ranked = toks.join(shared, by + ["w"], "left").withColumn("df", F.coalesce(F.col("df"), F.lit(1)))
     plen = (F.col("n_words") - F.ceil(F.col("n_words") * F.lit(threshold) - F.lit(EPS)) + 1).cast("int")
     per = ranked.groupBy(*by, "set_key", "n_words").agg(
@@ -148,16 +141,13 @@ def _length_band(threshold: float):
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None = None,
-                    groups: DataFrame | None = None, candidate_cap: int | None = None) -> DataFrame:
+                    groups: DataFrame | None = None) -> DataFrame:
     """Pairs of distinct word sets with Jaccard >= ``threshold``.
 
     Columns ``(…by, id_a, id_b, jaccard, copies_a, copies_b)``; ``id_a`` is the
     newer representative.  Each such row stands for ``copies_a * copies_b``
     row pairs; pairs of identical sets are in ``duplicate_copies``.
 
-    ``candidate_cap=n`` reproduces the reference's cap of comparing only the
-    n newest rows (default off).
-
     The copy-group table and the prefix table each feed several branches, so
     both are materialised once (``util.materialize``) instead of being
     recomputed per branch; pass ``groups`` (from ``near_duplicate_groups``) to
@@ -166,10 +156,6 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
     by = list(by or [])
-    from memlake.util import newest_rows
-    # candidate_cap=n reproduces the reference's comparison of only the n
-    # newest rows per scope; the default compares all rows.
-    df = newest_rows(df, candidate_cap, by)
     groups = groups if groups is not None else near_duplicate_groups(df, by)
     pref = materialize(_prefixes(groups, threshold, by))
     # The join key is (word, length band): a word held in the prefixes of

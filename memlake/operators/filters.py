@@ -74,20 +74,28 @@ def content_exists(df: DataFrame, contents: DataFrame, content_col: str = "conte
         "content_key", "content", F.coalesce(F.col("_hit"), F.lit(False)).alias("exists"))
 
 
-def page(df: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """L1: newest-first page; a top-(offset+limit) per partition, then merge."""
+def page(df: DataFrame, limit: int = 100, offset: int = 0, by=()) -> DataFrame:
+    """L1: newest-first page; a top-(offset+limit) per partition, then merge.
+    With ``by``, a page of each owner (a ranked window, cut in every task
+    before the shuffle)."""
+    if by:
+        from pyspark.sql import Window
+        w = Window.partitionBy(*by).orderBy(*newest_first())
+        ranked = df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= offset + limit)
+        return ranked.filter(F.col("_n") > offset).drop("_n")
     ordered = df.orderBy(*newest_first())
     if offset:
         ordered = ordered.offset(offset)
     return ordered.limit(limit)
 
 
-def visible_page(df: DataFrame, rules: Rules | None = None, limit: int = 20,
-                 offset: int = 0) -> tuple[DataFrame, DataFrame]:
-    """L2: rules first, then the page; also the visible total (one-row frame)."""
-    visible = exclude(df, rules)
-    total = visible.agg(F.count(F.lit(1)).alias("total_visible"))
-    return page(visible, limit, offset), total
+def visible_page(df: DataFrame, rules: Rules | DataFrame | None = None, limit: int = 20,
+                 offset: int = 0, by=()) -> tuple[DataFrame, DataFrame]:
+    """L2: rules first, then the page; also the visible total (one row, or one
+    per owner)."""
+    visible = exclude(df, rules, list(by) if isinstance(rules, DataFrame) else None)
+    total = visible.groupBy(*by).agg(F.count(F.lit(1)).alias("total_visible"))
+    return page(visible, limit, offset, by), total
 
 
 def visible_category(df: DataFrame, category: str, rules: Rules | None = None) -> DataFrame:

@@ -2,8 +2,10 @@
 
 One job: incoming rows are keyed by a hash of their text; the first
 occurrence of each text in input order is found with a partial aggregate (a
-text repeated in a third of the batch collapses map-side), then the batch is
-anti-joined with the stored text keys.  Nothing is collected.
+text repeated in a third of the batch collapses map-side, D2), and those
+first rows, one for each text, are anti-joined with the stored texts (D1).
+What is left is marked in the batch by its place in it, a unique key, so the
+copies of a hot text never meet in one task.  Nothing is collected.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memlake.functions.timefn import ts_lit
-from memlake.operators.filters import content_key
+from memlake.operators.dedup import dedup_batch, new_rows
 from memlake.schema import RECORD_COLUMNS
 
 MANUAL_CONFIDENCE = 0.9
@@ -21,16 +23,13 @@ MANUAL_CONFIDENCE = 0.9
 def plan_import(table: DataFrame, incoming: DataFrame, order_cols=("file", "pos"),
                 by: list[str] | None = None) -> DataFrame:
     """Every incoming row with ``action``: ``insert`` (first copy of a text
-    not yet stored) or ``duplicate`` (stored already, or repeated in the batch)."""
-    by = list(by or [])
-    order = F.struct(*[F.col(c) for c in order_cols])
-    keyed = incoming.withColumn("_ck", content_key()).withColumn("_ord", order)
-    first = keyed.groupBy(*by, "_ck").agg(F.min("_ord").alias("_first"))
-    stored = table.select(*by, content_key().alias("_ck")).distinct().withColumn("_stored", F.lit(True))
-    marked = keyed.join(first, by + ["_ck"]).join(stored, by + ["_ck"], "left")
-    action = F.when(F.col("_stored").isNull() & (F.col("_ord") == F.col("_first")), "insert") \
-        .otherwise("duplicate")
-    return marked.withColumn("action", action).drop("_ck", "_ord", "_first", "_stored")
+    not yet stored) or ``duplicate`` (stored already, or repeated in the batch).
+    ``order_cols`` tell incoming rows apart (file and position do)."""
+    by, order = list(by or []), list(order_cols)
+    first = new_rows(table, dedup_batch(incoming.select(*by, *order, "content"), order, by), by)
+    marks = first.select(*by, *order).withColumn("_insert", F.lit(True))
+    marked = incoming.join(marks, by + order, "left")
+    return marked.withColumn("action", F.when(F.col("_insert"), "insert").otherwise("duplicate")).drop("_insert")
 
 
 def import_records(table: DataFrame, incoming: DataFrame, skip_duplicates: bool = True,
@@ -38,27 +37,20 @@ def import_records(table: DataFrame, incoming: DataFrame, skip_duplicates: bool
     """``(new_table, report)``.
 
     ``report`` is ``(metric, key, value)``: added, duplicates, total, and the
-    per-source counts of the new table.  With ``skip_duplicates=False`` every
-    row is added (ids must still be unique: see ``dedup.check_keys``).
+    per-source counts of the new table, from one aggregate over the stored and
+    the planned rows.  With ``skip_duplicates=False`` every row is added (ids
+    must still be unique: see ``dedup.check_keys``).
     """
-    if skip_duplicates:
-        planned = plan_import(table, incoming, order_cols, by)
-        added = planned.filter(F.col("action") == "insert")
-        dup_n = planned.filter(F.col("action") == "duplicate")
-    else:
-        planned = incoming.withColumn("action", F.lit("insert"))
-        added, dup_n = planned, planned.limit(0)
-    new_table = table.select(*RECORD_COLUMNS).unionByName(added.select(*RECORD_COLUMNS))
-    report = (
-        planned.groupBy("action").agg(F.count(F.lit(1)).alias("value"))
-        .select(F.when(F.col("action") == "insert", "added").otherwise("duplicates").alias("metric"),
-                F.lit(None).cast("string").alias("key"), "value")
-        .unionByName(new_table.agg(F.count(F.lit(1)).alias("value")).select(
-            F.lit("total").alias("metric"), F.lit(None).cast("string").alias("key"), "value"))
-        .unionByName(new_table.groupBy("source").agg(F.count(F.lit(1)).alias("value")).select(
-            F.lit("by_source").alias("metric"), F.col("source").alias("key"), "value"))
-    )
-    del dup_n
+    planned = plan_import(table, incoming, order_cols, by) if skip_duplicates else incoming.withColumn("action", F.lit("insert"))
+    new_table = table.select(*RECORD_COLUMNS).unionByName(planned.filter(F.col("action") == "insert").select(*RECORD_COLUMNS))
+    counts = (table.select("source", F.lit("stored").alias("action")).unionByName(planned.select("source", "action"))
+              .groupBy("source", "action").agg(F.count(F.lit(1)).alias("n")))
+    none, stays = F.lit(None).cast("string"), F.col("action") != "duplicate"
+    metric = lambda name, key: F.struct(F.lit(name).alias("metric"), key.alias("key"), F.col("n").alias("value"))
+    rows = F.array_compact(F.array(
+        F.when(F.col("action") == "insert", metric("added", none)), F.when(~stays, metric("duplicates", none)),
+        F.when(stays, metric("total", none)), F.when(stays, metric("by_source", F.col("source")))))
+    report = counts.select(F.inline(rows)).groupBy("metric", "key").agg(F.sum("value").alias("value"))
     return new_table, report
 
 

@@ -4,27 +4,23 @@ score(query, row) = number of the query's whitespace words (repeats counted)
 that occur as substrings of ``lower(content + ' ' + join(tags, ' '))``;
 rows with score > 0 rank by score desc, then newest, then id.
 
-Plan: the query batch's distinct words (size-checked, then broadcast) build
-one Aho-Corasick automaton per task; each row's text is scanned once and
-yields the distinct words it contains -- O(text) per row, independent of the
-number of queries.  Word hits are joined to ``(query, word, repeats)`` on the
-word, summed per (query, row) with partial aggregation, and cut to the top-k
-per query with a ranked window (WindowGroupLimit).  If the vocabulary exceeds
-``MAX_VOCAB_BYTES`` it is split into hash chunks scanned one after another, so
-nothing unbounded is ever broadcast.
+A query word holds no whitespace, so it is a substring of the text exactly
+when it is a substring of one whitespace token of it.  Query words therefore
+meet the *distinct* tokens of the corpus, once each: both are keyed by grams
+(three characters; shorter words by all of theirs), a word by the gram that
+the fewest tokens hold, and the pairs of an equi-join on the gram are checked
+with ``contains``.  Matches are then joined to the rows holding the token, and
+a (word, row) counts once.  Everything is DataFrame joins and aggregates.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from memlake.functions.text import WS_RUN
-from memlake.util import broadcast_if_small, ensure_parallelism
+from memlake.functions.text import WS_RUN, words
 
-MAX_VOCAB_BYTES = 64 * 1024 * 1024
-MAX_VOCAB_WORDS = 2_000_000
+GRAM = 3
 
 
 def query_words(queries: DataFrame, query_col: str = "query", key_cols=("query_id",)) -> DataFrame:
@@ -38,85 +34,47 @@ def search_text(df: DataFrame) -> F.Column:
     return F.concat(F.col("content"), F.lit(" "), F.array_join(F.col("tags"), " "))
 
 
-def _matcher(words_bc):
-    def run(batches):
-        import pandas as pd
-        try:
-            import ahocorasick
-        except ImportError:  # pragma: no cover - plain scan fallback
-            ahocorasick = None
-        words = words_bc.value
-        if ahocorasick is not None and words:
-            auto = ahocorasick.Automaton()
-            for i, w in enumerate(words):
-                auto.add_word(w, i)
-            auto.make_automaton()
-        for pdf in batches:
-            idx, hits = [], []
-            if words:
-                for k, text in enumerate(pdf["_txt"]):
-                    if text is None:
-                        continue
-                    low = text.lower()
-                    if ahocorasick is not None:
-                        found = {i for _, i in auto.iter(low)}
-                    else:
-                        found = {i for i, w in enumerate(words) if w in low}
-                    for i in found:
-                        idx.append(k)
-                        hits.append(words[i])
-            # iloc keeps the input dtypes, also for an empty result
-            out = pdf.iloc[idx][["_rid", "_t"]].reset_index(drop=True)
-            out["word"] = pd.Series(hits, dtype=object)
-            yield out
-    return run
-
-
-def word_hits(df: DataFrame, vocab: DataFrame, text: F.Column | None = None,
-              extra_cols=()) -> DataFrame:
-    """``(id, created_at, …extra, word)`` for every vocabulary word that occurs
-    in a row's search text.  ``vocab`` is one ``word`` column; its size is
-    checked before it is broadcast, and it is chunked when too large."""
-    spark = df.sparkSession
+def _grams(col: str, n) -> F.Column:
+    """Distinct substrings of ``n`` characters."""
+    last = F.length(col) - n + 1
+    return F.when(last < 1, F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col(col), i, n))))
+
+
+def matching_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(word, token)``: the distinct tokens that contain each word."""
+    held = tokens.select("token", F.explode(F.concat(*[_grams("token", F.lit(n)) for n in range(1, GRAM + 1)])).alias("gram"))
+    asked = vocab.select("word", F.explode(_grams("word", F.least(F.length("word"), F.lit(GRAM)))).alias("gram"))
+    # Of a word's grams the one that the fewest tokens hold.
+    frequency = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    chosen = asked.join(frequency, "gram", "left").groupBy("word").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    return held.join(chosen, "gram").where(F.contains("token", "word")).select("word", "token")
+
+
+def word_hits(df: DataFrame, vocab: DataFrame, text: F.Column | None = None, by=()) -> DataFrame:
+    """``(…by, id, created_at, word)`` for every word of ``vocab`` that occurs
+    in a row's search text."""
+    by = list(by)
     text = text if text is not None else search_text(df)
-    size = vocab.agg(F.count(F.lit(1)).alias("n"),
-                     F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("b")).first()
-    n, nbytes = int(size["n"]), int(size["b"])
-    chunks = max(1, -(-nbytes // MAX_VOCAB_BYTES), -(-n // MAX_VOCAB_WORDS))
-    base = ensure_parallelism(df.select(F.col("id").alias("_rid"), F.col("created_at").alias("_t"),
-                                        text.alias("_txt"), *extra_cols))
-    schema = T.StructType([T.StructField("_rid", T.StringType()), T.StructField("_t", T.TimestampType()),
-                           T.StructField("word", T.StringType())])
-    out = None
-    for c in range(chunks):
-        part = vocab if chunks == 1 else vocab.filter(F.pmod(F.xxhash64("word"), F.lit(chunks)) == c)
-        words = sorted(r["word"] for r in part.select("word").distinct().collect())
-        bc = spark.sparkContext.broadcast(words)
-        hits = base.select("_rid", "_t", "_txt").mapInPandas(_matcher(bc), schema)
-        out = hits if out is None else out.unionByName(hits)
-    return out.select(F.col("_rid").alias("id"), F.col("_t").alias("created_at"), "word")
-
-
-def keyword_search(df: DataFrame, queries: DataFrame, limit: int | None = 5,
-                   query_col: str = "query", key_cols=("query_id",),
-                   candidate_cap: int | None = None) -> DataFrame:
-    """Q7 for a table of queries: ``(…keys, id, created_at, score, rank)``.
-
-    ``limit=None`` keeps every row with score > 0.  ``candidate_cap=n``
-    reproduces the reference's scan of only the n newest rows (default: all).
+    held = df.select(*by, "id", "created_at", F.explode(F.array_distinct(words(text))).alias("token"))
+    pairs = matching_tokens(held.select("token").distinct(), vocab.select("word").distinct())
+    return held.join(pairs, "token").select(*by, "id", "created_at", "word").distinct()
+
+
+def keyword_search(df: DataFrame, queries: DataFrame, limit: int | None = 5, query_col: str = "query",
+                   key_cols=("query_id",), by=()) -> DataFrame:
+    """Q7 for a table of queries: ``(…keys, …by, id, created_at, score, rank)``.
+
+    ``limit=None`` keeps every row with score > 0.  With ``by``, queries carry
+    the owner columns and see their owner's rows.
     """
-    from memlake.util import newest_rows
-    key_cols = list(key_cols)
-    df = newest_rows(df, candidate_cap)
-    qw = query_words(queries, query_col, key_cols)
-    vocab = qw.select("word").distinct()
-    hits = word_hits(df, vocab)
-    scored = (hits.join(broadcast_if_small(qw), "word")
-              .groupBy(*key_cols, "id", "created_at")
+    by = list(by)
+    scope = [*key_cols, *[c for c in by if c not in key_cols]]
+    qw = query_words(queries, query_col, scope)
+    hits = word_hits(df, qw, by=by)
+    scored = (hits.join(qw, [*by, "word"]).groupBy(*scope, "id", "created_at")
               .agg(F.sum("repeats").cast("bigint").alias("score")))
-    w = Window.partitionBy(*key_cols).orderBy(F.col("score").desc(), F.col("created_at").desc(),
-                                              F.col("id").asc())
+    w = Window.partitionBy(*scope).orderBy(F.col("score").desc(), F.col("created_at").desc(), F.col("id").asc())
     ranked = scored.withColumn("rank", F.row_number().over(w))
-    if limit is not None:
-        ranked = ranked.filter(F.col("rank") <= limit)
-    return ranked
+    return ranked.filter(F.col("rank") <= limit) if limit is not None else ranked

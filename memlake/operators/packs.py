@@ -16,8 +16,7 @@ from pyspark.sql import types as T
 
 from memlake.functions.text import context_line
 from memlake.operators.keyword import keyword_search
-from memlake.operators.rules import Rules, exclude
-from memlake.util import broadcast_if_small
+from memlake.operators.rules import Rules, exclude, exclude_tags
 
 PACK_SCHEMA = T.StructType([
     T.StructField("name", T.StringType(), False),
@@ -66,20 +65,20 @@ def drop_packs(packs: DataFrame, names: DataFrame) -> DataFrame:
     return packs.join(names.select("name").distinct(), "name", "left_anti")
 
 
-def pack_members(df: DataFrame, packs: DataFrame, rules: Rules | None = None,
-                 extra_exclude_tags=()) -> DataFrame:
+def pack_members(df: DataFrame, packs: DataFrame, rules: Rules | DataFrame | None = None,
+                 extra_exclude_tags=(), by=()) -> DataFrame:
     """K2: ``(pack, cat_pos, …record)`` for every pack, categories in listed
-    order (a repeated category repeats its rows), newest first inside each."""
-    cats = packs.select(F.col("name").alias("pack"), F.col("exclude_tags").alias("_pack_ex"),
+    order (a repeated category repeats its rows), newest first inside each.
+    With ``by``, packs carry the owner columns and hold their owner's rows."""
+    by = list(by)
+    cats = packs.select(*by, F.col("name").alias("pack"), F.col("exclude_tags").alias("_pack_ex"),
                         F.posexplode("categories").alias("cat_pos", "category"))
-    # category has a handful of values: a shuffle join would put each in one
-    # task, so the (checked-small) pack side is broadcast instead.
-    members = df.join(broadcast_if_small(cats), "category")
-    members = exclude(members, rules if rules is not None else Rules())
-    extra = F.array(*[F.lit(t) for t in extra_exclude_tags]).cast("array<string>")
-    ex = F.array_union(F.col("_pack_ex"), extra)
-    hit = F.coalesce(F.arrays_overlap(F.col("tags"), ex), F.lit(False)) & (F.size(ex) > 0)
-    return members.filter(~hit).drop("_pack_ex")
+    # category has a handful of values: AQE broadcasts a small pack table, and
+    # splits the partitions of a category where it is too large for that.
+    members = df.join(cats, [*by, "category"])
+    members = exclude(members, rules if rules is not None else Rules(), *([by] if isinstance(rules, DataFrame) else []))
+    hit = F.coalesce(F.arrays_overlap("tags", "_pack_ex"), F.lit(False)) & (F.size("_pack_ex") > 0)
+    return exclude_tags(members.filter(~hit), extra_exclude_tags).drop("_pack_ex")
 
 
 def pack_lines(members: DataFrame, packs: DataFrame) -> DataFrame:
@@ -112,23 +111,25 @@ def pack_line_order():
     return [F.col("pack"), F.col("part"), F.col("cat_pos"), F.col("created_at").desc(), F.col("id")]
 
 
-def prompts(df: DataFrame, tasks: DataFrame, rules: Rules | None = None, limit: int = 8,
-            task_col: str = "query", key_cols=("query_id",)) -> DataFrame:
-    """K5: ``(…keys, prompt)`` for every task.
+def prompts(df: DataFrame, tasks: DataFrame, rules: Rules | DataFrame | None = None, limit: int = 8,
+            task_col: str = "query", key_cols=("query_id",), by=()) -> DataFrame:
+    """K5: ``(…keys, …by, prompt)`` for every task.
 
     Keyword search (limit ``limit``), then the rules (no refill), then the
     context block: ``## Personal Context``, the context lines in rank order, a
     ``---`` separator and the task; a task with no visible hit is returned bare.
-    At most ``limit`` lines are gathered per task.
+    At most ``limit`` lines are gathered per task.  With ``by``, a task carries
+    the owner columns and sees its owner's rows and rules.
     """
-    key_cols = list(key_cols)
-    hits = keyword_search(df, tasks, limit=limit, query_col=task_col, key_cols=key_cols)
-    rec = df.select("id", "content", "category", "tags", "sensitive")
-    visible = exclude(hits.join(rec, "id"), rules if rules is not None else Rules())
-    lines = visible.groupBy(*key_cols).agg(
+    by = list(by)
+    keys = [*key_cols, *[c for c in by if c not in key_cols]]
+    hits = keyword_search(df, tasks, limit=limit, query_col=task_col, key_cols=key_cols, by=by)
+    rec = df.select(*by, "id", "content", "category", "tags", "sensitive")
+    visible = exclude(hits.join(rec, [*by, "id"]), rules if rules is not None else Rules(), *([by] if isinstance(rules, DataFrame) else []))
+    lines = visible.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("rank", context_line().alias("line")))).alias("_l"))
     block = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
-    out = tasks.select(*key_cols, F.col(task_col).alias("_task")).join(lines, key_cols, "left")
+    out = tasks.select(*keys, F.col(task_col).alias("_task")).join(lines, keys, "left")
     prompt = F.when(F.col("_l").isNull(), F.col("_task")).otherwise(
         F.concat(F.lit("## Personal Context\n"), block, F.lit("\n\n---\n\n"), F.col("_task")))
-    return out.select(*key_cols, prompt.alias("prompt"))
+    return out.select(*keys, prompt.alias("prompt"))

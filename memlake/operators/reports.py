@@ -45,18 +45,13 @@ def stats(df: DataFrame, as_of, rules: Rules | None = None, by: list[str] | None
         F.count_if(F.col("sensitive")).alias("sensitive"),
         F.count_if(F.col("created_at") < cutoff).alias("stale"),
         F.grouping("source").alias("_gs"), F.grouping("category").alias("_gc"))
-    overall = g.filter((F.col("_gs") == 1) & (F.col("_gc") == 1))
-    parts = [overall.select(*by, F.lit(m).alias("metric"), F.lit(None).cast("string").alias("key"),
-                            F.col(m).alias("value"))
-             for m in ("total", "sensitive", "stale")]
-    parts.append(g.filter(F.col("_gs") == 0).select(
-        *by, F.lit("by_source").alias("metric"), F.col("source").alias("key"), F.col("total").alias("value")))
-    parts.append(g.filter(F.col("_gc") == 0).select(
-        *by, F.lit("by_category").alias("metric"), F.col("category").alias("key"),
-        F.col("total").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    # One aggregate, then its result rows by grouping set: the scan runs once.
+    row = lambda name, key, value: F.struct(F.lit(name).alias("metric"), key.alias("key"), F.col(value).alias("value"))
+    none = F.lit(None).cast("string")
+    rows = (F.when(F.col("_gs") == 0, F.array(row("by_source", F.col("source"), "total")))
+            .when(F.col("_gc") == 0, F.array(row("by_category", F.col("category"), "total")))
+            .otherwise(F.array(*[row(m, none, m) for m in ("total", "sensitive", "stale")])))
+    out = g.select(*by, F.inline(rows))
     if rules is not None and not by:
         rf = active_rules(rules_frame(df.sparkSession, rules), only_active=True)
         out = out.unionByName(rf.select(

@@ -37,7 +37,7 @@ class Rules:
     def set(self, key: str, value) -> "Rules":
         """Return a copy with one rule changed; unknown keys are an error."""
         if key not in RULE_KEYS:
-            raise ValueError(f"Unknown rule: {key}. Valid: {list(RULE_KEYS)}")
+            raise ValueError(f"no rule is called {key!r}; rules are {', '.join(RULE_KEYS)}")
         if key != "exclude_sensitive":
             value = tuple(value)
         return replace(self, **{key: value})
@@ -116,12 +116,10 @@ def exclude(df: DataFrame, rules: Rules | DataFrame | None = None, by: list[str]
     if not by:
         raise ValueError("a rules DataFrame needs owner columns in by=[...]; "
                          "use a Rules value for a single scope")
-    from memlake.util import broadcast_if_small
     rule_cols = list(RULE_KEYS)
-    # One rules row per owner: broadcast when a count proves it small, so an
-    # owner holding a third of the records never lands in one join task;
-    # otherwise AQE splits the skewed partition of the shuffle join.
-    joined = df.join(broadcast_if_small(rules.select(*by, *rule_cols)), on=by, how="left")
+    # One rules row per owner: AQE broadcasts it where its bytes allow, else it
+    # splits the partition of an owner who holds a third of the records.
+    joined = df.join(rules.select(*by, *rule_cols), on=by, how="left")
     return joined.filter(~hidden_by_columns()).drop(*rule_cols)
 
 
@@ -196,7 +194,7 @@ def parse_rule_settings(settings: DataFrame) -> DataFrame:
         key.alias("rule"),
         F.when(key == "exclude_sensitive", F.lower(raw).isin("true", "1", "yes")).alias("flag"),
         F.when(key.isin(*RULE_KEYS[1:]), items).alias("items"),
-        F.when(~key.isin(*RULE_KEYS), F.concat(F.lit("Unknown rule: "), key)).alias("error"),
+        F.when(~key.isin(*RULE_KEYS), F.concat(F.lit("no rule is called "), key)).alias("error"),
     )
 
 
@@ -204,15 +202,18 @@ def apply_rule_settings(rules: DataFrame, parsed: DataFrame, by: list[str] | Non
     """Set per-owner rule values from parsed settings (F15 applied to F14).
 
     Owners are matched with an equi-join on ``by``; for a single scope use
-    ``Rules.set`` instead.  Each key should appear at most once per owner.
+    ``Rules.set`` instead.  Of several settings of one key the one with the
+    highest ``seq`` (a column that ``parsed`` must have) wins.
     """
     by = list(by or [])
     if not by:
         raise ValueError("apply_rule_settings needs owner columns in by=[...]")
+    if "seq" not in parsed.columns:
+        raise ValueError("apply_rule_settings needs a seq column that orders the settings")
     good = parsed.filter(F.col("error").isNull())
     piv = good.groupBy(*by).agg(
-        F.max(F.when(F.col("rule") == "exclude_sensitive", F.col("flag").cast("int"))).alias("s"),
-        *[F.first(F.when(F.col("rule") == k, F.col("items")), ignorenulls=True).alias(k + "_new")
+        F.max(F.when(F.col("rule") == "exclude_sensitive", F.struct("seq", F.col("flag").cast("int").alias("v"))))["v"].alias("s"),
+        *[F.max(F.when(F.col("rule") == k, F.struct("seq", F.col("items").alias("v"))))["v"].alias(k + "_new")
           for k in RULE_KEYS[1:]])
     joined = rules.join(piv, on=by, how="left")
     return joined.select(

@@ -1,25 +1,35 @@
 """Ranked full-text search (Q1-Q6, Q8).
 
-Index (Q1-Q3): content and tag text are split into ASCII-folded tokens;
-postings ``(term, id, tf)``, row lengths ``(id, dl)`` and one statistics row
-``(n_rows, avgdl)`` are plain DataFrames, rebuilt per snapshot (all parts are
-additive, so an index can also be extended with new rows).  Stemming runs on
-the distinct vocabulary only and is joined back.
-
-Query evaluation (Q4) for a *table* of queries, all terms required:
-
-1. each query's terms get their document frequency; the rarest term of each
-   query seeds the candidates (its postings join on the term);
-2. candidates are expanded with the query's other terms and joined to the
-   postings on ``(term, id)`` -- an equi-join on both keys, so a very common
-   term never fans out per query; rows missing a term drop out;
-3. BM25 per term (k1 = 1.2, b = 0.75, idf floored at 1e-6) is summed with the
-   term's repeat count; a ranked window keeps the top ``limit`` per query.
+Index (Q1-Q3): content and tag text are split into ASCII-folded tokens.  One
+positional table answers every kind of query::
+
+    postings (…by, term, id, tf, content_at, tags_at)   one row per term and row
+    lengths  (…by, id, dl, created_at)                  tokens of both fields
+    terms    (…by, term, n_t)                           rows holding the term
+    stats    (…by, n_rows, total_tokens, avgdl)
+
+``by`` holds owner columns: each owner's rows are a corpus of their own.  The
+index is built once and materialised (``write_index`` keeps it across jobs);
+queries run no job of their own before the action.  Stems are made once per
+distinct term and joined to rows that are already one per (term, id).
+
+A query is a set of *units*: a term, a phrase (consecutive tokens of one field),
+a prefix (its expansions count as one term), each in one field or both.  A unit
+of several tokens, a prefix or a field gets postings and a row count of its own;
+from there on every unit is scored like a term:
+
+1. the rarest required unit of each query seeds the candidates (all its
+   alternatives if it has no required unit);
+2. candidates are expanded with the query's units and joined to the postings
+   on ``(term, id)``, so a very common term never fans out per query, and
+   excluded terms are looked up for candidates only;
+3. BM25 per unit (k1 = 1.2, b = 0.75, idf floored at 1e-6) is summed with the
+   unit's repeat count; a ranked window keeps the top ``limit`` per query.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,11 +37,16 @@ from pyspark.sql import types as T
 
 from memlake.functions.text import fts_tokens
 from memlake.operators.rules import Rules, exclude
-from memlake.util import BROADCAST_MAX_ROWS, ensure_parallelism, materialize
+from memlake.util import materialize
 
 K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
+FIELDS = ("content", "tags")
+#: Prefixes are looked up by their first characters, at most this many.
+PREFIX_KEY = 6
+#: Files of a stored index, by term hash.
+BUCKETS = 64
 
 # Query validity for the ranked route (Q6): barewords only -- ASCII letters,
 # digits, underscore, non-ASCII and 0x1A -- separated by whitespace, and no
@@ -40,6 +55,8 @@ BAREWORD = r"[A-Za-z0-9_\x{80}-\x{10FFFF}\x{1a}]+"
 VALID_QUERY = rf"^\s*{BAREWORD}(\s+{BAREWORD})*\s*$"
 OPERATORS = ("AND", "OR", "NOT", "NEAR")
 
+_NO_WORDS = "cast(array() as array<string>)"
+
 
 @F.pandas_udf(T.StringType())
 def stem_terms(terms):
@@ -49,35 +66,28 @@ def stem_terms(terms):
 
 @dataclass
 class TextIndex:
-    postings: DataFrame      # (term, id, tf)
-    lengths: DataFrame       # (id, dl)
-    stats: DataFrame         # one row: (n_rows, total_tokens, avgdl)
+    postings: DataFrame
+    lengths: DataFrame
+    terms: DataFrame
+    stats: DataFrame
     stemmed: bool
-
-    terms: DataFrame = None  # (term, n_t): rows containing each term
+    by: list[str] = field(default_factory=list)
 
     def term_stats(self) -> DataFrame:
-        """``(term, n_t)``: rows containing each term."""
-        if self.terms is None:
-            self.terms = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
         return self.terms
 
 
-def tokens(df: DataFrame, fields=("content", "tags")) -> DataFrame:
-    """Q1: ``(id, field, pos, term)`` for content and tags."""
-    base = ensure_parallelism(df.select("id", "content", "tags"))
-    parts = []
-    if "content" in fields:
-        parts.append(base.select("id", F.lit("content").alias("field"),
-                                 F.posexplode(fts_tokens(F.col("content"))).alias("pos", "term")))
-    if "tags" in fields:
-        parts.append(base.select("id", F.lit("tags").alias("field"),
-                                 F.posexplode(fts_tokens(F.array_join(F.col("tags"), " ")))
-                                 .alias("pos", "term")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _field_text(name: str):
+    return F.col("content") if name == "content" else F.array_join(F.col("tags"), " ")
+
+
+def tokens(df: DataFrame, fields=FIELDS, by=()) -> DataFrame:
+    """Q1: ``(…by, id, field, pos, term)`` for content and tags, in one scan."""
+    def placed(name):
+        return F.transform(fts_tokens(F.coalesce(_field_text(name), F.lit(""))), lambda t, i: F.struct(
+            F.lit(name).alias("field"), i.alias("pos"), t.alias("term")))
+    every = F.concat(*[placed(f) for f in fields])
+    return df.select(*by, "id", F.inline(every))
 
 
 def stem_vocabulary(terms: DataFrame) -> DataFrame:
@@ -85,192 +95,261 @@ def stem_vocabulary(terms: DataFrame) -> DataFrame:
     return terms.select("term").distinct().select("term", stem_terms(F.col("term")).alias("stem"))
 
 
-def apply_stems(tok: DataFrame) -> DataFrame:
-    vocab = stem_vocabulary(tok)
-    return tok.join(vocab, "term").drop("term").withColumnRenamed("stem", "term")
-
-
-def build_index(df: DataFrame, stem: bool = True, fields=("content", "tags"),
-                persist: bool = True) -> TextIndex:
-    """Q3: postings, row lengths, term and corpus statistics.
-
-    With ``persist`` (default) each table is materialised once in the shared
-    checkpoint folder, so the several branches of a batch search read it
-    instead of re-tokenising the corpus; ``write_index`` stores it for reuse
-    across jobs.
-    """
-    base = ensure_parallelism(df.select("id", "content", "tags"))
-    text = {"content": F.col("content"), "tags": F.array_join(F.col("tags"), " ")}
-    toks = F.concat(*[fts_tokens(text[f]) for f in fields])
-    tok = base.select("id", F.explode(toks).alias("term"))
-    if stem:
-        tok = apply_stems(tok)
-    postings = tok.groupBy("term", "id").agg(F.count(F.lit(1)).cast("bigint").alias("tf"))
-    if persist:
-        postings = materialize(postings)
-    tok_len = postings.groupBy("id").agg(F.sum("tf").cast("bigint").alias("dl"))
+def _merged(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Postings of one (term, id) from the position lists of several parts."""
+    flat = parts.groupBy(*keys).agg(*[F.sort_array(F.flatten(F.collect_list(f"{f}_at"))).alias(f"{f}_at") for f in FIELDS])
+    return flat.select(*keys, (F.size("content_at") + F.size("tags_at")).cast("bigint").alias("tf"), "content_at", "tags_at")
+
+
+def _postings(df: DataFrame, stem: bool, fields, by: list[str]) -> DataFrame:
+    at = [F.when(F.col("field") == f, F.array("pos")).otherwise(F.array().cast("array<int>")).alias(f"{f}_at") for f in FIELDS]
+    plain = materialize(_merged(tokens(df, fields, by).select(*by, "id", "term", *at), [*by, "term", "id"]), "postings")
+    if not stem:
+        return plain
+    # One row per (term, id) from here; both sides are plain tables, so AQE can
+    # split the partition of a term that most rows hold.
+    stems = materialize(stem_vocabulary(plain), "stems")
+    stemmed = plain.join(stems, "term").drop("term").withColumnRenamed("stem", "term")
+    return materialize(_merged(stemmed, [*by, "term", "id"]), "postings")
+
+
+def _index(postings: DataFrame, rows: DataFrame, stem: bool, by: list[str]) -> TextIndex:
+    """Lengths and statistics of postings; ``rows``: (…by, id, created_at)."""
     # Rows without any token still count in N with length 0.
-    lengths = (df.select("id", "created_at").join(tok_len, "id", "left")
-               .select("id", F.coalesce(F.col("dl"), F.lit(0)).cast("bigint").alias("dl"), "created_at"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("dl").alias("total_tokens"))
-    stats = stats.withColumn("avgdl", F.col("total_tokens") / F.col("n_rows"))
-    if not persist:
-        return TextIndex(postings, lengths, stats, stem)
-    terms = materialize(postings.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
-    lengths = materialize(lengths)
-    stats = materialize(lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("dl").alias("total_tokens"))
-                        .withColumn("avgdl", F.col("total_tokens") / F.col("n_rows")))
-    return TextIndex(postings, lengths, stats, stem, terms)
+    none = F.lit(0).cast("bigint")
+    dl = (postings.select(*by, "id", F.col("tf").alias("dl"), F.lit(None).cast("timestamp").alias("created_at"), F.lit(False).alias("row"))
+          .unionByName(rows.select(*by, "id", none.alias("dl"), "created_at", F.lit(True).alias("row"))))
+    lengths = materialize(dl.groupBy(*by, "id").agg(F.sum("dl").alias("dl"), F.max("created_at").alias("created_at"),
+                                                    F.max("row").alias("row")).where("row").drop("row"), "lengths")
+    stats = lengths.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("dl").alias("total_tokens"))
+    stats = materialize(stats.withColumn("avgdl", F.col("total_tokens") / F.col("n_rows")), "stats")
+    terms = materialize(postings.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n_t")), "terms")
+    return TextIndex(postings, lengths, terms, stats, stem, by)
+
+
+def build_index(df: DataFrame, stem: bool = True, fields=FIELDS, by=()) -> TextIndex:
+    """Q3: postings, row lengths, term and corpus statistics, materialised."""
+    by = list(by)
+    return _index(_postings(df, stem, fields, by), df.select(*by, "id", "created_at"), stem, by)
+
+
+def extend_index(index: TextIndex, added: DataFrame) -> TextIndex:
+    """The index with ``added`` rows (new ids) included."""
+    by = index.by
+    new = _postings(added, index.stemmed, FIELDS, by)
+    rows = index.lengths.select(*by, "id", "created_at").unionByName(added.select(*by, "id", "created_at"))
+    return _index(materialize(index.postings.unionByName(new), "postings"), rows, index.stemmed, by)
+
+
+def shrink_index(index: TextIndex, removed: DataFrame) -> TextIndex:
+    """The index without the rows whose ``id`` is in ``removed``; a changed
+    row is removed and then added again."""
+    ids = removed.select(*index.by, "id")
+    keys = [*index.by, "id"]
+    return _index(materialize(index.postings.join(ids, keys, "left_anti"), "postings"),
+                  index.lengths.join(ids, keys, "left_anti"), index.stemmed, index.by)
 
 
 def write_index(index: TextIndex, path: str) -> None:
-    """Store an index (postings bucketed by term hash via partitioned files)."""
-    index.postings.write.mode("errorifexists").parquet(f"{path}/postings")
-    index.term_stats().write.mode("errorifexists").parquet(f"{path}/terms")
+    """Store an index; postings and terms lie in ``BUCKETS`` folders by term
+    hash, sorted by term inside, so a lookup of few terms reads few row groups
+    (``read_index(terms=...)``)."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+    for name in ("postings", "terms"):
+        (getattr(index, name).withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "term")
+         .write.mode("errorifexists").partitionBy("bucket").parquet(f"{path}/{name}"))
     index.lengths.write.mode("errorifexists").parquet(f"{path}/lengths")
     index.stats.write.mode("errorifexists").parquet(f"{path}/stats")
 
 
-def read_index(spark, path: str, stem: bool = True) -> TextIndex:
-    r = spark.read.parquet
-    return TextIndex(r(f"{path}/postings"), r(f"{path}/lengths"), r(f"{path}/stats"), stem,
-                     r(f"{path}/terms"))
+def read_index(spark, path: str, stem: bool = True, by=(), terms: list[str] | None = None) -> TextIndex:
+    """A stored index; ``terms`` (as indexed) limits it to their buckets and
+    row groups, enough for queries of those terms."""
+    def table(name):
+        df = spark.read.parquet(f"{path}/{name}")
+        if terms is not None and "bucket" in df.columns:
+            wanted = [r["b"] for r in spark.createDataFrame([(t,) for t in terms], "term string")
+                      .select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("b")).distinct().collect()]
+            df = df.where(F.col("bucket").isin(wanted) & F.col("term").isin(list(terms)))
+        return df.drop("bucket")
+    return TextIndex(table("postings"), table("lengths"), table("terms"), table("stats"), stem, list(by))
 
 
-def query_terms(queries: DataFrame, index: TextIndex, query_col: str = "query",
-                key_cols=("query_id",)) -> DataFrame:
-    """``(…keys, term, repeats)`` from free query text (tokenised like rows)."""
-    key_cols = list(key_cols)
-    t = queries.select(*key_cols, F.explode(fts_tokens(F.col(query_col))).alias("term"))
-    if index.stemmed:
-        t = apply_stems(t)
-    return t.groupBy(*key_cols, "term").agg(F.count(F.lit(1)).cast("bigint").alias("repeats"))
-
+# ------------------------------------------------------------------- units --
 
 def _bm25(tf, dl, avgdl, n_rows, n_t) -> F.Column:
     idf = F.greatest(F.log((n_rows - n_t + 0.5) / (n_t + 0.5)), F.lit(IDF_FLOOR))
     return idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
-def match_all(index: TextIndex, qterms: DataFrame, key_cols=("query_id",)) -> DataFrame:
-    """Rows containing every term of their query, with BM25 scores:
-    ``(…keys, id, score)``."""
-    key_cols = list(key_cols)
-    ts = index.term_stats()
-    need = qterms.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n_terms"))
-    # Every query-side frame below (terms, known terms, seeds) has at most as
-    # many rows as the query terms: one count decides the broadcasts.
-    small = qterms.count() <= BROADCAST_MAX_ROWS
-    bc = F.broadcast if small else (lambda d: d)
-    known = bc(qterms).join(ts, "term")
-    # Queries with a term absent from every row cannot match.
-    have = known.groupBy(*key_cols).agg(
-        F.count(F.lit(1)).alias("n_known"),
-        F.min(F.struct("n_t", "term")).alias("_rare"))
-    seeds = (have.join(need, key_cols).filter(F.col("n_known") == F.col("n_terms"))
-             .select(*key_cols, F.col("_rare.term").alias("term"), "n_terms"))
-    cands = bc(seeds).join(index.postings.select("term", "id"), "term").select(*key_cols, "id", "n_terms")
-    # Candidates x their query's terms is small next to the postings: when a
-    # count proves it, broadcast it so the postings are streamed, not shuffled.
-    expanded = materialize(cands.join(bc(known), key_cols))
-    if expanded.count() <= BROADCAST_MAX_ROWS:
-        expanded = F.broadcast(expanded)
-    matched = expanded.join(index.postings, ["term", "id"])
-    per_row = matched.groupBy(*key_cols, "id", "n_terms").agg(
-        F.count(F.lit(1)).alias("n_hit"),
-        F.collect_list(F.struct("term", "tf", "n_t", "repeats")).alias("_t"))
-    full = per_row.filter(F.col("n_hit") == F.col("n_terms"))
-    full = _with_stats(full.join(index.lengths, "id"), index)
-    # Summed in term order, so equal rows get bit-identical scores whatever
-    # order the shuffle delivered their terms in (ties then fall to newest).
-    score = F.aggregate(
-        F.sort_array("_t"), F.lit(0.0).cast("double"),
-        lambda acc, x: acc + x["repeats"] * _bm25(x["tf"], F.col("dl"), F.col("avgdl"),
-                                                  F.col("n_rows"), x["n_t"]))
-    return full.select(*key_cols, "id", score.alias("score"), "created_at")
-
-
 def _with_stats(df: DataFrame, index: TextIndex) -> DataFrame:
-    """Attach the one-row corpus statistics (scalar subquery, broadcast)."""
+    """Attach the corpus statistics (a scalar, or one row per owner)."""
+    if index.by:
+        return df.join(index.stats.select(*index.by, "n_rows", "avgdl"), index.by)
     return df.withColumn("n_rows", index.stats.select("n_rows").scalar()) \
              .withColumn("avgdl", index.stats.select("avgdl").scalar())
 
 
-def top_k(scored: DataFrame, records: DataFrame, limit: int | None, key_cols=("query_id",)) -> DataFrame:
-    """Rank ``(…keys, id, score)`` by score desc, newest, id; keep ``limit``."""
-    key_cols = list(key_cols)
-    withc = scored if "created_at" in scored.columns else \
-        scored.join(records.select("id", "created_at"), "id")
-    w = Window.partitionBy(*key_cols).orderBy(F.col("score").desc(), F.col("created_at").desc(),
-                                              F.col("id").asc())
-    out = withc.withColumn("rank", F.row_number().over(w))
+def _stemmed_tokens(units: DataFrame, keys: list[str]) -> DataFrame:
+    """``units`` with the stems of their tokens."""
+    each = units.select(*units.columns, F.posexplode("tokens").alias("i", "term"))
+    each = each.join(stem_vocabulary(each), "term")
+    rest = [c for c in units.columns if c != "tokens"]
+    back = each.groupBy(*rest).agg(F.sort_array(F.collect_list(F.struct("i", "stem"))).alias("t"))
+    return back.select(*rest, F.transform("t", lambda x: x["stem"]).alias("tokens"))
+
+
+def _units(queries: DataFrame, index: TextIndex, keys: list[str], lists: dict[str, tuple[str, bool, bool]]) -> DataFrame:
+    """``(…keys, …by, role, tokens, prefix, field)``; ``lists`` maps a column
+    of texts to (role, prefix, whether a text stays one unit)."""
+    by = index.by
+    scope = F.col("field") if "field" in queries.columns else F.lit(None).cast("string")
+
+    def listed(name, role, prefix, whole):
+        toks = F.flatten(F.transform(F.coalesce(F.col(name), F.expr(_NO_WORDS)),
+                                     lambda x: F.array(fts_tokens(x)) if whole else F.transform(fts_tokens(x), lambda t: F.array(t))))
+        return F.transform(toks, lambda t: F.struct(F.lit(role).alias("role"), t.alias("tokens"), F.lit(prefix).alias("prefix")))
+
+    parts = [listed(name, *how) for name, how in lists.items()]
+    units = queries.select(*keys, *[c for c in by if c not in keys], scope.alias("field"), F.explode(F.concat(*parts)).alias("u"))
+    units = units.select(*[c for c in units.columns if c != "u"], "u.*").where(F.size("tokens") > 0)
+    if index.stemmed:
+        units = units.withColumn("n", F.monotonically_increasing_id())
+        units = _stemmed_tokens(units, keys).drop("n")
+    return units
+
+
+def _unit_hits(index: TextIndex, units: DataFrame) -> DataFrame:
+    """``(…by, term, id, tf)`` of the units that are no plain term, under a
+    term of their own.  Their tokens (a prefix's last token: all its
+    expansions) are found by the rarest of them, and the starts that all of
+    them agree on are counted."""
+    by = index.by
+    kinds = units.where("not plain").select(*by, "term", "tokens", "prefix", "field").distinct()
+    toks = kinds.select(*by, F.col("term").alias("unit"), "field", F.size("tokens").alias("k"), F.posexplode("tokens").alias("i", "token"),
+                        (F.col("prefix") & (F.size("tokens") >= 1)).alias("prefix"))
+    toks = toks.withColumn("prefix", F.col("prefix") & (F.col("i") == F.col("k") - 1))
+    exact = toks.where("not prefix").withColumnRenamed("token", "term").join(index.terms, [*by, "term"])
+    # Prefixes meet the vocabulary on their first characters.
+    keyed = index.terms.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(PREFIX_KEY))),
+                                                          lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("head"))
+    spread = (toks.where("prefix").withColumn("head", F.substring("token", 1, PREFIX_KEY)).join(keyed, [*by, "head"])
+              .where(F.startswith("term", "token")).drop("head", "token"))
+    known = exact.unionByName(spread.select(*exact.columns))
+    per = known.groupBy(*by, "unit", "k", "i").agg(F.sum("n_t").alias("cost"))
+    rarest = per.groupBy(*by, "unit", "k").agg(F.min(F.struct("cost", "i"))["i"].alias("i"), F.count(F.lit(1)).alias("found")).where("found = k")
+    seeds = known.join(rarest.select(*by, "unit", "i"), [*by, "unit", "i"]).select(*by, "unit", "term")
+    rows = seeds.join(index.postings.select(*by, "term", "id"), [*by, "term"]).select(*by, "unit", "id").distinct()
+    at = rows.join(known.select(*by, "unit", "field", "k", "i", "term"), [*by, "unit"]).join(index.postings.drop("tf"), [*by, "term", "id"])
+
+    def shifted(name):
+        wanted = F.col("field").isNull() | (F.col("field") == name)
+        return F.when(wanted, F.transform(f"{name}_at", lambda p: p - F.col("i"))).otherwise(F.array().cast("array<int>"))
+
+    per = at.groupBy(*by, "unit", "id", "k", "i").agg(*[F.array_distinct(F.flatten(F.collect_list(shifted(f)))).alias(f) for f in FIELDS])
+    # A start counts if every token of the unit stands at its place behind it.
+    def placed(name):
+        return F.transform(name, lambda p: F.struct(F.lit(name).alias("field"), p.alias("start")))
+    starts = per.select(*by, "unit", "id", "k", F.explode(F.concat(*[placed(f) for f in FIELDS])).alias("s"))
+    full = starts.groupBy(*by, "unit", "id", "k", "s").agg(F.count(F.lit(1)).alias("n")).where("n = k")
+    return full.groupBy(*by, F.col("unit").alias("term"), "id").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def match(index: TextIndex, units: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that satisfy their query, with scores: ``(…keys, …by, id, score,
+    created_at)``.  Roles: ``all`` units must occur, one ``any`` unit must if
+    there is one, ``none`` units must not; a query without ``all`` and ``any``
+    units matches nothing."""
+    by = index.by
+    scope = [*keys, *[c for c in by if c not in keys]]
+    plain = (F.size("tokens") == 1) & ~F.col("prefix") & F.col("field").isNull()
+    name = F.when(plain, F.col("tokens")[0]).otherwise(F.concat(F.lit("\u0000"), F.sha2(F.to_json(F.struct("tokens", "prefix", "field")), 256)))
+    units = units.withColumn("plain", plain).withColumn("term", name)
+    return _scored(index, units, scope, _unit_hits(index, units))
+
+
+def _scored(index: TextIndex, units: DataFrame, scope: list[str], hits: DataFrame | None) -> DataFrame:
+    by = index.by
+    terms, postings = index.terms, index.postings.select(*by, "term", "id", "tf")
+    if hits is not None:
+        terms = terms.unionByName(hits.groupBy(*by, "term").agg(F.count(F.lit(1)).alias("n_t")))
+        postings = postings.unionByName(hits)
+    wanted = units.groupBy(*scope, "role", "term").agg(F.count(F.lit(1)).cast("bigint").alias("repeats"))
+    need = wanted.groupBy(*scope).agg(F.count_if(F.col("role") == "all").alias("n_all"), F.count_if(F.col("role") == "any").alias("n_any"))
+    known = wanted.join(terms, [*by, "term"])
+    # A required unit that no row holds leaves its query without candidates.
+    seeds = known.groupBy(*scope).agg(
+        F.count_if(F.col("role") == "all").alias("known_all"),
+        F.min(F.when(F.col("role") == "all", F.struct("n_t", "term"))).alias("rare"),
+        F.collect_set(F.when(F.col("role") == "any", F.col("term"))).alias("some"))
+    seeds = seeds.join(need, scope).where("known_all = n_all").select(
+        *scope, "n_all", "n_any", F.explode(F.when(F.col("n_all") > 0, F.array(F.col("rare")["term"])).otherwise(F.col("some"))).alias("term"))
+    rows = seeds.join(postings.select(*by, "term", "id"), [*by, "term"]).select(*scope, "n_all", "n_any", "id").distinct()
+    matched = rows.join(known, scope).join(postings, [*by, "term", "id"])
+    per_row = matched.groupBy(*scope, "id", "n_all", "n_any").agg(
+        F.count_if(F.col("role") == "all").alias("got_all"), F.count_if(F.col("role") == "any").alias("got_any"),
+        F.count_if(F.col("role") == "none").alias("got_none"),
+        F.collect_list(F.when(F.col("role") != "none", F.struct("term", "tf", "n_t", "repeats"))).alias("_t"))
+    full = per_row.where("got_all = n_all and got_none = 0 and (n_any = 0 or got_any > 0)")
+    full = _with_stats(full.join(index.lengths, [*by, "id"]), index)
+    # Summed in term order, so equal rows get bit-identical scores whatever
+    # order the shuffle delivered their terms in (ties then fall to newest).
+    score = F.aggregate(F.sort_array("_t"), F.lit(0.0).cast("double"),
+                        lambda acc, x: acc + x["repeats"] * _bm25(x["tf"], F.col("dl"), F.col("avgdl"), F.col("n_rows"), x["n_t"]))
+    return full.select(*scope, "id", score.alias("score"), "created_at")
+
+
+def top_k(scored: DataFrame, limit: int | None, keys: list[str]) -> DataFrame:
+    """Rank ``(…keys, id, score, created_at)`` by score desc, newest, id; keep ``limit``."""
+    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("created_at").desc(), F.col("id").asc())
+    out = scored.withColumn("rank", F.row_number().over(w))
     return out.filter(F.col("rank") <= limit) if limit is not None else out
 
 
+# ----------------------------------------------------------------- queries --
+
+def _bag(queries: DataFrame, index: TextIndex, query_col: str, keys: list[str]) -> DataFrame:
+    """Every token of free query text as a required term."""
+    return _units(queries.withColumn("_all", F.array(F.col(query_col))), index, keys, {"_all": ("all", False, False)})
+
+
+def _plain_terms(units: DataFrame) -> DataFrame:
+    return units.withColumn("term", F.col("tokens")[0])
+
+
 def search(df: DataFrame, queries: DataFrame, limit: int | None = 5, index: TextIndex | None = None,
-           stem: bool = True, query_col: str = "query", key_cols=("query_id",)) -> DataFrame:
-    """Q4: ``(…keys, id, created_at, score, rank)`` for a table of queries."""
-    index = index or build_index(df, stem=stem)
-    qt = query_terms(queries, index, query_col, key_cols)
-    return top_k(match_all(index, qt, key_cols), df, limit, key_cols)
-
-
-def structured_search(df: DataFrame, queries: DataFrame, limit: int | None = 5,
-                      index: TextIndex | None = None, stem: bool = True,
-                      key_cols=("query_id",)) -> DataFrame:
-    """Q5: structured queries with array columns (any may be null/empty):
-
-    * ``all_terms``: every term required (Q4);
-    * ``any_terms``: at least one required (OR), scored over the terms present;
-    * ``none_terms``: rows containing any of them are removed (NOT);
-    * ``prefixes``: a term starting with the prefix counts as present.
-    A one-field search passes an index built with ``fields=("content",)``.
-    Exactly one of ``all_terms`` / ``any_terms`` / ``prefixes`` drives matching
-    per query (checked in that order).
-    """
-    key_cols = list(key_cols)
-    index = index or build_index(df, stem=stem)
-    fold = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")),
-                                 lambda x: F.lower(x))
-    q = queries.select(*key_cols, fold("all_terms").alias("all_terms"),
-                       fold("any_terms").alias("any_terms"), fold("none_terms").alias("none_terms"),
-                       fold("prefixes").alias("prefixes"))
-    all_q = q.filter(F.size("all_terms") > 0)
-    any_q = q.filter((F.size("all_terms") == 0) & (F.size("any_terms") > 0))
-    pre_q = q.filter((F.size("all_terms") == 0) & (F.size("any_terms") == 0) & (F.size("prefixes") > 0))
-    parts = [match_all(index, _terms(all_q, "all_terms", key_cols, index), key_cols)]
-    # OR: every row with at least one term, scored over the terms it has.
-    at = _terms(any_q, "any_terms", key_cols, index).join(index.term_stats(), "term")
-    hits = at.join(index.postings, "term")
-    any_scored = _with_stats(hits.join(index.lengths, "id"), index).groupBy(*key_cols, "id", "created_at").agg(
-        F.sum(F.col("repeats") * _bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n_rows"),
-                                       F.col("n_t"))).alias("score"))
-    parts.append(any_scored)
-    # Prefix: vocabulary terms starting with the prefix (range on the sorted
-    # vocabulary via LIKE, a join against the distinct terms only).
-    pq = pre_q.select(*key_cols, F.explode("prefixes").alias("prefix"))
-    vocab = index.term_stats()
-    pm = pq.join(vocab, F.col("term").startswith(F.col("prefix")))
-    ph = pm.join(index.postings, "term")
-    pre_scored = _with_stats(ph.join(index.lengths, "id"), index).groupBy(*key_cols, "id", "created_at").agg(
-        F.sum(_bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n_rows"), F.col("n_t"))).alias("score"))
-    parts.append(pre_scored)
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    # NOT: drop rows holding any excluded term.
-    nt = _terms(q.filter(F.size("none_terms") > 0), "none_terms", key_cols, index)
-    banned = nt.join(index.postings, "term").select(*key_cols, "id").distinct()
-    scored = scored.join(banned, key_cols + ["id"], "left_anti")
-    return top_k(scored, df, limit, key_cols)
-
-
-def _terms(q: DataFrame, col: str, key_cols, index: TextIndex) -> DataFrame:
-    t = q.select(*key_cols, F.explode(F.col(col)).alias("term"))
-    t = t.select(*key_cols, F.explode(fts_tokens(F.col("term"))).alias("term"))
-    if index.stemmed:
-        t = apply_stems(t)
-    return t.groupBy(*key_cols, "term").agg(F.count(F.lit(1)).cast("bigint").alias("repeats"))
+           stem: bool = True, query_col: str = "query", key_cols=("query_id",), by=()) -> DataFrame:
+    """Q4: ``(…keys, …by, id, created_at, score, rank)`` for a table of queries.
+    With ``by``, queries carry the owner columns and see their owner's rows."""
+    keys = list(key_cols)
+    index = index or build_index(df, stem=stem, by=by)
+    scope = [*keys, *[c for c in index.by if c not in keys]]
+    return top_k(_scored(index, _plain_terms(_bag(queries, index, query_col, keys)), scope, None), limit, scope)
+
+
+def structured_search(df: DataFrame, queries: DataFrame, limit: int | None = 5, index: TextIndex | None = None,
+                      stem: bool = True, key_cols=("query_id",), by=()) -> DataFrame:
+    """Q5: queries with array columns, each optional, null or empty, all of
+    them combined: ``all_terms``, ``phrases`` and ``prefixes`` must occur, one
+    of ``any_terms`` must (if given), ``none_terms`` must not.  A term of
+    several tokens is a phrase; a prefix is that of its last token.  ``field``
+    (``content`` or ``tags``, null for both) limits every unit of the query."""
+    keys = list(key_cols)
+    index = index or build_index(df, stem=stem, by=by)
+    lists = {"all_terms": ("all", False, True), "phrases": ("all", False, True), "prefixes": ("all", True, True),
+             "any_terms": ("any", False, True), "none_terms": ("none", False, True)}
+    units = _units(queries, index, keys, {c: v for c, v in lists.items() if c in queries.columns})
+    return top_k(match(index, units, keys), limit, [*keys, *[c for c in index.by if c not in keys]])
+
+
+def phrase_search(df: DataFrame, queries: DataFrame, limit: int | None = 5, index: TextIndex | None = None,
+                  stem: bool = True, phrases_col: str = "phrases", key_cols=("query_id",), by=()) -> DataFrame:
+    """Q5 phrases: rows containing *every* phrase of the query, each as
+    consecutive tokens of one field and scored as one term."""
+    keys = list(key_cols)
+    index = index or build_index(df, stem=stem, by=by)
+    units = _units(queries, index, keys, {phrases_col: ("all", False, True)})
+    return top_k(match(index, units, keys), limit, [*keys, *[c for c in index.by if c not in keys]])
 
 
 def _words(q) -> F.Column:
@@ -297,119 +376,34 @@ def route_queries(queries: DataFrame, query_col: str = "query") -> DataFrame:
             .withColumn("has_phrase", ranked & has_phrase))
 
 
-def routed_search(df: DataFrame, queries: DataFrame, limit: int = 5, stem: bool = True,
-                  index: TextIndex | None = None, query_col: str = "query",
-                  key_cols=("query_id",)) -> DataFrame:
-    """Q6 end to end: ranked search for valid queries (postings route, or the
-    phrase route when a bareword is a phrase), keyword search (Q7) for the
-    rest; ``(…keys, mode, id, created_at, score, rank)``, keyword score as
-    double."""
+def routed_search(df: DataFrame, queries: DataFrame, limit: int = 5, stem: bool = True, index: TextIndex | None = None,
+                  query_col: str = "query", key_cols=("query_id",), by=()) -> DataFrame:
+    """Q6 end to end: ranked search for valid queries (a bareword of several
+    tokens is a phrase), keyword search (Q7) for the rest;
+    ``(…keys, …by, mode, id, created_at, score, rank)``, keyword score as double."""
     from memlake.operators.keyword import keyword_search
-    key_cols = list(key_cols)
-    index = index or build_index(df, stem=stem)
+    keys = list(key_cols)
+    index = index or build_index(df, stem=stem, by=by)
+    scope = [*keys, *[c for c in index.by if c not in keys]]
     routed = route_queries(queries, query_col)
-    plain_q = routed.filter((F.col("mode") == "ranked") & ~F.col("has_phrase"))
-    phrase_q = (routed.filter(F.col("has_phrase"))
-                .withColumn("phrases", F.filter(_words(F.col(query_col)), lambda w: w != "AND")))
-    kw_q = routed.filter(F.col("mode") == "keyword")
-    cols = key_cols + ["mode", "id", "created_at", "score", "rank"]
-    r = search(df, plain_q, limit, index, stem, query_col, key_cols).withColumn("mode", F.lit("ranked"))
-    out = r.select(*cols)
-    if not phrase_q.isEmpty():
-        p = phrase_search(df, phrase_q, limit, index, stem=stem, key_cols=key_cols)
-        out = out.unionByName(p.withColumn("mode", F.lit("ranked")).select(*cols))
-    k = keyword_search(df, kw_q, limit, query_col, key_cols).withColumn("mode", F.lit("keyword"))
-    return out.unionByName(k.select(*key_cols, "mode", "id", "created_at",
-                                    F.col("score").cast("double"), "rank"))
-
-
-def relevant(df: DataFrame, queries: DataFrame, rules: Rules | None = None, limit: int = 5,
-             overfetch: int | None = None, stem: bool = True, index: TextIndex | None = None,
-             query_col: str = "query", key_cols=("query_id",)) -> DataFrame:
-    """Q8: ranked hits, exclusion rules, then the top ``limit`` per query.
-
-    Default: rules are applied *below* the top-k (every visible hit can
-    rank).  ``overfetch=n`` reproduces a fixed pool: top ``n`` first, then
-    rules, then ``limit``.
-    """
-    key_cols = list(key_cols)
-    index = index or build_index(df, stem=stem)
-    qt = query_terms(queries, index, query_col, key_cols)
-    scored = match_all(index, qt, key_cols)
-    rec = df.select("id", "content", "category", "tags", "sensitive")
-    if overfetch is not None:
-        pool = top_k(scored, df, overfetch, key_cols).drop("rank")
-        vis = exclude(pool.join(rec, "id"), rules)
-    else:
-        vis = exclude(scored.join(rec, "id"), rules)
-    w = Window.partitionBy(*key_cols).orderBy(F.col("score").desc(), F.col("created_at").desc(),
-                                              F.col("id").asc())
-    return vis.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
-
-
-# ------------------------------------------------------------------ phrases --
-
-def build_positions(df: DataFrame, stem: bool = True, fields=("content", "tags")) -> DataFrame:
-    """``(id, field, pos, term)`` for phrase matching, materialised once."""
-    tok = tokens(df, fields)
-    if stem:
-        tok = apply_stems(tok)
-    return materialize(tok)
-
-
-def phrase_search(df: DataFrame, queries: DataFrame, limit: int | None = 5,
-                  index: TextIndex | None = None, positions: DataFrame | None = None,
-                  stem: bool = True, phrases_col: str = "phrases", key_cols=("query_id",)) -> DataFrame:
-    """Q5 phrases: rows containing *every* phrase of the query, each as
-    consecutive tokens of one field.  A phrase is scored as one BM25 unit
-    (frequency = its occurrences in the row, document frequency = rows
-    holding it).  ``(…keys, id, created_at, score, rank)``.
-
-    Plan (as for terms): each phrase's rarest term seeds candidate starts
-    (its positions minus its place in the phrase); each candidate start is
-    expanded with the phrase's terms at their expected positions and checked
-    with an equi-join on ``(id, field, pos, term)`` -- a unique key, so a
-    common term never fans out.  Phrase-side and candidate tables are
-    broadcast when a count proves them small; the positions are streamed.
-    """
-    key_cols = list(key_cols)
-    index = index or build_index(df, stem=stem)
-    positions = positions if positions is not None else build_positions(df, stem)
-    ph = queries.select(*key_cols, F.posexplode(F.col(phrases_col)).alias("ph_id", "phrase"))
-    pt = ph.select(*key_cols, "ph_id", F.posexplode(fts_tokens(F.col("phrase"))).alias("i", "term"))
-    if stem:
-        pt = pt.join(stem_vocabulary(pt), "term").drop("term").withColumnRenamed("stem", "term")
-    pt = materialize(pt)
-    small = pt.count() <= BROADCAST_MAX_ROWS
-    bc = F.broadcast if small else (lambda d: d)
-    k = pt.groupBy(*key_cols, "ph_id").agg(F.count(F.lit(1)).alias("k"))
-    known = bc(pt).join(index.term_stats(), "term")
-    rare = known.groupBy(*key_cols, "ph_id").agg(
-        F.count(F.lit(1)).alias("n_known"), F.min(F.struct("n_t", "i", "term")).alias("_r"))
-    seeds = (rare.join(k, key_cols + ["ph_id"]).filter(F.col("n_known") == F.col("k"))
-             .select(*key_cols, "ph_id", "k", F.col("_r.i").alias("ri"), F.col("_r.term").alias("term")))
-    starts = bc(seeds).join(positions, "term").select(
-        *key_cols, "ph_id", "k", "id", "field", (F.col("pos") - F.col("ri")).alias("start"))
-    expanded = starts.join(bc(pt.select(*key_cols, "ph_id", "i", "term")), key_cols + ["ph_id"]) \
-        .select(*key_cols, "ph_id", "k", "id", "field", "start", "term",
-                (F.col("start") + F.col("i")).alias("pos"))
-    expanded = materialize(expanded)
-    if expanded.count() <= BROADCAST_MAX_ROWS:
-        expanded = F.broadcast(expanded)
-    checked = expanded.join(positions, ["id", "field", "pos", "term"])
-    starts = (checked.groupBy(*key_cols, "ph_id", "k", "id", "field", "start")
-              .agg(F.count(F.lit(1)).alias("hits"))
-              .filter(F.col("hits") == F.col("k")))
-    occ = starts.groupBy(*key_cols, "ph_id", "id").agg(F.count(F.lit(1)).alias("tf"))
-    nph = occ.groupBy(*key_cols, "ph_id").agg(F.count(F.lit(1)).alias("n_t"))
-    need = k.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("n_ph"))
-    scored = _with_stats(occ.join(nph, key_cols + ["ph_id"]).join(index.lengths, "id"), index)
-    part = _bm25(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("n_rows"), F.col("n_t"))
-    per_row = scored.groupBy(*key_cols, "id", "created_at").agg(
-        F.count(F.lit(1)).alias("n_hit"),
-        F.sort_array(F.collect_list(F.struct("ph_id", part.alias("s")))).alias("_p"))
-    # summed in phrase order: deterministic, so equal rows tie exactly
-    per_row = per_row.withColumn("score", F.aggregate("_p", F.lit(0.0).cast("double"),
-                                                      lambda a, x: a + x["s"])).drop("_p")
-    full = per_row.join(need, key_cols).filter(F.col("n_hit") == F.col("n_ph")).drop("n_hit", "n_ph")
-    return top_k(full, df, limit, key_cols)
+    ranked_q = routed.filter(F.col("mode") == "ranked").withColumn(
+        "_all", F.filter(_words(F.col(query_col)), lambda w: w != "AND"))
+    ranked = top_k(match(index, _units(ranked_q, index, keys, {"_all": ("all", False, True)}), keys), limit, scope)
+    cols = [*scope, "mode", "id", "created_at", "score", "rank"]
+    kw = keyword_search(df, routed.filter(F.col("mode") == "keyword"), limit, query_col, key_cols, by=index.by)
+    return ranked.withColumn("mode", F.lit("ranked")).select(*cols).unionByName(
+        kw.withColumn("mode", F.lit("keyword")).withColumn("score", F.col("score").cast("double")).select(*cols))
+
+
+def relevant(df: DataFrame, queries: DataFrame, rules: Rules | DataFrame | None = None, limit: int = 5, stem: bool = True,
+             index: TextIndex | None = None, query_col: str = "query", key_cols=("query_id",), by=()) -> DataFrame:
+    """Q8: ranked hits, exclusion rules (one ``Rules`` value, or a rules table
+    per owner), then the top ``limit`` per query.  Rules are applied *below*
+    the top-k, so every visible hit can rank."""
+    keys = list(key_cols)
+    index = index or build_index(df, stem=stem, by=by)
+    scope = [*keys, *[c for c in index.by if c not in keys]]
+    scored = _scored(index, _plain_terms(_bag(queries, index, query_col, keys)), scope, None)
+    rec = df.select(*index.by, "id", "content", "category", "tags", "sensitive")
+    vis = exclude(scored.join(rec, [*index.by, "id"]), rules, *([index.by] if isinstance(rules, DataFrame) else []))
+    return top_k(vis, limit, scope)

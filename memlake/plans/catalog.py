@@ -8,19 +8,26 @@ that the DuckDB oracle text in ``ORACLE_SQL`` yields the same rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake import fixtures as fx
 from memlake.functions.classify import classify_frame, extract_tags, category_scores
-from memlake.functions.render import render_line
-from memlake.functions.text import context_line
+from memlake.functions.render import render_line, render_short
+from memlake.functions.text import context_line, fts_tokens
 from memlake.functions.timefn import age_days, is_stale
 from memlake.operators import audit as au
 from memlake.operators import filters as fl
 from memlake.operators import reports as rp
+from memlake.operators import rules as rl
 from memlake.operators.rules import Rules, exclude
+from memlake.schema import validate
+from memlake.session import checkpoint_dir
+from memlake.sources import table as tb
 from memlake.sources.platforms import PLATFORMS
+from memlake.sources.table import decode_legacy, upgrade_schema
 
 AS_OF = fx.AS_OF
 AS_OF_SQL = "TIMESTAMP '2024-07-20 00:00:00'"
@@ -29,6 +36,8 @@ STALE_CUTOFF_SQL = f"({AS_OF_SQL} - INTERVAL 180 DAY)"
 CUSTOM_RULES = Rules(exclude_sensitive=True, exclude_tags=("src3", "de"),
                      exclude_categories=("project",), exclude_keywords=("thn", "Quell"))
 
+EXPORT_PLATFORMS = ("chatgpt", "claude", "gemini")
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
@@ -268,13 +277,12 @@ def _tags_sql(spec) -> str:
     f"SELECT '{name}' AS platform, {_classify_sql(spec)} AS category, COUNT(*) AS n "
     f"FROM records GROUP BY 2" for name, spec in PLATFORMS.items() if name in ("chatgpt", "claude", "gemini"))))
 def q_classify_counts(spark, sf_dir):
-    rec = _rec(spark, sf_dir)
-    parts = [classify_frame(rec.select("content"), spec).select(F.lit(name).alias("platform"), "category")
-             for name, spec in PLATFORMS.items() if name in ("chatgpt", "claude", "gemini")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("platform", "category").agg(F.count(F.lit(1)).alias("n"))
+    # All platforms in one scan: their scores are projected side by side, then each row gives one row a platform.
+    rec = _rec(spark, sf_dir).select("content")
+    for name in EXPORT_PLATFORMS:
+        rec = classify_frame(rec, PLATFORMS[name], out=f"c_{name}")
+    each = F.array(*[F.struct(F.lit(n).alias("platform"), F.col(f"c_{n}").alias("category")) for n in EXPORT_PLATFORMS])
+    return rec.select(F.inline(each)).groupBy("platform", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("category_scores", _with(
@@ -291,14 +299,9 @@ def q_category_scores(spark, sf_dir):
     f"SELECT '{name}' AS platform, id, array_to_string({_tags_sql(spec)}, ',') AS tags FROM records"
     for name, spec in PLATFORMS.items() if name in ("chatgpt", "claude", "gemini"))))
 def q_row_tags(spark, sf_dir):
-    rec = _rec(spark, sf_dir)
-    parts = [rec.select(F.lit(name).alias("platform"), "id",
-                        F.array_join(extract_tags("content", spec), ",").alias("tags"))
-             for name, spec in PLATFORMS.items() if name in ("chatgpt", "claude", "gemini")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    each = F.array(*[F.struct(F.lit(n).alias("platform"), F.array_join(extract_tags("content", PLATFORMS[n]), ",").alias("tags"))
+                     for n in EXPORT_PLATFORMS])
+    return _rec(spark, sf_dir).select("id", F.inline(each))
 
 
 # ---------------------------------------------------- lines, ages, render ---
@@ -577,7 +580,7 @@ def q_index_stats(spark, sf_dir):
     idx = se.build_index(_rec(spark, sf_dir), stem=False)
     return idx.stats.select(
         F.col("n_rows").cast("bigint"), F.round("avgdl", 6).alias("avgdl"),
-        idx.postings.select("term").distinct().agg(F.count(F.lit(1))).scalar().alias("n_terms"),
+        idx.terms.agg(F.count(F.lit(1))).scalar().alias("n_terms"),
         idx.postings.agg(F.count(F.lit(1))).scalar().alias("n_postings"))
 
 
@@ -679,54 +682,52 @@ CHANGE_AS_OF_SQL = "TIMESTAMP '2024-07-20 00:00:00'"
 , new AS (SELECT r.id, COALESCE(ch.s, r.sensitive) AS sensitive,
              CASE WHEN ch.id IS NULL THEN r.updated_at ELSE """ + CHANGE_AS_OF_SQL + """ END AS updated_at
           FROM records r LEFT JOIN ch ON r.id = ch.id)
-SELECT sensitive, strftime(updated_at, '%Y-%m') AS month, COUNT(*) AS n FROM new GROUP BY ALL"""))
+SELECT id, sensitive, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at FROM new"""))
 def q_mark_sensitive(spark, sf_dir):
     """M3: every labelled row's flag set from its label (quality 0 -> sensitive)."""
     ch = fx.table(spark, sf_dir, "labels").select(
         F.col("doc_id").cast("string").alias("id"), (F.col("quality") == 0).alias("sensitive"))
     new, _ = chg.apply_sensitive(_rec(spark, sf_dir), ch, AS_OF)
-    return new.groupBy("sensitive", F.date_format("updated_at", "yyyy-MM").alias("month")).agg(
-        F.count(F.lit(1)).alias("n"))
+    return new.select("id", "sensitive", ts_str("updated_at").alias("updated_at"))
 
 
 @register("change_report", _with("""
 , ids AS (SELECT DISTINCT CAST(conv_id * 13 AS VARCHAR) AS id FROM conversations)
 SELECT 'matched' AS metric, COUNT(*) AS value FROM ids WHERE id IN (SELECT id FROM records)
-UNION ALL SELECT 'not_found', COUNT(*) FROM ids WHERE id NOT IN (SELECT id FROM records)"""))
+UNION ALL SELECT 'not_found', COUNT(*) FROM ids WHERE id NOT IN (SELECT id FROM records)
+UNION ALL SELECT 'rejected', 0"""))
 def q_change_report(spark, sf_dir):
     """M1 report: updates keyed by conversation ids (some exist, some do not)."""
     conv = fx.table(spark, sf_dir, "conversations")
-    ch = conv.filter(F.col("turn") == 0).select((F.col("conv_id") * 13).cast("string").alias("id"),
-                                                F.col("text").alias("content"))
-    _, rep = chg.apply_updates(_rec(spark, sf_dir), ch, AS_OF)
+    ch = conv.select((F.col("conv_id") * 13).cast("string").alias("id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    _, _, rep = chg.apply_updates(_rec(spark, sf_dir), ch, AS_OF)
     return rep
 
 
 @register("apply_updates", _with("""
-, ch AS (SELECT CAST(conv_id * 13 AS VARCHAR) AS id, text AS content FROM conversations WHERE turn = 0)
+, ch AS (SELECT CAST(conv_id * 13 AS VARCHAR) AS id, arg_max(text, turn) AS content FROM conversations GROUP BY conv_id)
 SELECT r.id, sha256(COALESCE(ch.content, r.content)) AS content_key, r.category,
        strftime(CASE WHEN ch.id IS NULL THEN r.updated_at ELSE """ + CHANGE_AS_OF_SQL + """ END,
                 '%Y-%m-%d %H:%M:%S') AS updated_at
 FROM records r LEFT JOIN ch ON r.id = ch.id"""))
 def q_apply_updates(spark, sf_dir):
-    """M1: the first turn of each conversation replaces the content of the
-    record with id conv_id*13 (where it exists)."""
+    """M1: the turns of each conversation replace, one after another, the
+    content of the record with id conv_id*13 (where it exists)."""
     conv = fx.table(spark, sf_dir, "conversations")
-    ch = conv.filter(F.col("turn") == 0).select((F.col("conv_id") * 13).cast("string").alias("id"),
-                                                F.col("text").alias("content"))
-    new, _ = chg.apply_updates(_rec(spark, sf_dir), ch, AS_OF)
+    ch = conv.select((F.col("conv_id") * 13).cast("string").alias("id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+    new, _, _ = chg.apply_updates(_rec(spark, sf_dir), ch, AS_OF)
     return new.select("id", F.sha2("content", 256).alias("content_key"), "category",
                       ts_str("updated_at").alias("updated_at"))
 
 
 @register("delete_flagged", _with("""
-SELECT category, COUNT(*) AS n FROM records
-WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1) GROUP BY category"""))
+SELECT id, category FROM records
+WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1)"""))
 def q_delete_flagged(spark, sf_dir):
-    """M4: delete every row its label marks toxic, then count by category."""
+    """M4: delete every row its label marks toxic."""
     ids = fx.table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("id"))
     new, _ = chg.delete_ids(_rec(spark, sf_dir), ids)
-    return rp.count_by_category(new)
+    return new.select("id", "category")
 
 
 @register("health_examples", _with(_WORDSETS_SQL + """
@@ -801,8 +802,8 @@ UNION ALL SELECT 'skipped', NULL, COUNT(*) FROM t WHERE c = ''
 UNION ALL SELECT 'category', category, COUNT(*) FROM cls GROUP BY category""")
 def q_ingest_conversations(spark, sf_dir):
     """S1-S7 on export documents derived from the conversation turns."""
-    recs, rej = ex.parse_documents(conversation_exports(spark, sf_dir), "claude", AS_OF)
-    return ex.ingest_summary(recs, rej).select("metric", "key", "value")
+    rows = ex.parse_document_rows(conversation_exports(spark, sf_dir), "claude", AS_OF)
+    return ex.ingest_summary(rows).select("metric", "key", "value")
 
 
 @register("ingest_records", f"""
@@ -818,3 +819,487 @@ def q_ingest_records(spark, sf_dir):
     """S1-S6 records (ids, parsed times, categories) from the same documents."""
     recs, _ = ex.parse_documents(conversation_exports(spark, sf_dir), "claude", AS_OF)
     return recs.select("id", ts_str("created_at").alias("created_at"), "category")
+
+
+# ------------------------------------------------- structured and stemmed search ---
+
+def structured_queries(spark, sf_dir) -> DataFrame:
+    """Queries of every kind from the benchmark texts: the first word with
+    alternatives and an excluded word, a three-word phrase, a prefix of four
+    characters, and the same limited to one field."""
+    b = fx.table(spark, sf_dir, "benchmark").select("item_id", fts_tokens("text").alias("w")).where(F.size("w") >= 6)
+    none = F.array().cast("array<string>")
+
+    def kind(n, all_terms=none, any_terms=none, none_terms=none, phrases=none, prefixes=none, field=None):
+        return F.struct((F.col("item_id") * 6 + n).alias("query_id"), all_terms.alias("all_terms"), any_terms.alias("any_terms"),
+                        none_terms.alias("none_terms"), phrases.alias("phrases"), prefixes.alias("prefixes"),
+                        F.lit(field).cast("string").alias("field"))
+    w = F.col("w")
+    phrase = F.array(F.array_join(F.slice(w, 1, 3), " "))
+    start = F.array(F.substring(w[4], 1, 4))
+    return b.select(F.inline(F.array(
+        kind(0, all_terms=F.slice(w, 1, 1), any_terms=F.slice(w, 2, 2), none_terms=F.slice(w, 4, 1)),
+        kind(1, phrases=phrase), kind(2, prefixes=start), kind(3, any_terms=F.slice(w, 1, 4), none_terms=F.slice(w, 5, 2)),
+        kind(4, all_terms=F.slice(w, 2, 1), prefixes=start, field="content"), kind(5, any_terms=F.array(F.lit("src3"), F.lit("en"), w[0]), field="tags"))))
+
+
+_STRUCTURED_SQL = f"""
+, fld AS (SELECT id, 'content' AS f, {_fts_tokens_sql('content')} AS toks FROM records
+          UNION ALL SELECT id, 'tags', {_fts_tokens_sql("array_to_string(tags, ' ')")} FROM records)
+, pos AS (SELECT id, f, toks, generate_subscripts(toks, 1) AS p FROM fld WHERE len(toks) > 0)
+, lens3 AS (SELECT id, SUM(len(toks)) AS dl FROM fld GROUP BY id)
+, st3 AS (SELECT COUNT(*) AS n_rows, SUM(dl) / COUNT(*) AS avgdl FROM lens3)
+, bw AS (SELECT item_id, w FROM (SELECT item_id, {_fts_tokens_sql('text')} AS w FROM benchmark) WHERE len(w) >= 6)
+, raw AS (
+  SELECT item_id * 6 AS query_id, 'all' AS role, [w[1]] AS toks, FALSE AS prefix, NULL AS field FROM bw
+  UNION ALL SELECT item_id * 6, 'any', [unnest(w[2:3])], FALSE, NULL FROM bw
+  UNION ALL SELECT item_id * 6, 'none', [w[4]], FALSE, NULL FROM bw
+  UNION ALL SELECT item_id * 6 + 1, 'all', w[1:3], FALSE, NULL FROM bw
+  UNION ALL SELECT item_id * 6 + 2, 'all', [w[5][1:4]], TRUE, NULL FROM bw
+  UNION ALL SELECT item_id * 6 + 3, 'any', [unnest(w[1:4])], FALSE, NULL FROM bw
+  UNION ALL SELECT item_id * 6 + 3, 'none', [unnest(w[5:6])], FALSE, NULL FROM bw
+  UNION ALL SELECT item_id * 6 + 4, 'all', [w[2]], FALSE, 'content' FROM bw
+  UNION ALL SELECT item_id * 6 + 4, 'all', [w[5][1:4]], TRUE, 'content' FROM bw
+  UNION ALL SELECT item_id * 6 + 5, 'any', [unnest(['src3', 'en', w[1]])], FALSE, 'tags' FROM bw)
+, unit AS (SELECT query_id, role, toks, prefix, field, COUNT(*) AS repeats FROM raw GROUP BY ALL)
+, def AS (SELECT DISTINCT toks, prefix, COALESCE(field, '') AS field FROM unit)
+, occ AS (
+  SELECT d.toks, d.prefix, d.field, pos.id, COUNT(*) AS tf FROM def d JOIN pos
+    ON pos.toks[pos.p] = d.toks[1] AND pos.toks[pos.p:pos.p + len(d.toks) - 1] = d.toks AND (d.field = '' OR d.field = pos.f)
+  WHERE NOT d.prefix GROUP BY ALL
+  UNION ALL SELECT d.toks, d.prefix, d.field, pos.id, COUNT(*) FROM def d JOIN pos
+    ON starts_with(pos.toks[pos.p], d.toks[1]) AND (d.field = '' OR d.field = pos.f) WHERE d.prefix GROUP BY ALL)
+, nt AS (SELECT toks, prefix, field, COUNT(*) AS n_t FROM occ GROUP BY ALL)
+, need3 AS (SELECT query_id, COUNT(*) FILTER (WHERE role = 'all') AS n_all, COUNT(*) FILTER (WHERE role = 'any') AS n_any
+            FROM unit GROUP BY query_id)
+, hit AS (SELECT u.query_id, u.role, u.repeats, o.id, o.tf, n.n_t FROM unit u
+          JOIN occ o ON o.toks = u.toks AND o.prefix = u.prefix AND o.field = COALESCE(u.field, '')
+          JOIN nt n ON n.toks = o.toks AND n.prefix = o.prefix AND n.field = o.field)
+, sc3 AS (SELECT h.query_id, h.id, COUNT(*) FILTER (WHERE role = 'all') AS g_all, COUNT(*) FILTER (WHERE role = 'any') AS g_any,
+            COUNT(*) FILTER (WHERE role = 'none') AS g_none,
+            SUM(CASE WHEN role = 'none' THEN 0 ELSE h.repeats * greatest(ln((st3.n_rows - h.n_t + 0.5) / (h.n_t + 0.5)), 1e-6)
+                * (h.tf * 2.2) / (h.tf + 1.2 * (0.25 + 0.75 * l.dl / st3.avgdl)) END) AS score
+          FROM hit h JOIN lens3 l ON l.id = h.id CROSS JOIN st3 GROUP BY h.query_id, h.id)
+SELECT s.query_id, s.id, round(s.score, 6) AS score FROM sc3 s JOIN need3 n ON n.query_id = s.query_id
+WHERE g_all = n_all AND g_none = 0 AND (n_any = 0 OR g_any > 0) AND n_all + n_any > 0"""
+
+
+@register("structured_search", _with(_STRUCTURED_SQL))
+def q_structured_search(spark, sf_dir):
+    """Q5: required, alternative and excluded terms, phrases, prefixes and fields combined; every hit."""
+    res = se.structured_search(_rec(spark, sf_dir), structured_queries(spark, sf_dir), limit=None, stem=False)
+    return res.select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@register("stems", f"""
+SELECT DISTINCT unnest({_fts_tokens_sql('text')}) AS term FROM documents""")
+def q_stems(spark, sf_dir):
+    """Q2: the vocabulary that is stemmed (the stems themselves are held against SQLite in the tests)."""
+    toks = fx.table(spark, sf_dir, "documents").select(F.explode(fts_tokens("text")).alias("term"))
+    return se.stem_vocabulary(toks).select("term")
+
+
+# ----------------------------------------------------------- owner scope ---
+
+_OWNED_SQL = f"""WITH rec AS (
+  SELECT conv_id AS owner, CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS id, text AS content, turn,
+         role <> 'user' AS sensitive FROM conversations)
+, q AS (SELECT conv_id AS owner, turn AS query_id, text AS query FROM conversations WHERE role = 'user')"""
+
+
+def owned_records(spark, sf_dir) -> DataFrame:
+    """Conversation turns as records of their conversation (the owner)."""
+    c = fx.table(spark, sf_dir, "conversations")
+    at = F.timestamp_seconds(F.lit(int(fx.VIEW_EPOCH.timestamp())) + F.col("turn"))
+    return c.select(F.col("conv_id").alias("owner"), F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
+                    F.col("text").alias("content"), F.lit("manual").alias("source"), F.lit("personal").alias("category"),
+                    F.array().cast("array<string>").alias("tags"), (F.col("role") != "user").alias("sensitive"),
+                    F.lit(0.9).alias("confidence"), at.alias("created_at"), at.alias("updated_at"), F.lit(None).cast("string").alias("source_raw"))
+
+
+def owned_queries(spark, sf_dir) -> DataFrame:
+    """Each user turn asks its own conversation."""
+    c = fx.table(spark, sf_dir, "conversations").where("role = 'user'")
+    return c.select(F.col("conv_id").alias("owner"), F.col("turn").alias("query_id"), F.col("text").alias("query"))
+
+
+@register("keyword_by_owner", _OWNED_SQL + f"""
+, qw AS (SELECT owner, query_id, word, COUNT(*) AS repeats FROM (
+    SELECT owner, query_id, unnest(regexp_split_to_array(lower(query), '[{PY_WHITESPACE}]+')) AS word FROM q) WHERE word <> '' GROUP BY ALL)
+, hits AS (SELECT qw.owner, qw.query_id, r.id, r.turn, CAST(SUM(qw.repeats) AS BIGINT) AS score
+           FROM qw JOIN rec r ON r.owner = qw.owner AND contains(lower(r.content || ' '), qw.word) GROUP BY ALL)
+SELECT owner, query_id, id, score, CAST(row_number() OVER w AS BIGINT) AS rank FROM hits
+WINDOW w AS (PARTITION BY owner, query_id ORDER BY score DESC, turn DESC, id) QUALIFY row_number() OVER w <= 3""")
+def q_keyword_by_owner(spark, sf_dir):
+    """Q7 in each owner's own rows."""
+    res = kw.keyword_search(owned_records(spark, sf_dir), owned_queries(spark, sf_dir), limit=3, by=["owner"])
+    return res.select("owner", "query_id", "id", "score", F.col("rank").cast("bigint"))
+
+
+@register("search_by_owner", _OWNED_SQL + f"""
+, tk AS (SELECT owner, id, unnest({_fts_tokens_sql('content')}) AS term FROM rec)
+, post AS (SELECT owner, term, id, COUNT(*) AS tf FROM tk GROUP BY ALL)
+, lens AS (SELECT r.owner, r.id, r.turn, len({_fts_tokens_sql('content')}) AS dl FROM rec r)
+, st AS (SELECT owner, COUNT(*) AS n_rows, SUM(dl) / COUNT(*) AS avgdl FROM lens GROUP BY owner)
+, tstat AS (SELECT owner, term, COUNT(*) AS n_t FROM post GROUP BY ALL)
+, qt AS (SELECT owner, query_id, term, COUNT(*) AS repeats FROM (
+         SELECT owner, query_id, unnest(({_fts_tokens_sql('query')})[1:2]) AS term FROM q) GROUP BY ALL)
+, need AS (SELECT owner, query_id, COUNT(*) AS n FROM qt GROUP BY ALL)
+, sc AS (SELECT qt.owner, qt.query_id, p.id, COUNT(*) AS n,
+           SUM(qt.repeats * greatest(ln((st.n_rows - t.n_t + 0.5) / (t.n_t + 0.5)), 1e-6)
+             * (p.tf * 2.2) / (p.tf + 1.2 * (0.25 + 0.75 * l.dl / st.avgdl))) AS score
+         FROM qt JOIN post p ON p.owner = qt.owner AND p.term = qt.term JOIN tstat t ON t.owner = qt.owner AND t.term = qt.term
+         JOIN lens l ON l.owner = p.owner AND l.id = p.id JOIN st ON st.owner = qt.owner GROUP BY ALL)
+SELECT sc.owner, sc.query_id, sc.id, round(sc.score, 6) AS score FROM sc JOIN need n ON n.owner = sc.owner AND n.query_id = sc.query_id AND n.n = sc.n""")
+def q_search_by_owner(spark, sf_dir):
+    """Q4 in each owner's own rows and statistics; the first two tokens of each user turn."""
+    q = owned_queries(spark, sf_dir).withColumn("query", F.array_join(F.slice(fts_tokens("query"), 1, 2), " "))
+    res = se.search(owned_records(spark, sf_dir), q, limit=None, stem=False, by=["owner"])
+    return res.select("owner", "query_id", "id", F.round("score", 6).alias("score"))
+
+
+def owner_rules(spark, sf_dir) -> DataFrame:
+    """Rules documents of the conversations: every third hides nothing
+    sensitive, every fourth hides a keyword, every fifth is unreadable, the
+    others name a key of their own; one conversation in seven has none."""
+    o = fx.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("owner")).distinct().where("owner % 7 <> 0")
+    doc = (F.when(F.col("owner") % 3 == 0, F.lit('{"exclude_sensitive": false}'))
+           .when(F.col("owner") % 4 == 0, F.lit('{"exclude_keywords": ["TH"], "exclude_tags": ["x"]}'))
+           .when(F.col("owner") % 5 == 0, F.lit("{broken")).otherwise(F.lit('{"exclude_sensitive": true, "theme": 1}')))
+    return o.select("owner", doc.alias("value"))
+
+
+_OWNER_RULES_SQL = """
+, o AS (SELECT DISTINCT owner FROM rec WHERE owner % 7 <> 0)
+, rules AS (SELECT owner, owner % 3 <> 0 AS exclude_sensitive,
+              CASE WHEN owner % 3 <> 0 AND owner % 4 = 0 THEN 'x' ELSE '' END AS exclude_tags,
+              CASE WHEN owner % 3 <> 0 AND owner % 4 = 0 THEN 'TH' ELSE '' END AS exclude_keywords FROM o)"""
+
+
+@register("rules_table", _OWNED_SQL + _OWNER_RULES_SQL + "\nSELECT owner, exclude_sensitive, exclude_tags, exclude_keywords FROM rules")
+def q_rules_table(spark, sf_dir):
+    """rules of every owner, with defaults."""
+    r = rl.rules_table(owner_rules(spark, sf_dir))
+    return r.select("owner", "exclude_sensitive", F.array_join("exclude_tags", ",").alias("exclude_tags"),
+                    F.array_join("exclude_keywords", ",").alias("exclude_keywords"))
+
+
+@register("unknown_rule_keys", """
+SELECT DISTINCT conv_id AS owner, 'theme' AS unknown_keys FROM conversations
+WHERE conv_id % 7 <> 0 AND conv_id % 3 <> 0 AND conv_id % 4 <> 0 AND conv_id % 5 <> 0""")
+def q_unknown_rule_keys(spark, sf_dir):
+    """documents that name a key that is no rule."""
+    return rl.unknown_rule_keys(owner_rules(spark, sf_dir)).select("owner", F.array_join("unknown_keys", ",").alias("unknown_keys"))
+
+
+@register("exclude_by_owner", _OWNED_SQL + _OWNER_RULES_SQL + """
+SELECT r.id FROM rec r LEFT JOIN rules u ON u.owner = r.owner
+WHERE NOT (COALESCE(u.exclude_sensitive, TRUE) AND r.sensitive)
+  AND NOT (COALESCE(u.exclude_keywords, '') <> '' AND contains(lower(r.content), lower(u.exclude_keywords)))""")
+def q_exclude_by_owner(spark, sf_dir):
+    """F12 with the rules of each row's owner."""
+    return exclude(owned_records(spark, sf_dir), rl.rules_table(owner_rules(spark, sf_dir)), by=["owner"]).select("id")
+
+
+@register("rule_settings", _OWNED_SQL + _OWNER_RULES_SQL + """
+, last AS (SELECT conv_id AS owner, max(turn) AS t, max(turn) FILTER (WHERE turn % 2 = 0) AS te,
+             max(turn) FILTER (WHERE turn % 2 = 1) AS td FROM conversations GROUP BY conv_id)
+SELECT r.owner, COALESCE(l.te % 4 = 0, r.exclude_sensitive) AS exclude_sensitive,
+       CASE WHEN l.td IS NULL THEN r.exclude_tags ELSE 't' || CAST(l.td AS VARCHAR) || ',b' END AS exclude_tags
+FROM rules r JOIN last l ON l.owner = r.owner""")
+def q_rule_settings(spark, sf_dir):
+    """each turn is a setting of its conversation's rules; the last of a key wins."""
+    c = fx.table(spark, sf_dir, "conversations")
+    even = F.col("turn") % 2 == 0
+    value = F.when(even & (F.col("turn") % 4 == 0), " Yes").when(even, "no") \
+        .otherwise(F.concat(F.lit(" t"), F.col("turn").cast("string"), F.lit(", ,b ")))
+    settings = c.select(F.col("conv_id").alias("owner"), F.col("turn").alias("seq"),
+                        F.when(even, "exclude_sensitive").otherwise("exclude_tags").alias("key"), F.trim(value).alias("value"))
+    new = rl.apply_rule_settings(rl.rules_table(owner_rules(spark, sf_dir)), rl.parse_rule_settings(settings), by=["owner"])
+    return new.select("owner", "exclude_sensitive", F.array_join("exclude_tags", ",").alias("exclude_tags"))
+
+
+@register("exclude_tags", _with("SELECT id FROM records WHERE len(list_intersect(tags, ['src3', 'de'])) = 0"))
+def q_exclude_tags(spark, sf_dir):
+    """F16."""
+    return rl.exclude_tags(_rec(spark, sf_dir), ["src3", "de"]).select("id")
+
+
+# ----------------------------------------- exact duplicates, keys, changes ---
+
+def _stored_and_incoming(spark, sf_dir):
+    table = ig.manual_records(fx.conversation_records(spark, sf_dir).withColumn("category", F.lit("personal")), AS_OF)
+    pos = F.col("id").cast("bigint")
+    inc = _rec(spark, sf_dir).withColumn("file", F.lit("documents")).withColumn("pos", pos)
+    # A third of the batch again as copies of one text, behind all others.
+    hot = inc.where(pos % 3 == 0).withColumn("content", F.lit("Hot text.")).withColumn("file", F.lit("hot")) \
+        .withColumn("id", F.concat(F.lit("h"), F.col("id")))
+    talk = fx.conversation_records(spark, sf_dir).select(F.col("content"), F.concat_ws("/", F.lit("c"), F.col("owner").cast("string"),
+                                                         F.col("pos").cast("string")).alias("id"), F.lit("talk").alias("file"),
+                                                         (F.col("owner") * 1000 + F.col("pos")).alias("pos"))
+    cols = ["id", "content", "file", "pos"]
+    return table, inc.select(*cols).unionByName(hot.select(*cols)).unionByName(talk.select(*cols))
+
+
+_INCOMING_SQL = """
+, inc AS (SELECT id, content, 'documents' AS file, CAST(id AS BIGINT) AS pos FROM records
+          UNION ALL SELECT 'h' || id, 'Hot text.', 'hot', CAST(id AS BIGINT) FROM records WHERE CAST(id AS BIGINT) % 3 = 0
+          UNION ALL SELECT 'c/' || conv_id || '/' || turn, text, 'talk', conv_id * 1000 + turn FROM conversations)"""
+
+
+@register("new_rows", _with(_INCOMING_SQL + "\nSELECT id FROM inc WHERE content NOT IN (SELECT text FROM conversations)"))
+def q_new_rows(spark, sf_dir):
+    """Incoming rows whose text is not stored; a third of them hold one text."""
+    table, inc = _stored_and_incoming(spark, sf_dir)
+    return dd.new_rows(table, inc).select("id")
+
+
+@register("dedup_batch", _with(_INCOMING_SQL + """
+SELECT id FROM inc QUALIFY row_number() OVER (PARTITION BY content ORDER BY file, pos) = 1"""))
+def q_dedup_batch(spark, sf_dir):
+    """The first row of each text."""
+    return dd.dedup_batch(_stored_and_incoming(spark, sf_dir)[1]).select("id")
+
+
+@register("check_keys", _with("""
+SELECT id, CAST(2 AS BIGINT) AS n FROM records WHERE id IN (SELECT CAST(doc_id AS VARCHAR) FROM labels)"""))
+def q_check_keys(spark, sf_dir):
+    """D3: ids that would be held twice after the labelled rows are added again."""
+    rec = _rec(spark, sf_dir)
+    again = fx.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id")).join(rec, "id", "left_semi")
+    return dd.check_keys(rec, again)
+
+
+@register("apply_edits", _with("""
+, ch AS (SELECT CAST(doc_id AS VARCHAR) AS id, quality, toxic FROM labels)
+SELECT r.id, sha256(CASE WHEN ch.toxic = 1 THEN 'edited ' || r.id ELSE r.content END) AS content_key,
+       CASE WHEN ch.quality = 1 THEN 'project' ELSE r.category END AS category,
+       CASE WHEN ch.quality = 0 THEN 'a||b' ELSE array_to_string(r.tags, '|') END AS tags
+FROM records r LEFT JOIN ch ON r.id = ch.id AND NOT (ch.quality = 0 AND ch.toxic = 1)"""))
+def q_apply_edits(spark, sf_dir):
+    """M2: edits from the labels (empty content keeps the old one, blanks of tags stay); some name a category that does not exist."""
+    lab = fx.table(spark, sf_dir, "labels")
+    sid = F.col("doc_id").cast("string")
+    ch = lab.select(sid.alias("id"), F.when(F.col("toxic") == 1, F.concat(F.lit("edited "), sid)).otherwise("").alias("content"),
+                    F.when(F.col("quality") == 1, "project").when(F.col("toxic") == 1, "bogus").alias("category"),
+                    F.when(F.col("quality") == 0, " a,, b ").alias("tags"))
+    new, _, _ = chg.apply_edits(_rec(spark, sf_dir), ch, AS_OF)
+    return new.select("id", F.sha2("content", 256).alias("content_key"), "category", F.array_join("tags", "|").alias("tags"))
+
+
+@register("rejected_edits", """
+SELECT CAST(doc_id AS VARCHAR) AS id, 'bad_category' AS problems FROM labels WHERE quality = 0 AND toxic = 1""")
+def q_rejected_edits(spark, sf_dir):
+    """P9 before M2: the changes that are not applied."""
+    lab = fx.table(spark, sf_dir, "labels")
+    ch = lab.select(F.col("doc_id").cast("string").alias("id"), F.lit("").alias("content"),
+                    F.when(F.col("quality") == 1, "project").when(F.col("toxic") == 1, "bogus").alias("category"))
+    return chg.split_changes(ch, content_required=False)[1].select("id", F.array_join("problems", ",").alias("problems"))
+
+
+@register("clear_source", _with("SELECT id FROM records WHERE source <> 'claude'"))
+def q_clear_source(spark, sf_dir):
+    """M5."""
+    return chg.clear_source(_rec(spark, sf_dir), "claude")[0].select("id")
+
+
+@register("clear_all", _with("SELECT 'deleted' AS metric, COUNT(*) AS value FROM records"))
+def q_clear_all(spark, sf_dir):
+    """M6: the number of rows removed, and those left (none)."""
+    left, report = chg.clear_all(_rec(spark, sf_dir))
+    return report.unionByName(left.select(F.lit("left").alias("metric"), F.lit(1).cast("bigint").alias("value")))
+
+
+# ------------------------------------------------ validation, legacy, packs ---
+
+@register("validate", _with("""
+, bad AS (SELECT id, concat_ws(',', CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN 'bad_category' END,
+                               CASE WHEN CAST(id AS BIGINT) % 6 = 0 THEN 'bad_confidence' END) AS problems FROM records)
+SELECT id, problems FROM bad"""))
+def q_validate(spark, sf_dir):
+    """Every fourth record has a category, every sixth a confidence, that is not allowed."""
+    n = F.col("id").cast("bigint")
+    rec = _rec(spark, sf_dir).withColumn("category", F.when(n % 4 == 0, "odd").otherwise(F.col("category"))) \
+        .withColumn("confidence", F.when(n % 6 == 0, 1.5).otherwise(F.col("confidence")))
+    good, bad = validate(rec)
+    return good.select("id", F.lit("").alias("problems")).unionByName(bad.select("id", F.array_join("problems", ",").alias("problems")))
+
+
+@register("decode_legacy", _with("""
+SELECT id, array_to_string(tags, ',') AS tags, sensitive, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM records"""))
+def q_decode_legacy(spark, sf_dir):
+    """Rows as stored text back to typed rows, the flag column missing and added again."""
+    rec = _rec(spark, sf_dir)
+    iso = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ssXXX")
+    legacy = rec.select("id", "content", "source", "category", F.to_json("tags").alias("tags"), F.col("sensitive").cast("int").alias("sensitive"),
+                        "confidence", iso.alias("created_at"), iso.alias("updated_at"), "source_raw")
+    return upgrade_schema(decode_legacy(legacy)).select("id", F.array_join("tags", ",").alias("tags"), "sensitive", ts_str("created_at").alias("created_at"))
+
+
+@register("upgrade_schema", _with("SELECT id, FALSE AS sensitive, CAST(0.8 AS DOUBLE) AS confidence, 0 AS n_tags FROM records"))
+def q_upgrade_schema(spark, sf_dir):
+    """M8: columns that an older table lacks come with their defaults."""
+    old = _rec(spark, sf_dir).drop("sensitive", "confidence", "tags", "source_raw")
+    return upgrade_schema(old).select("id", "sensitive", "confidence", F.size("tags").alias("n_tags"))
+
+
+@register("define_packs", """
+WITH d AS (SELECT source AS name, doc_id AS seq, lang FROM documents), new AS (SELECT name, arg_max(lang, seq) AS l FROM d GROUP BY name)
+SELECT name, 'personal,' || l AS categories FROM new WHERE name NOT IN ('src1', 'src2')
+UNION ALL SELECT 'kept', 'project'""")
+def q_define_packs(spark, sf_dir):
+    """K1, K4: a definition a document, named after its source; the last of a name stands, two packs are dropped again."""
+    d = fx.table(spark, sf_dir, "documents")
+    defs = d.select(F.col("source").alias("name"), F.concat(F.lit("personal, "), F.col("lang")).alias("categories"), F.lit("").alias("tags"),
+                    F.lit("").alias("exclude_tags"), F.lit("").alias("description"), F.col("doc_id").alias("seq"))
+    old = pk.parse_pack_defs(spark.createDataFrame([("kept", "project", "", "", ""), ("src3", "project", "", "", "")],
+                                                   "name string, categories string, tags string, exclude_tags string, description string"))
+    packs = pk.drop_packs(pk.define_packs(old, defs), spark.createDataFrame([("src1",), ("src2",)], "name string"))
+    return packs.select("name", F.array_join("categories", ",").alias("categories"))
+
+
+# ------------------------------------------------------ exports of all kinds ---
+
+def chatgpt_exports(spark, sf_dir) -> DataFrame:
+    """An export file a conversation: an array of all its turns, user turns as
+    memories, system turns blank, assistant turns of a wrong type."""
+    c = fx.table(spark, sf_dir, "conversations")
+    at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 60), "yyyyMMdd'T'HHmmss")
+    e = (F.when(F.col("role") == "user", F.to_json(F.struct(F.col("text").alias("memory"), at.alias("created_at"))))
+         .when(F.col("role") == "system", F.lit('{"memory": "  "}')).otherwise(F.to_json(F.array("text"))))
+    return (c.select("conv_id", "turn", e.alias("e")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "e"))).alias("t"))
+            .select(F.col("conv_id").cast("string").alias("file"),
+                    F.concat(F.lit("["), F.array_join(F.transform("t", lambda x: x["e"]), ","), F.lit("]")).alias("value")))
+
+
+def gemini_exports(spark, sf_dir) -> DataFrame:
+    """A wrapper object a conversation: odd ones hold ``items`` behind an empty
+    ``memories``, every fifth file is broken, every seventh holds no array."""
+    c = fx.table(spark, sf_dir, "conversations")
+    at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 60), "yyyy-MM-dd HH:mm:ss")
+    e = (F.when(F.col("role") == "user", F.to_json(F.struct(F.col("text").alias("title"), at.alias("timestamp"))))
+         .when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("").alias("memory"), F.col("text").alias("text"), F.lit("12:30").alias("created_at"))))
+         .otherwise(F.to_json(F.struct(F.lit(7).alias("content")))))
+    t = c.select("conv_id", "turn", e.alias("e")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "e"))).alias("t"))
+    listed = F.concat(F.lit("["), F.array_join(F.transform("t", lambda x: x["e"]), ","), F.lit("]"))
+    n = F.col("conv_id")
+    doc = (F.when(n % 5 == 0, F.lit("{broken")).when(n % 7 == 0, F.lit('"text"'))
+           .when(n % 2 == 1, F.concat(F.lit('{"memories": [], "items": '), listed, F.lit("}"))).otherwise(F.concat(F.lit('{"memories": '), listed, F.lit("}"))))
+    return t.select(n.cast("string").alias("file"), doc.alias("value"))
+
+
+_GPT_SQL = f"""
+WITH c AS (SELECT conv_id, turn, role, {_CONV_STRIP} AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations)"""
+
+
+@register("ingest_chatgpt", _GPT_SQL + f"""
+SELECT sha256('chatgpt|' || conv_id || '|' || pos || '|' || c) AS id, CAST(pos AS BIGINT) AS pos,
+       strftime(TIMESTAMP '2024-01-01 00:00:00' + turn * INTERVAL '1' MINUTE, '%Y-%m-%d %H:%M:%S') AS created_at,
+       {_classify_sql(PLATFORMS['chatgpt']).replace('(content)', '(c)')} AS category
+FROM c WHERE role = 'user' AND c <> ''""")
+def q_ingest_chatgpt(spark, sf_dir):
+    """Records of exports with several elements, compact times."""
+    recs, _ = ex.parse_documents(chatgpt_exports(spark, sf_dir), "chatgpt", AS_OF)
+    return recs.select("id", "pos", ts_str("created_at").alias("created_at"), "category")
+
+
+@register("rejects_chatgpt", _GPT_SQL + """
+SELECT CAST(conv_id AS VARCHAR) AS file, CAST(pos AS BIGINT) AS pos,
+       CASE WHEN role = 'assistant' THEN 'wrong_element_type' ELSE 'blank' END AS reason
+FROM c WHERE role = 'assistant' OR role = 'system' OR c = ''""")
+def q_rejects_chatgpt(spark, sf_dir):
+    """Every element that is no record, with its place and reason."""
+    _, rej = ex.parse_documents(chatgpt_exports(spark, sf_dir), "chatgpt", AS_OF)
+    return rej.select("file", "pos", "reason")
+
+
+@register("ingest_gemini", _GPT_SQL + """
+SELECT sha256('gemini|' || conv_id || '|' || pos || '|' || c) AS id,
+       CASE WHEN role = 'user' THEN strftime(TIMESTAMP '2024-01-01 00:00:00' + turn * INTERVAL '1' MINUTE, '%Y-%m-%d %H:%M:%S')
+            ELSE '2024-07-20 00:00:00' END AS created_at
+FROM c WHERE conv_id % 5 <> 0 AND conv_id % 7 <> 0 AND role IN ('user', 'assistant') AND c <> ''""")
+def q_ingest_gemini(spark, sf_dir):
+    """Wrapper objects; a time alone is no time."""
+    recs, _ = ex.parse_documents(gemini_exports(spark, sf_dir), "gemini", AS_OF)
+    return recs.select("id", ts_str("created_at").alias("created_at"))
+
+
+@register("reject_counts", _GPT_SQL + """
+, r AS (SELECT DISTINCT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'unparseable' ELSE 'not_an_array' END AS reason FROM c
+        WHERE conv_id % 5 = 0 OR conv_id % 7 = 0)
+SELECT 'gemini' AS platform, reason, COUNT(*) AS n FROM r GROUP BY reason
+UNION ALL SELECT 'gemini', CASE WHEN role IN ('user', 'assistant') THEN 'blank' ELSE 'bad_text_type' END AS reason, COUNT(*) FROM c
+WHERE conv_id % 5 <> 0 AND conv_id % 7 <> 0 AND (role NOT IN ('user', 'assistant') OR c = '') GROUP BY ALL""")
+def q_reject_counts(spark, sf_dir):
+    """Rejects by reason, of files and of elements."""
+    _, rej = ex.parse_documents(gemini_exports(spark, sf_dir), "gemini", AS_OF)
+    return ex.reject_counts(rej)
+
+
+@register("ingest_json_lines", f"""
+WITH c AS (SELECT conv_id, turn, {_CONV_STRIP} AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS file, CAST(pos AS BIGINT) AS pos, c AS content FROM c WHERE c <> ''""")
+def q_ingest_json_lines(spark, sf_dir):
+    """S2 from JSON Lines: an element a line, a file a conversation."""
+    c = fx.table(spark, sf_dir, "conversations")
+    line = F.to_json(F.struct(F.col("text").alias("memory")))
+    docs = (c.select("conv_id", "turn", line.alias("e")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "e"))).alias("t"))
+            .select(F.col("conv_id").cast("string").alias("file"), F.array_join(F.transform("t", lambda x: x["e"]), "\n").alias("value")))
+    recs, _ = ex.parse_documents(docs, "claude", AS_OF, lines=True)
+    return recs.select("file", "pos", "content")
+
+
+# --------------------------------------------------------- written and reread ---
+
+@register("export_json", _with("""
+SELECT id, source, category, array_to_string(tags, ',') AS tags, sensitive, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at
+FROM records WHERE source = 'claude'"""))
+def q_export_json(spark, sf_dir):
+    """One source written as JSON Lines and read again."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/memlake-export-{uuid.uuid4().hex}"
+    tb.export_json(_rec(spark, sf_dir), path, source="claude")
+    back = spark.read.schema("id string, source string, category string, tags array<string>, sensitive boolean, created_at timestamp").json(path)
+    return back.select("id", "source", "category", F.array_join("tags", ",").alias("tags"), "sensitive", ts_str("created_at").alias("created_at"))
+
+
+@register("snapshot", _with("SELECT id, source, category, sensitive, confidence FROM records"))
+def q_snapshot(spark, sf_dir):
+    """A snapshot written, found as the latest and read with the fixed schema."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/memlake-snapshots-{uuid.uuid4().hex}"
+    tb.write_snapshot(_rec(spark, sf_dir).limit(0), base, 1)
+    tb.write_snapshot(_rec(spark, sf_dir), base, 2)
+    path = tb.snapshot_path(base, tb.latest_version(spark, base))
+    return tb.read_table(spark, path).select("id", "source", "category", "sensitive", "confidence")
+
+
+@register("render_list", _with(f"""
+SELECT id, lpad(CAST(n AS VARCHAR), 3, ' ') || '. [' || rpad(source, CAST(greatest(8, len(source)) AS INTEGER), ' ') || '] [' || rpad(category, CAST(greatest(12, len(category)) AS INTEGER), ' ')
+  || '] ' || content[1:60] || CASE WHEN sensitive THEN ' [SENSITIVE]' ELSE '' END || chr(10) || '     Tags: ' || array_to_string(tags, ', ')
+  || chr(10) || '     ID: ' || id || '  |  Age: ' || CAST(floor((epoch_us({AS_OF_SQL}) - epoch_us(created_at)) / 86400000000) AS BIGINT) || 'd' AS line
+FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS n FROM records) WHERE n <= 20"""))
+def q_render_list(spark, sf_dir):
+    """List form of the newest page."""
+    rows = fl.with_position(fl.page(_rec(spark, sf_dir), limit=20), start=1)
+    return rows.select("id", render_short(F.col("position"), verbose=True, as_of=AS_OF).alias("line"))
+
+
+@register("page_by_owner", _OWNED_SQL + """
+SELECT id FROM rec QUALIFY row_number() OVER (PARTITION BY owner ORDER BY turn DESC, id) BETWEEN 2 AND 3""")
+def q_page_by_owner(spark, sf_dir):
+    """L1 for every owner."""
+    return fl.page(owned_records(spark, sf_dir), limit=2, offset=1, by=["owner"]).select("id")
+
+
+@register("prompts_by_owner", _OWNED_SQL + f"""
+, qw AS (SELECT owner, query_id, word, COUNT(*) AS repeats FROM (
+    SELECT owner, query_id, unnest(regexp_split_to_array(lower(query), '[{PY_WHITESPACE}]+')) AS word FROM q) WHERE word <> '' GROUP BY ALL)
+, hits AS (SELECT qw.owner, qw.query_id, r.id, r.turn, r.content, r.sensitive, SUM(qw.repeats) AS score
+           FROM qw JOIN rec r ON r.owner = qw.owner AND contains(lower(r.content || ' '), qw.word) GROUP BY ALL)
+, top AS (SELECT *, row_number() OVER (PARTITION BY owner, query_id ORDER BY score DESC, turn DESC, id) AS rank FROM hits
+          QUALIFY row_number() OVER (PARTITION BY owner, query_id ORDER BY score DESC, turn DESC, id) <= 8)
+, agg AS (SELECT owner, query_id, string_agg('[PERSONAL] ' || content, chr(10) ORDER BY rank) AS block FROM top WHERE NOT sensitive GROUP BY ALL)
+SELECT q.owner, q.query_id, CASE WHEN a.block IS NULL THEN q.query ELSE '## Personal Context' || chr(10) || a.block || chr(10) || chr(10)
+  || '---' || chr(10) || chr(10) || q.query END AS prompt FROM q LEFT JOIN agg a ON a.owner = q.owner AND a.query_id = q.query_id""")
+def q_prompts_by_owner(spark, sf_dir):
+    """K5 in each owner's own rows."""
+    return pk.prompts(owned_records(spark, sf_dir), owned_queries(spark, sf_dir), Rules(), limit=8, by=["owner"]).select("owner", "query_id", "prompt")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.functions.classify import classify, extract_tags
+from memlake.functions.classify import classify_frame, extract_tags
 from memlake.functions.text import strip
 from memlake.functions.timefn import parse_ts, ts_lit
 from memlake.schema import RECORD_COLUMNS
@@ -79,15 +79,16 @@ def _elements(files: DataFrame, spec: PlatformSpec) -> DataFrame:
     err = (F.when(F.col("v").isNull(), F.lit("unparseable"))
            .when(F.col("_arr").isNull(), F.lit("not_an_array")))
     df = df.withColumn("_arr", arr).withColumn("file_error", err)
-    ok = df.filter(F.col("file_error").isNull()).select(
-        "file", F.posexplode("_arr").alias("pos", "e"), F.lit(None).cast("string").alias("file_error"))
-    bad = df.filter(F.col("file_error").isNotNull()).select(
-        "file", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("variant").alias("e"), "file_error")
-    return ok.unionByName(bad)
+    # One pass: a file without elements gives one row, kept only as its error.
+    return (df.select("file", F.posexplode_outer("_arr").alias("pos", "e"), "file_error")
+            .filter(F.col("pos").isNotNull() | F.col("file_error").isNotNull()))
 
 
-def parse_elements(elems: DataFrame, platform, as_of) -> tuple[DataFrame, DataFrame]:
-    """``(file, pos, e[, file_error])`` elements to ``(records, rejects)``."""
+def parse_rows(elems: DataFrame, platform, as_of) -> DataFrame:
+    """``(file, pos, e[, file_error])`` elements to one row each: the record
+    columns, ``file``, ``pos``, ``platform``, ``raw``, and ``reason``, which is
+    null for a record and says why for a reject.  Category scores are projected
+    once; ``split_rows`` gives records and rejects."""
     spec = get_platform(platform)
     if "file_error" not in elems.columns:
         elems = elems.withColumn("file_error", F.lit(None).cast("string"))
@@ -105,22 +106,27 @@ def parse_elements(elems: DataFrame, platform, as_of) -> tuple[DataFrame, DataFr
               .when(is_obj & bad_text, F.lit("bad_text_type"))
               .when(content == "", F.lit("blank")))
     created = F.when(is_obj, parse_ts(time_obj, as_of)).otherwise(ts_lit(as_of))
-    staged = elems.select("file", "pos", "e", content.alias("content"), reason.alias("reason"),
-                          created.alias("created_at"))
-    rejects = staged.filter(F.col("reason").isNotNull()).select(
-        "file", F.col("pos").cast("bigint").alias("pos"), F.lit(spec.name).alias("platform"), "reason",
-        F.to_json(F.col("e")).alias("raw"))
-    good = staged.filter(F.col("reason").isNull())
+    staged = elems.select("file", F.col("pos").cast("bigint").alias("pos"), F.to_json(e).alias("raw"), content.alias("content"),
+                          reason.alias("reason"), created.alias("created_at"))
     rid = F.sha2(F.concat_ws("|", F.lit(spec.name), F.col("file"), F.col("pos").cast("string"),
                              F.col("content")), 256)
-    records = good.select(
-        rid.alias("id"), "content", F.lit(spec.name).alias("source"),
-        classify(F.col("content"), spec).alias("category"),
+    scored = classify_frame(staged, spec)
+    return scored.select(
+        rid.alias("id"), "content", F.lit(spec.name).alias("source"), "category",
         extract_tags(F.col("content"), spec).alias("tags"),
         F.lit(False).alias("sensitive"), F.lit(float(spec.confidence)).alias("confidence"),
         "created_at", F.col("created_at").alias("updated_at"), F.col("content").alias("source_raw"),
-        "file", F.col("pos").cast("bigint").alias("pos"))
-    return records, rejects
+        "file", "pos", F.lit(spec.name).alias("platform"), "reason", "raw")
+
+
+def split_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(records, rejects)`` of ``parse_rows``."""
+    return (rows.filter(F.col("reason").isNull()).drop("platform", "reason", "raw"),
+            rows.filter(F.col("reason").isNotNull()).select(*REJECT_COLUMNS))
+
+
+def parse_elements(elems: DataFrame, platform, as_of) -> tuple[DataFrame, DataFrame]:
+    return split_rows(parse_rows(elems, platform, as_of))
 
 
 def read_exports(spark: SparkSession, path: str, platform: PlatformSpec | str = "chatgpt",
@@ -135,9 +141,12 @@ def read_exports(spark: SparkSession, path: str, platform: PlatformSpec | str =
     spec = get_platform(platform)
     as_of = as_of or _dt.datetime.now(_dt.timezone.utc)
     if lines:
+        # A large file is read in splits: a line's place is its split's place in
+        # the file (in steps of 64 KB), then its number in the task.
+        place = (F.shiftleft(F.shiftright(F.col("_metadata.file_block_start"), 16), 36)
+                 + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
         el = spark.read.text(path).select(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.row_index").alias("pos"),
+            F.col("_metadata.file_path").alias("file"), place.alias("pos"),
             F.try_parse_json("value").alias("e"))
         el = el.withColumn("file_error", F.when(F.col("e").isNull(), F.lit("unparseable")))
         return parse_elements(el, spec, as_of)
@@ -148,21 +157,21 @@ def record_columns(df: DataFrame) -> DataFrame:
     return df.select(*RECORD_COLUMNS)
 
 
-def ingest_summary(records: DataFrame, rejects: DataFrame) -> DataFrame:
-    """``(metric, key, value)``: parsed, skipped, then categories by count
-    (``rank`` orders them, most common first)."""
-    parsed = records.agg(F.count(F.lit(1)).alias("value")).select(
-        F.lit("parsed").alias("metric"), F.lit(None).cast("string").alias("key"), "value",
-        F.lit(0).alias("rank"))
-    skipped = rejects.agg(F.count(F.lit(1)).alias("value")).select(
-        F.lit("skipped").alias("metric"), F.lit(None).cast("string").alias("key"), "value",
-        F.lit(0).alias("rank"))
+def ingest_summary(rows: DataFrame) -> DataFrame:
+    """S7 from ``parse_rows``: ``(metric, key, value)``: parsed, skipped, then
+    categories by count (``rank`` orders them, most common first).  One
+    aggregate over the parsed rows."""
     from pyspark.sql import Window
-    cats = records.groupBy("category").agg(F.count(F.lit(1)).alias("value"))
-    w = Window.orderBy(F.col("value").desc(), F.col("category"))
-    cats = cats.select(F.lit("category").alias("metric"), F.col("category").alias("key"), "value",
-                       F.row_number().over(w).alias("rank"))
-    return parsed.unionByName(skipped).unionByName(cats)
+    counts = rows.groupBy(F.col("reason").isNull().alias("ok"), F.when(F.col("reason").isNull(), F.col("category")).alias("category")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+    row = lambda name, key: F.struct(F.lit(name).alias("metric"), key.alias("key"), F.col("n").alias("value"))
+    none = F.lit(None).cast("string")
+    each = F.when(F.col("ok"), F.array(row("parsed", none), row("category", F.col("category")))).otherwise(F.array(row("skipped", none)))
+    zero = F.array(*[F.struct(F.lit(m).alias("metric"), none.alias("key"), F.lit(0).cast("bigint").alias("value")) for m in ("parsed", "skipped")])
+    found = counts.select(F.inline(each)).unionByName(rows.sparkSession.range(1).select(F.inline(zero)))
+    found = found.groupBy("metric", "key").agg(F.sum("value").alias("value"))
+    w = Window.partitionBy("metric").orderBy(F.col("value").desc(), F.col("key"))
+    return found.withColumn("rank", F.when(F.col("metric") == "category", F.row_number().over(w)).otherwise(F.lit(0)))
 
 
 def reject_counts(rejects: DataFrame) -> DataFrame:
@@ -170,12 +179,23 @@ def reject_counts(rejects: DataFrame) -> DataFrame:
     return rejects.groupBy("platform", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def parse_documents(docs: DataFrame, platform: PlatformSpec | str = "chatgpt", as_of=None,
-                    file_col: str = "file", text_col: str = "value") -> tuple[DataFrame, DataFrame]:
+def parse_document_rows(docs: DataFrame, platform: PlatformSpec | str = "chatgpt", as_of=None,
+                        file_col: str = "file", text_col: str = "value", lines: bool = False) -> DataFrame:
     """S1-S5 for export documents already held in a table column (one JSON
-    document per row, e.g. landed from a message queue): ``(records, rejects)``."""
+    document per row, e.g. landed from a message queue) as ``parse_rows``;
+    ``lines``: a document is JSON Lines, one element a line."""
     import datetime as _dt
     spec = get_platform(platform)
     as_of = as_of or _dt.datetime.now(_dt.timezone.utc)
     files = docs.select(F.col(file_col).cast("string").alias("file"), F.col(text_col).alias("value"))
-    return parse_elements(_elements(files, spec), spec, as_of)
+    if lines:
+        el = files.select("file", F.posexplode(F.split("value", "\n")).alias("pos", "line")).filter(F.trim("line") != "")
+        el = el.select("file", "pos", F.try_parse_json("line").alias("e"))
+        return parse_rows(el.withColumn("file_error", F.when(F.col("e").isNull(), F.lit("unparseable"))), spec, as_of)
+    return parse_rows(_elements(files, spec), spec, as_of)
+
+
+def parse_documents(docs: DataFrame, platform: PlatformSpec | str = "chatgpt", as_of=None, file_col: str = "file",
+                    text_col: str = "value", lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(records, rejects)`` of ``parse_document_rows``."""
+    return split_rows(parse_document_rows(docs, platform, as_of, file_col, text_col, lines))

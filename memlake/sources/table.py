@@ -15,9 +15,9 @@ from memlake.schema import EXPORT_COLUMNS, RECORD_COLUMNS, RECORD_SCHEMA
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read a record table with the fixed schema (no inference)."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
-    return upgrade_schema(df)
+    """Read a record table with the fixed schema: no footer is opened to
+    infer one; columns that older files lack come as their defaults (M8)."""
+    return upgrade_schema(spark.read.schema(RECORD_SCHEMA).parquet(path))
 
 
 def upgrade_schema(df: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@ newly arrived export files.
 
 ``readStream`` on the export folder (whole-text files) feeds ``foreachBatch``:
 parse the batch's files, plan against the stored table (first copy wins
-inside the batch, stored contents are skipped), append the inserts and the
-rejects.  A re-run of a failed batch is idempotent: rows it already appended
-are now stored, so the content anti-join skips them.  Progress (which files
+inside the batch, stored contents are skipped), append the inserts and write
+the rejects.  A re-run of a failed batch is idempotent: rows it already
+appended are now stored, so the content anti-join skips them, and its rejects
+replace those of the first try (a folder per batch).  Progress (which files
 were seen) lives in the query's checkpoint location on shared storage.
 """
 
@@ -24,13 +25,16 @@ from memlake.sources.table import append_records
 
 
 def _stored(spark: SparkSession, table_path: str) -> DataFrame:
-    try:
-        return spark.read.parquet(table_path).select(*RECORD_COLUMNS)
-    except Exception:  # noqa: BLE001 - no table yet
+    """The stored rows; none only if there is no such folder yet.  A table that
+    cannot be read fails the batch: taking it for empty would import every row
+    again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], RECORD_SCHEMA)
+    return spark.read.schema(RECORD_SCHEMA).parquet(table_path).select(*RECORD_COLUMNS)
 
 
-def import_batch(batch: DataFrame, table_path: str, platform, as_of=None) -> None:
+def import_batch(batch: DataFrame, table_path: str, platform, as_of=None, batch_id: int = 0) -> None:
     """One micro-batch: ``(file, value)`` rows -> appended records and rejects."""
     spark = batch.sparkSession
     spec = get_platform(platform)
@@ -39,7 +43,7 @@ def import_batch(batch: DataFrame, table_path: str, platform, as_of=None) -> Non
     planned = plan_import(_stored(spark, table_path), records)
     inserts = planned.filter(F.col("action") == "insert")
     append_records(inserts, table_path)
-    rejects.select(*REJECT_COLUMNS).write.mode("append").parquet(table_path.rstrip("/") + "_rejects")
+    rejects.select(*REJECT_COLUMNS).write.mode("overwrite").parquet(f"{table_path.rstrip('/')}_rejects/batch={batch_id}")
 
 
 def start_import_stream(spark: SparkSession, watch_dir: str, table_path: str, platform,
@@ -56,7 +60,7 @@ def start_import_stream(spark: SparkSession, watch_dir: str, table_path: str, pl
     src = reader.load(watch_dir).select(F.col("_metadata.file_path").alias("file"), "value")
 
     def run(df: DataFrame, epoch_id: int) -> None:
-        import_batch(df, table_path, platform, as_of)
+        import_batch(df, table_path, platform, as_of, epoch_id)
 
     w = src.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_location)
     w = w.trigger(availableNow=True) if available_now else w

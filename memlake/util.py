@@ -1,62 +1,48 @@
-"""Small plan helpers shared by operators."""
+"""Plan helpers shared by operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import contextlib
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread ``df`` over at least ``min_partitions`` tasks before a CPU-heavy
-    per-row stage (tokenising, substring scans, regex audits).
 
-    Large inputs already arrive split into many file partitions and pass
-    through untouched; only a small input read as a handful of splits is
-    round-robin repartitioned.  The partition count is known from the plan, so
-    no job runs here.
-    """
-    spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession):
+    """Let Spark delete the shuffle files of a finished write at once: what it
+    made is a table now."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
     try:
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - streaming frames have no RDD
-        return df
-    return df.repartition(want) if have < want else df
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as a Parquet table in the shared folder and reread it.
 
-    Used where one intermediate feeds several branches of a plan (so it is
-    not recomputed per branch) and to cut long lineages.  The folder comes
-    from ``spark.checkpoint.dir`` (set by the cluster; tests set their own),
-    so the data survives the loss of any executor.
+    Used only where one intermediate (a text index, a group table) feeds
+    several branches or later queries.  The folder is the one the cluster names
+    in ``spark.checkpoint.dir``, so the data survives the loss of any executor;
+    ``drop_materialized`` removes the table when its owner is done.
     """
     from memlake.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-# Row bound for broadcasting a side whose size is not fixed by construction.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` when a count proves it has at most ``max_rows`` rows;
-    otherwise return it unchanged (the join then shuffles, and AQE can still
-    split skewed partitions).  Used for query batches and definition tables
-    joined against the records on low-cardinality or hot keys."""
-    from pyspark.sql import functions as F
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
-def newest_rows(df: DataFrame, n: int | None, by: list[str] | None = None) -> DataFrame:
-    """The ``n`` newest rows per scope (``None`` = all rows).  Only used where
-    a caller asks to reproduce a single-machine row cap (``candidate_cap``);
-    a ranked window with a limit plans as WindowGroupLimit (top-n per task
-    before the shuffle)."""
-    if n is None:
-        return df
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-    w = Window.partitionBy(*(by or [])).orderBy(F.col("created_at").desc(), F.col("id"))
-    return df.withColumn("_nr", F.row_number().over(w)).filter(F.col("_nr") <= n).drop("_nr")
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/memlake-{name}-{uuid.uuid4().hex}"
+    with _shuffles_freed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_materialized(*frames: DataFrame) -> None:
+    """Delete the tables that ``materialize`` made for these frames."""
+    for df in frames:
+        for file in df.inputFiles()[:1]:
+            path, _, tail = file.partition("/memlake-")
+            if tail:
+                jvm = df.sparkSession._jvm
+                target = jvm.org.apache.hadoop.fs.Path(f"{path}/memlake-{tail.split('/')[0]}")
+                target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)

@@ -15,7 +15,8 @@ AS_OF = dt.datetime(2025, 1, 1, tzinfo=UTC)
 @pytest.fixture(scope="session")
 def spark():
     from memlake.session import get_spark
-    s = get_spark("local[*]", shuffle_partitions=8)
+    # Small files in small splits, so that the tests run on all cores.
+    s = get_spark("local[*]", shuffle_partitions=8, extra={"spark.sql.files.maxPartitionBytes": "1m", "spark.sql.files.openCostInBytes": "64k"})
     yield s
     s.stop()
 
@@ -33,20 +34,22 @@ def make_records(spark):
     return make
 
 
+#: id, day, source, category, confidence, sensitive, tags, text
+NOTES = [
+    ("n1", 2, "obsidian", "professional", 0.70, False, "trade", "Repairs bicycles at a shop in Ghent."),
+    ("n2", 5, "gemini", "project", 0.75, False, "rust learning", "Learns Rust on weekends."),
+    ("n3", 9, "manual", "relationship", 0.60, False, "family", "Sister lives in Oslo."),
+    ("n4", 14, "gemini", "personal", 1.00, True, "health", "Allergic to penicillin."),
+    ("n5", 20, "obsidian", "preference", 0.50, False, "", "Takes the tram rather than the car."),
+    ("n6", 27, "obsidian", "personal", 0.65, True, "health routine", "Blood pressure is checked monthly."),
+    ("n7", 33, "gemini", "personal", 0.55, False, "books", "Reads Dutch crime novels."),
+    ("n8", 40, "obsidian", "project", 0.90, False, "camera", "Builds a birdhouse camera."),
+]
+
+
 @pytest.fixture
 def seeded(make_records):
-    """Six rows covering every category; two sources twice or more; one sensitive."""
-    t = lambda d: dt.datetime(2024, 1, d, tzinfo=UTC)
-    return make_records([
-        rec("a", "Works as a backend developer writing Python and data pipelines.", "chatgpt",
-            "professional", ["python", "engineering"], False, 0.9, t(1)),
-        rec("b", "Owns a cat called Pixel.", "claude", "personal", ["pets"], False, 0.95, t(2)),
-        rec("c", "Likes light themes in every editor.", "chatgpt", "preference", ["preferences"],
-            False, 0.85, t(3)),
-        rec("d", "Is writing an open-source AI notes service named Quill.", "claude", "project",
-            ["project", "AI"], False, 0.92, t(4)),
-        rec("e", "Meets a mentor every week to talk about AI research.", "manual", "relationship",
-            ["research"], False, 0.8, t(5)),
-        rec("f", "Has been seeing a counsellor about stress.", "claude", "personal",
-            ["health", "therapy"], True, 0.95, t(6)),
-    ])
+    """Eight notes, newest last; the days count from December 2023."""
+    start = dt.datetime(2023, 12, 1, tzinfo=UTC)
+    return make_records([rec(i, text, source, category, tags.split(), sensitive, confidence, start + dt.timedelta(days=day))
+                         for i, day, source, category, confidence, sensitive, tags, text in NOTES])

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memlake.operators.ingest import import_records, manual_records, plan_import
-from memlake.sources.exports import ingest_summary, read_exports, reject_counts
+from memlake.sources.exports import ingest_summary, parse_document_rows, read_exports, reject_counts
 from tests.conftest import AS_OF, UTC
 
 
@@ -21,33 +21,33 @@ def parse(spark, tmp_path, doc, platform, name="export.json"):
     return recs.orderBy("pos").collect(), rej.orderBy("pos").collect()
 
 
-def test_list_of_objects_skips_blank(spark, tmp_path):
-    doc = [{"memory": "Writes Go services for a living.", "created_at": "2024-03-01T08:00:00Z"},
-           {"memory": "Drinks green tea.", "created_at": "2024-03-02T08:00:00Z"},
-           {"memory": "   ", "created_at": "2024-03-03T08:00:00Z"}]
-    recs, rej = parse(spark, tmp_path, doc, "chatgpt")
-    assert len(recs) == 2 and len(rej) == 1
-    assert rej[0]["reason"] == "blank"
-    assert {r["source"] for r in recs} == {"chatgpt"}
-    assert recs[0]["content"] == "Writes Go services for a living."
-    assert recs[0]["created_at"] == dt.datetime(2024, 3, 1, 8, 0)
-    assert recs[0]["updated_at"] == recs[0]["created_at"]
-    assert recs[0]["source_raw"] == recs[0]["content"]
-    assert recs[0]["confidence"] == 0.85
+def test_array_of_objects(spark, tmp_path):
+    spots = [("Plays the viola in a quartet.", "2023-07-09T21:15:30+01:00"), ("\t", "2023-07-10"), ("Keeps two hens.", None), ("", "x")]
+    recs, rej = parse(spark, tmp_path, [{"memory": m, "created_at": c} for m, c in spots], "chatgpt")
+    assert [(r["pos"], r["reason"]) for r in rej] == [(1, "blank"), (3, "blank")]
+    assert [(r["pos"], r["content"], r["created_at"]) for r in recs] == [
+        (0, spots[0][0], dt.datetime(2023, 7, 9, 20, 15, 30)), (2, spots[2][0], AS_OF.replace(tzinfo=None))]
+    for r in recs:
+        assert (r["updated_at"], r["source_raw"], r["source"], r["confidence"]) == (r["created_at"], r["content"], "chatgpt", 0.85)
 
 
-def test_professional_and_preference(spark, tmp_path):
-    doc = [{"memory": "Is a staff software engineer at a startup.", "created_at": "2024-01-01T00:00:00Z"},
-           {"memory": "Prefers dark mode in all apps.", "created_at": "2024-01-01T00:00:00Z"}]
-    recs, _ = parse(spark, tmp_path, doc, "chatgpt")
-    assert [r["category"] for r in recs] == ["professional", "preference"]
+def test_most_keyword_hits_win(spark, tmp_path):
+    from memlake.sources.platforms import PLATFORMS
+    rules = PLATFORMS["chatgpt"].category_rules
+    texts = [" ; ".join(dict.fromkeys(kws[:4])) for _, kws in rules] + ["qqq"]
+    recs, _ = parse(spark, tmp_path, [{"memory": x} for x in texts], "chatgpt")
+
+    def expected(text):
+        hits = [sum(k in text.lower() for k in kws) for _, kws in rules]
+        return rules[hits.index(max(hits))][0] if max(hits) else "personal"
+    assert [r["category"] for r in recs] == [expected(x) for x in texts]
 
 
 def test_strings_and_objects(spark, tmp_path):
-    doc = ["Listens to a lot of jazz music.", {"content": "Has a dog.", "created_at": "bad"}, 7, None,
+    doc = ["Collects old maps.", {"content": "Sings bass.", "created_at": "bad"}, 7, None,
            ["nested"], {"memory": 12}]
     recs, rej = parse(spark, tmp_path, doc, "claude")
-    assert [r["content"] for r in recs] == ["Listens to a lot of jazz music.", "Has a dog."]
+    assert [r["content"] for r in recs] == ["Collects old maps.", "Sings bass."]
     # a bare string and an unparseable time both take as_of
     assert recs[0]["created_at"] == AS_OF.replace(tzinfo=None)
     assert recs[1]["created_at"] == AS_OF.replace(tzinfo=None)
@@ -67,7 +67,7 @@ def test_missing_file_is_an_error(spark, tmp_path):
 
 
 def test_wrapper_object_and_keys(spark, tmp_path):
-    doc = {"memories": [{"text": "Enjoys cycling on Sundays.", "timestamp": "2024-05-05T05:05:05+02:00"}]}
+    doc = {"memories": [{"text": "Rows on the canal.", "timestamp": "2024-05-05T05:05:05+02:00"}]}
     recs, _ = parse(spark, tmp_path, doc, "gemini")
     assert len(recs) == 1 and recs[0]["source"] == "gemini"
     assert recs[0]["created_at"] == dt.datetime(2024, 5, 5, 3, 5, 5)
@@ -85,7 +85,7 @@ def test_unparseable_file_is_one_reject(spark, tmp_path):
 
 
 def test_confidence_order(spark, tmp_path):
-    doc = [{"memory": "Is a developer.", "created_at": "2024-01-01T00:00:00Z"}]
+    doc = [{"memory": "Grinds lenses.", "created_at": "2022-02-02"}]
     a, _ = parse(spark, tmp_path, doc, "chatgpt", "a.json")
     b, _ = parse(spark, tmp_path, doc, "claude", "b.json")
     assert b[0]["confidence"] > a[0]["confidence"]
@@ -104,8 +104,9 @@ def test_tags_map_order_and_cap(spark, tmp_path):
 
 def test_summary_and_reject_counts(spark, tmp_path):
     path = write(tmp_path, "e.json", ["Has a cat.", "", 3, "Loves coffee."])
-    recs, rej = read_exports(spark, path, "claude", as_of=AS_OF)
-    s = {(r["metric"], r["key"]): r["value"] for r in ingest_summary(recs, rej).collect()}
+    _, rej = read_exports(spark, path, "claude", as_of=AS_OF)
+    docs = spark.read.text(path, wholetext=True).selectExpr("'e' as file", "value")
+    s = {(r["metric"], r["key"]): r["value"] for r in ingest_summary(parse_document_rows(docs, "claude", AS_OF)).collect()}
     assert s[("parsed", None)] == 2 and s[("skipped", None)] == 2
     rc = {(r["reason"]): r["n"] for r in reject_counts(rej).collect()}
     assert rc == {"blank": 1, "wrong_element_type": 1}
@@ -130,11 +131,11 @@ def test_import_dedup_within_and_across(spark, tmp_path, make_records):
 
 
 def test_plan_import_is_a_dry_run(spark, tmp_path, make_records, seeded):
-    p = write(tmp_path, "x.json", [{"memory": "Owns a cat called Pixel."}, {"memory": "New fact."}])
+    p = write(tmp_path, "x.json", [{"memory": "Sister lives in Oslo."}, {"memory": "New fact."}])
     recs, _ = read_exports(spark, p, "chatgpt", as_of=AS_OF)
     plan = {r["content"]: r["action"] for r in plan_import(seeded, recs).collect()}
-    assert plan == {"Owns a cat called Pixel.": "duplicate", "New fact.": "insert"}
-    assert seeded.count() == 6
+    assert plan == {"Sister lives in Oslo.": "duplicate", "New fact.": "insert"}
+    assert seeded.count() == 8
 
 
 def test_manual_records_defaults(spark):
@@ -142,3 +143,32 @@ def test_manual_records_defaults(spark):
     r = manual_records(df, AS_OF).first()
     assert (r["source"], r["confidence"], r["sensitive"], r["tags"]) == ("manual", 0.9, False, [])
     assert r["created_at"] == AS_OF.replace(tzinfo=None)
+
+
+def test_iso_times_only(spark):
+    from memlake.functions.timefn import parse_ts
+    d = dt.datetime
+    want = {"2024-01-15": d(2024, 1, 15), "20240115T103000": d(2024, 1, 15, 10, 30), "2024-01-15 10:30": d(2024, 1, 15, 10, 30),
+            "2024-01-15T10:30:05.25Z": d(2024, 1, 15, 10, 30, 5, 250000), "2024-01-15T10:30:05-0130": d(2024, 1, 15, 12, 0, 5),
+            "2024-01-15T10+02": d(2024, 1, 15, 8), "12:30": None, "2024": None, "2024-01": None, "2024-02-30": None, "": None, "soon": None, None: None}
+    df = spark.createDataFrame([(k,) for k in want], "x string").select("x", parse_ts("x", AS_OF).alias("t"))
+    assert {r["x"]: r["t"] for r in df.collect()} == {k: v or AS_OF.replace(tzinfo=None) for k, v in want.items()}
+
+
+def test_json_lines_files(spark, tmp_path):
+    path = write(tmp_path, "many.jsonl", "\n".join(json.dumps({"memory": f"Line {i} of the file."}) for i in range(3000)) + "\n{broken\n")
+    recs, rej = read_exports(spark, path, "claude", as_of=AS_OF, lines=True)
+    rows = recs.orderBy("pos").collect()
+    assert [r["content"] for r in rows] == [f"Line {i} of the file." for i in range(3000)]
+    assert len({r["id"] for r in rows}) == 3000 and [r["reason"] for r in rej.collect()] == ["unparseable"]
+
+
+def test_a_hot_text_meets_in_no_single_task(spark, make_records):
+    """Every row of one third of the batch holds the same text: no join task gets more than its share of them."""
+    n = 6000
+    inc = spark.range(n).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
+        F.concat(F.lit("t"), F.col("id").cast("string"))).alias("content"), F.lit("f").alias("file"), F.col("id").alias("pos"))
+    planned = plan_import(make_records([]), inc)
+    assert planned.filter("action = 'insert'").count() == n - n // 3 + 1
+    joined = planned.select(F.spark_partition_id().alias("p"), "pos").groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(joined) == 1 or max(r["n"] for r in joined) < 2 * n / len(joined)

@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from memlake.operators import changes as ch
@@ -20,56 +21,56 @@ def ids(df):
 
 
 def test_filters_and_order(seeded):
-    assert ids(fl.by_category(seeded, "personal")) == ["f", "b"]
-    assert ids(fl.by_source(seeded, "claude")) == ["f", "d", "b"]
-    assert ids(fl.sensitive(seeded)) == ["f"]
-    assert ids(fl.stale(seeded, dt.datetime(2024, 7, 1, tzinfo=UTC), 180)) == ["a", "b"]
+    assert ids(fl.by_category(seeded, "personal")) == ["n7", "n6", "n4"]
+    assert ids(fl.by_source(seeded, "gemini")) == ["n7", "n4", "n2"]
+    assert ids(fl.sensitive(seeded)) == ["n6", "n4"]
+    assert ids(fl.stale(seeded, dt.datetime(2024, 7, 1, tzinfo=UTC), 180)) == ["n1", "n2", "n3", "n4", "n5", "n6"]
     assert fl.stale(seeded.limit(0), AS_OF).count() == 0
 
 
 def test_lookups(spark, seeded):
-    keys = spark.createDataFrame([("a",), ("zz",), ("a",)], "id string")
-    assert ids(fl.lookup(seeded, keys)) == ["a"]
+    keys = spark.createDataFrame([("n1",), ("zz",), ("n1",)], "id string")
+    assert ids(fl.lookup(seeded, keys)) == ["n1"]
     ex = {r["id"]: r["exists"] for r in fl.id_exists(seeded, keys).collect()}
-    assert ex == {"a": True, "zz": False}
-    texts = spark.createDataFrame([("Owns a cat called Pixel.",), ("owns a cat called pixel.",)], "content string")
+    assert ex == {"n1": True, "zz": False}
+    texts = spark.createDataFrame([("Sister lives in Oslo.",), ("sister lives in oslo.",)], "content string")
     got = {r["content"]: r["exists"] for r in fl.content_exists(seeded, texts).collect()}
-    assert got == {"Owns a cat called Pixel.": True, "owns a cat called pixel.": False}
+    assert got == {"Sister lives in Oslo.": True, "sister lives in oslo.": False}
 
 
 def test_paging(seeded):
-    assert ids(fl.page(seeded, 2, 1)) == ["e", "d"]
+    assert ids(fl.page(seeded, 2, 1)) == ["n7", "n6"]
     rows, total = fl.visible_page(seeded, Rules(), limit=2, offset=0)
-    assert ids(rows) == ["e", "d"] and total.first()["total_visible"] == 5
-    assert ids(fl.visible_category(seeded, "personal", Rules())) == ["b"]
+    assert ids(rows) == ["n8", "n7"] and total.first()["total_visible"] == 6
+    assert ids(fl.visible_category(seeded, "personal", Rules())) == ["n7"]
 
 
 def test_counts_and_stats(seeded):
-    assert rp.count_all(seeded).first()["n"] == 6
+    assert rp.count_all(seeded).first()["n"] == 8
     by_src = {r["source"]: r["n"] for r in rp.count_by_source(seeded).collect()}
-    assert by_src == {"chatgpt": 2, "claude": 3, "manual": 1}
+    assert by_src == {"obsidian": 4, "gemini": 3, "manual": 1}
     by_cat = {r["category"]: r["n"] for r in rp.count_by_category(seeded).collect()}
-    assert sum(by_cat.values()) == 6
+    assert sum(by_cat.values()) == 8
     st = {(r["metric"], r["key"]): r["value"]
           for r in rp.stats(seeded, dt.datetime(2024, 7, 1, tzinfo=UTC), Rules()).collect()}
-    assert st[("total", None)] == 6 and st[("sensitive", None)] == 1 and st[("stale", None)] == 2
-    assert st[("by_source", "claude")] == 3 and st[("rule", "exclude_sensitive=true")] == 1
+    assert st[("total", None)] == 8 and st[("sensitive", None)] == 2 and st[("stale", None)] == 6
+    assert st[("by_source", "gemini")] == 3 and st[("rule", "exclude_sensitive=true")] == 1
 
 
 def test_missing_categories_per_owner(seeded):
-    assert [r["category"] for r in rp.missing_categories(seeded.filter("id <> 'e'")).collect()] == \
+    assert [r["category"] for r in rp.missing_categories(seeded.filter("id <> 'n3'")).collect()] == \
         ["relationship"]
-    owned = seeded.withColumn("owner", F.when(F.col("id").isin("a", "b"), "x").otherwise("y"))
+    owned = seeded.withColumn("owner", F.when(F.col("id").isin("n1", "n2"), "x").otherwise("y"))
     got = sorted((r["owner"], r["category"]) for r in rp.missing_categories(owned, by=["owner"]).collect())
-    assert ("x", "project") in got and ("y", "professional") in got and len(got) == 3 + 1
+    assert ("x", "personal") in got and ("y", "professional") in got and len(got) == 3 + 1
 
 
 def test_health_score(spark, seeded):
     pairs = spark.createDataFrame([(2,)], "pairs bigint")
     inputs = rp.health_inputs(seeded, dt.datetime(2024, 7, 1, tzinfo=UTC), pairs)
     h = rp.health(inputs).first()
-    # stale 2/6 -> 33% capped at 30; pairs 2 -> 10; no missing category
-    assert (h["total"], h["stale"], h["pairs"], h["missing"]) == (6, 2, 2, 0)
+    # stale 6/8 -> 75% capped at 30; pairs 2 -> 10; no missing category
+    assert (h["total"], h["stale"], h["pairs"], h["missing"]) == (8, 6, 2, 0)
     assert h["score"] == 60 and h["grade"] == "C" and h["review_tip"] is True
     assert rp.health(rp.health_inputs(seeded.limit(0), AS_OF, pairs.limit(0))).count() == 0
 
@@ -93,50 +94,65 @@ def test_audit_patterns(make_records):
 
 
 def test_exact_dedup(spark, make_records, seeded):
-    inc = make_records([rec("x1", "New one"), rec("x2", "Owns a cat called Pixel."), rec("x3", "New one")])
+    inc = make_records([rec("x1", "New one"), rec("x2", "Sister lives in Oslo."), rec("x3", "New one")])
     inc = inc.withColumn("file", F.lit("f")).withColumn("pos", F.col("id"))
     assert ids(new_rows(seeded, inc).orderBy("id")) == ["x1", "x3"]
     assert ids(dedup_batch(inc)) and sorted(ids(dedup_batch(inc))) == ["x1", "x2"]
-    assert ids(check_keys(seeded, make_records([rec("a", "dup id")]))) == ["a"]
+    assert ids(check_keys(seeded, make_records([rec("n1", "dup id")]))) == ["n1"]
 
 
 def test_updates(spark, seeded):
-    chg = spark.createDataFrame([("a", "Updated content", None, None), ("nope", "x", None, None)],
+    chg = spark.createDataFrame([("n1", "Updated content", None, None), ("nope", "x", None, None)],
                                 "id string, content string, category string, tags array<string>")
-    new, rep = ch.apply_updates(seeded, chg, AS_OF)
-    row = new.filter("id = 'a'").first()
+    new, rejected, rep = ch.apply_updates(seeded, chg, AS_OF)
+    row = new.filter("id = 'n1'").first()
     assert row["content"] == "Updated content" and row["category"] == "professional"
-    assert row["tags"] == ["python", "engineering"] and row["updated_at"] == AS_OF.replace(tzinfo=None)
-    assert {r["metric"]: r["value"] for r in rep.collect()} == {"matched": 1, "not_found": 1}
-    clear = spark.createDataFrame([("a", "c", "project", [])],
+    assert row["tags"] == ["trade"] and row["updated_at"] == AS_OF.replace(tzinfo=None)
+    assert {r["metric"]: r["value"] for r in rep.collect()} == {"matched": 1, "not_found": 1, "rejected": 0}
+    clear = spark.createDataFrame([("n1", "c", "project", [])],
                                   "id string, content string, category string, tags array<string>")
-    r2 = ch.apply_updates(seeded, clear, AS_OF)[0].filter("id = 'a'").first()
+    r2 = ch.apply_updates(seeded, clear, AS_OF)[0].filter("id = 'n1'").first()
     assert r2["tags"] == [] and r2["category"] == "project"
 
 
 def test_edits_and_flags(spark, seeded):
-    e = spark.createDataFrame([("b", "", None, " cats , pets")], "id string, content string, category string, tags string")
-    row = ch.apply_edits(seeded, e, AS_OF)[0].filter("id = 'b'").first()
-    assert row["content"] == "Owns a cat called Pixel." and row["tags"] == ["cats", "pets"]
-    s = spark.createDataFrame([("b", True, 1), ("b", False, 2)], "id string, sensitive boolean, seq int")
+    e = spark.createDataFrame([("n3", "", None, " cats , pets")], "id string, content string, category string, tags string")
+    row = ch.apply_edits(seeded, e, AS_OF)[0].filter("id = 'n3'").first()
+    assert row["content"] == "Sister lives in Oslo." and row["tags"] == ["cats", "pets"]
+    s = spark.createDataFrame([("n3", True, 1), ("n3", False, 2)], "id string, sensitive boolean, seq int")
     new, _ = ch.apply_sensitive(seeded, s, AS_OF)
-    assert new.filter("id = 'b'").first()["sensitive"] is False
-    s2 = spark.createDataFrame([("b", True)], "id string, sensitive boolean")
-    assert ch.apply_sensitive(seeded, s2, AS_OF)[0].filter("sensitive").count() == 2
+    assert new.filter("id = 'n3'").first()["sensitive"] is False
+    s2 = spark.createDataFrame([("n3", True)], "id string, sensitive boolean")
+    assert ch.apply_sensitive(seeded, s2, AS_OF)[0].filter("sensitive").count() == 3
 
 
 def test_deletes_and_clears(spark, seeded):
-    new, rep = ch.delete_ids(seeded, spark.createDataFrame([("a",), ("zz",)], "id string"))
-    assert new.count() == 5 and {r["metric"]: r["value"] for r in rep.collect()}["not_found"] == 1
-    new, rep = ch.clear_source(seeded, "chatgpt")
-    assert new.count() == 4 and rep.first()["value"] == 2
+    new, rep = ch.delete_ids(seeded, spark.createDataFrame([("n1",), ("zz",)], "id string"))
+    assert new.count() == 7 and {r["metric"]: r["value"] for r in rep.collect()}["not_found"] == 1
+    new, rep = ch.clear_source(seeded, "gemini")
+    assert new.count() == 5 and rep.first()["value"] == 3
     new, rep = ch.clear_all(seeded)
-    assert new.count() == 0 and rep.first()["value"] == 6 and new.schema == seeded.schema
+    assert new.count() == 0 and rep.first()["value"] == 8 and new.schema == seeded.schema
 
 
 def test_invalid_category_change_is_flagged(spark):
-    c = spark.createDataFrame([("a", "x", "hobbies")], "id string, content string, category string")
-    assert ch.invalid_changes(c).count() == 1
+    c = spark.createDataFrame([("n1", "x", "hobbies"), ("n2", None, None), ("n3", "fine", "")], "id string, content string, category string")
+    good, rejected = ch.split_changes(c)
+    assert ids(good) == ["n3"]
+    assert {r["id"]: r["problems"] for r in rejected.collect()} == {"n1": ["bad_category"], "n2": ["missing_content"]}
+
+
+def test_invalid_changes_are_not_applied(spark, seeded):
+    c = spark.createDataFrame([("n1", None, "bogus"), ("n2", "new", "personal")], "id string, content string, category string")
+    new, rejected, rep = ch.apply_updates(seeded, c, AS_OF)
+    assert validate(new)[1].count() == 0 and new.filter("id = 'n1'").first()["category"] == "professional"
+    assert ids(rejected) == ["n1"] and {r["metric"]: r["value"] for r in rep.collect()} == {"matched": 1, "not_found": 0, "rejected": 1}
+
+
+def test_repeated_changes_need_an_order(spark, seeded):
+    c = spark.createDataFrame([("n1", "x"), ("n1", "y")], "id string, content string")
+    with pytest.raises(Exception, match="seq"):
+        ch.apply_updates(seeded, c, AS_OF)[0].collect()
 
 
 def test_validate(make_records, spark):
@@ -150,17 +166,17 @@ def test_snapshot_export_roundtrip(spark, seeded, tmp_path):
     assert tb.latest_version(spark, base) == 1
     back = tb.read_table(spark, tb.snapshot_path(base, 1))
     assert sorted(ids(back)) == sorted(ids(seeded))
-    new, _ = ch.delete_ids(back, spark.createDataFrame([("a",)], "id string"))
+    new, _ = ch.delete_ids(back, spark.createDataFrame([("n1",)], "id string"))
     tb.write_snapshot(new, base, 2)
     assert tb.latest_version(spark, base) == 2
-    assert tb.read_table(spark, tb.snapshot_path(base, 2)).count() == 5
+    assert tb.read_table(spark, tb.snapshot_path(base, 2)).count() == 7
     out = str(tmp_path / "export")
     n = tb.export_json(back, out).first()["rows"]
-    assert n == 6
+    assert n == 8
     files = [f for f in os.listdir(out) if f.endswith(".json")]
     row = json.loads(open(os.path.join(out, files[0])).readline())
     assert "source_raw" not in row and {"content", "source", "sensitive"} <= set(row)
-    assert tb.export_json(back, str(tmp_path / "e2"), source="claude").first()["rows"] == 3
+    assert tb.export_json(back, str(tmp_path / "e2"), source="gemini").first()["rows"] == 3
 
 
 def test_upgrade_schema_adds_sensitive(spark, tmp_path):
@@ -174,3 +190,19 @@ def test_upgrade_schema_adds_sensitive(spark, tmp_path):
     no_flag = tb.decode_legacy(legacy).drop("sensitive")
     up = tb.upgrade_schema(no_flag).first()
     assert up["sensitive"] is False
+
+
+def test_short_forms(seeded):
+    from memlake.functions.render import render_hit, render_short
+    row = seeded.filter("id = 'n6'").select(
+        render_short(F.lit(7)).alias("line"), render_short(F.lit(12), verbose=True, as_of=dt.datetime(2023, 12, 30, tzinfo=UTC)).alias("more"),
+        render_hit(F.lit(1)).alias("hit")).first()
+    assert row["line"] == "  7. [obsidian] [personal    ] Blood pressure is checked monthly. [SENSITIVE]"
+    assert row["more"].split("\n")[1:] == ["     Tags: health, routine", "     ID: n6  |  Age: 2d"]
+    assert row["hit"].endswith("[SENSITIVE]\n   Tags: health, routine")
+
+
+def test_page_for_every_owner(seeded):
+    owned = seeded.withColumn("owner", F.col("source"))
+    got = {(r["owner"], r["id"]) for r in fl.page(owned, 1, 1, by=["owner"]).collect()}
+    assert got == {("obsidian", "n6"), ("gemini", "n4")}
