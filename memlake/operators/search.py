@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from memlake.functions.text import fts_tokens
 from memlake.operators.rules import Rules, exclude
-from memlake.util import materialize
+from memlake.util import drop_materialized, materialize
 
 K1 = 1.2
 B = 0.75
@@ -73,8 +73,9 @@ class TextIndex:
     stemmed: bool
     by: list[str] = field(default_factory=list)
 
-    def term_stats(self) -> DataFrame:
-        return self.terms
+    def drop(self) -> None:
+        """Delete the index's tables (of an index built here, not a stored one)."""
+        drop_materialized(self.postings, self.lengths, self.terms, self.stats)
 
 
 def _field_text(name: str):
@@ -110,7 +111,9 @@ def _postings(df: DataFrame, stem: bool, fields, by: list[str]) -> DataFrame:
     # split the partition of a term that most rows hold.
     stems = materialize(stem_vocabulary(plain), "stems")
     stemmed = plain.join(stems, "term").drop("term").withColumnRenamed("stem", "term")
-    return materialize(_merged(stemmed, [*by, "term", "id"]), "postings")
+    out = materialize(_merged(stemmed, [*by, "term", "id"]), "postings")
+    drop_materialized(plain, stems)
+    return out
 
 
 def _index(postings: DataFrame, rows: DataFrame, stem: bool, by: list[str]) -> TextIndex:

@@ -27,22 +27,25 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     Used only where one intermediate (a text index, a group table) feeds
     several branches or later queries.  The folder is the one the cluster names
     in ``spark.checkpoint.dir``, so the data survives the loss of any executor;
-    ``drop_materialized`` removes the table when its owner is done.
+    ``drop_materialized`` removes the table when nothing reads it any more.
     """
     from memlake.session import checkpoint_dir
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/memlake-{name}-{uuid.uuid4().hex}"
     with _shuffles_freed(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialized_at = path
+    return out
 
 
 def drop_materialized(*frames: DataFrame) -> None:
-    """Delete the tables that ``materialize`` made for these frames."""
+    """Delete the tables behind frames that ``materialize`` returned (other
+    frames are left alone); whatever still has to read them must have been
+    written itself."""
     for df in frames:
-        for file in df.inputFiles()[:1]:
-            path, _, tail = file.partition("/memlake-")
-            if tail:
-                jvm = df.sparkSession._jvm
-                target = jvm.org.apache.hadoop.fs.Path(f"{path}/memlake-{tail.split('/')[0]}")
-                target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        path = getattr(df, "_materialized_at", None)
+        if path is not None:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+            df._materialized_at = None
