@@ -1,57 +1,19 @@
 """Plan helpers shared by the operators of this subpackage.
 
-Nothing here sizes work by the driver: intermediates are written as Parquet
-tables in the folder that the cluster names in ``spark.checkpoint.dir``, so
-they survive the loss of any executor.
+Intermediates are written as Parquet tables in the folder that the cluster
+names in ``spark.checkpoint.dir``, so they survive the loss of any executor,
+and dropped as soon as what reads them is written itself.
 """
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Byte budget of one slice of texts handled at once inside a Python task.
-SLICE_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a scratch folder is chosen only
-    where the setting is absent and the session is a local one (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="memlake-llm-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-@contextlib.contextmanager
-def _shuffles_freed(spark: SparkSession):
-    """Let Spark delete a finished step's shuffle files at once: what the step
-    made is a table now, and waiting for the driver's garbage collector would
-    keep the shuffles of all steps on disk together."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
+from memlake.util import drop_materialized as dropped
+from memlake.util import materialize as staged
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as a Parquet table in the shared folder and reread it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    with _shuffles_freed(spark):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["dropped", "id_text", "staged", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _FREE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
@@ -207,6 +207,7 @@ def checked_surrogates(docs: DataFrame, key: str, text_col: str = "text", most_s
         made = Surrogates(key, dict(strength))
         again = collisions(found, made)
         if not again:
+            dropped(found)
             return made
         for kind in again:
             strength[kind] = strength.get(kind, 0) + 1

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 _SPACE = r"[\x20\x09-\x0D]"
 _CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "symbol": "[#*$%&|<>]", "other": r"""[!"'()+,\-./:;=?@\[\\\]^_`{}~\x00-\x08\x0E-\x1F\x7F]"""}
@@ -153,6 +153,7 @@ def judge(docs: DataFrame, least_chars: int = 200, most_char: float = 0.3, least
     refs = staged(references(counts, shared, least_docs), "op7-references")
     # The references are one row a language, of fixed width, and reach the plan as one array literal.
     rows = sorted(refs.collect(), key=lambda r: r["ref_lang"])
+    dropped(shared, refs)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     if not rows:
         return counts.select(*base, (~F.col("base_failed")).alias("kept"), F.lit(None).cast("double").alias("char_distance"),

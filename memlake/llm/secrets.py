@@ -37,7 +37,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, staged
+from .common import dropped, id_text, staged
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"       # runs are matched whole, so the length may stand in the pattern
@@ -104,7 +104,9 @@ def train(docs: DataFrame, sample_docs: int = 2000) -> dict[tuple[int, int], flo
                  "if(size(c) < 2, array(), transform(sequence(1, size(c) - 1), i -> named_struct('a', c[i - 1], 'b', c[i])))")).alias("p"))
              .where("p.a < 128 and p.b < 128").groupBy("random", "p.a", "p.b").count())
     counts: dict[bool, dict] = {True: {}, False: {}}
-    for r in pairs.collect():
+    rows = pairs.collect()
+    dropped(chosen)
+    for r in rows:
         counts[r["random"]][r["a"], r["b"]] = r["count"]
     if not counts[True] or not counts[False]:
         return None

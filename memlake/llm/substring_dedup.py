@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import windows as W
 from .batches import Out, byte_texts, listed, spread
-from .common import id_text, staged
+from .common import dropped, id_text, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -123,12 +123,14 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     shared = staged(rows.groupBy("b").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
                     .where("d0 < d1").select("b"), "op4-halves")
     rows = staged(rows.join(shared, "b"), "op4-rows")
+    dropped(shared)
 
     # Level 2, by reach: a reach's copies all follow its smallest id.
     reach = staged(rows.groupBy("b", "x").agg(F.min("doc_id").alias("d0")), "op4-reaches")
     several = staged(reach.groupBy("b").count().where("count > 1").select("b", F.lit(True).alias("several")), "op4-several")
-    reach = staged(reach.join(several, "b", "left"), "op4-reach-kinds")
-    found = staged(rows.join(reach, ["b", "x"]).where("doc_id > d0 or several"), "op4-found")
+    kinds = staged(reach.join(several, "b", "left"), "op4-reach-kinds")
+    found = staged(rows.join(kinds, ["b", "x"]).where("doc_id > d0 or several"), "op4-found")
+    dropped(rows, reach, several, kinds)
     copies = found.where("doc_id > d0").select("doc_id", "lo", "hi")
 
     # Level 2, window by window, for the smallest ids of differing reaches.
@@ -138,7 +140,9 @@ def repeated_windows(docs: DataFrame, length: int = 50) -> DataFrame:
     first = staged(whole.groupBy("b", "x").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"))
                    .where("d0 < d1").drop("d1"), "op4-first")
     late = whole.join(first, ["b", "x"]).where("doc_id > d0").select("doc_id", "lo", F.col("lo").alias("hi"))
-    return staged(copies.unionByName(late), "op4-removed")
+    removed = staged(copies.unionByName(late), "op4-removed")
+    dropped(found, whole, first)
+    return removed
 
 
 def substring_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import windows as W
 from .batches import Out, byte_texts, listed, spread
-from .common import id_text, staged
+from .common import dropped, id_text, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -131,20 +131,22 @@ def _starts(quarter: int):
 def _refined(rows: DataFrame, tag: str):
     """One round.  ``rows``: bucket b, name x of the strings from lo to hi, n
     occurrences, own (still undecided) or witness.  Returns the rows found
-    repeated, and the rows that the next round has to look into."""
+    repeated, the rows that the next round has to look into, and the table
+    behind both."""
     held = staged(rows.groupBy("b").agg(F.sum("n").alias("k")).where("k > 1").select("b"), f"op10-{tag}-held")
     rows = staged(rows.join(held, "b"), f"op10-{tag}-rows")
     kinds = staged(rows.groupBy("b", "x").agg(F.sum("n").alias("n_all"), F.min(F.struct("doc_id", "lo")).alias("rep")),
                    f"op10-{tag}-kinds")
     several = staged(kinds.groupBy("b").count().where("count > 1").select("b", F.lit(True).alias("several")),
                      f"op10-{tag}-several")
-    kinds = staged(kinds.join(several, "b", "left").where("n_all > 1 or several"), f"op10-{tag}-marked")
-    found = staged(rows.join(kinds, ["b", "x"])
+    marked = staged(kinds.join(several, "b", "left").where("n_all > 1 or several"), f"op10-{tag}-marked")
+    found = staged(rows.join(marked, ["b", "x"])
                    .select("b", "doc_id", "lo", "hi", "own", "n_all", F.coalesce("several", F.lit(False)).alias("several"),
                            (F.struct("doc_id", "lo") == F.col("rep")).alias("is_rep")), f"op10-{tag}-found")
-    return (found.where("own and n_all > 1").select("doc_id", "lo", "hi"),
-            found.where("several and (n_all = 1 or is_rep)")
+    dropped(held, rows, kinds, several, marked)
+    rest = (found.where("several and (n_all = 1 or is_rep)")
             .select("b", "doc_id", "lo", "hi", F.least("n_all", F.lit(2)).alias("n"), (F.col("own") & (F.col("n_all") == 1)).alias("own")))
+    return found.where("own and n_all > 1").select("doc_id", "lo", "hi"), rest, found
 
 
 def _listed(rows: DataFrame) -> DataFrame:
@@ -158,15 +160,20 @@ def repeated_strings(docs: DataFrame, length: int = 200) -> DataFrame:
         raise ValueError(f"length must be a multiple of 8 and at least {2 * _BLOCK}")
     quarter = length // 8
     docs = docs.where("doc_id is not null and text is not null")
-    reaches, rest = _refined(docs.mapInArrow(_reaches(quarter), _ROWS), "reach")
+    reaches, rest, found = _refined(docs.mapInArrow(_reaches(quarter), _ROWS), "reach")
     texts = staged(docs.join(_listed(rest), "doc_id").select("doc_id", "text", "spots"), "op10-texts")
-    blocks, rest = _refined(staged(texts.mapInArrow(_blocks(quarter), _ROWS), "op10-blocks"), "block")
+    rows = staged(texts.mapInArrow(_blocks(quarter), _ROWS), "op10-blocks")
+    blocks, rest, found_blocks = _refined(rows, "block")
+    dropped(rows)
     starts = (texts.drop("spots").join(_listed(rest), "doc_id").select("doc_id", "text", "spots")
               .mapInArrow(_starts(quarter), _ROWS))
     starts = staged(starts, "op10-starts")
+    dropped(texts)
     twice = staged(starts.groupBy("b", "x").agg(F.sum("n").alias("n_all")).where("n_all > 1").drop("n_all"), "op10-twice")
     single = starts.where("own").join(twice, ["b", "x"]).select("doc_id", "lo", "hi")
-    return staged(reaches.unionByName(blocks).unionByName(single), "op10-removed")
+    removed = staged(reaches.unionByName(blocks).unionByName(single), "op10-removed")
+    dropped(found, found_blocks, starts, twice)
+    return removed
 
 
 def _removal(length: int):
