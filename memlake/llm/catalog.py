@@ -79,5 +79,34 @@ QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_toxicity, op3_language_id, op4_substring_dedup, op5_decontamination, op6_minhash_dedup,
     op7_quality_rules, op8_packing, op9_pii_surrogates, op10_suffix_dedup)}
 
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 #: What SQL cannot express, or not at table size, is tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_substring_dedup": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)
+, win AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h
+          FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS p FROM d WHERE len(w) >= 50))
+, early AS (SELECT h, min(doc_id) AS d0 FROM win GROUP BY h)
+, gone AS (SELECT DISTINCT doc_id, unnest(generate_series(p, p + 49)) AS q FROM win JOIN early USING (h) WHERE doc_id > d0)
+, kept AS (SELECT t.doc_id, string_agg(t.x, ' ' ORDER BY t.q) AS x, count(*) AS n
+           FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS q FROM d) t
+           ANTI JOIN gone g ON g.doc_id = t.doc_id AND g.q = t.q GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.x, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
+    "op5_decontamination": rf"""
+WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), '{_ALNUM}') AS w FROM benchmark)
+, win AS (SELECT DISTINCT item_id, n, w[i:i + n - 1] AS x FROM (
+    SELECT item_id, w, least(13, len(w)) AS n, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS i FROM iw WHERE len(w) > 0))
+, dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), '{_ALNUM}') AS w FROM documents)
+, spot AS (SELECT doc_id, n, w[p:p + n - 1] AS x, p FROM (
+    SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n))
+, occ AS (SELECT s.doc_id, s.p, s.n, win.item_id FROM spot s JOIN win ON win.n = s.n AND win.x = s.x)
+, hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + n - 1)) AS q FROM occ) GROUP BY doc_id)
+, items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS s
+            FROM (SELECT DISTINCT doc_id, item_id FROM occ) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(dw.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(dw.w) AS contaminated
+FROM dw LEFT JOIN hit ON hit.doc_id = dw.doc_id LEFT JOIN items ON items.doc_id = dw.doc_id""",
+}
