@@ -95,7 +95,7 @@ def brute_classes(rows) -> dict:
         if t is not None:
             np.add.at(df, M._class(bag[i][0]), 1)
     n = sum(t is not None for _, t in rows)
-    weights = (1 + np.maximum(np.log((1 + n) / (1 + df)), 0) / np.log(2 + n)).astype(np.float32)
+    weights = (1 + np.maximum(np.log((1 + n) / (1 + df)), 0) / (4 * np.log(2 + n))).astype(np.float32)
     label = {i: i for i in docs}
 
     def root(i):
