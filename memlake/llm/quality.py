@@ -16,7 +16,8 @@ or if it fails the base rules: fewer than 10 words, or more than a fifth of its
 words inside 5-word windows found twice or more in the text.
 
 References are counted over all rows of a language with at least
-``least_docs`` documents that pass the base rules; a document whose language
+``least_docs`` documents that pass the base rules, for the ``languages``
+languages with most documents, a bound that keeps the references small; a document whose language
 is null or has no reference is compared with the reference that fits best.
 Common words are counted over all rows too, among words of at most 4 bytes.
 
@@ -51,9 +52,11 @@ def _matches(text: Column, pattern: str) -> Column:
     return (F.size(F.split(text, pattern, -1)) - 1).cast("long")
 
 
-def common_words(docs: DataFrame, common: int = 16, longest: int = 4) -> DataFrame:
+def common_words(docs: DataFrame, common: int = 16, longest: int = 4, languages: int = 64) -> DataFrame:
     """(lang, common): the most frequent short words of each language."""
-    seen = (docs.where("lang is not null").select("lang", F.explode(words(F.col("text"))).alias("word"))
+    most = (docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+            .limit(languages).select("lang"))
+    seen = (docs.join(F.broadcast(most), "lang", "left_semi").select("lang", F.explode(words(F.col("text"))).alias("word"))
             .where(F.octet_length("word") <= longest).groupBy("lang", "word").count())
     turn = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     return (seen.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= common)
@@ -143,12 +146,12 @@ def _over_common(common: str, seen: str, total: str) -> str:
 
 
 def judge(docs: DataFrame, least_chars: int = 200, most_char: float = 0.3, least_words: int = 50, most_word: float = 0.42,
-          least_docs: int = 20, common: int = 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+          least_docs: int = 20, common: int = 16, languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept, char_distance,
     word_distance."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    shared = staged(common_words(docs, common), "op7-common")
+    shared = staged(common_words(docs, common, languages=languages), "op7-common")
     counts = staged(measured(docs, shared), "op7-counts")
     refs = staged(references(counts, shared, least_docs), "op7-references")
     # The references are one row a language, of fixed width, and reach the plan as one array literal.
