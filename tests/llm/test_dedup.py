@@ -120,6 +120,26 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+def test_near_pairs_in_a_crowd_of_one_template(spark):
+    """Thousands of texts at 0.7, with pairs above 0.8 that share a few words of their own."""
+    template, rows, pairs = prose(50, 104, 3000), [], []
+    for i in range(2400):
+        rows.append((i, f"{template} " + " ".join(f"own{i}x{k}" for k in range(17))))
+    for i in range(3000, 3240, 2):
+        pairs.append((i, i + 1))
+        for j in pairs[-1]:
+            rows.append((j, f"{template} " + " ".join([*(f"both{i}x{k}" for k in range(8)), *(f"own{j}x{k}" for k in range(9))])))
+    texts = {i: np.frombuffer(t.encode(), np.uint8) for i, t in rows}
+    df = np.zeros(1 << M.CLASS_BITS)
+    for t in texts.values():
+        np.add.at(df, M._class(M.shingles(M.word_names(t))[0]), 1)
+    weights = (1 + np.maximum(np.log((1 + len(rows)) / (1 + df)), 0) / (4 * np.log(2 + len(rows)))).astype(np.float32)
+    assert all(M.weighted_jaccard(texts[a], texts[b], weights) > 0.81 for a, b in pairs)
+    assert all(0.68 < M.weighted_jaccard(texts[0], texts[i], weights) < 0.75 for i, _ in rows[1:])
+    got = {r.doc_id: r.class_id for r in M.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: i for i, _ in rows} | {b: a for a, b in pairs}
+
+
 def test_near_duplicates_of_null_ids_and_nothing(spark):
     text = prose(1, 50)
     got = M.near_duplicates(frame(spark, [(None, text), (1, text), (2, text)])).collect()
