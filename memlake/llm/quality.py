@@ -16,9 +16,9 @@ or if it fails the base rules: fewer than 10 words, or more than a fifth of its
 words inside 5-word windows found twice or more in the text.
 
 References are counted over all rows of a language with at least
-``least_docs`` documents that pass the base rules, for the ``languages``
-languages with most documents, a bound that keeps the references small; a document whose language
-is null or has no reference is compared with the reference that fits best.
+``least_docs`` documents that pass the base rules, for all languages; for a
+document of another language the base rules alone decide.  A document whose
+language is null is compared with the reference that fits best.
 Common words are counted over all rows too, among words of at most 4 bytes.
 
 Two passes over the texts, with short keys and partial sums in every shuffle;
@@ -52,11 +52,9 @@ def _matches(text: Column, pattern: str) -> Column:
     return (F.size(F.split(text, pattern, -1)) - 1).cast("long")
 
 
-def common_words(docs: DataFrame, common: int = 16, longest: int = 4, languages: int = 64) -> DataFrame:
+def common_words(docs: DataFrame, common: int = 16, longest: int = 4) -> DataFrame:
     """(lang, common): the most frequent short words of each language."""
-    most = (docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
-            .limit(languages).select("lang"))
-    seen = (docs.join(F.broadcast(most), "lang", "left_semi").select("lang", F.explode(words(F.col("text"))).alias("word"))
+    seen = (docs.where("lang is not null").select("lang", F.explode(words(F.col("text"))).alias("word"))
             .where(F.octet_length("word") <= longest).groupBy("lang", "word").count())
     turn = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     return (seen.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= common)
@@ -81,11 +79,13 @@ def _repeat_words(length: int = 5) -> list[tuple[str, Column]]:
 
 def measured(docs: DataFrame, common: DataFrame) -> DataFrame:
     """Base counts and histograms of each document; ``docs`` has doc_id, text,
-    lang; ``common`` is a small table, a row for each language."""
-    every = common.select(F.array_sort(F.array_distinct(F.flatten(F.collect_list("common")))).alias("x")).first()
-    watched = (every and every["x"]) or []                  # at most ``common`` words for each language
+    lang; ``common`` is a small table, a row for each language.  A document
+    watches the words of its language, or of all languages if that is null."""
+    every = common.agg(F.lit(None).cast("string").alias("of"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("common")))).alias("watch"))
+    watches = common.select(F.col("lang").alias("of"), F.col("common").alias("watch")).unionByName(every)
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select("doc_id", "lang", text.alias("text")).withColumn("w", words(F.col("text")))
+    df = (docs.select("doc_id", "lang", text.alias("text")).join(F.broadcast(watches), F.col("lang").eqNullSafe(F.col("of")), "left")
+          .withColumn("watch", F.coalesce("watch", F.array().cast("array<string>"))).withColumn("w", words(F.col("text"))))
     for name, step in _repeat_words():
         df = df.withColumn(name, step)
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -93,16 +93,14 @@ def measured(docs: DataFrame, common: DataFrame) -> DataFrame:
     df = df.withColumn("lines", lines)
     # The watched words alone, each between two spaces of its own: how often one
     # occurs is how much shorter the text gets without it.
-    df = df.withColumn("watched", F.concat(F.lit(" "), F.array_join(F.filter("w", lambda x: x.isin(*watched)), "  "), F.lit(" "))
-                       if watched else F.lit(""))
-    seen = F.transform(F.lit(watched).cast("array<string>"), lambda v: F.octet_length("watched") - F.octet_length(
-        F.replace("watched", F.concat(F.lit(" "), v, F.lit(" ")), F.lit(""))))
-    seen = F.zip_with(seen, F.lit(watched).cast("array<string>"), lambda n, v: F.floor(n / (F.octet_length(v) + 2)).cast("bigint"))
+    df = df.withColumn("watched", F.concat(F.lit(" "), F.array_join(F.filter("w", lambda x: F.array_contains("watch", x)), "  "), F.lit(" ")))
+    seen = F.transform("watch", lambda v: F.floor((F.octet_length("watched") - F.octet_length(
+        F.replace("watched", F.concat(F.lit(" "), v, F.lit(" ")), F.lit("")))) / (F.octet_length(v) + 2)).cast("bigint"))
     df = df.select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"), F.octet_length("text").cast("long").alias("n_bytes"), F.size("w").cast("long").alias("n_words"),
                    F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
                    (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
                    *(c.alias(k) for k, c in counts.items()),
-                   seen.alias("seen"))
+                   "watch", seen.alias("seen"))
     classes = [F.col(f"c_{k}") for k in _CLASSES]
     letters = F.col("word_chars")
     for c in classes:
@@ -111,7 +109,7 @@ def measured(docs: DataFrame, common: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return df.select("doc_id", "lang", "n_chars", "n_words", "word_chars", F.col("c_symbol").alias("n_symbols"), "n_dup_lines",
                      "n_repeat_words", failed.alias("base_failed"), F.array(*classes).alias("chars"),
-                     F.map_from_arrays(F.lit(watched).cast("array<string>"), "seen").alias("seen"))
+                     F.map_from_arrays("watch", "seen").alias("seen"))
 
 
 def _distance(p: str, q: str) -> str:
@@ -146,26 +144,21 @@ def _over_common(common: str, seen: str, total: str) -> str:
 
 
 def judge(docs: DataFrame, least_chars: int = 200, most_char: float = 0.3, least_words: int = 50, most_word: float = 0.42,
-          least_docs: int = 20, common: int = 16, languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+          least_docs: int = 20, common: int = 16, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols,
     n_dup_lines, n_repeat_words, base_failed, kept, char_distance,
     word_distance."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    shared = staged(common_words(docs, common, languages=languages), "op7-common")
+    shared = staged(common_words(docs, common), "op7-common")
     counts = staged(measured(docs, shared), "op7-counts")
     refs = staged(references(counts, shared, least_docs), "op7-references")
-    # The references are one row a language, of fixed width, and reach the plan as one array literal.
-    rows = sorted(refs.collect(), key=lambda r: r["ref_lang"])
-    dropped(shared, refs)
+    dropped(shared)
+    one = F.struct(*refs.columns)
+    every = refs.agg(F.lit(None).cast("string").alias("of"), F.collect_list(one).alias("own"))
+    own = refs.select(F.col("ref_lang").alias("of"), F.array(one).alias("own")).unionByName(every)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    if not rows:
-        return counts.select(*base, (~F.col("base_failed")).alias("kept"), F.lit(None).cast("double").alias("char_distance"),
-                             F.lit(None).cast("double").alias("word_distance"))
-    literal = F.array(*(F.struct(F.lit(r["ref_lang"]).alias("ref_lang"), F.lit(r["common"]).cast("array<string>").alias("common"),
-                                 F.lit(r["ref_chars"]).cast("array<bigint>").alias("ref_chars"),
-                                 F.lit(r["ref_words"]).cast("array<bigint>").alias("ref_words")) for r in rows))
-    df = counts.withColumn("refs", literal).withColumn("own", F.filter("refs", lambda r: r["ref_lang"] == F.col("lang")))
-    df = df.withColumn("own", F.when(F.size("own") > 0, F.col("own")).otherwise(F.col("refs")))
+    # A reference is one row a language, of fixed width.
+    df = counts.join(F.broadcast(own), F.col("lang").eqNullSafe(F.col("of")), "left")
     fits = f"""transform(own, r -> named_struct('c', {_distance('chars', 'r.ref_chars')},
         'w', {_distance(_over_common('r.common', 'seen', 'n_words'), 'r.ref_words')}))"""
     df = df.withColumn("fits", F.expr(fits)).withColumn(

@@ -95,6 +95,18 @@ def test_quality_divergence_rejects_odd_distributions(spark):
     assert got[102].kept                                   # too short for the distances to say anything
 
 
+def test_quality_of_many_and_of_small_languages(spark):
+    """No document is judged by the reference of another language."""
+    rows = [(100 * k + i, prose(100 * k + i, 60), f"l{k:02}") for k in range(66) for i in range(21)]
+    greek = str.maketrans("w0123456789", "ωαβγδεζηθικ")
+    rows += [(10_000 + i, prose(10_000 + i, 60).translate(greek), "many" if i < 20 else "some") for i in range(35)]
+    rows.append((20_000, prose(20_000, 60).translate(greek), None))
+    got = {r.doc_id: r for r in judge(frame(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(got[i].kept for i, *_ in rows)
+    assert got[10_000].char_distance < 0.1 and got[20_000].char_distance < 0.1
+    assert got[10_034].char_distance is None and got[10_034].word_distance is None
+
+
 def test_jensen_shannon_distance(spark):
     def distance(p, q):
         return spark.createDataFrame([(p, q)], "p array<long>, q array<long>").selectExpr(f"{_distance('p', 'q')} as d").first()["d"]
