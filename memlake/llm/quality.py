@@ -2,7 +2,7 @@ r"""Operator 7, quality rules by distribution divergence.
 
 Every document has two histograms: its characters by class (capitals, digits,
 symbols ``#*$%&|<>``, other ASCII marks, white space, the further bytes of
-non-ASCII characters, and all others, mostly small letters), and its words over the ``common`` most frequent short words of its
+non-ASCII characters, and all others, mostly small letters), and its words over the ``common`` most frequent words of its
 language, plus all others.  Both are compared with the same histogram summed
 over all documents of the language (the reference) by Jensen-Shannon distance
 (square root of the divergence in bits, 0 to 1).  A document is rejected if
@@ -19,7 +19,7 @@ References are counted over all rows of a language with at least
 ``least_docs`` documents that pass the base rules, for all languages; for a
 document of another language the base rules alone decide.  A document whose
 language is null is compared with the reference that fits best.
-Common words are counted over all rows too, among words of at most 4 bytes.
+Common words are counted over all rows too, among words of every length.
 
 Two passes over the texts, with short keys and partial sums in every shuffle;
 the counts of a document are written once and read by what follows.
@@ -52,10 +52,10 @@ def _matches(text: Column, pattern: str) -> Column:
     return (F.size(F.split(text, pattern, -1)) - 1).cast("long")
 
 
-def common_words(docs: DataFrame, common: int = 16, longest: int = 4) -> DataFrame:
-    """(lang, common): the most frequent short words of each language."""
+def common_words(docs: DataFrame, common: int = 16) -> DataFrame:
+    """(lang, common): the most frequent words of each language."""
     seen = (docs.where("lang is not null").select("lang", F.explode(words(F.col("text"))).alias("word"))
-            .where(F.octet_length("word") <= longest).groupBy("lang", "word").count())
+            .groupBy("lang", "word").count())
     turn = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     return (seen.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= common)
             .groupBy("lang").agg(F.sort_array(F.collect_list("word")).alias("common")))

@@ -107,6 +107,17 @@ def test_quality_of_many_and_of_small_languages(spark):
     assert got[10_034].char_distance is None and got[10_034].word_distance is None
 
 
+def test_quality_counts_words_of_any_script_and_length(spark):
+    """Common words are words of the language, not its digits and marks."""
+    usual = "और नहीं किया हुआ लिए करने अपने साथ बाद कहा".split()
+    rows = [(i, " ".join(usual[int(w[1:]) % len(usual)] for w in prose(i, 60).split()), "hi") for i in range(30)]
+    other = [a + b + c for a in "कखगघच" for b in "तथदधन" for c in "पफबभम"]
+    rows.append((99, " ".join(other[:70]), "hi"))
+    got = {r.doc_id: r for r in judge(frame(spark, rows)).collect()}
+    assert all(got[i].kept and got[i].word_distance < 0.42 for i in range(30))
+    assert not got[99].base_failed and not got[99].kept and got[99].word_distance > 0.42
+
+
 def test_jensen_shannon_distance(spark):
     def distance(p, q):
         return spark.createDataFrame([(p, q)], "p array<long>, q array<long>").selectExpr(f"{_distance('p', 'q')} as d").first()["d"]
