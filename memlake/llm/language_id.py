@@ -8,9 +8,10 @@ cosine.  It is marked ``rejected`` if its distance from that centroid is
 larger than that of nearly all learned texts of the centroid (their 0.999
 quantile, times 1.25).
 
-The model is fitted on at most ``per_language`` labelled rows of each of at
-most ``languages`` languages (rows chosen by a hash of their id, languages by
-their number of rows); that bound keeps the fit small at any corpus size.
+The model is fitted on labelled rows of every language, chosen by a hash of
+their id: at most ``per_language`` of each, and fewer where there are many
+languages, so that all have about ``most_rows`` together, but not under
+``least_rows`` of each; that bound keeps the fit small at any corpus size.
 Prediction reads whole texts of all rows.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0
@@ -41,12 +42,10 @@ def _letter_table() -> np.ndarray:
     """Code point -> its lower-case letter, or a space."""
     if not _letters:
         made = np.full(0x110000, 32, np.uint32)
-        for c in (*range(0x3400), *range(0xA000, 0xD800), *range(0xF900, 0x18000)):
+        for c in range(0x110000):
             if (s := chr(c)).isalpha():
                 low = s.lower()
                 made[c] = ord(low) if len(low) == 1 else c
-        for a, b in ((0x3400, 0x4DC0), (0x4E00, 0xA000), (0x20000, 0x32000)):   # ideographs have no case
-            made[a:b] = np.arange(a, b)
         _letters.append(made)
     return _letters[0]
 
@@ -128,14 +127,14 @@ def _counted(batches):
              pa.array([found[i].astype("<u4").tobytes() for i in keep], pa.binary())], names=["lang", "counts"])
 
 
-def fit(labelled: DataFrame, per_language: int = 500, languages: int = 64, clusters: int = 4) -> Model:
-    """``labelled``: doc_id, text, lang.  At most ``per_language`` times
-    ``languages`` rows reach the driver, 16 KB each at most."""
+def fit(labelled: DataFrame, per_language: int = 500, most_rows: int = 32_000, least_rows: int = 8, clusters: int = 4) -> Model:
+    """``labelled``: doc_id, text, lang.  At most ``most_rows`` rows, or
+    ``least_rows`` a language, reach the driver, 16 KB each at most."""
     keys = labelled.where("lang is not null and text is not null").select("doc_id", "lang")
-    common = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    languages = max(keys.select("lang").distinct().count(), 1)
+    of_each = min(per_language, max(least_rows, most_rows // languages))
     turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (keys.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= per_language)
-              .join(F.broadcast(common), "lang", "left_semi").select("doc_id"))
+    chosen = keys.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= of_each).select("doc_id")
     rows = (labelled.join(F.broadcast(chosen), "doc_id", "left_semi").where("lang is not null and text is not null")
             .select("text", "lang").mapInArrow(_counted, "lang string, counts binary").collect())
     rows = sorted((r["lang"], bytes(r["counts"])) for r in rows)

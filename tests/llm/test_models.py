@@ -94,6 +94,22 @@ def test_language_held_out_accuracy_and_awkward_rows(spark):
     assert language_id.identify(docs.limit(0), F.lit(True)).collect() == []
 
 
+def test_every_language_is_learned(spark):
+    """More than 64 languages, each of letters of its own."""
+    rows = [(10 * k + i, " ".join(chr(0x4E00 + 20 * k + (7 * i + j * j) % 5) * 2 for j in range(30)), f"l{k:02}") for k in range(70) for i in range(6)]
+    docs = frame(spark, rows)
+    for fitting in ({}, {"most_rows": 70, "least_rows": 2}):
+        found = {r.doc_id: r.lang_pred for r in language_id.identify(docs, F.lit(True), **fitting).collect()}
+        assert found == {i: lang for i, _, lang in rows}
+
+
+def test_every_letter_counts():
+    letters = language_id._letter_table()
+    assert all((letters[c] != 32) == chr(c).isalpha() for c in range(0x110000))
+    for letter in ("\U0001E900", "\U0001D400", "\U0001B000", "\U0001B170"):
+        assert language_id.counts(np.frombuffer(letter.encode(), np.uint8)) is not None
+
+
 def test_toxicity_held_out_and_awkward_rows(spark):
     chance, bad = np.random.default_rng(6), ["vilest", "rotten", "grubby"]
     rows, labels = [], []
