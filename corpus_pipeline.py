@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import catalog, pii, toxicity
-from memlake.llm.common import staged, table
+from memlake.llm.common import dropped, staged, table
 from memlake.llm.decontamination import contamination
 from memlake.llm.minhash_dedup import near_duplicates
 from memlake.llm.packing import pack
@@ -64,5 +64,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped(docs)           # the stage before, once this one is written
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,8 +9,15 @@ when it is a substring of one whitespace token of it.  Query words therefore
 meet the *distinct* tokens of the corpus, once each: both are keyed by grams
 (three characters; shorter words by all of theirs), a word by the gram that
 the fewest tokens hold, and the pairs of an equi-join on the gram are checked
-with ``contains``.  Matches are then joined to the rows holding the token, and
-a (word, row) counts once.  Everything is DataFrame joins and aggregates.
+with ``contains``.
+
+The first ``limit`` rows come from a bound that never loses one.  A row
+without any word of a set R scores at most the query's total less the repeats
+of R.  Rows that hold a query's rarest words are scored first, whole; the
+``limit``-th best of them gives a score s, and R is the rarest words up to the
+first place where that most falls below s.  Only rows that hold a word of R can
+still rank, so common words are never joined to their rows: they are looked up
+in the texts of the candidates.  Everything is DataFrame joins and aggregates.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import WS_RUN, words
+from memlake.util import drop_materialized, materialize
 
 GRAM = 3
 
@@ -62,6 +70,55 @@ def word_hits(df: DataFrame, vocab: DataFrame, text: F.Column | None = None, by=
     return held.join(pairs, "token").select(*by, "id", "created_at", "word").distinct()
 
 
+def _scored(df: DataFrame, candidates: DataFrame, scope: list[str], by: list[str]) -> DataFrame:
+    """``(…scope, id, created_at, score)``: each candidate's row meets its text
+    once, and all words of its query are looked up there."""
+    rows = df.select(*by, "id", "created_at", F.lower(search_text(df)).alias("_text"))
+    met = rows.join(candidates, [*by, "id"])
+    score = F.aggregate("_words", F.lit(0).cast("bigint"), lambda n, w: n + F.when(F.contains("_text", w["word"]), w["repeats"]).otherwise(0))
+    return met.select(*scope, "id", "created_at", score.alias("score")).where("score > 0")
+
+
+def _ranked(scored: DataFrame, scope: list[str], limit: int | None) -> DataFrame:
+    w = Window.partitionBy(*scope).orderBy(F.col("score").desc(), F.col("created_at").desc(), F.col("id").asc())
+    ranked = scored.withColumn("rank", F.row_number().over(w))
+    return ranked.filter(F.col("rank") <= limit) if limit is not None else ranked
+
+
+def _first_rows(df: DataFrame, qw: DataFrame, scope: list[str], by: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` rows of each query, by the bound above; written, as
+    the tables it needs are gone when it returns."""
+    keys = [*by, "token"]
+    held = materialize(df.select(*by, "id", F.explode(F.array_distinct(words(search_text(df)))).alias("token")), "keyword-held")
+    tokens = materialize(held.groupBy(*keys).agg(F.count(F.lit(1)).alias("df")), "keyword-tokens")
+    pairs = materialize(matching_tokens(tokens.select("token").distinct(), qw.select("word").distinct()), "keyword-pairs")
+    # What a word's tokens cost orders the words; the bound holds whatever the order.
+    cost = pairs.join(tokens, "token").groupBy(*by, "word").agg(F.sum("df").alias("cost"))
+    known = qw.join(cost, [*by, "word"])
+    order = Window.partitionBy(*scope).orderBy("cost", "word")
+    total = F.sum("repeats").over(Window.partitionBy(*scope))
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = materialize(known.select(
+        *scope, "word", "repeats", (total - F.sum("repeats").over(so_far)).alias("rest"),
+        F.coalesce(F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")), "keyword-known")
+    bags = known.groupBy(*scope).agg(F.collect_list(F.struct("word", "repeats")).alias("_words"))
+
+    def candidates(chosen):
+        asked = chosen.select(*by, "word").distinct().join(pairs, "word")
+        rows = asked.join(held, keys).select(*by, "id", "word").distinct()
+        return chosen.select(*scope, "word").join(rows, [*by, "word"]).select(*scope, "id").distinct().join(bags, scope)
+
+    first = materialize(_scored(df, candidates(known.where(F.col("before") < 4 * limit)), scope, by), "keyword-first")
+    least = _ranked(first, scope, limit).where(F.col("rank") == limit).select(*scope, F.col("score").alias("least"))
+    # ``rest``: what a row can score that holds none of the words up to here.
+    bound = known.join(least, scope, "left").withColumn("least", F.coalesce("least", F.lit(0)))
+    bound = bound.where((F.col("rest") + F.col("repeats") >= F.col("least")) & (F.col("before") >= 4 * limit))
+    further = _scored(df, candidates(bound), scope, by)
+    out = materialize(_ranked(first.unionByName(further).distinct(), scope, limit), "keyword-hits")
+    drop_materialized(held, tokens, pairs, known, first)
+    return out
+
+
 def keyword_search(df: DataFrame, queries: DataFrame, limit: int | None = 5, query_col: str = "query",
                    key_cols=("query_id",), by=()) -> DataFrame:
     """Q7 for a table of queries: ``(…keys, …by, id, created_at, score, rank)``.
@@ -72,9 +129,9 @@ def keyword_search(df: DataFrame, queries: DataFrame, limit: int | None = 5, que
     by = list(by)
     scope = [*key_cols, *[c for c in by if c not in key_cols]]
     qw = query_words(queries, query_col, scope)
+    if limit is not None:
+        return _first_rows(df, qw, scope, by, limit)
     hits = word_hits(df, qw, by=by)
     scored = (hits.join(qw, [*by, "word"]).groupBy(*scope, "id", "created_at")
               .agg(F.sum("repeats").cast("bigint").alias("score")))
-    w = Window.partitionBy(*scope).orderBy(F.col("score").desc(), F.col("created_at").desc(), F.col("id").asc())
-    ranked = scored.withColumn("rank", F.row_number().over(w))
-    return ranked.filter(F.col("rank") <= limit) if limit is not None else ranked
+    return _ranked(scored, scope, None)

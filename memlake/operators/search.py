@@ -11,7 +11,9 @@ positional table answers every kind of query::
 ``by`` holds owner columns: each owner's rows are a corpus of their own.  The
 index is built once and materialised (``write_index`` keeps it across jobs);
 queries run no job of their own before the action.  Stems are made once per
-distinct term and joined to rows that are already one per (term, id).
+distinct term and joined to rows that are already one per (term, id).  A query
+without an index builds its own and writes its hits, so that the index is gone
+when it returns.
 
 A query is a set of *units*: a term, a phrase (consecutive tokens of one field),
 a prefix (its expansions count as one term), each in one field or both.  A unit
@@ -19,10 +21,10 @@ of several tokens, a prefix or a field gets postings and a row count of its own;
 from there on every unit is scored like a term:
 
 1. the rarest required unit of each query seeds the candidates (all its
-   alternatives if it has no required unit);
-2. candidates are expanded with the query's units and joined to the postings
-   on ``(term, id)``, so a very common term never fans out per query, and
-   excluded terms are looked up for candidates only;
+   alternatives if it has no required unit), and its postings are hits already;
+2. candidates are expanded with the units that can still change the score (of a
+   query without required units: the excluded ones) and joined to the postings
+   on ``(term, id)``, so a very common term never fans out per query;
 3. BM25 per unit (k1 = 1.2, b = 0.75, idf floored at 1e-6) is summed with the
    unit's repeat count; a ranked window keeps the top ``limit`` per query.
 """
@@ -33,8 +35,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from memlake.functions.stemming import with_stems
 from memlake.functions.text import fts_tokens
 from memlake.operators.rules import Rules, exclude
 from memlake.util import drop_materialized, materialize
@@ -58,12 +60,6 @@ OPERATORS = ("AND", "OR", "NOT", "NEAR")
 _NO_WORDS = "cast(array() as array<string>)"
 
 
-@F.pandas_udf(T.StringType())
-def stem_terms(terms):
-    from memlake.functions.porter import stem
-    return terms.map(stem)
-
-
 @dataclass
 class TextIndex:
     postings: DataFrame
@@ -92,8 +88,8 @@ def tokens(df: DataFrame, fields=FIELDS, by=()) -> DataFrame:
 
 
 def stem_vocabulary(terms: DataFrame) -> DataFrame:
-    """Q2: ``(term, stem)`` for the distinct terms (Python runs once per term)."""
-    return terms.select("term").distinct().select("term", stem_terms(F.col("term")).alias("stem"))
+    """Q2: ``(term, stem)`` for the distinct terms."""
+    return with_stems(terms.select("term").distinct())
 
 
 def _merged(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -222,56 +218,76 @@ def _units(queries: DataFrame, index: TextIndex, keys: list[str], lists: dict[st
     return units
 
 
+def _expansions(index: TextIndex, tokens: DataFrame) -> DataFrame:
+    """``(…tokens, term, n_t)``: the terms that start with ``token``, met in
+    the vocabulary by their first characters."""
+    by = index.by
+    heads = F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(PREFIX_KEY))), lambda n: F.substring(F.col("term"), F.lit(1), n))
+    keyed = index.terms.select("*", F.explode(heads).alias("head"))
+    met = tokens.withColumn("head", F.substring("token", 1, PREFIX_KEY)).join(keyed, [*by, "head"])
+    return met.where(F.startswith("term", "token")).drop("head")
+
+
+def _placed(name: str, shift=None) -> F.Column:
+    """Places of a field, if the unit asks for that field (null: for both)."""
+    wanted = F.col("field").isNull() | (F.col("field") == name)
+    at = F.col(f"{name}_at") if shift is None else F.transform(f"{name}_at", lambda p: p - shift)
+    return F.when(wanted, at).otherwise(F.array().cast("array<int>"))
+
+
 def _unit_hits(index: TextIndex, units: DataFrame) -> DataFrame:
     """``(…by, term, id, tf)`` of the units that are no plain term, under a
-    term of their own.  Their tokens (a prefix's last token: all its
-    expansions) are found by the rarest of them, and the starts that all of
-    them agree on are counted."""
-    by = index.by
-    kinds = units.where("not plain").select(*by, "term", "tokens", "prefix", "field").distinct()
-    toks = kinds.select(*by, F.col("term").alias("unit"), "field", F.size("tokens").alias("k"), F.posexplode("tokens").alias("i", "token"),
-                        (F.col("prefix") & (F.size("tokens") >= 1)).alias("prefix"))
-    toks = toks.withColumn("prefix", F.col("prefix") & (F.col("i") == F.col("k") - 1))
-    exact = toks.where("not prefix").withColumnRenamed("token", "term").join(index.terms, [*by, "term"])
-    # Prefixes meet the vocabulary on their first characters.
-    keyed = index.terms.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("term"), F.lit(PREFIX_KEY))),
-                                                          lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("head"))
-    spread = (toks.where("prefix").withColumn("head", F.substring("token", 1, PREFIX_KEY)).join(keyed, [*by, "head"])
-              .where(F.startswith("term", "token")).drop("head", "token"))
-    known = exact.unionByName(spread.select(*exact.columns))
-    per = known.groupBy(*by, "unit", "k", "i").agg(F.sum("n_t").alias("cost"))
-    rarest = per.groupBy(*by, "unit", "k").agg(F.min(F.struct("cost", "i"))["i"].alias("i"), F.count(F.lit(1)).alias("found")).where("found = k")
-    seeds = known.join(rarest.select(*by, "unit", "i"), [*by, "unit", "i"]).select(*by, "unit", "term")
-    rows = seeds.join(index.postings.select(*by, "term", "id"), [*by, "term"]).select(*by, "unit", "id").distinct()
-    at = rows.join(known.select(*by, "unit", "field", "k", "i", "term"), [*by, "unit"]).join(index.postings.drop("tf"), [*by, "term", "id"])
-
-    def shifted(name):
-        wanted = F.col("field").isNull() | (F.col("field") == name)
-        return F.when(wanted, F.transform(f"{name}_at", lambda p: p - F.col("i"))).otherwise(F.array().cast("array<int>"))
-
-    per = at.groupBy(*by, "unit", "id", "k", "i").agg(*[F.array_distinct(F.flatten(F.collect_list(shifted(f)))).alias(f) for f in FIELDS])
+    term of their own.  A unit of one token counts the places of its terms:
+    one join with the postings, as large as the postings that it holds.  A
+    phrase is found by its rarest whole token; the others, and a prefix at its
+    end (the places of all its terms, united once a prefix), are looked up in
+    the rows found, and the starts that all of them agree on are counted."""
+    by, postings = index.by, index.postings
+    kinds = units.where("not plain").select(*by, "term", "tokens", "prefix", "field").distinct().withColumnRenamed("term", "unit")
+    one = kinds.where(F.size("tokens") == 1).select(*by, "unit", "field", "prefix", F.col("tokens")[0].alias("token"))
+    known = one.where("not prefix").select(*by, "unit", "field", F.col("token").alias("term")).unionByName(
+        _expansions(index, one.where("prefix")).select(*by, "unit", "field", "term"))
+    held = known.join(postings.drop("tf"), [*by, "term"])
+    tf = sum((F.size(_placed(f)) for f in FIELDS), F.lit(0))
+    singles = held.groupBy(*by, F.col("unit").alias("term"), "id").agg(F.sum(tf).cast("bigint").alias("tf")).where("tf > 0")
+
+    many = kinds.where(F.size("tokens") > 1).select(*by, "unit", "field", "prefix", F.size("tokens").alias("k"), F.posexplode("tokens").alias("i", "token"))
+    last = F.col("prefix") & (F.col("i") == F.col("k") - 1)
+    whole = many.where(~last).withColumn("whole", F.col("k") - F.col("prefix").cast("int")).withColumnRenamed("token", "term")
+    whole = whole.join(index.terms, [*by, "term"])
+    rarest = whole.groupBy(*by, "unit").agg(F.min(F.struct("n_t", "i"))["i"].alias("rare"), F.count(F.lit(1)).alias("found"))
+    whole = whole.join(rarest, [*by, "unit"]).where("found = whole")
+    cols = [*by, "unit", "field", "k", "i", "id"]
+    seeds = whole.where("i = rare").join(postings, [*by, "term"]).select(*cols, *[f"{f}_at" for f in FIELDS])
+    rows = seeds.select(*by, "unit", "id")
+    others = rows.join(whole.where("i <> rare"), [*by, "unit"]).join(postings, [*by, "term", "id"]).select(*seeds.columns)
+    ends = many.where(last)
+    spread = _expansions(index, ends.select(*by, "token").distinct()).join(postings, [*by, "term"]).groupBy(*by, "token", "id").agg(
+        *[F.flatten(F.collect_list(f"{f}_at")).alias(f"{f}_at") for f in FIELDS])
+    ends = rows.join(ends, [*by, "unit"]).join(spread, [*by, "token", "id"]).select(*seeds.columns)
+    at = seeds.unionByName(others).unionByName(ends)
+
     # A start counts if every token of the unit stands at its place behind it.
-    def placed(name):
-        return F.transform(name, lambda p: F.struct(F.lit(name).alias("field"), p.alias("start")))
-    starts = per.select(*by, "unit", "id", "k", F.explode(F.concat(*[placed(f) for f in FIELDS])).alias("s"))
+    def started(name):
+        return F.transform(_placed(name, F.col("i")), lambda p: F.struct(F.lit(name).alias("field"), p.alias("start")))
+    starts = at.select(*by, "unit", "id", "k", F.explode(F.concat(*[started(f) for f in FIELDS])).alias("s"))
     full = starts.groupBy(*by, "unit", "id", "k", "s").agg(F.count(F.lit(1)).alias("n")).where("n = k")
-    return full.groupBy(*by, F.col("unit").alias("term"), "id").agg(F.count(F.lit(1)).alias("tf"))
+    phrases = full.groupBy(*by, F.col("unit").alias("term"), "id").agg(F.count(F.lit(1)).alias("tf"))
+    return singles.unionByName(phrases)
 
 
-def match(index: TextIndex, units: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that satisfy their query, with scores: ``(…keys, …by, id, score,
-    created_at)``.  Roles: ``all`` units must occur, one ``any`` unit must if
-    there is one, ``none`` units must not; a query without ``all`` and ``any``
-    units matches nothing."""
-    by = index.by
-    scope = [*keys, *[c for c in by if c not in keys]]
+def _named(units: DataFrame) -> DataFrame:
+    """Units with ``plain`` and the ``term`` they are counted under."""
     plain = (F.size("tokens") == 1) & ~F.col("prefix") & F.col("field").isNull()
     name = F.when(plain, F.col("tokens")[0]).otherwise(F.concat(F.lit("\u0000"), F.sha2(F.to_json(F.struct("tokens", "prefix", "field")), 256)))
-    units = units.withColumn("plain", plain).withColumn("term", name)
-    return _scored(index, units, scope, _unit_hits(index, units))
+    return units.withColumn("plain", plain).withColumn("term", name)
 
 
-def _scored(index: TextIndex, units: DataFrame, scope: list[str], hits: DataFrame | None) -> DataFrame:
+def _scored(index: TextIndex, units: DataFrame, scope: list[str], hits: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Rows that satisfy their query, with scores: ``(…scope, id, score,
+    created_at)``, and the table of units that this reads.  Roles: ``all`` units
+    must occur, one ``any`` unit must if there is one, ``none`` units must not; a
+    query without ``all`` and ``any`` units matches nothing."""
     by = index.by
     terms, postings = index.terms, index.postings.select(*by, "term", "id", "tf")
     if hits is not None:
@@ -283,12 +299,16 @@ def _scored(index: TextIndex, units: DataFrame, scope: list[str], hits: DataFram
     # A required unit that no row holds leaves its query without candidates.
     seeds = known.groupBy(*scope).agg(
         F.count_if(F.col("role") == "all").alias("known_all"),
-        F.min(F.when(F.col("role") == "all", F.struct("n_t", "term"))).alias("rare"),
-        F.collect_set(F.when(F.col("role") == "any", F.col("term"))).alias("some"))
-    seeds = seeds.join(need, scope).where("known_all = n_all").select(
-        *scope, "n_all", "n_any", F.explode(F.when(F.col("n_all") > 0, F.array(F.col("rare")["term"])).otherwise(F.col("some"))).alias("term"))
-    rows = seeds.join(postings.select(*by, "term", "id"), [*by, "term"]).select(*scope, "n_all", "n_any", "id").distinct()
-    matched = rows.join(known, scope).join(postings, [*by, "term", "id"])
+        F.min(F.when(F.col("role") == "all", F.struct("n_t", "term"))).alias("rare"))
+    seeds = seeds.join(need, scope).where("known_all = n_all").select(*scope, "n_all", "n_any", F.col("rare")["term"].alias("rare"))
+    # A few rows a query, read three times below.
+    known = table = materialize(known.join(seeds, scope), "units")
+    is_seed = F.when(F.col("n_all") > 0, (F.col("role") == "all") & (F.col("term") == F.col("rare"))).otherwise(F.col("role") == "any")
+    found = known.where(is_seed).join(postings, [*by, "term"])
+    rows = found.select(*scope, "id").distinct()
+    further = known.where(~is_seed & ((F.col("n_all") > 0) | (F.col("role") == "none")))
+    looked_up = rows.join(further, scope).join(postings, [*by, "term", "id"])
+    matched = found.unionByName(looked_up.select(*found.columns))
     per_row = matched.groupBy(*scope, "id", "n_all", "n_any").agg(
         F.count_if(F.col("role") == "all").alias("got_all"), F.count_if(F.col("role") == "any").alias("got_any"),
         F.count_if(F.col("role") == "none").alias("got_none"),
@@ -299,7 +319,7 @@ def _scored(index: TextIndex, units: DataFrame, scope: list[str], hits: DataFram
     # order the shuffle delivered their terms in (ties then fall to newest).
     score = F.aggregate(F.sort_array("_t"), F.lit(0.0).cast("double"),
                         lambda acc, x: acc + x["repeats"] * _bm25(x["tf"], F.col("dl"), F.col("avgdl"), F.col("n_rows"), x["n_t"]))
-    return full.select(*scope, "id", score.alias("score"), "created_at")
+    return full.select(*scope, "id", score.alias("score"), "created_at"), table
 
 
 def top_k(scored: DataFrame, limit: int | None, keys: list[str]) -> DataFrame:
@@ -311,23 +331,34 @@ def top_k(scored: DataFrame, limit: int | None, keys: list[str]) -> DataFrame:
 
 # ----------------------------------------------------------------- queries --
 
+def _hits(df: DataFrame | None, index: TextIndex | None, stem: bool, by, keys: list[str], units, limit: int | None, narrow=None) -> DataFrame:
+    """The first ``limit`` hits of ``units(index)``, written; what they were
+    made from, an index built here included, is dropped."""
+    own = index is None
+    index = build_index(df, stem=stem, by=by) if own else index
+    scope = [*keys, *[c for c in index.by if c not in keys]]
+    asked = _named(units(index))
+    special = materialize(_unit_hits(index, asked), "unit-hits")
+    scored, known = _scored(index, asked, scope, special)
+    out = materialize(top_k(narrow(scored) if narrow else scored, limit, scope), "hits")
+    drop_materialized(special, known)
+    if own:
+        index.drop()
+    return out
+
+
 def _bag(queries: DataFrame, index: TextIndex, query_col: str, keys: list[str]) -> DataFrame:
     """Every token of free query text as a required term."""
     return _units(queries.withColumn("_all", F.array(F.col(query_col))), index, keys, {"_all": ("all", False, False)})
 
 
-def _plain_terms(units: DataFrame) -> DataFrame:
-    return units.withColumn("term", F.col("tokens")[0])
-
-
 def search(df: DataFrame, queries: DataFrame, limit: int | None = 5, index: TextIndex | None = None,
            stem: bool = True, query_col: str = "query", key_cols=("query_id",), by=()) -> DataFrame:
     """Q4: ``(…keys, …by, id, created_at, score, rank)`` for a table of queries.
     With ``by``, queries carry the owner columns and see their owner's rows."""
     keys = list(key_cols)
-    index = index or build_index(df, stem=stem, by=by)
-    scope = [*keys, *[c for c in index.by if c not in keys]]
-    return top_k(_scored(index, _plain_terms(_bag(queries, index, query_col, keys)), scope, None), limit, scope)
+
+    return _hits(df, index, stem, by, keys, lambda i: _bag(queries, i, query_col, keys), limit)
 
 
 def structured_search(df: DataFrame, queries: DataFrame, limit: int | None = 5, index: TextIndex | None = None,
@@ -338,11 +369,10 @@ def structured_search(df: DataFrame, queries: DataFrame, limit: int | None = 5,
     several tokens is a phrase; a prefix is that of its last token.  ``field``
     (``content`` or ``tags``, null for both) limits every unit of the query."""
     keys = list(key_cols)
-    index = index or build_index(df, stem=stem, by=by)
     lists = {"all_terms": ("all", False, True), "phrases": ("all", False, True), "prefixes": ("all", True, True),
              "any_terms": ("any", False, True), "none_terms": ("none", False, True)}
-    units = _units(queries, index, keys, {c: v for c, v in lists.items() if c in queries.columns})
-    return top_k(match(index, units, keys), limit, [*keys, *[c for c in index.by if c not in keys]])
+
+    return _hits(df, index, stem, by, keys, lambda i: _units(queries, i, keys, {c: v for c, v in lists.items() if c in queries.columns}), limit)
 
 
 def phrase_search(df: DataFrame, queries: DataFrame, limit: int | None = 5, index: TextIndex | None = None,
@@ -350,9 +380,8 @@ def phrase_search(df: DataFrame, queries: DataFrame, limit: int | None = 5, inde
     """Q5 phrases: rows containing *every* phrase of the query, each as
     consecutive tokens of one field and scored as one term."""
     keys = list(key_cols)
-    index = index or build_index(df, stem=stem, by=by)
-    units = _units(queries, index, keys, {phrases_col: ("all", False, True)})
-    return top_k(match(index, units, keys), limit, [*keys, *[c for c in index.by if c not in keys]])
+
+    return _hits(df, index, stem, by, keys, lambda i: _units(queries, i, keys, {phrases_col: ("all", False, True)}), limit)
 
 
 def _words(q) -> F.Column:
@@ -386,14 +415,14 @@ def routed_search(df: DataFrame, queries: DataFrame, limit: int = 5, stem: bool
     ``(…keys, …by, mode, id, created_at, score, rank)``, keyword score as double."""
     from memlake.operators.keyword import keyword_search
     keys = list(key_cols)
-    index = index or build_index(df, stem=stem, by=by)
-    scope = [*keys, *[c for c in index.by if c not in keys]]
+    scope = [*keys, *[c for c in (index.by if index is not None else by) if c not in keys]]
     routed = route_queries(queries, query_col)
     ranked_q = routed.filter(F.col("mode") == "ranked").withColumn(
         "_all", F.filter(_words(F.col(query_col)), lambda w: w != "AND"))
-    ranked = top_k(match(index, _units(ranked_q, index, keys, {"_all": ("all", False, True)}), keys), limit, scope)
+
+    ranked = _hits(df, index, stem, by, keys, lambda i: _units(ranked_q, i, keys, {"_all": ("all", False, True)}), limit)
     cols = [*scope, "mode", "id", "created_at", "score", "rank"]
-    kw = keyword_search(df, routed.filter(F.col("mode") == "keyword"), limit, query_col, key_cols, by=index.by)
+    kw = keyword_search(df, routed.filter(F.col("mode") == "keyword"), limit, query_col, key_cols, by=index.by if index is not None else by)
     return ranked.withColumn("mode", F.lit("ranked")).select(*cols).unionByName(
         kw.withColumn("mode", F.lit("keyword")).withColumn("score", F.col("score").cast("double")).select(*cols))
 
@@ -404,9 +433,9 @@ def relevant(df: DataFrame, queries: DataFrame, rules: Rules | DataFrame | None
     per owner), then the top ``limit`` per query.  Rules are applied *below*
     the top-k, so every visible hit can rank."""
     keys = list(key_cols)
-    index = index or build_index(df, stem=stem, by=by)
-    scope = [*keys, *[c for c in index.by if c not in keys]]
-    scored = _scored(index, _plain_terms(_bag(queries, index, query_col, keys)), scope, None)
-    rec = df.select(*index.by, "id", "content", "category", "tags", "sensitive")
-    vis = exclude(scored.join(rec, [*index.by, "id"]), rules, *([index.by] if isinstance(rules, DataFrame) else []))
-    return top_k(vis, limit, scope)
+
+    def visible(scored):
+        owner = [c for c in by if c in scored.columns] if index is None else index.by
+        rec = df.select(*owner, "id", "content", "category", "tags", "sensitive")
+        return exclude(scored.join(rec, [*owner, "id"]), rules, *([owner] if isinstance(rules, DataFrame) else []))
+    return _hits(df, index, stem, by, keys, lambda i: _bag(queries, i, query_col, keys), limit, visible)

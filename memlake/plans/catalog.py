@@ -512,6 +512,7 @@ def q_pack_lines(spark, sf_dir):
 
 # ------------------------------------------------------- full-text search ---
 
+from memlake.functions.stemming import stem_sql  # noqa: E402
 from memlake.operators import search as se  # noqa: E402
 
 _U = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -558,7 +559,18 @@ def q_search_bm25(spark, sf_dir):
     return res.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
 
 
-@register("search_bm25_stemmed")
+_STEMMED_SQL = _BM25_SQL.replace("{qfilter}", "").replace(", tk AS (", ", tk0 AS (").replace(
+    ", post AS (", f""", asked AS (SELECT item_id AS query_id, unnest({_fts_tokens_sql('text')}) AS term FROM benchmark)
+, stemmed AS MATERIALIZED ({stem_sql("SELECT DISTINCT term FROM (SELECT term FROM tk0 UNION ALL SELECT term FROM asked)")})
+, tk AS (SELECT id, stem AS term FROM tk0 JOIN stemmed USING (term))
+, post AS (""", 1).replace(f"SELECT item_id AS query_id, unnest({_fts_tokens_sql('text')}) AS term FROM benchmark )",
+                           "SELECT query_id, stem AS term FROM asked JOIN stemmed USING (term))")
+
+
+@register("search_bm25_stemmed", _with(_STEMMED_SQL + """
+, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, id) AS rank
+         FROM full_hits)
+SELECT query_id, id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM rk WHERE rank <= 5"""))
 def q_search_bm25_stemmed(spark, sf_dir):
     res = se.search(_rec(spark, sf_dir), fx.queries_table(spark, sf_dir), limit=5, stem=True)
     return res.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
@@ -872,31 +884,34 @@ _STRUCTURED_SQL = f"""
 , nt AS (SELECT toks, prefix, field, COUNT(*) AS n_t FROM occ GROUP BY ALL)
 , need3 AS (SELECT query_id, COUNT(*) FILTER (WHERE role = 'all') AS n_all, COUNT(*) FILTER (WHERE role = 'any') AS n_any
             FROM unit GROUP BY query_id)
-, hit AS (SELECT u.query_id, u.role, u.repeats, o.id, o.tf, n.n_t FROM unit u
+, hit AS (SELECT u.query_id, u.role, u.repeats, o.id, o.tf, n.n_t, CASE WHEN len(u.toks) = 1 AND NOT u.prefix AND u.field IS NULL
+            THEN u.toks[1] ELSE chr(1) || CAST(u.toks AS VARCHAR) || u.prefix END AS name FROM unit u
           JOIN occ o ON o.toks = u.toks AND o.prefix = u.prefix AND o.field = COALESCE(u.field, '')
           JOIN nt n ON n.toks = o.toks AND n.prefix = o.prefix AND n.field = o.field)
 , sc3 AS (SELECT h.query_id, h.id, COUNT(*) FILTER (WHERE role = 'all') AS g_all, COUNT(*) FILTER (WHERE role = 'any') AS g_any,
             COUNT(*) FILTER (WHERE role = 'none') AS g_none,
-            SUM(CASE WHEN role = 'none' THEN 0 ELSE h.repeats * greatest(ln((st3.n_rows - h.n_t + 0.5) / (h.n_t + 0.5)), 1e-6)
-                * (h.tf * 2.2) / (h.tf + 1.2 * (0.25 + 0.75 * l.dl / st3.avgdl)) END) AS score
+            list_reduce([0.0::DOUBLE] || list(h.repeats * greatest(ln((st3.n_rows - h.n_t + 0.5) / (h.n_t + 0.5)), 1e-6)
+                * (h.tf * 2.2) / (h.tf + 1.2 * (0.25 + 0.75 * l.dl / st3.avgdl)) ORDER BY h.name) FILTER (role <> 'none'), lambda a, b: a + b) AS score
           FROM hit h JOIN lens3 l ON l.id = h.id CROSS JOIN st3 GROUP BY h.query_id, h.id)
-SELECT s.query_id, s.id, round(s.score, 6) AS score FROM sc3 s JOIN need3 n ON n.query_id = s.query_id
-WHERE g_all = n_all AND g_none = 0 AND (n_any = 0 OR g_any > 0) AND n_all + n_any > 0"""
+SELECT query_id, id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT s.query_id, s.id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, r.created_at DESC, s.id) AS rank
+  FROM sc3 s JOIN need3 n ON n.query_id = s.query_id JOIN records r ON r.id = s.id
+  WHERE g_all = n_all AND g_none = 0 AND (n_any = 0 OR g_any > 0) AND n_all + n_any > 0) WHERE rank <= 10"""
 
 
 @register("structured_search", _with(_STRUCTURED_SQL))
 def q_structured_search(spark, sf_dir):
-    """Q5: required, alternative and excluded terms, phrases, prefixes and fields combined; every hit."""
-    res = se.structured_search(_rec(spark, sf_dir), structured_queries(spark, sf_dir), limit=None, stem=False)
-    return res.select("query_id", "id", F.round("score", 6).alias("score"))
+    """Q5: required, alternative and excluded terms, phrases, prefixes and fields combined; the first ten hits."""
+    res = se.structured_search(_rec(spark, sf_dir), structured_queries(spark, sf_dir), limit=10, stem=False)
+    return res.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
 
 
 @register("stems", f"""
-SELECT DISTINCT unnest({_fts_tokens_sql('text')}) AS term FROM documents""")
+SELECT term, stem FROM ({stem_sql(f"SELECT DISTINCT unnest({_fts_tokens_sql('text')}) AS term FROM documents")})""")
 def q_stems(spark, sf_dir):
-    """Q2: the vocabulary that is stemmed (the stems themselves are held against SQLite in the tests)."""
+    """Q2: every distinct term and its stem (held against SQLite in the tests too)."""
     toks = fx.table(spark, sf_dir, "documents").select(F.explode(fts_tokens("text")).alias("term"))
-    return se.stem_vocabulary(toks).select("term")
+    return se.stem_vocabulary(toks)
 
 
 # ----------------------------------------------------------- owner scope ---
@@ -943,19 +958,21 @@ def q_keyword_by_owner(spark, sf_dir):
 , st AS (SELECT owner, COUNT(*) AS n_rows, SUM(dl) / COUNT(*) AS avgdl FROM lens GROUP BY owner)
 , tstat AS (SELECT owner, term, COUNT(*) AS n_t FROM post GROUP BY ALL)
 , qt AS (SELECT owner, query_id, term, COUNT(*) AS repeats FROM (
-         SELECT owner, query_id, unnest(({_fts_tokens_sql('query')})[1:2]) AS term FROM q) GROUP BY ALL)
+         SELECT owner, query_id, unnest({_fts_tokens_sql('query')}) AS term FROM q) GROUP BY ALL)
 , need AS (SELECT owner, query_id, COUNT(*) AS n FROM qt GROUP BY ALL)
 , sc AS (SELECT qt.owner, qt.query_id, p.id, COUNT(*) AS n,
            SUM(qt.repeats * greatest(ln((st.n_rows - t.n_t + 0.5) / (t.n_t + 0.5)), 1e-6)
              * (p.tf * 2.2) / (p.tf + 1.2 * (0.25 + 0.75 * l.dl / st.avgdl))) AS score
          FROM qt JOIN post p ON p.owner = qt.owner AND p.term = qt.term JOIN tstat t ON t.owner = qt.owner AND t.term = qt.term
          JOIN lens l ON l.owner = p.owner AND l.id = p.id JOIN st ON st.owner = qt.owner GROUP BY ALL)
-SELECT sc.owner, sc.query_id, sc.id, round(sc.score, 6) AS score FROM sc JOIN need n ON n.owner = sc.owner AND n.query_id = sc.query_id AND n.n = sc.n""")
+SELECT owner, query_id, id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT sc.owner, sc.query_id, sc.id, sc.score,
+         row_number() OVER (PARTITION BY sc.owner, sc.query_id ORDER BY round(sc.score, 9) DESC, l.turn DESC, sc.id) AS rank
+  FROM sc JOIN need n ON n.owner = sc.owner AND n.query_id = sc.query_id AND n.n = sc.n JOIN lens l ON l.owner = sc.owner AND l.id = sc.id) WHERE rank <= 5""")
 def q_search_by_owner(spark, sf_dir):
-    """Q4 in each owner's own rows and statistics; the first two tokens of each user turn."""
-    q = owned_queries(spark, sf_dir).withColumn("query", F.array_join(F.slice(fts_tokens("query"), 1, 2), " "))
-    res = se.search(owned_records(spark, sf_dir), q, limit=None, stem=False, by=["owner"])
-    return res.select("owner", "query_id", "id", F.round("score", 6).alias("score"))
+    """Q4 in each owner's own rows and statistics; each user turn is a query."""
+    res = se.search(owned_records(spark, sf_dir), owned_queries(spark, sf_dir), limit=5, stem=False, by=["owner"])
+    return res.select("owner", "query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
 
 
 def owner_rules(spark, sf_dir) -> DataFrame:

@@ -7,7 +7,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from memlake.functions.porter import stem
+from tests.porter import stem
 from memlake.operators import dedup as dd
 from memlake.operators import keyword as kw
 from memlake.operators import search as se
@@ -53,15 +53,14 @@ def expand(pairs_df, copies_df):
     return out
 
 
-def test_reference_style_case(make_records):
-    df = make_records([
-        rec("1", "User enjoys drinking black coffee every morning", created=t(1)),
-        rec("2", "User enjoys drinking black coffee every morning at work", created=t(2)),
-        rec("3", "User has a golden retriever named Biscuit", created=t(3)),
-    ])
-    got = dd.near_duplicates(df, 0.7).collect()
-    assert [(r["id_a"], r["id_b"]) for r in got] == [("2", "1")]
-    assert abs(got[0]["jaccard"] - 7 / 9) < 1e-12
+def test_the_newer_set_comes_first(make_records):
+    """Sets of n words and the same n plus m: n / (n + m), computed here."""
+    sets = {str(k): [f"w{k}x{i}" for i in range(k + 4)] for k in range(6)}
+    rows = [rec(i, " ".join(w), created=t(int(i))) for i, w in sets.items()]
+    rows += [rec(i + "+", " ".join([*w, "more", "words"]), created=t(20 + int(i))) for i, w in sets.items()]
+    got = {(r["id_a"], r["id_b"]): r["jaccard"] for r in dd.near_duplicates(make_records(rows), 0.7).collect()}
+    want = {(i + "+", i): len(w) / (len(w) + 2) for i, w in sets.items() if len(w) / (len(w) + 2) >= 0.7}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want) and 0 < len(want) < 6
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -247,7 +246,7 @@ def test_scores_equal_fts5(spark, make_records, tokenizer):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_stems_equal_fts5_over_a_vocabulary():
+def test_stems_equal_fts5_over_a_vocabulary(spark):
     rnd = random.Random(3)
     ends = ["", "s", "es", "ies", "ed", "eed", "ing", "ational", "tional", "izer", "ation", "fulness", "iviti", "icate", "ness", "ement", "ion", "sion",
             "tion", "ll", "e", "y", "li", "ousli", "logi", "bli", "aぁing", "éé", "ßß"]
@@ -258,8 +257,10 @@ def test_stems_equal_fts5_over_a_vocabulary():
     con.executemany("insert into f(rowid, w) values (?, ?)", list(enumerate(vocab, 1)))
     con.text_factory = bytes
     seen = dict(con.execute("select doc, term from v"))
-    wrong = [(w, stem(w), seen[n]) for n, w in enumerate(vocab, 1) if n in seen and stem(w).encode() != seen[n] and _whole(seen[n])]
+    made = {r.term: r.stem for r in se.stem_vocabulary(spark.createDataFrame([(w,) for w in vocab], "term string")).collect()}
+    wrong = [(w, made[w], seen[n]) for n, w in enumerate(vocab, 1) if n in seen and made[w].encode() != seen[n] and _whole(seen[n])]
     assert not wrong
+    assert made == {w: stem(w) for w in vocab}
 
 
 def _whole(raw: bytes) -> bool:
@@ -270,6 +271,75 @@ def _whole(raw: bytes) -> bool:
         return False
 
 
+def test_stems_of_short_and_odd_terms_equal_plain_python(spark):
+    rnd = random.Random(8)
+    terms = ["y", "yy", "yes", "by", "sky", "ies", "eed", "bed", "sing", "x" * 70, "styying", "é", "漢字ing", "üeed", "11ed", None]
+    terms += ["".join(rnd.choice("aeiouybcdlstz1é") for _ in range(rnd.randint(1, 9))) + rnd.choice(["", "ed", "ing", "ies", "yed", "ll"]) for _ in range(3000)]
+    made = {r.term: r.stem for r in se.stem_vocabulary(spark.createDataFrame([(w,) for w in terms], "term string")).collect()}
+    assert made == {w: stem(w) for w in terms}
+
+
+def test_stems_are_computed_inside_the_jvm(spark, make_records):
+    df = make_records([rec("1", "running runs")])
+    plan = se.stem_vocabulary(se.tokens(df))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "regexp" in plan.lower()
+
+
+def widest_join(df):
+    """Rows that the largest join of an executed query made."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            most = max(most, node.metrics().get("numOutputRows").get().value())
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        else:
+            kids = node.children()
+            todo += [kids.apply(i) for i in range(kids.size())]
+    return most
+
+
+def test_prefixes_join_no_more_rows_than_their_postings(spark, make_records):
+    """Every row holds many words of one prefix: rows times words would be 30 times as much."""
+    rows = [rec(str(i), " ".join(f"pre{(i * 7 + j) % 200} other{j}" for j in range(30)), created=t(i)) for i in range(200)]
+    index = se.build_index(make_records(rows), stem=False)
+    q = spark.createDataFrame([(1, None, None, None, None, ["pre"], None), (2, None, None, None, None, ["other1 pre"], None)], STRUCTURED)
+    hits = se.structured_search(None, q, limit=None, index=index)
+    assert widest_join(hits) <= 5 * 200 * 30
+    got = {(r["query_id"], r["id"]) for r in hits.collect()}
+    assert {i for n, i in got if n == 1} == {str(i) for i in range(200)} == {i for n, i in got if n == 2}
+    index.drop()
+
+
+def test_own_index_is_gone_after_the_query(spark, make_records):
+    import os
+
+    from memlake.session import checkpoint_dir
+    df = make_records([rec("1", "apple pie", created=t(1)), rec("2", "apple jam", created=t(2))])
+    q = spark.createDataFrame([(1, "apple")], "query_id long, query string")
+    before = set(os.listdir(checkpoint_dir(spark)))
+    assert se.search(df, q).count() == 2 and kw.keyword_search(df, q).count() == 2
+    left = {x.split("-")[1] for x in set(os.listdir(checkpoint_dir(spark))) - before}
+    assert left <= {"hits", "keyword"}
+
+
+@pytest.mark.parametrize("limit", [1, 3, 8])
+def test_first_rows_of_keyword_search_equal_all_rows_cut(spark, make_records, limit):
+    rnd = random.Random(limit)
+    common, rare = ["a", "th", "the", "then"], [f"r{i}" for i in range(30)]
+    rows = [rec(str(i), " ".join(rnd.choice(common if rnd.random() < 0.8 else rare) for _ in range(rnd.randint(0, 12))), created=t(i % 7)) for i in range(150)]
+    q = spark.createDataFrame([(n, " ".join(rnd.choice(common + rare) for _ in range(rnd.randint(0, 9)))) for n in range(25)] + [(99, "absent THE a a")],
+                              "query_id long, query string")
+    df = make_records(rows)
+    every = [tuple(r) for r in kw.keyword_search(df, q, limit=None).collect() if r["rank"] <= limit]
+    assert sorted(every) == sorted(tuple(r) for r in kw.keyword_search(df, q, limit=limit).collect())
+
+
 def test_index_upkeep_and_storage(spark, make_records, tmp_path):
     rows = [rec(str(i), f"common word{i} tail", created=t(i)) for i in range(6)]
     q = spark.createDataFrame([(1, "common"), (2, "word3"), (3, "word5 tail")], "query_id long, query string")
@@ -319,7 +389,7 @@ def test_relevant_filters_before_top_k(spark, make_records):
                        rec("2", "apple jam", created=t(2)), rec("3", "apple tart", created=t(1))])
     q = spark.createDataFrame([(1, "apple")], "query_id long, query string")
     assert [r["id"] for r in se.relevant(df, q, Rules(), limit=1, stem=False).collect()] == ["2"]
-    plan = se.relevant(df, q, Rules(), limit=1, stem=False)._jdf.queryExecution().optimizedPlan().toString()
+    plan = se.relevant(df, q, Rules(), limit=1, index=se.build_index(df, stem=False))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("sensitive")  # the filter sits below the window
 
 
