@@ -37,6 +37,7 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -58,9 +59,6 @@ OUT_TOKENS = 1_000_000
 _SPACE = frozenset(" \t\n\r\x0b\x0c")
 _DIGIT = frozenset("0123456789")
 _MARK = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
-#: Words of ASCII characters without apostrophe, and what they consist of once in lower case.
-_PLAIN = re.compile(rb"[!-&(-~]+")
-_PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 
 
 def _letter(c: str) -> bool:
@@ -82,6 +80,7 @@ class Vocabulary:
         import public_tokenizers
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
         path = path or public_tokenizers.path("word_bpe_49k.json")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -99,38 +98,42 @@ class Vocabulary:
         self.specials = [t["content"] for t in spec.get("added_tokens", ())]
         self.special_ids = {t["id"] for t in spec.get("added_tokens", ())}
         self.closing = np.array([t.endswith(self.suffix) or i in self.special_ids for i, t in enumerate(self.tokens)])
+        # Plain words: printable ASCII without apostrophe, and letters up to U+017F that are
+        # letters in lower case too; these are written as the library writes their bytes.
+        letters = [chr(c) for c in range(0xC0, 0x180) if _letter(chr(c))]
+        lower = "".join(sorted({c.lower() for c in letters}))
+        self.plain = re.compile("[!-&(-~" + "".join(letters) + "]+")
+        self.parts = re.compile(f"[a-z{lower}]+|[0-9]|[^a-z0-9{lower}]+")
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in lower}
         self.known: dict[bytes, int] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.known.clear()
-        self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.starts = np.zeros(1 << 14, np.int64)
+        self.flat, self.starts = array("i"), array("q", [0])
 
     def _found(self, words: list[bytes]):
         """(word, ids) of each word.  A plain word is a letter run, a digit or
         a run of marks after the other, which the model alone encodes."""
-        rest = []
+        rest, raw = [], []
         for word in words:
-            if _PLAIN.fullmatch(word) and not any(s.encode() in word for s in self.specials):
-                parts = _PARTS.findall(word.decode().lower())
-                yield word, [t.id for part in parts for t in self.last.tokenize(part)]
+            text = word.decode()
+            if self.plain.fullmatch(text) and not any(s in text for s in self.specials):
+                parts = self.parts.findall(text.lower())
+                yield word, [t.id for part in parts for t in self.last.tokenize(part if part.isascii() else part.translate(self.written))]
             else:
-                rest.append(word)
+                rest.append(text)
+                raw.append(word)
         if rest:
-            for word, found in zip(rest, self.library.encode_batch([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            for word, found in zip(raw, self.library.encode_batch(rest, add_special_tokens=False), strict=True):
                 yield word, found.ids
 
     def _learn(self, words: list[bytes]) -> None:
         for word, ids in self._found(words):
-            n = len(self.known)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.empty(len(self.flat) + len(ids), np.int32)))
-            if n + 1 >= len(self.starts):
-                self.starts = np.concatenate((self.starts, np.zeros(len(self.starts), np.int64)))
-            self.flat[self.used: self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.known[word], self.starts[n + 1] = n, self.used
+            self.known[word] = len(self.known)
+            self.flat.extend(ids)
+            self.starts.append(len(self.flat))
 
     def encode(self, text: bytes) -> np.ndarray:
         """The ids of a whole text, white space on both its sides."""
@@ -143,7 +146,7 @@ class Vocabulary:
                 self._forget()
                 new = list(dict.fromkeys(words))
             self._learn(new)
-        flat, starts = self.flat, self.starts
+        flat, starts = np.frombuffer(self.flat, np.int32), np.frombuffer(self.starts, np.int64)
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         size = starts[at + 1] - starts[at]
         place = np.arange(int(size.sum())) + np.repeat(starts[at] - (np.cumsum(size) - size), size)

@@ -49,7 +49,7 @@ SHARDS = 8
 LONGEST = 4
 FILTER_BITS = 26
 #: Bytes of text handled together, and of the stretches whose letters are hashed together.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 STRETCH = 1 << 18
 
 _U = np.uint64
@@ -123,6 +123,7 @@ class Block:
         self.row = rows[row] if len(row) else row
         self.fresh = self.starts < fresh
         self.language, self.group = names[self.row], groups[self.row]
+        self.joined = self.places = None
 
     def words(self, base: int = _BASES[0]) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -140,8 +141,18 @@ class Block:
                 whole &= self.same[k - 1: k - 1 + m]
         return name, whole
 
-    def text(self, i: int, n: int) -> str:
-        return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[i: i + n], self.ends[i: i + n], strict=True)).decode()
+    def texts(self, at: np.ndarray, n: int) -> pa.Array:
+        """The phrases of ``n`` words from the words ``at``, joined by one space."""
+        size = self.ends - self.starts
+        if self.joined is None:
+            self.places = np.cumsum(size + 1) - size - 1
+            self.joined = np.full(int((size + 1).sum()), 0x20, np.uint8)
+            self.joined[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = self.data[_KIND[self.data] == 0]
+        start = self.places[at]
+        length = self.places[at + n - 1] + size[at + n - 1] - start
+        ends = np.concatenate(([0], np.cumsum(length)))
+        flat = self.joined[np.arange(ends[-1]) + np.repeat(start - ends[:-1], length)]
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)).cast(pa.string())
 
 
 def _cuts(kind: np.ndarray, block: int):
@@ -230,6 +241,11 @@ def _local(n: int, shorter, block: int):
     return run
 
 
+def _rows(langs: pa.Array, k: int, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([langs, pa.array(np.full(len(langs), k, np.int32)), phrases, pa.array(counts.astype(np.int64))],
+                                      names=["lang", "k", "phrase", "c"])
+
+
 def _counted(candidates, block: int):
     """(lang, words, phrase, count) of all candidates, and of all words under
     the empty phrase of 0 words."""
@@ -238,30 +254,25 @@ def _counted(candidates, block: int):
         for batch in batches:
             for b, langs in blocks(batch, block):
                 words, other = b.words(), b.words(_BASES[1])
-                rows = []
+                spoken = pa.array(langs, pa.string())
                 row, times = np.unique(b.row[b.fresh], return_counts=True)
-                total: dict[str, int] = {}
-                for r, c in zip(row.tolist(), times.tolist(), strict=True):
-                    total[langs[r]] = total.get(langs[r], 0) + c
-                rows += [(lang, 0, "", c) for lang, c in total.items()]
+                yield _rows(spoken.take(pa.array(row)), 0, pa.array([""] * len(row), pa.string()), times)
                 for n in range(1, LONGEST + 1):
                     name, whole = b.phrases(words, n)
                     whole &= b.fresh[: len(whole)]
                     whole &= _held(bits, name)
                     at = np.flatnonzero(whole)
+                    if not len(at):
+                        continue
                     name, check = name[at], b.phrases(other, n)[0][at]
                     order, first, count = _tally(name)
-                    # Two names tell phrases apart; where the first is shared, the texts are compared one by one.
-                    shared = np.flatnonzero(np.maximum.reduceat(check[order], first) != np.minimum.reduceat(check[order], first)) if len(first) else first
-                    loose = set(shared.tolist())
-                    for k, (i, c) in enumerate(zip(at[order[first]].tolist(), count.tolist(), strict=True)):
-                        if k in loose:
-                            rows += [(langs[b.row[j]], n, b.text(j, n), 1) for j in at[order[first[k]: first[k] + c]].tolist()]
-                        else:
-                            rows.append((langs[b.row[i]], n, b.text(i, n), c))
-                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                    columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "k", "phrase", "c"])
+                    check = check[order]
+                    # Where two phrases share a name, the second name tells; their places are given one by one.
+                    shared = np.maximum.reduceat(check, first) != np.minimum.reduceat(check, first)
+                    alone = np.repeat(shared, count)
+                    for some, c in ((at[order[first[~shared]]], count[~shared]), (at[order[alone]], np.ones(int(alone.sum()), np.int64))):
+                        if len(some):
+                            yield _rows(spoken.take(pa.array(b.row[some])), n, b.texts(some, n), c)
     return run
 
 
