@@ -22,12 +22,12 @@ number of row pairs the pairwise definition would list.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.text import word_set
 from memlake.operators.filters import content_key
-from memlake.util import materialize
+from memlake.util import drop_materialized, materialize
 
 EPS = 1e-9
 
@@ -149,20 +149,30 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None
     row pairs; pairs of identical sets are in ``duplicate_copies``.
 
     The copy-group table and the prefix table each feed several branches, so
-    both are materialised once (``util.materialize``) instead of being
-    recomputed per branch; pass ``groups`` (from ``near_duplicate_groups``) to
-    share them with ``pair_count``.
+    both are materialised once (``util.materialize``) and dropped when the pairs
+    are written; pass ``groups`` (from ``near_duplicate_groups``) to share them
+    with ``pair_count``.
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
     by = list(by or [])
-    groups = groups if groups is not None else near_duplicate_groups(df, by)
-    pref = materialize(_prefixes(groups, threshold, by))
+    own = groups is None
+    groups = near_duplicate_groups(df, by) if own else groups
+    pref = materialize(_prefixes(groups, threshold, by), "prefixes")
+    out = materialize(_near_pairs(groups, pref, threshold, by), "near-pairs")
+    drop_materialized(pref, *([groups] if own else []))
+    return out
+
+
+def _near_pairs(groups: DataFrame, pref: DataFrame, threshold: float, by: list[str], newer: DataFrame | None = None) -> DataFrame:
+    """Verified pairs; with ``newer`` (set keys of the newest sets) those
+    whose newer set is one of them."""
     # The join key is (word, length band): a word held in the prefixes of
     # many sets is split by set length, and only bands that can pass the
     # length filter meet (one side is copied to the two neighbour bands).
     band, offsets = _length_band(threshold)
-    a = pref.select(*by, F.col("set_key").alias("ka"), F.col("n_words").alias("na"), "w",
+    probes = pref if newer is None else pref.join(newer, [*by, "set_key"], "left_semi")
+    a = probes.select(*by, F.col("set_key").alias("ka"), F.col("n_words").alias("na"), "w",
                     F.col("pos").alias("pa"), band(F.col("n_words")).alias("_band"))
     b = pref.select(*by, F.col("set_key").alias("kb"), F.col("n_words").alias("nb"), "w",
                     F.col("pos").alias("pb"),
@@ -173,7 +183,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None
     # in b); Jaccard >= t needs overlap >= t/(1+t) * (na + nb).  Pairs that
     # cannot reach it are dropped before any word list is fetched.
     cand = (a.join(b, by + ["w", "_band"])
-            .filter(F.col("ka") < F.col("kb"))
+            .filter(F.col("ka") < F.col("kb") if newer is None else F.col("ka") != F.col("kb"))
             .filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(EPS))
             .groupBy(*by, "ka", "kb", "na", "nb")
             .agg(F.count(F.lit(1)).alias("_shared"), F.max("pa").alias("_pa"), F.max("pb").alias("_pb")))
@@ -190,6 +200,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None
     ver = ver.filter(F.col("jaccard") >= F.lit(threshold))
     a_newer = F.struct((-F.unix_micros("rep_created_at_a")), F.col("rep_id_a")) < \
         F.struct((-F.unix_micros("rep_created_at_b")), F.col("rep_id_b"))
+    if newer is not None:       # a pair of two probes is found from either side
+        ver = ver.where(a_newer)
     return ver.select(
         *by,
         F.when(a_newer, F.col("rep_id_a")).otherwise(F.col("rep_id_b")).alias("id_a"),
@@ -217,12 +229,40 @@ def pair_count(df: DataFrame, threshold: float = 0.75, by: list[str] | None = No
     same = groups.select(*by, (F.col("copies") * (F.col("copies") - 1) / 2).cast("bigint").alias("p"))
     scopes = df.select(*by).distinct().select(*by, F.lit(0).cast("bigint").alias("p")) if by else \
         df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("p"))
-    return near.unionByName(same).unionByName(scopes).groupBy(*by).agg(F.sum("p").alias("pairs"))
+    out = materialize(near.unionByName(same).unionByName(scopes).groupBy(*by).agg(F.sum("p").alias("pairs")), "pair-count")
+    drop_materialized(groups)
+    return out
+
+
+def newest_pairs(df: DataFrame, threshold: float = 0.75, n: int = 3, first: int = 1000, growth: int = 8) -> DataFrame:
+    """A8 without the table of all pairs: the first ``n`` pairs, newest
+    first, as ``example_pairs`` gives them.
+
+    Pairs are ordered by their newer set, so the pairs of the newest sets come
+    before all others.  The ``first`` newest sets are paired with all sets; while
+    that gives fewer than ``n`` pairs, ``growth`` times as many are tried.
+    """
+    groups = near_duplicate_groups(df)
+    pref = materialize(_prefixes(groups, threshold, []), "prefixes")
+    total, size = groups.count(), first
+    while True:
+        newest = materialize(groups.orderBy(F.col("rep_created_at").desc(), "rep_id").limit(size).select("set_key"), "newest")
+        pairs = materialize(_near_pairs(groups, pref, threshold, [], newest), "near-pairs")
+        drop_materialized(newest)
+        if size >= total or pairs.limit(n).count() == n:
+            break
+        drop_materialized(pairs)
+        size *= growth
+    times = groups.select(F.col("rep_id").alias("id_a"), F.col("rep_created_at").alias("ca"))
+    found = pairs.join(times, "id_a").orderBy(F.col("ca").desc(), "id_a", "id_b").limit(n)
+    w = Window.orderBy(F.col("ca").desc(), "id_a", "id_b")      # n rows
+    out = materialize(found.withColumn("rank", F.row_number().over(w)).drop("ca"), "newest-pairs")
+    drop_materialized(groups, pref, pairs)
+    return out
 
 
 def example_pairs(df: DataFrame, pairs: DataFrame, n: int = 3, by: list[str] | None = None) -> DataFrame:
     """A8 (second half): the first ``n`` pairs per scope, newest ``a`` first."""
-    from pyspark.sql import Window
     by = list(by or [])
     ts = df.select(*by, F.col("id").alias("id_a"), F.col("created_at").alias("ca"))
     w = Window.partitionBy(*by).orderBy(F.col("ca").desc(), F.col("id_a"), F.col("id_b"))

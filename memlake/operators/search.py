@@ -149,6 +149,31 @@ def shrink_index(index: TextIndex, removed: DataFrame) -> TextIndex:
                   index.lengths.join(ids, keys, "left_anti"), index.stemmed, index.by)
 
 
+def amend_index(index: TextIndex, added: DataFrame, removed: DataFrame) -> TextIndex:
+    """The index without the rows whose ``id`` is in ``removed`` and with
+    ``added`` (a changed row is in both).  The tables of ``index`` are not
+    rewritten: what was added, and the change of the term counts, are small
+    tables beside them, united when they are read.  ``extend_index`` and
+    ``shrink_index`` write the whole again, for when many changes have gathered."""
+    by, keys = index.by, [*index.by, "id"]
+    gone = materialize(removed.select(*keys).distinct(), "gone")
+    new = _index(_postings(added, index.stemmed, FIELDS, by), added.select(*keys, "created_at"), index.stemmed, by)
+
+    def lost(table):
+        return table.join(gone, keys, "left_semi")
+    change = new.terms.unionByName(lost(index.postings).groupBy(*by, "term").agg((-F.count(F.lit(1))).alias("n_t")))
+    change = materialize(change, "term-changes")
+    terms = index.terms.unionByName(change).groupBy(*by, "term").agg(F.sum("n_t").alias("n_t")).where("n_t > 0")
+    sizes = new.stats.select(*by, "n_rows", "total_tokens").unionByName(
+        lost(index.lengths).groupBy(*by).agg((-F.count(F.lit(1))).alias("n_rows"), (-F.sum("dl")).alias("total_tokens")))
+    sizes = materialize(sizes, "size-changes")
+    stats = index.stats.select(*by, "n_rows", "total_tokens").unionByName(sizes).groupBy(*by).agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("total_tokens").alias("total_tokens")).where("n_rows > 0")
+    stats = stats.withColumn("avgdl", F.col("total_tokens") / F.col("n_rows"))
+    return TextIndex(index.postings.join(gone, keys, "left_anti").unionByName(new.postings),
+                     index.lengths.join(gone, keys, "left_anti").unionByName(new.lengths), terms, stats, index.stemmed, by)
+
+
 def write_index(index: TextIndex, path: str) -> None:
     """Store an index; postings and terms lie in ``BUCKETS`` folders by term
     hash, sorted by term inside, so a lookup of few terms reads few row groups

@@ -585,6 +585,32 @@ def q_relevant(spark, sf_dir):
     return res.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
 
 
+_AMENDED_SQL = _BM25_SQL.replace("{qfilter}", "").replace("FROM records", "FROM amended").replace("JOIN records", "JOIN amended")
+
+
+@register("index_after_changes", _with("""
+, turned AS (SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS id, text AS content, CAST([] AS VARCHAR[]) AS tags,
+               TIMESTAMP '2024-01-01 00:00:00' + turn * INTERVAL '1' SECOND AS created_at, role <> 'user' AS sensitive FROM conversations)
+, amended AS (SELECT id, CASE WHEN sensitive THEN 'changed ' || content ELSE content END AS content, tags, created_at, sensitive FROM records
+              WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE quality = 0 AND toxic = 0)
+              UNION ALL SELECT id, content, tags, created_at, sensitive FROM turned)""" + _AMENDED_SQL + """
+, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, id) AS rank FROM full_hits)
+SELECT query_id, id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM rk WHERE rank <= 5"""))
+def q_index_after_changes(spark, sf_dir):
+    """Q3 upkeep: rows of low quality leave the index, sensitive rows change
+    their text, conversation turns come in; then every benchmark search."""
+    rec = _rec(spark, sf_dir)
+    low = fx.table(spark, sf_dir, "labels").where("quality = 0 and toxic = 0").select(F.col("doc_id").cast("string").alias("id"))
+    changed = rec.where("sensitive").join(low, "id", "left_anti").withColumn("content", F.concat(F.lit("changed "), "content"))
+    added = changed.select("id", "content", "tags", "created_at").unionByName(
+        owned_records(spark, sf_dir).select("id", "content", "tags", "created_at"))
+    index = se.build_index(rec, stem=False)
+    amended = se.amend_index(index, added, low.unionByName(changed.select("id")))
+    res = se.search(None, fx.queries_table(spark, sf_dir), limit=5, index=amended)
+    index.drop()
+    return res.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
+
+
 @register("index_stats", _with(_BM25_SQL.replace("{qfilter}", "") + """
 SELECT CAST(n_rows AS BIGINT) AS n_rows, round(avgdl, 6) AS avgdl,
        (SELECT COUNT(*) FROM tstat) AS n_terms, (SELECT COUNT(*) FROM post) AS n_postings FROM st"""))
@@ -750,7 +776,7 @@ QUALIFY row_number() OVER (ORDER BY r.created_at DESC, np.id_a, np.id_b) <= 3"""
 def q_health_examples(spark, sf_dir):
     """The three newest near-duplicate pairs."""
     rec = _rec(spark, sf_dir)
-    ex = dd.example_pairs(rec, dd.near_duplicates(rec, THRESHOLD), n=3)
+    ex = dd.newest_pairs(rec, THRESHOLD, n=3)
     return ex.select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"), F.col("rank").cast("bigint"))
 
 

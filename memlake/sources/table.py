@@ -76,7 +76,9 @@ def append_records(df: DataFrame, path: str) -> None:
 
 
 def latest_version(spark: SparkSession, base: str) -> int | None:
-    """Highest ``v=<n>`` under ``base`` (a directory listing, no data read)."""
+    """Highest ``v=<n>`` under ``base`` whose write was committed (its marker
+    is there; what a failed write left behind is passed over).  A directory
+    listing, no data read."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(base)
@@ -91,7 +93,8 @@ def latest_version(spark: SparkSession, base: str) -> int | None:
                 n = int(name[2:])
             except ValueError:
                 continue
-            best = n if best is None else max(best, n)
+            if (best is None or n > best) and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+                best = n
     return best
 
 

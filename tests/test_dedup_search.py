@@ -53,6 +53,16 @@ def expand(pairs_df, copies_df):
     return out
 
 
+@pytest.mark.parametrize("first", [1, 4, 1000])
+def test_newest_pairs_stop_early(make_records, first):
+    rnd = random.Random(6)
+    rows = [rec(str(i), " ".join(rnd.sample([f"w{j}" for j in range(9)], 7)), created=t(i // 2)) for i in range(40)]
+    df = make_records(rows)
+    want = dd.example_pairs(df, dd.near_duplicates(df, 0.7), n=3)
+    assert sorted(tuple(r) for r in dd.newest_pairs(df, 0.7, 3, first).select(*want.columns).collect()) == sorted(map(tuple, want.collect()))
+    assert dd.newest_pairs(df.limit(0), 0.7).collect() == []
+
+
 def test_the_newer_set_comes_first(make_records):
     """Sets of n words and the same n plus m: n / (n + m), computed here."""
     sets = {str(k): [f"w{k}x{i}" for i in range(k + 4)] for k in range(6)}
@@ -350,6 +360,10 @@ def test_index_upkeep_and_storage(spark, make_records, tmp_path):
     whole = se.build_index(make_records(rows), stem=False)
     grown = se.extend_index(se.build_index(make_records(rows[:4]), stem=False), make_records(rows[4:]))
     assert hits(grown) == hits(whole)
+    changed = make_records([rec("3", "common other", created=t(9)), rec("8", "tail", created=t(8))])
+    amended = se.amend_index(whole, changed, spark.createDataFrame([("3",), ("0",), ("none",)], "id string"))
+    now = make_records([rows[i] for i in (1, 2, 4, 5)] + [rec("3", "common other", created=t(9)), rec("8", "tail", created=t(8))])
+    assert hits(amended) == hits(se.build_index(now, stem=False))
     cut = se.shrink_index(whole, spark.createDataFrame([("3",), ("0",)], "id string"))
     assert hits(cut) == hits(se.build_index(make_records([rows[i] for i in (1, 2, 4, 5)]), stem=False))
     se.write_index(whole, str(tmp_path / "index"))
