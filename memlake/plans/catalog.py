@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from memlake import fixtures as fx
 from memlake.functions.classify import classify_frame, extract_tags, category_scores
-from memlake.functions.render import render_line, render_short
+from memlake.functions.render import render_hit, render_line, render_short
 from memlake.functions.text import context_line, fts_tokens
 from memlake.functions.timefn import age_days, is_stale
 from memlake.operators import audit as au
@@ -1346,3 +1346,25 @@ SELECT q.owner, q.query_id, CASE WHEN a.block IS NULL THEN q.query ELSE '## Pers
 def q_prompts_by_owner(spark, sf_dir):
     """K5 in each owner's own rows."""
     return pk.prompts(owned_records(spark, sf_dir), owned_queries(spark, sf_dir), Rules(), limit=8, by=["owner"]).select("owner", "query_id", "prompt")
+
+
+@register("render_hits", _with(_KW_SQL + """
+SELECT r.query_id, CAST(r.rank AS VARCHAR) || '. [' || rpad(source, CAST(greatest(8, len(source)) AS INTEGER), ' ') || '] ['
+  || rpad(category, CAST(greatest(12, len(category)) AS INTEGER), ' ') || '] ' || content[1:65] || CASE WHEN sensitive THEN ' [SENSITIVE]' ELSE '' END
+  || chr(10) || '   Tags: ' || array_to_string(tags, ', ') AS line
+FROM ranked r JOIN records x ON x.id = r.id WHERE r.rank <= 5"""))
+def q_render_hits(spark, sf_dir):
+    """P8 search form: the keyword hits of every benchmark text."""
+    rec = _rec(spark, sf_dir)
+    hits = kw.keyword_search(rec, fx.queries_table(spark, sf_dir), limit=5).select("query_id", "id", "rank")
+    return hits.join(rec, "id").select("query_id", render_hit(F.col("rank")).alias("line"))
+
+
+@register("rules_listing", _OWNED_SQL + _OWNER_RULES_SQL + """
+SELECT owner, 'exclude_sensitive' AS rule, CASE WHEN exclude_sensitive THEN 'true' ELSE 'false' END AS value FROM rules
+UNION ALL SELECT owner, 'exclude_tags', CASE WHEN exclude_tags = '' THEN '[]' ELSE '["' || exclude_tags || '"]' END FROM rules
+UNION ALL SELECT owner, 'exclude_categories', '[]' FROM rules
+UNION ALL SELECT owner, 'exclude_keywords', CASE WHEN exclude_keywords = '' THEN '[]' ELSE '["' || exclude_keywords || '"]' END FROM rules""")
+def q_rules_listing(spark, sf_dir):
+    """every rule of every owner, set or not."""
+    return rl.active_rules(rl.rules_table(owner_rules(spark, sf_dir))).select("owner", "rule", "value")
