@@ -124,3 +124,56 @@ def clear_all(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """M6: an empty table with the same schema, and the number of rows removed."""
     gone = table.agg(F.count(F.lit(1)).alias("value"))
     return table.limit(0), gone.select(F.lit("deleted").alias("metric"), "value")
+
+
+LOG_OPS = ("update", "edit", "sensitive", "delete", "clear_source", "clear_all")
+
+
+def split_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(good, rejected)`` entries of a change log; see ``apply_log``."""
+    by_id = F.col("op").isin(*LOG_OPS[:4])
+    problems = F.array_compact(F.array(
+        F.when(F.coalesce(~F.col("op").isin(*LOG_OPS), F.lit(True)), F.lit("bad_op")),
+        F.when(by_id & F.col("id").isNull(), F.lit("missing_id")),
+        F.when(F.col("op").isin("update", "edit") & (F.col("category") != "") & ~F.col("category").isin(CATEGORIES), F.lit("bad_category")),
+        F.when((F.col("op") == "update") & F.col("content").isNull(), F.lit("missing_content")),
+        F.when((F.col("op") == "clear_source") & F.col("source").isNull(), F.lit("missing_source"))))
+    checked = log.withColumn("problems", problems)
+    return checked.where(F.size("problems") == 0).drop("problems"), checked.where(F.size("problems") > 0)
+
+
+def apply_log(table: DataFrame, log: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """M1-M5 of mixed kinds as one ordered log, equal to applying its entries
+    one by one in the order of ``seq``: ``(new_table, rejected)``.
+
+    ``log``: ``(seq, op, id, content, category, tags, sensitive, source)`` with
+    ``op`` one of ``LOG_OPS``; the tags of an ``edit`` are comma-separated text in
+    ``tag_text`` (a column that may be missing).  No entry adds a row, so a row
+    deleted at any place stays deleted, and of each field the last entry that
+    sets it counts.  Both are partial aggregates a field: the entries of a hot id
+    are folded where they lie and never gathered.
+    """
+    good, rejected = split_log(log)
+    op, edit = F.col("op"), F.col("op") == "edit"
+
+    def last(value, when):
+        return F.max(F.when(when, F.struct("seq", value.alias("v"))))["v"]
+
+    set_tags = (op == "update") & F.col("tags").isNotNull()
+    tags = F.col("tags")
+    if "tag_text" in log.columns:
+        typed = edit & (F.col("tag_text") != "")
+        tags = F.when(typed, F.transform(F.split("tag_text", ","), lambda x: F.trim(x))).otherwise(tags)
+        set_tags = set_tags | F.coalesce(typed, F.lit(False))
+    folded = good.where(op.isin(*LOG_OPS[:4])).groupBy("id").agg(
+        last(F.col("content"), (op == "update") | (edit & (F.col("content") != ""))).alias("_content"),
+        last(F.col("category"), op.isin("update", "edit") & (F.col("category") != "")).alias("_category"),
+        last(tags, set_tags).alias("_tags"),
+        last(F.col("sensitive"), op == "sensitive").alias("_sensitive"),
+        F.max(op == "delete").alias("_gone"), F.lit(True).alias("_hit"))
+    cleared = good.where(op == "clear_source").select("source").distinct()
+    left = table.join(cleared, "source", "left_anti").where(~good.where(op == "clear_all").exists())
+    j = left.join(folded, "id", "left").where(F.coalesce(~F.col("_gone"), F.lit(True)))
+    changed = {c: F.coalesce(f"_{c}", c) for c in ("content", "category", "tags", "sensitive")}
+    changed["updated_at"] = F.when(F.col("_hit"), ts_lit(as_of)).otherwise(F.col("updated_at"))
+    return j.select(*[changed.get(c, F.col(c)).alias(c) for c in RECORD_COLUMNS]), rejected

@@ -89,6 +89,16 @@ def page(df: DataFrame, limit: int = 100, offset: int = 0, by=()) -> DataFrame:
     return ordered.limit(limit)
 
 
+def page_after(df: DataFrame, created_at, id, limit: int = 100) -> DataFrame:
+    """L1 deep in a table: the newest-first page behind the row (``created_at``,
+    ``id``), the last one of the page before.  The bound reaches the scan as a
+    filter and ``limit`` rows a partition are merged, however deep the page is;
+    ``page(offset=...)`` sends all rows before it through one task."""
+    behind = F.lit(created_at).cast("timestamp")
+    rest = df.where((F.col("created_at") <= behind) & ((F.col("created_at") < behind) | (F.col("id") > F.lit(id))))
+    return rest.orderBy(*newest_first()).limit(limit)
+
+
 def visible_page(df: DataFrame, rules: Rules | DataFrame | None = None, limit: int = 20,
                  offset: int = 0, by=()) -> tuple[DataFrame, DataFrame]:
     """L2: rules first, then the page; also the visible total (one row, or one

@@ -1368,3 +1368,52 @@ UNION ALL SELECT owner, 'exclude_keywords', CASE WHEN exclude_keywords = '' THEN
 def q_rules_listing(spark, sf_dir):
     """every rule of every owner, set or not."""
     return rl.active_rules(rl.rules_table(owner_rules(spark, sf_dir))).select("owner", "rule", "value")
+
+
+@register("page_after", _with("""
+, k AS (SELECT created_at, id FROM records ORDER BY created_at DESC, id LIMIT 1 OFFSET 9)
+SELECT r.id, strftime(r.created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM records r, k
+WHERE r.created_at < k.created_at OR (r.created_at = k.created_at AND r.id > k.id) ORDER BY r.created_at DESC, r.id LIMIT 20"""))
+def q_page_after(spark, sf_dir):
+    """L1 by key: the page behind the tenth row, equal to the page from place ten."""
+    rec = _rec(spark, sf_dir)
+    last = fl.page(rec, limit=1, offset=9).first()
+    return fl.page_after(rec, last["created_at"], last["id"], 20).select("id", ts_str("created_at").alias("created_at"))
+
+
+def change_log(spark, sf_dir) -> DataFrame:
+    """Changes of every kind: conversation turns rewrite rows, labels flag, edit
+    and delete rows (one label in four names a category that does not exist), one source goes."""
+    none = F.lit(None).cast("string")
+    no_tags, no_flag = F.lit(None).cast("array<string>"), F.lit(None).cast("boolean")
+
+    def entry(seq, op, id, content=none, category=none, tags=no_tags, sensitive=no_flag, source=none, tag_text=none):
+        return F.struct(seq.cast("bigint").alias("seq"), F.lit(op).alias("op"), id.alias("id"), content.alias("content"), category.alias("category"),
+                        tags.alias("tags"), sensitive.alias("sensitive"), source.alias("source"), tag_text.alias("tag_text"))
+    conv, lab = fx.table(spark, sf_dir, "conversations"), fx.table(spark, sf_dir, "labels")
+    one, two = (F.col("conv_id") * 13).cast("string"), F.col("doc_id").cast("string")
+    at = F.col("doc_id") * 7
+    turns = conv.select(entry(F.col("turn") * 100, "update", one, F.col("text"), F.lit("project"), F.array(F.col("role"))).alias("e"))
+    marks = lab.select(F.inline(F.array(
+        entry(at, "sensitive", two, sensitive=F.col("quality") == 0),
+        entry(at + 1, "edit", two, F.lit(""), F.when(F.col("doc_id") % 4 == 0, "bogus").otherwise("personal"), tag_text=F.lit("a, b")),
+        entry(at + 2, "delete", F.when(F.col("toxic") == 1, two).otherwise("nobody")))))
+    clear = spark.range(1).select(entry(F.lit(5), "clear_source", none, source=F.lit("gemini")).alias("e"))
+    return turns.select("e.*").unionByName(marks).unionByName(clear.select("e.*"))
+
+
+@register("apply_log", _with("""
+, e AS (SELECT CAST(conv_id * 13 AS VARCHAR) AS id, turn * 100 AS seq, text AS content, 'project' AS category, role AS tags FROM conversations
+        UNION ALL SELECT CAST(doc_id AS VARCHAR), doc_id * 7 + 1, NULL, 'personal', 'a|b' FROM labels WHERE doc_id % 4 <> 0)
+, f AS (SELECT id, arg_max(content, seq) FILTER (content IS NOT NULL) AS content, arg_max(category, seq) AS category, arg_max(tags, seq) AS tags
+        FROM e GROUP BY id)
+, l AS (SELECT CAST(doc_id AS VARCHAR) AS id, quality = 0 AS flag, toxic = 1 AS gone FROM labels)
+SELECT r.id, sha256(COALESCE(f.content, r.content)) AS content_key, COALESCE(f.category, r.category) AS category,
+       COALESCE(f.tags, array_to_string(r.tags, '|')) AS tags, COALESCE(l.flag, r.sensitive) AS sensitive,
+       strftime(CASE WHEN f.id IS NULL AND l.id IS NULL THEN r.updated_at ELSE """ + CHANGE_AS_OF_SQL + """ END, '%Y-%m-%d %H:%M:%S') AS updated_at
+FROM records r LEFT JOIN f ON f.id = r.id LEFT JOIN l ON l.id = r.id WHERE r.source <> 'gemini' AND NOT COALESCE(l.gone, FALSE)"""))
+def q_apply_log(spark, sf_dir):
+    """M1-M5 mixed in one ordered log."""
+    new, _ = chg.apply_log(_rec(spark, sf_dir), change_log(spark, sf_dir), AS_OF)
+    return new.select("id", F.sha2("content", 256).alias("content_key"), "category", F.array_join("tags", "|").alias("tags"), "sensitive",
+                      ts_str("updated_at").alias("updated_at"))

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +207,63 @@ def test_page_for_every_owner(seeded):
     owned = seeded.withColumn("owner", F.col("source"))
     got = {(r["owner"], r["id"]) for r in fl.page(owned, 1, 1, by=["owner"]).collect()}
     assert got == {("obsidian", "n6"), ("gemini", "n4")}
+
+
+LOG = "seq long, op string, id string, content string, category string, tags array<string>, sensitive boolean, source string, tag_text string"
+
+
+def applied_one_by_one(rows, log):
+    """Brute force over dicts of records."""
+    state = {r[0]: dict(content=r[1], source=r[2], category=r[3], tags=list(r[4]), sensitive=r[5], touched=False) for r in rows}
+    for _, op, i, content, category, tags, flag, source, text in sorted(log, key=lambda e: e[0]):
+        if op == "clear_all":
+            state.clear()
+        elif op == "clear_source":
+            state = {k: v for k, v in state.items() if v["source"] != source}
+        elif i not in state:
+            continue
+        elif op == "delete":
+            del state[i]
+        elif op in ("update", "edit"):
+            if category == "bogus" or (op == "update" and content is None):
+                continue
+            row = state[i]
+            row["touched"] = True
+            if op == "update" or content:
+                row["content"] = content
+            row["category"] = category or row["category"]
+            if op == "update" and tags is not None:
+                row["tags"] = tags
+            if op == "edit" and text:
+                row["tags"] = [x.strip() for x in text.split(",")]
+        else:
+            state[i]["sensitive"], state[i]["touched"] = flag, True
+    return sorted((k, v["content"], v["category"], v["tags"], v["sensitive"], v["touched"]) for k, v in state.items())
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_log_equals_its_entries_one_by_one(spark, make_records, seed):
+    rnd = random.Random(seed)
+    rows = [rec(str(i), f"text {i}", source=rnd.choice(["claude", "manual"]), tags=["t"]) for i in range(12)]
+    log = []
+    for seq in rnd.sample(range(1000), 60):
+        log.append((seq, rnd.choice(["update", "edit", "edit", "sensitive"] * 5 + ["delete"]), str(rnd.randrange(14)), rnd.choice([None, "", f"new {seq}"]),
+                    rnd.choice([None, "", "project", "bogus"]), rnd.choice([None, [], ["x", "y"]]), rnd.random() < 0.5, None, rnd.choice([None, "", "a, b,"])))
+    if seed == 3:
+        log.append((400, "clear_source", None, None, None, None, None, "claude", None))
+    if seed == 4:
+        log.append((990, "clear_all", None, None, None, None, None, None, None))
+    new, rejected = ch.apply_log(make_records(rows), spark.createDataFrame(log, LOG), AS_OF)
+    got = sorted((r["id"], r["content"], r["category"], list(r["tags"]), r["sensitive"], r["updated_at"] != r["created_at"]) for r in new.collect())
+    assert got == applied_one_by_one(rows, log)
+    bad = [e for e in log if e[1] in ("update", "edit") and (e[4] == "bogus" or (e[1] == "update" and e[3] is None))]
+    assert rejected.count() == len(bad)
+
+
+def test_page_after_equals_the_page_by_offset(make_records):
+    rows = [rec(str(i), "x", created=dt.datetime(2024, 1, 1 + i % 4, tzinfo=dt.timezone.utc)) for i in range(30)]
+    df = make_records(rows)
+    for at in (0, 6, 25, 29):
+        last = fl.page(df, 1, at).first()
+        after = fl.page_after(df, last["created_at"], last["id"], 10).collect()
+        assert [r["id"] for r in after] == [r["id"] for r in fl.page(df, 10, at + 1).collect()]
