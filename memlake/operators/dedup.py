@@ -50,8 +50,15 @@ def dedup_batch(incoming: DataFrame, order_cols=("file", "pos"), by: list[str] |
 
 
 def new_rows(table: DataFrame, incoming: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Incoming rows whose content is not stored yet (per scope ``by``)."""
+    """Incoming rows whose content is not stored yet (per scope ``by``).
+    ``table`` may be a key table (a column ``content_key`` instead of the texts):
+    then the few keys of the batch go to it, and it is not shuffled."""
     by = list(by or [])
+    if "content" not in table.columns:
+        keyed = incoming.withColumn("_ck", content_key())
+        known = (table.select(*by, F.col("content_key").alias("_ck"))
+                 .join(keyed.select(*by, "_ck").distinct(), by + ["_ck"], "left_semi"))
+        return keyed.join(known, by + ["_ck"], "left_anti").drop("_ck")
     # No distinct on the stored keys: both sides are then plain shuffles, and AQE
     # splits the partition of a text that many incoming rows repeat.
     stored = table.select(*by, content_key().alias("_ck"))

@@ -2,11 +2,13 @@
 newly arrived export files.
 
 ``readStream`` on the export folder (whole-text files) feeds ``foreachBatch``:
-parse the batch's files, plan against the stored table (first copy wins
-inside the batch, stored contents are skipped), append the inserts and write
-the rejects.  A re-run of a failed batch is idempotent: rows it already
-appended are now stored, so the content anti-join skips them, and its rejects
-replace those of the first try (a folder per batch).  Progress (which files
+parse the batch's files, plan against the key table of the stored contents
+(first copy wins inside the batch, stored contents are skipped), append the
+inserts and their keys and write the rejects.  What a batch reads does not grow
+with the stored texts.  A re-run of a failed batch is idempotent: rows it
+already appended have their keys, or get them first (``sources.keys``), so they
+are skipped, and its rejects replace those of the first try (a folder per
+batch).  Progress (which files
 were seen) lives in the query's checkpoint location on shared storage.
 """
 
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 from memlake.operators.ingest import plan_import
 from memlake.schema import RECORD_COLUMNS, RECORD_SCHEMA
 from memlake.sources.exports import REJECT_COLUMNS, _elements, parse_elements
+from memlake.sources.keys import KeyTable
 from memlake.sources.platforms import get_platform
 from memlake.sources.table import append_records
+from memlake.util import drop_materialized, materialize
 
 
 def _stored(spark: SparkSession, table_path: str) -> DataFrame:
@@ -40,9 +44,15 @@ def import_batch(batch: DataFrame, table_path: str, platform, as_of=None, batch_
     spec = get_platform(platform)
     as_of = as_of or _dt.datetime.now(_dt.timezone.utc)
     records, rejects = parse_elements(_elements(batch, spec), spec, as_of)
-    planned = plan_import(_stored(spark, table_path), records)
-    inserts = planned.filter(F.col("action") == "insert")
+    keys = KeyTable(spark, f"{table_path.rstrip('/')}_keys")
+    if not keys.in_step():
+        keys.repair(_stored(spark, table_path))
+    planned = plan_import(keys.read(), records)
+    inserts = materialize(planned.filter(F.col("action") == "insert").select(*RECORD_COLUMNS), "inserts")
+    keys.opened()
     append_records(inserts, table_path)
+    keys.append(inserts)
+    drop_materialized(inserts)
     rejects.select(*REJECT_COLUMNS).write.mode("overwrite").parquet(f"{table_path.rstrip('/')}_rejects/batch={batch_id}")
 
 

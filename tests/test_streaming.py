@@ -20,3 +20,34 @@ def test_stream_imports_new_files_once(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted(r["content"] for r in spark.read.parquet(table).collect())
     assert got == ["Grows tomatoes.", "Keeps a diary."]
+
+
+def test_batches_read_keys_and_no_stored_text(spark, tmp_path, monkeypatch):
+    from memlake.sources.keys import KeyTable
+    from memlake.streaming import ingest
+    table = str(tmp_path / "table")
+
+    def batch(n, *texts):
+        rows = [(f"f{n}.json", json.dumps([{"memory": t} for t in texts]))]
+        ingest.import_batch(spark.createDataFrame(rows, "file string, value string"), table, "chatgpt", AS_OF, n)
+        return sorted(r["content"] for r in spark.read.parquet(table).collect())
+
+    assert batch(0, "Grows tomatoes.", "Grows tomatoes.") == ["Grows tomatoes."]
+    keys, stored = KeyTable(spark, table + "_keys"), ingest._stored
+    assert keys.in_step() and keys.read().count() == 1
+
+    def unread(*_):
+        raise AssertionError("stored texts were read")
+    monkeypatch.setattr(ingest, "_stored", unread)
+    assert batch(1, "Keeps a diary.", "Grows tomatoes.") == ["Grows tomatoes.", "Keeps a diary."]
+    # A job that ended between records and keys: the next batch, or its own second try, makes the missing keys.
+    monkeypatch.setattr(ingest, "_stored", stored)
+    monkeypatch.setattr(KeyTable, "append", lambda *_: 1 / 0)
+    try:
+        batch(2, "Plays chess.")
+    except ZeroDivisionError:
+        pass
+    monkeypatch.undo()
+    assert not keys.in_step()
+    assert batch(2, "Plays chess.") == ["Grows tomatoes.", "Keeps a diary.", "Plays chess."]
+    assert keys.in_step() and keys.read().distinct().count() == keys.read().count() == 3
