@@ -57,7 +57,7 @@ STAGES = [
     ("packing", pack_windows),
 ]
 
-#: No stage before packing but decontamination can be stated in SQL; tests hold run() against a brute-force version.
+#: No stage before packing but decontamination can be stated in SQL; tests hold the stages to their operators, which are tested against brute force.
 ORACLE_SQL = None
 
 
