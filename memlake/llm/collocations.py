@@ -49,7 +49,7 @@ SHARDS = 8
 LONGEST = 4
 FILTER_BITS = 26
 #: Bytes of text handled together, and of the stretches whose letters are hashed together.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 STRETCH = 1 << 18
 
 _U = np.uint64
