@@ -7,13 +7,18 @@ in that order where two start together.  Each is replaced by a value of its
 type made from a secret key, so the same entity has the same surrogate
 everywhere (coreference), and different ones have different ones:
 
-* digits of cards, phones and social security numbers go through a four-round
-  Feistel permutation of all numbers of their length (SHA-256 with the key), so
-  no two can meet; punctuation, a phone's country code and a card's first digit
-  stay.  Another punctuation of the same number gives the same digits;
+* digits of cards and phones go through a four-round Feistel permutation of all
+  numbers of their length (SHA-256 with the key), so no two can meet;
+  punctuation, a phone's country code and a card's first digit stay.  Another
+  punctuation of the same number gives the same digits.  A card's last digit is
+  the check digit of the new number, off by as much as the old one was: numbers
+  that pass the check stay such, and the others fail it still;
+* social security numbers likewise, with numbers of an area, group and serial that are
+  issued permuted among themselves, and the others among others of their sort;
 * IPv4 addresses likewise, as two 16-bit halves;
 * e-mail addresses and IBANs keep their length, punctuation, top-level domain
-  or country; letters become letters and digits digits.  Addresses are read in
+  or country; letters become letters and digits digits.  An IBAN's check digits
+  are made anew, to leave the remainder that the old ones left.  Addresses are read in
   lower case; the domain's surrogate depends on the domain alone;
 * names keep title, number of parts, capitals and script (Latin or Cyrillic).  A given name's
   surrogate ends as the title's gender asks; a surname's is the same with and
@@ -126,15 +131,46 @@ class Surrogates:
             (a, i) -> named_struct('l', a.r, 'r', pmod(a.l + {turn}, 65536L)),
             a -> concat_ws('.', a.l div 256, a.l % 256, a.r div 256, a.r % 256)))[0]"""
 
+    @staticmethod
+    def _rest97(value: str) -> str:
+        """An IBAN modulo 97, with its first four characters behind the others."""
+        return f"""aggregate(split(regexp_replace(concat(substr({value}, 5), substr({value}, 1, 4)), ' ', ''), ''), 0, (a, c) -> case
+            when c = '' then a when c rlike '^[0-9]$' then (a * 10 + cast(c as int)) % 97 else (a * 100 + ascii(c) - 55) % 97 end)"""
+
     def iban(self, v: str) -> str:
-        return f"concat(substr({v}, 1, 2), {self._alike('iban', f'substr({v}, 3)', 4 * self.strength.get('iban', 0))})"
+        account = self._alike("iban", f"substr({v}, 3)", 4 * self.strength.get("iban", 0))
+        open_ = f"concat(substr({v}, 1, 2), '00', upper(substr({account}, 3)))"
+        return f"""transform(array({open_}), o -> concat(substr(o, 1, 2),
+            lpad(cast(2 + pmod({self._rest97(v)} - {self._rest97('o')} - 2, 97) as string), 2, '0'), substr(o, 5)))[0]"""
 
     def ssn(self, v: str) -> str:
-        return self._into(v, self._digits("ssn", self._only_digits(v)))
+        """Area, group and serial as places among the numbers of their sort, issued or
+        not; area and the two others take turns in being moved."""
+        turn = self._hash("'ssn'", "i", "if(i % 2 = 1, a.y, a.x)")
+        return f"""transform(transform(transform(array(split({v}, '-')), p -> named_struct('area', cast(p[0] as bigint),
+                'group', cast(p[1] as bigint), 'serial', cast(p[2] as bigint))),
+            n -> named_struct('issued', n.area not in (0, 666) and n.area < 900, 'groups', if(n.group = 0, 1L, 99L), 'serials', if(n.serial = 0, 1L, 9999L),
+                'x', case when n.area = 0 then 0L when n.area = 666 then 1L when n.area >= 900 then n.area - 898 when n.area < 666 then n.area - 1 else n.area - 2 end,
+                'y', greatest(n.group - 1, 0L) * if(n.serial = 0, 1L, 9999L) + greatest(n.serial - 1, 0L))),
+            m -> aggregate(sequence(1, 4), named_struct('x', m.x, 'y', m.y),
+                (a, i) -> if(i % 2 = 1, named_struct('x', pmod(a.x + {turn}, if(m.issued, 898L, 102L)), 'y', a.y),
+                    named_struct('x', a.x, 'y', pmod(a.y + {turn}, m.groups * m.serials))),
+                a -> concat_ws('-',
+                    lpad(cast(case when not m.issued then if(a.x = 0, 0L, if(a.x = 1, 666L, a.x + 898)) when a.x < 665 then a.x + 1 else a.x + 2 end as string), 3, '0'),
+                    lpad(cast(if(m.groups = 1, 0L, a.y div m.serials + 1) as string), 2, '0'),
+                    lpad(cast(if(m.serials = 1, 0L, a.y % m.serials + 1) as string), 4, '0'))))[0]"""
+
+    @staticmethod
+    def _luhn(digits: str) -> str:
+        """Weighted sum of the check of ``digits``, the last one a place before the check digit."""
+        return f"""aggregate(sequence(1, length({digits})), 0, (a, i) -> transform(array(cast(substr({digits}, -i, 1) as int)),
+            g -> a + if(i % 2 = 1, 2 * g - if(g > 4, 9, 0), g))[0])"""
 
     def card(self, v: str) -> str:
-        rest = f"substr({v}, 2)"
-        return f"concat(substr({v}, 1, 1), {self._into(rest, self._digits('card', self._only_digits(rest)))})"
+        digits = self._only_digits(v)
+        middle = self._digits("card", "substr(w, 2, length(w) - 2)")
+        return f"""transform(transform(array({digits}), w -> named_struct('w', w, 'b', concat(substr(w, 1, 1), {middle}))),
+            u -> {self._into(v, f"concat(u.b, cast(pmod({self._luhn('substr(u.w, 1, length(u.w) - 1)')} + cast(substr(u.w, -1, 1) as int) - {self._luhn('u.b')}, 10) as string))")})[0]"""
 
     def phone(self, v: str) -> str:
         country = f"regexp_extract({v}, '^[+][0-9]{{1,3}}(?=[ .(-])', 0)"

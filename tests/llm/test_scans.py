@@ -163,3 +163,42 @@ def test_collisions_raise_the_strength(spark):
     texts = [r.text for r in pii.replace(docs, made).collect()]
     assert made.strength.get("email", 0) > 0 and len(set(texts)) == len(rows)
     assert pii.replace(docs, made).columns == docs.columns
+
+
+def _luhn(digits):
+    return sum(2 * d - 9 * (d > 4) if i % 2 else d for i, d in enumerate(map(int, digits[::-1]))) % 10
+
+
+def _rest97(iban):
+    flat = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97
+
+
+def _issued(ssn):
+    area, group, serial = ssn.split("-")
+    return area not in ("000", "666") and area < "900", group != "00", serial != "0000"
+
+
+def test_surrogates_of_checked_numbers_keep_their_checks(spark):
+    chance = random.Random(5)
+    cards = {"4111111111111111", "4111-1111-1111-1112", "5500 0055 5555 5559", "4222222222222", "6304000000000000000"}
+    cards |= {"4" + "".join(chance.choices("0123456789", k=chance.randrange(12, 19))) for _ in range(300)}
+    ibans = {"DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE88370400440532013000", "NO9386011117947"}
+    while len(ibans) < 60:
+        account = "DE00" + "".join(chance.choices("0123456789", k=18))
+        ibans.add(f"DE{98 - _rest97(account):02d}" + account[4:])
+    ssns = {"123-45-6789", "000-12-3456", "666-00-0000", "900-01-0001", "899-99-9999", "001-01-0001", "665-01-0001", "667-01-0001"}
+    ssns |= {f"{chance.randrange(1000):03d}-{chance.randrange(100):02d}-{chance.randrange(10000):04d}" for _ in range(300)}
+    for kind, values, check in (("card", cards, lambda v: _luhn("".join(c for c in v if c.isdigit()))), ("iban", ibans, _rest97), ("ssn", ssns, _issued)):
+        values = sorted(values)
+        docs = frame(spark, [(i, f"see {v} here") for i, v in enumerate(values)])
+        got = {r.doc_id: r for r in pii.surrogates(docs, "key").collect()}
+        made = [got[i].text[4:-5] for i in range(len(values))]
+        assert all(got[i].kinds == [kind] for i in got), kind
+        assert len(set(made)) == len(values)
+        for old, new in zip(values, made):
+            assert [c if not c.isalnum() else c.isdigit() for c in old] == [c if not c.isalnum() else c.isdigit() for c in new]
+            assert check(old) == check(new), (kind, old, new)
+        assert sum(a == b for a, b in zip(values, made)) <= 1
+        again = {r.kinds[0] for r in pii.surrogates(frame(spark, list(enumerate(f"see {v} here" for v in made))), "other").collect()}
+        assert again == {kind}
