@@ -6,14 +6,20 @@ pieces are placed, longest first, into the open window with the least room
 that still holds them.  The open windows are found with a segment tree over
 the remaining capacities 0..window.
 
-Every input partition packs its own rest pieces (five numbers for each
-document are held in memory), so nothing is shuffled and no task sees more
-than its share; what this costs in padding is at most one poorly filled window
-a partition or so.  Sequence ids are partition number times 2^33 plus a count.
+Tasks encode whole texts and give numbers only: the full windows, and the rest
+pieces with a number of their own.  These are written, counted, and dealt by a
+hash of their number to groups of about ``GROUP`` pieces, whatever the files or
+splits of the input were; each group is packed by itself (six numbers a piece
+in memory).  A hot id or repeated text cannot fill a group, as the numbers are
+distinct.  The last windows of a group are the only ones that more pieces could
+have filled.  Sequence ids are partition number times 2^33 plus a count, those
+of groups with bit 32 set.
+
+A text is encoded as a whole, so a task holds the longest text and its ids.
 
 Defined cases: null and empty texts are the end id alone, one piece of length
 1; repeated rows and ids are packed once per row; pieces of equal length are
-placed in the order of (doc_id, start), null ids first; further columns are
+placed in the order of (doc_id, start), null ids last; further columns are
 ignored; an empty table gives an empty table.
 
 Ids are those of the tokenizers library with the vocabulary file.  Texts of
@@ -30,13 +36,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .batches import byte_texts
-from .common import id_text
+from .common import id_text, staged
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 END_ID = 0
+#: Rest pieces packed together, on average.
+GROUP = 50_000
 _encoders: dict = {}
 
 
@@ -115,40 +124,51 @@ _TYPES = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_
           "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
 
 
-def _packed(window: int, end_id: int, json_path: str | None, ranks_path: str | None):
+_SCHEMA = ", ".join(f"`{c}` long" for c in _TYPES)
+
+
+def _pieces(window: int, end_id: int, json_path: str | None, ranks_path: str | None):
+    """Full windows, and rest pieces with a number of their own as ``sequence_id`` and no ``offset``."""
     def run(batches):
         from pyspark import TaskContext
         encode = _encoder(json_path, ranks_path)
         number = TaskContext.get().partitionId() << 33
         schema = pa.schema(list(_TYPES.items()))
-        rest, sequences = [], 0
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), byte_texts(batch.column("text")), strict=True):
                 ids = np.append(encode(text), np.uint32(end_id)).astype("<u4")
-                full = len(ids) // window * window
-                for start in range(0, full, window):
-                    rows.append((doc_id, start, window, zlib.crc32(ids[start: start + window].tobytes()),
-                                 len(ids), number + sequences, 0))
-                    sequences += 1
-                if full < len(ids):
-                    rest.append((len(ids) - full, doc_id, full, zlib.crc32(ids[full:].tobytes()), len(ids)))
-            if rows:
-                yield pa.RecordBatch.from_pylist([dict(zip(_TYPES, r, strict=True)) for r in rows], schema)
-        rest.sort(key=lambda p: (-p[0], p[1] is not None, p[1] or 0, p[2]))
-        windows = OpenWindows(window)
-        for i in range(0, len(rest), 50_000):
-            rows = []
-            for length, doc_id, start, crc, total in rest[i: i + 50_000]:
-                place, offset = windows.fit(length)
-                rows.append((doc_id, start, length, crc, total, number + sequences + place, offset))
+                for start in range(0, len(ids), window):
+                    piece = ids[start: start + window]
+                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), number,
+                                 0 if len(piece) == window else None))
+                    number += 1
             yield pa.RecordBatch.from_pylist([dict(zip(_TYPES, r, strict=True)) for r in rows], schema)
     return run
 
 
+def _group_packed(window: int):
+    def run(key: tuple, pieces: pa.Table) -> pa.Table:
+        number = key[0].as_py() << 33 | 1 << 32
+        pieces = pieces.select(list(_TYPES)).sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"),
+                                                      ("sequence_id", "ascending")])
+        windows = OpenWindows(window)
+        placed = [windows.fit(length) for length in pieces.column("length").to_pylist()]
+        columns = {c: pieces.column(c) for c in _TYPES}
+        columns["sequence_id"] = pa.array([number + place for place, _ in placed], pa.int64())
+        columns["offset"] = pa.array([offset for _, offset in placed], pa.int64())
+        return pa.table(columns)
+    return run
+
+
 def pack(docs: DataFrame, window: int = 1024, end_id: int = END_ID, json_path: str | None = None,
-         ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         ranks_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset."""
-    return id_text(docs, id_col, text_col).mapInArrow(
-        _packed(window, end_id, json_path, ranks_path), ", ".join(f"`{c}` long" for c in _TYPES))
+    pieces = id_text(docs, id_col, text_col).mapInArrow(_pieces(window, end_id, json_path, ranks_path), _SCHEMA)
+    pieces = staged(pieces, "op8-pieces")
+    rest = pieces.where("offset is null")
+    groups = max(1, -(-rest.count() // group))
+    rest = rest.withColumn("_group", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)))
+    packed = rest.groupBy("_group").applyInArrow(_group_packed(window), _SCHEMA)
+    return pieces.where("offset is not null").unionByName(packed)

@@ -146,3 +146,23 @@ def test_pairs_weigh_more_than_both_alone():
     i, j = machine.slot[5], machine.slot[9]
     assert machine.v[i] @ machine.v[j] > 0
     assert machine.score(np.array([5, 9])) > 0.7 > 0.5 > max(machine.score(a), machine.score(b))
+
+
+def test_packing_does_not_depend_on_splits(spark):
+    rows = [(i % 700, prose(i % 900, 5 + i * 37 % 400)) for i in range(1500)]
+    windows = []
+    for splits in (2, 60):
+        pieces = pack(frame(spark, rows).repartition(splits), group=400).collect()
+        assert len(pieces) >= len(rows)
+        held = {}
+        for p in pieces:
+            held.setdefault(p.sequence_id, []).append((p.offset, p.length))
+        for placed in held.values():
+            at = 0
+            for offset, length in sorted(placed):
+                assert offset == at
+                at += length
+            assert at <= 1024
+        windows.append(len(held))
+        assert len(held) * 1024 <= 1.03 * sum(p.length for p in pieces)
+    assert abs(windows[0] - windows[1]) <= 0.01 * windows[0]
