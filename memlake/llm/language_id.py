@@ -133,8 +133,12 @@ def fit(labelled: DataFrame, per_language: int = 500, most_rows: int = 32_000, l
     keys = labelled.where("lang is not null and text is not null").select("doc_id", "lang")
     languages = max(keys.select("lang").distinct().count(), 1)
     of_each = min(per_language, max(least_rows, most_rows // languages))
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = keys.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= of_each).select("doc_id")
+    # First within 64 parts of each language, so no task sorts a whole language.
+    keys = keys.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)))
+    for by in (["lang", "part"], ["lang"]):
+        turn = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id")
+        keys = keys.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= of_each).drop("turn")
+    chosen = keys.select("doc_id")
     rows = (labelled.join(F.broadcast(chosen), "doc_id", "left_semi").where("lang is not null and text is not null")
             .select("text", "lang").mapInArrow(_counted, "lang string, counts binary").collect())
     rows = sorted((r["lang"], bytes(r["counts"])) for r in rows)
