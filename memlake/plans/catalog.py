@@ -26,8 +26,10 @@ from memlake.operators.rules import Rules, exclude
 from memlake.schema import validate
 from memlake.session import checkpoint_dir
 from memlake.sources import table as tb
+from memlake.sources.arrays import array_elements, parse_array_elements
 from memlake.sources.platforms import PLATFORMS
 from memlake.sources.table import decode_legacy, upgrade_schema
+from memlake.util import drop_materialized, materialize
 
 AS_OF = fx.AS_OF
 AS_OF_SQL = "TIMESTAMP '2024-07-20 00:00:00'"
@@ -1246,6 +1248,43 @@ def q_ingest_chatgpt(spark, sf_dir):
     return recs.select("id", "pos", ts_str("created_at").alias("created_at"), "category")
 
 
+def large_exports(spark, sf_dir) -> DataFrame:
+    """Sixteen large exports, written as text: one array of the turns of many
+    conversations each, behind a first element that is null."""
+    c = fx.table(spark, sf_dir, "conversations")
+    at = F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 60), "yyyyMMdd'T'HHmmss")
+    e = F.when(F.col("role") == "user", F.to_json(F.struct(F.col("text").alias("memory"), at.alias("created_at")))).otherwise(F.to_json(F.array("text")))
+    lines = c.select((F.col("conv_id") % 16).cast("int").alias("export"), F.lit(1).alias("at"), "conv_id", "turn", F.concat(F.lit(","), e).alias("line"))
+    ends = spark.range(16).select(F.col("id").cast("int").alias("export"), F.inline(F.array(
+        F.struct(F.lit(0).alias("at"), F.lit("[null").alias("line")), F.struct(F.lit(2).alias("at"), F.lit("]").alias("line")))))
+    lines = lines.unionByName(ends, allowMissingColumns=True)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/memlake-exports-{uuid.uuid4().hex}"
+    (lines.repartition("export").sortWithinPartitions("export", "at", "conv_id", "turn").select("export", "line")
+     .write.partitionBy("export").text(path))
+    written = spark.read.text(path)
+    written._materialized_at = path
+    return written
+
+
+@register("ingest_large_arrays", f"""
+WITH t AS (SELECT conv_id % 16 AS export, turn, role, {_CONV_STRIP} AS c,
+                  row_number() OVER (PARTITION BY conv_id % 16 ORDER BY conv_id, turn) AS pos FROM conversations)
+SELECT CAST(export AS BIGINT) AS export, CAST(pos AS BIGINT) AS pos, sha256(c) AS content_sha256,
+       strftime(TIMESTAMP '2024-01-01 00:00:00' + turn * INTERVAL '1' MINUTE, '%Y-%m-%d %H:%M:%S') AS created_at,
+       {_classify_sql(PLATFORMS['chatgpt']).replace('(content)', '(c)')} AS category
+FROM t WHERE role = 'user' AND c <> ''""")
+def q_ingest_large_arrays(spark, sf_dir):
+    """Records of arrays of any size, each read by as many tasks as it has splits."""
+    exports = large_exports(spark, sf_dir)
+    elements = array_elements(spark, exports._materialized_at)
+    recs, _ = parse_array_elements(elements, "chatgpt", AS_OF)
+    export = F.regexp_extract("file", "/export=([0-9]+)/", 1).cast("bigint").alias("export")
+    out = materialize(recs.select(export, "pos", F.sha2("content", 256).alias("content_sha256"),
+                                  ts_str("created_at").alias("created_at"), "category"), "large-arrays")
+    drop_materialized(elements, exports)
+    return out
+
+
 @register("rejects_chatgpt", _GPT_SQL + """
 SELECT CAST(conv_id AS VARCHAR) AS file, CAST(pos AS BIGINT) AS pos,
        CASE WHEN role = 'assistant' THEN 'wrong_element_type' ELSE 'blank' END AS reason

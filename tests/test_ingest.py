@@ -1,11 +1,14 @@
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from memlake.operators.ingest import import_records, manual_records, plan_import
+from memlake.sources.arrays import array_elements, parse_array_elements
 from memlake.sources.exports import ingest_summary, parse_document_rows, read_exports, reject_counts
+from memlake.util import drop_materialized
 from tests.conftest import AS_OF, UTC
 
 
@@ -172,3 +175,44 @@ def test_a_hot_text_meets_in_no_single_task(spark, make_records):
     assert planned.filter("action = 'insert'").count() == n - n // 3 + 1
     joined = planned.select(F.spark_partition_id().alias("p"), "pos").groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
     assert len(joined) == 1 or max(r["n"] for r in joined) < 2 * n / len(joined)
+
+
+def test_large_arrays_read_in_splits_equal_whole_files(spark, tmp_path):
+    chance = random.Random(3)
+    odd = ['He said "a, b], [c" twice', "back\\slash, and \\", "{not, an: object}", "", "  ", "ünï, 漢字,  ", "\\\",\"", "x" * 3000, "tab\t, line\n, [[["]
+    files = {"empty.json": "[]", "blank.json": " [ \n ] \n", "object.json": '{"memories": [1, 2]}', "cut.json": '[{"memory": "a"}, {"memory": "b',
+             "one.json": '["only, one"]', "nothing.json": ""}
+    for f in range(3):
+        elements = []
+        for i in range(250):
+            text = " ".join(chance.choices(odd, k=chance.randrange(1, 4))) + f" {i}"
+            elements.append(chance.choice([text, {"memory": text}, {"content": text, "tags": ["a,b", ["c", {"d": [1, 2]}]]}, [text, [text]], 7, None,
+                                           {"memory": ""}, {"content": text, "created_at": "2024-01-02T03:04:05"}]))
+        files[f"big{f}.json"] = json.dumps(elements, ensure_ascii=f == 1, indent=f or None)
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    whole = [x.collect() for x in read_exports(spark, str(tmp_path), "claude", as_of=AS_OF)]
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("16000", "2500"):
+        spark.conf.set(key, size)
+        try:
+            elements = array_elements(spark, str(tmp_path))
+            recs, rejects = (x.collect() for x in parse_array_elements(elements, "claude", AS_OF))
+        finally:
+            spark.conf.set(key, before)
+        drop_materialized(elements)
+        assert len(recs) > 300
+        assert sorted(map(str, recs)) == sorted(map(str, whole[0]))
+        name = lambda r: (r["file"].rsplit("/", 1)[1], r["pos"], r["reason"], r["raw"])
+        assert sorted(map(str, map(name, rejects))) == sorted(map(str, map(name, whole[1])))
+
+
+def test_an_element_that_is_no_json_is_one_reject(spark, tmp_path):
+    elements = array_elements(spark, write(tmp_path, "a.json", '["first", {"memory": oops, "x": 1}, "third",]'))
+    recs, rejects = parse_array_elements(elements, "claude", AS_OF)
+    assert sorted((r["pos"], r["content"]) for r in recs.collect()) == [(0, "first"), (2, "third")]
+    assert sorted((r["pos"], r["reason"]) for r in rejects.collect()) == [(1, "unparseable"), (3, "unparseable")]
+    drop_materialized(elements)
+    elements = array_elements(spark, write(tmp_path, "b.json", '["a", "b"] x'))
+    assert [(r["pos"], r["file_error"]) for r in elements.collect()] == [(None, "unparseable")]
+    drop_materialized(elements)

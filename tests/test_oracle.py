@@ -45,7 +45,7 @@ def test_query_matches_oracle(spark, con, name):
 
 #: These write a table (an index, groups of copies, a snapshot) before their result is defined.
 MATERIALISE = {"search_bm25", "search_bm25_stemmed", "relevant", "routed_search", "phrase_search", "structured_search", "search_by_owner",
-               "index_stats", "index_after_changes", "page_after", "keyword_search", "keyword_by_owner", "render_hits", "prompts", "prompts_by_owner", "near_duplicates", "duplicate_copies", "near_duplicate_pairs", "health", "health_examples", "export_json", "snapshot"}
+               "index_stats", "index_after_changes", "page_after", "keyword_search", "keyword_by_owner", "render_hits", "prompts", "prompts_by_owner", "near_duplicates", "duplicate_copies", "near_duplicate_pairs", "health", "health_examples", "export_json", "snapshot", "ingest_large_arrays"}
 
 
 def library_queries():
