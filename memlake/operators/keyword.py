@@ -6,18 +6,22 @@ rows with score > 0 rank by score desc, then newest, then id.
 
 A query word holds no whitespace, so it is a substring of the text exactly
 when it is a substring of one whitespace token of it.  Query words therefore
-meet the *distinct* tokens of the corpus, once each: both are keyed by grams
-(three characters; shorter words by all of theirs), a word by the gram that
-the fewest tokens hold, and the pairs of an equi-join on the gram are checked
-with ``contains``.
+meet the *distinct* tokens of the corpus, once each: the substrings of a token
+are joined to the words.  Longer tokens are keyed by grams (three characters;
+shorter words by all of theirs), a word by the gram that the fewest of them
+hold, and the pairs of an equi-join on the gram are checked with ``contains``.
+An owner's tokens then keep the words that the owner asks: rows grow with the
+tokens, never with owners x words x tokens.
 
 The first ``limit`` rows come from a bound that never loses one.  A row
 without any word of a set R scores at most the query's total less the repeats
-of R.  Rows that hold a query's rarest words are scored first, whole; the
-``limit``-th best of them gives a score s, and R is the rarest words up to the
-first place where that most falls below s.  Only rows that hold a word of R can
-still rank, so common words are never joined to their rows: they are looked up
-in the texts of the candidates.  Everything is DataFrame joins and aggregates.
+of R.  Rows that hold a query's rarest words, and the longest rows, are scored
+first, whole; the ``limit``-th best of them gives a score s, and R is the rarest
+words up to ``MORE`` below the first place where that most falls below s.  Only
+rows that hold enough words of R can still rank, so common words are never
+joined to their rows: they are looked up in the texts of the candidates.
+Everything is DataFrame joins and aggregates.  Tables that grow with the rows
+are joined by merging: Parquet files say little about their size in memory.
 """
 
 from __future__ import annotations
@@ -29,6 +33,10 @@ from memlake.functions.text import WS_RUN, words
 from memlake.util import drop_materialized, materialize
 
 GRAM = 3
+#: Tokens of at most so many characters are met by their substrings.
+SHORT = 16
+#: A candidate must hold this many words of R more than the bound alone asks.
+MORE = 2
 
 
 def query_words(queries: DataFrame, query_col: str = "query", key_cols=("query_id",)) -> DataFrame:
@@ -49,15 +57,28 @@ def _grams(col: str, n) -> F.Column:
         F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col(col), i, n))))
 
 
+def _at(last) -> F.Column:
+    return F.explode(F.sequence(F.lit(1), last))
+
+
 def matching_tokens(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(word, token)``: the distinct tokens that contain each word."""
-    held = tokens.select("token", F.explode(F.concat(*[_grams("token", F.lit(n)) for n in range(1, GRAM + 1)])).alias("gram"))
+    """``(word, token, …)``: the distinct tokens that contain each word, with
+    the further columns of ``tokens``."""
+    cols = tokens.columns
+    parts = tokens.where(F.length("token").between(1, SHORT)).select(*cols, _at(F.length("token")).alias("_i"))
+    parts = parts.select(*cols, "_i", _at(F.length("token") - F.col("_i") + 1).alias("_n"))
+    parts = parts.select(*cols, "_i", F.col("token").substr(F.col("_i"), F.col("_n")).alias("word"))
+    # Of a word's places in a token the first.
+    short = parts.join(vocab, "word").where("locate(word, token) = _i")
+    held = tokens.where(F.length("token") > SHORT).select(
+        *cols, F.explode(F.concat(*[_grams("token", F.lit(n)) for n in range(1, GRAM + 1)])).alias("gram"))
     asked = vocab.select("word", F.explode(_grams("word", F.least(F.length("word"), F.lit(GRAM)))).alias("gram"))
     # Of a word's grams the one that the fewest tokens hold.
     frequency = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     chosen = asked.join(frequency, "gram", "left").groupBy("word").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
-    return held.join(chosen, "gram").where(F.contains("token", "word")).select("word", "token")
+    long = held.join(chosen, "gram").where(F.contains("token", "word"))
+    return short.select("word", *cols).unionByName(long.select("word", *cols))
 
 
 def word_hits(df: DataFrame, vocab: DataFrame, text: F.Column | None = None, by=()) -> DataFrame:
@@ -66,19 +87,30 @@ def word_hits(df: DataFrame, vocab: DataFrame, text: F.Column | None = None, by=
     by = list(by)
     text = text if text is not None else search_text(df)
     held = df.select(*by, "id", "created_at", F.explode(F.array_distinct(words(text))).alias("token"))
-    pairs = matching_tokens(held.select("token").distinct(), vocab.select("word").distinct())
+    pairs = matching_tokens(held.select("token").distinct(), vocab.select("word").distinct()).hint("merge")
     return held.join(pairs, "token").select(*by, "id", "created_at", "word").distinct()
 
 
-def _scored(df: DataFrame, candidates: DataFrame, scope: list[str], by: list[str]) -> DataFrame:
+def _scored(df: DataFrame, candidates: DataFrame, bags: DataFrame, scope: list[str], by: list[str]) -> DataFrame:
     """``(…scope, id, created_at, score)``: each candidate's row meets its text
     once, and all words of its query are looked up there."""
-    rows = df.select(*by, "id", "created_at", F.lower(search_text(df)).alias("_text"))
-    met = rows.join(candidates, [*by, "id"])
-    score = F.aggregate("_words", F.lit(0).cast("bigint"), lambda n, w: n + F.when(F.contains("_text", w["word"]), w["repeats"]).otherwise(0))
+    key = F.xxhash64(*by, "id").alias("_h")       # narrows only: a chance match is dropped by the join
+    rows = df.select(*by, "id", "created_at", F.lower(search_text(df)).alias("_text"), key)
+    rows = rows.join(candidates.select(key).distinct(), "_h", "left_semi").drop("_h")
+    met = rows.join(candidates.join(bags, scope).hint("merge"), [*by, "id"])
+    score = F.aggregate(F.split("_bag", " "), F.lit(0).cast("bigint"), lambda n, w: n + F.when(F.contains("_text", w), 1).otherwise(0))
     return met.select(*scope, "id", "created_at", score.alias("score")).where("score > 0")
 
 
+def _longest(df: DataFrame, by: list[str], n: int) -> DataFrame:
+    """``(…by, id)`` of the ``n`` longest rows (of each owner): they hold many words."""
+    rows = df.select(*by, "id", F.length(search_text(df)).alias("_n")).where("id is not null and _n is not null")
+    if not by:
+        return rows.orderBy(F.col("_n").desc(), "id").limit(n).select("id")
+    w = Window.partitionBy(*by).orderBy(F.col("_n").desc(), "id")
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).select(*by, "id")
+
+
 def _ranked(scored: DataFrame, scope: list[str], limit: int | None) -> DataFrame:
     w = Window.partitionBy(*scope).orderBy(F.col("score").desc(), F.col("created_at").desc(), F.col("id").asc())
     ranked = scored.withColumn("rank", F.row_number().over(w))
@@ -88,34 +120,62 @@ def _ranked(scored: DataFrame, scope: list[str], limit: int | None) -> DataFrame
 def _first_rows(df: DataFrame, qw: DataFrame, scope: list[str], by: list[str], limit: int) -> DataFrame:
     """The first ``limit`` rows of each query, by the bound above; written, as
     the tables it needs are gone when it returns."""
-    keys = [*by, "token"]
-    held = materialize(df.select(*by, "id", F.explode(F.array_distinct(words(search_text(df)))).alias("token")), "keyword-held")
-    tokens = materialize(held.groupBy(*keys).agg(F.count(F.lit(1)).alias("df")), "keyword-tokens")
-    pairs = materialize(matching_tokens(tokens.select("token").distinct(), qw.select("word").distinct()), "keyword-pairs")
+    few = 4 * limit
+    held = df.select(*by, "id", F.explode(F.array_distinct(words(search_text(df)))).alias("token"))
+    held = materialize(held, "keyword-held")
+    # Stands for a token of an owner: two tokens of one key give candidates too many, never too few.
+    key = F.xxhash64(*by, "token").alias("key")
+    tokens = materialize(held.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df")), "keyword-tokens")
+    vocab = materialize(qw.select("word").distinct(), "keyword-words")
+    if by:
+        pairs = materialize(matching_tokens(tokens.select("token").distinct(), vocab), "keyword-pairs")
+        asked = tokens.join(pairs.hint("merge"), "token").join(qw.select(*by, "word").distinct().hint("merge"), [*by, "word"])
+    else:
+        pairs, asked = None, matching_tokens(tokens, vocab)
+    asked = materialize(asked.select(*by, "word", "token", "df"), "keyword-asked")
     # What a word's tokens cost orders the words; the bound holds whatever the order.
-    cost = pairs.join(tokens, "token").groupBy(*by, "word").agg(F.sum("df").alias("cost"))
-    known = qw.join(cost, [*by, "word"])
+    known = qw.join(asked.groupBy(*by, "word").agg(F.sum("df").alias("cost")), [*by, "word"])
     order = Window.partitionBy(*scope).orderBy("cost", "word")
     total = F.sum("repeats").over(Window.partitionBy(*scope))
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = materialize(known.select(
         *scope, "word", "repeats", (total - F.sum("repeats").over(so_far)).alias("rest"),
         F.coalesce(F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")), "keyword-known")
-    bags = known.groupBy(*scope).agg(F.collect_list(F.struct("word", "repeats")).alias("_words"))
-
-    def candidates(chosen):
-        asked = chosen.select(*by, "word").distinct().join(pairs, "word")
-        rows = asked.join(held, keys).select(*by, "id", "word").distinct()
-        return chosen.select(*scope, "word").join(rows, [*by, "word"]).select(*scope, "id").distinct().join(bags, scope)
-
-    first = materialize(_scored(df, candidates(known.where(F.col("before") < 4 * limit)), scope, by), "keyword-first")
+    # A query's words in one text, each as often as it is repeated.
+    bags = known.groupBy(*scope).agg(F.array_join(F.flatten(F.collect_list(
+        F.array_repeat("word", F.col("repeats").cast("int")))), " ").alias("_bag"))
+
+    def holders(chosen):
+        """``chosen`` words of queries with the rows that hold them, and the table of keys that this reads."""
+        wanted = chosen.select(*by, "word").distinct()
+        met = materialize((wanted.hint("merge") if by else wanted).join(asked, [*by, "word"]).select(*by, "word", key), "keyword-met")
+        rows = held.select(*by, "id", key).join(met.select("key").distinct(), "key", "left_semi")
+        rows = rows.join(met.hint("merge"), [*by, "key"]).select(*by, "id", "word").distinct()
+        return chosen.join(rows.hint("merge"), [*by, "word"]), met
+
+    long = _longest(df, by, limit)
+    if by:
+        long = bags.select(*scope).join(long, by)
+    else:
+        ids = long.agg(F.collect_list("id").alias("ids")).select("ids").scalar()
+        long = bags.select(*scope, ids.alias("ids")).select(*scope, F.explode("ids").alias("id"))
+    rare, met = holders(known.where(F.col("before") < few))
+    seeds = materialize(rare.select(*scope, "id").unionByName(long.select(*scope, "id")).distinct(), "keyword-seeds")
+    first = materialize(_scored(df, seeds, bags, scope, by), "keyword-first")
+    drop_materialized(met)
     least = _ranked(first, scope, limit).where(F.col("rank") == limit).select(*scope, F.col("score").alias("least"))
     # ``rest``: what a row can score that holds none of the words up to here.
     bound = known.join(least, scope, "left").withColumn("least", F.coalesce("least", F.lit(0)))
-    bound = bound.where((F.col("rest") + F.col("repeats") >= F.col("least")) & (F.col("before") >= 4 * limit))
-    further = _scored(df, candidates(bound), scope, by)
+    bound = materialize(bound.where((F.col("rest") + F.col("repeats") >= F.col("least") - MORE) & (F.col("before") >= few)), "keyword-bound")
+    # A row that is not scored yet holds none of the words before these.
+    last = bound.groupBy(*scope).agg(F.min("rest").alias("last"))
+    held_words, met = holders(bound)
+    got = held_words.groupBy(*scope, "id").agg(F.sum("repeats").alias("got"), F.max("least").alias("least"))
+    rest = got.join(last, scope).where(F.col("got") + F.col("last") >= F.col("least")).select(*scope, "id")
+    rest = materialize(rest.join(seeds.hint("merge"), [*scope, "id"], "left_anti"), "keyword-rest")
+    further = _scored(df, rest, bags, scope, by)
     out = materialize(_ranked(first.unionByName(further).distinct(), scope, limit), "keyword-hits")
-    drop_materialized(held, tokens, pairs, known, first)
+    drop_materialized(held, tokens, vocab, asked, known, seeds, first, bound, met, rest, *([pairs] if by else []))
     return out
 
 

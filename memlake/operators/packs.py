@@ -129,7 +129,8 @@ def prompts(df: DataFrame, tasks: DataFrame, rules: Rules | DataFrame | None = N
     lines = visible.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("rank", context_line().alias("line")))).alias("_l"))
     block = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
-    out = tasks.select(*keys, F.col(task_col).alias("_task")).join(lines, keys, "left")
+    # Whole texts: merged, as files and shuffles say little about their size in memory.
+    out = tasks.select(*keys, F.col(task_col).alias("_task")).join(lines.hint("merge"), keys, "left")
     prompt = F.when(F.col("_l").isNull(), F.col("_task")).otherwise(
         F.concat(F.lit("## Personal Context\n"), block, F.lit("\n\n---\n\n"), F.col("_task")))
     return out.select(*keys, prompt.alias("prompt"))
