@@ -11,8 +11,9 @@ self-join with prefix filtering:
 3. words are ordered globally rare-first (document frequency over
    representatives); each set keeps its first ``n - ceil(t*n) + 1`` words as
    its prefix -- any pair with Jaccard >= t shares a prefix word;
-4. prefix rows join on the word (length filter ``min >= t*max``), candidates
-   are de-duplicated and verified with ``array_intersect``.
+4. prefix rows join on the word (length filter ``min >= t*max``, bounds on the
+   overlap by place and by bitmap), candidates are de-duplicated and verified
+   with ``array_intersect``.
 
 The output is lossless: pairs between distinct word sets carry both copy
 counts, and ``duplicate_copies`` links every other copy to its
@@ -30,6 +31,8 @@ from memlake.operators.filters import content_key
 from memlake.util import drop_materialized, materialize
 
 EPS = 1e-9
+#: 64-bit words of a set's bitmap.
+BITMAP = 4
 
 
 # ------------------------------------------------------------- exact
@@ -111,26 +114,38 @@ def duplicate_copies(df: DataFrame, by: list[str] | None = None) -> DataFrame:
             .select(*by, "rep_id", "id"))
 
 
-def _prefixes(groups: DataFrame, threshold: float, by: list[str]) -> DataFrame:
-    """Prefix words of every representative, rare-first order.
+def _ordered(groups: DataFrame, by: list[str]) -> DataFrame:
+    """``(…by, gid, n_words, n_own, items, bits)`` of every set that shares a
+    word: its shared words rare-first as numbers, the count of the words that it
+    alone holds (they come before all others), and a bitmap.
 
-    Order key: (number of sets holding the word, word).  Only words held by
-    two or more sets can produce a candidate, so only those are counted into
-    the frequency table; every other word has frequency 1.  AQE decides from
-    the table's bytes whether it is broadcast.
+    Order key: (number of sets holding the word, number of the word).  Bit h of
+    the bitmap tells whether an odd number of the shared words hash to h.
     """
-    toks = groups.select(*by, "set_key", "n_words", F.explode("words").alias("w"))
+    toks = groups.select(*by, "gid", "n_words", F.explode("words").alias("w"))
     shared = (toks.groupBy(*by, "w").agg(F.count(F.lit(1)).alias("df"))
-              .filter(F.col("df") > 1))
+              .filter(F.col("df") > 1).withColumn("wid", F.monotonically_increasing_id()))
     shared = materialize(shared, "shared-words")
-    ranked = toks.join(shared, by + ["w"], "left").withColumn("df", F.coalesce(F.col("df"), F.lit(1)))
+    ranked = toks.join(shared.hint("merge"), by + ["w"])
+    h = F.pmod(F.xxhash64("wid"), F.lit(64 * BITMAP))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(wid), {64 * BITMAP}) % 64 as int))")
+    per = ranked.groupBy(*by, "gid", "n_words").agg(
+        F.sort_array(F.collect_list(F.struct("df", "wid"))).alias("items"),
+        *[F.coalesce(F.bit_xor(F.when(F.floor(h / 64) == k, bit)), F.lit(0).cast("bigint")).alias(f"b{k}") for k in range(BITMAP)])
+    out = materialize(per.select(*by, "gid", "n_words", (F.col("n_words") - F.size("items")).alias("n_own"), "items",
+                                 F.array(*[f"b{k}" for k in range(BITMAP)]).alias("bits")), "ordered")
+    drop_materialized(shared)
+    return out
+
+
+def _prefixes(ordered: DataFrame, threshold: float, by: list[str]) -> DataFrame:
+    """Shared words in the prefix of every representative, with their places."""
     plen = (F.col("n_words") - F.ceil(F.col("n_words") * F.lit(threshold) - F.lit(EPS)) + 1).cast("int")
-    per = ranked.groupBy(*by, "set_key", "n_words").agg(
-        F.sort_array(F.collect_list(F.struct("df", "w"))).alias("_ord"))
-    pref = per.select(*by, "set_key", "n_words",
-                      F.posexplode(F.slice("_ord", 1, plen)).alias("pos", "_t"))
-    # A word seen in one set only cannot pair anything.
-    return pref.filter(F.col("_t.df") > 1).select(*by, "set_key", "n_words", F.col("_t.w").alias("w"), "pos")
+    taken = F.greatest(plen - F.col("n_own"), F.lit(0))
+    pref = ordered.select(*by, "gid", "n_words", "n_own", *[F.col("bits")[k].alias(f"b{k}") for k in range(BITMAP)],
+                          F.posexplode(F.slice("items", F.lit(1), taken)).alias("_p", "_t"))
+    return pref.select(*by, "gid", "n_words", "n_own", *[f"b{k}" for k in range(BITMAP)],
+                       F.col("_t.wid").alias("w"), (F.col("_p") + F.col("n_own")).alias("pos"))
 
 
 def _length_band(threshold: float):
@@ -155,7 +170,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None
     newer representative.  Each such row stands for ``copies_a * copies_b``
     row pairs; pairs of identical sets are in ``duplicate_copies``.
 
-    The copy-group table and the prefix table each feed several branches, so
+    The copy-group table and the ordered sets each feed several branches, so
     both are materialised once (``util.materialize``) and dropped when the pairs
     are written; pass ``groups`` (from ``near_duplicate_groups``) to share them
     with ``pair_count``.
@@ -165,46 +180,56 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None
     by = list(by or [])
     own = groups is None
     groups = near_duplicate_groups(df, by) if own else groups
-    pref = materialize(_prefixes(groups, threshold, by), "prefixes")
-    out = materialize(_near_pairs(groups, pref, threshold, by), "near-pairs")
-    drop_materialized(pref, *([groups] if own else []))
+    ordered = _ordered(groups, by)
+    out = materialize(_near_pairs(groups, ordered, threshold, by), "near-pairs")
+    drop_materialized(ordered, *([groups] if own else []))
     return out
 
 
-def _near_pairs(groups: DataFrame, pref: DataFrame, threshold: float, by: list[str], newer: DataFrame | None = None) -> DataFrame:
-    """Verified pairs; with ``newer`` (set keys of the newest sets) those
+def _near_pairs(groups: DataFrame, ordered: DataFrame, threshold: float, by: list[str], newer: DataFrame | None = None) -> DataFrame:
+    """Verified pairs; with ``newer`` (numbers of the newest sets) those
     whose newer set is one of them."""
     # The join key is (word, length band): a word held in the prefixes of
     # many sets is split by set length, and only bands that can pass the
-    # length filter meet (one side is copied to the two neighbour bands).
+    # length filter meet.  The smaller set of a pair is ``a``, so ``b`` goes to
+    # its own and the band below; of given probes, to the band above too.
     band, offsets = _length_band(threshold)
-    probes = pref if newer is None else pref.join(newer, [*by, "set_key"], "left_semi")
-    a = probes.select(*by, F.col("set_key").alias("ka"), F.col("n_words").alias("na"), "w",
-                    F.col("pos").alias("pa"), band(F.col("n_words")).alias("_band"))
-    b = pref.select(*by, F.col("set_key").alias("kb"), F.col("n_words").alias("nb"), "w",
-                    F.col("pos").alias("pb"),
-                    F.explode(F.array(*[band(F.col("n_words")) + F.lit(o) for o in offsets])).alias("_band"))
-    # Each (pair, shared prefix word) meets once.  Positional bound: every
-    # shared word before the last shared prefix word is in both prefixes
-    # (global order), so overlap <= shared + min(words left after it in a,
-    # in b); Jaccard >= t needs overlap >= t/(1+t) * (na + nb).  Pairs that
-    # cannot reach it are dropped before any word list is fetched.
-    cand = (a.join(b, by + ["w", "_band"])
-            .filter(F.col("ka") < F.col("kb") if newer is None else F.col("ka") != F.col("kb"))
+    pref = _prefixes(ordered, threshold, by)
+    probes = pref if newer is None else pref.join(newer, "gid", "left_semi")
+
+    def side(rows, x):
+        return rows.select(*by, "w", band(F.col("n_words")).alias("_band"), F.col("gid").alias(f"k{x}"), F.col("n_words").alias(f"n{x}"),
+                           F.col("n_own").alias(f"o{x}"), F.col("pos").alias(f"p{x}"), *[F.col(f"b{k}").alias(f"{x}{k}") for k in range(BITMAP)])
+    near = [o for o in offsets if o <= 0 or newer is not None]
+    a, b = side(probes, "a"), side(pref, "b")
+    b = b.withColumn("_band", F.explode(F.array(*[F.col("_band") + F.lit(o) for o in near])))
+    once = F.struct("na", "ka") < F.struct("nb", "kb") if newer is None else F.col("ka") != F.col("kb")
+    # Each (pair, shared prefix word) meets once.  Bounds on the overlap, which
+    # must reach t/(1+t) * (na + nb): the words up to this one and after it, on
+    # either side; and half of the shared words less the bits that differ, as each
+    # such bit takes a word that one of the sets lacks.  Both drop pairs before
+    # they are gathered.
+    needed = (F.col("na") + F.col("nb")) * F.lit(threshold / (1.0 + threshold)) - F.lit(EPS)
+    differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(BITMAP)), F.lit(0))
+    both = F.col("na") - F.col("oa") + F.col("nb") - F.col("ob")
+    placed = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    cand = (a.join(b.hint("merge"), by + ["w", "_band"]).filter(once)
             .filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(EPS))
-            .groupBy(*by, "ka", "kb", "na", "nb")
+            .filter((placed >= needed) & (both - differ >= 2 * needed))
+            .groupBy("ka", "kb", "na", "nb")
             .agg(F.count(F.lit(1)).alias("_shared"), F.max("pa").alias("_pa"), F.max("pb").alias("_pb")))
+    # Every shared word before the last shared prefix word is in both prefixes.
     reach = F.col("_shared") + F.least(F.col("na") - F.col("_pa") - 1, F.col("nb") - F.col("_pb") - 1)
-    cand = (cand.filter(reach >= (F.col("na") + F.col("nb")) * F.lit(threshold / (1.0 + threshold)) - F.lit(EPS))
-            .select(*by, "ka", "kb"))
-    g = groups.select(*by, "set_key", "rep_id", "rep_created_at", "copies", "words", "n_words")
-    ga = g.select(*by, *[F.col(c).alias("ka" if c == "set_key" else c + "_a") for c in g.columns if c not in by])
-    gb = g.select(*by, *[F.col(c).alias("kb" if c == "set_key" else c + "_b") for c in g.columns if c not in by])
-    ver = cand.join(ga, by + ["ka"]).join(gb, by + ["kb"])
-    inter = F.size(F.array_intersect("words_a", "words_b"))
-    ver = ver.withColumn("_i", inter).withColumn(
-        "jaccard", F.col("_i") / (F.col("n_words_a") + F.col("n_words_b") - F.col("_i")))
-    ver = ver.filter(F.col("jaccard") >= F.lit(threshold))
+    cand = cand.filter(reach >= needed).select("ka", "kb", "na", "nb")
+    # All words that two sets share are numbered.
+    for x in ("a", "b"):
+        cand = cand.join(ordered.select(F.col("gid").alias(f"k{x}"), F.transform("items", lambda i: i["wid"]).alias(f"w{x}")).hint("merge"), f"k{x}")
+    inter = F.size(F.array_intersect("wa", "wb"))
+    ver = cand.select("ka", "kb", (inter / (F.col("na") + F.col("nb") - inter)).alias("jaccard")).filter(F.col("jaccard") >= F.lit(threshold))
+    g = groups.select(*by, "gid", "rep_id", "rep_created_at", "copies")
+    for x in ("a", "b"):
+        ver = ver.join(g.select(*(by if x == "a" else []), F.col("gid").alias(f"k{x}"), *[
+            F.col(c).alias(f"{c}_{x}") for c in ("rep_id", "rep_created_at", "copies")]).hint("merge"), f"k{x}")
     a_newer = F.struct((-F.unix_micros("rep_created_at_a")), F.col("rep_id_a")) < \
         F.struct((-F.unix_micros("rep_created_at_b")), F.col("rep_id_b"))
     if newer is not None:       # a pair of two probes is found from either side
@@ -220,8 +245,8 @@ def _near_pairs(groups: DataFrame, pref: DataFrame, threshold: float, by: list[s
 
 
 def near_duplicate_groups(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The materialised copy-group table shared by D4 operators."""
-    return materialize(copy_groups(word_sets(df, by), by))
+    """The materialised copy-group table shared by D4 operators; sets are numbered (``gid``)."""
+    return materialize(copy_groups(word_sets(df, by), by).withColumn("gid", F.monotonically_increasing_id()))
 
 
 def pair_count(df: DataFrame, threshold: float = 0.75, by: list[str] | None = None,
@@ -250,11 +275,11 @@ def newest_pairs(df: DataFrame, threshold: float = 0.75, n: int = 3, first: int
     that gives fewer than ``n`` pairs, ``growth`` times as many are tried.
     """
     groups = near_duplicate_groups(df)
-    pref = materialize(_prefixes(groups, threshold, []), "prefixes")
+    ordered = _ordered(groups, [])
     total, size = groups.count(), first
     while True:
-        newest = materialize(groups.orderBy(F.col("rep_created_at").desc(), "rep_id").limit(size).select("set_key"), "newest")
-        pairs = materialize(_near_pairs(groups, pref, threshold, [], newest), "near-pairs")
+        newest = materialize(groups.orderBy(F.col("rep_created_at").desc(), "rep_id").limit(size).select("gid"), "newest")
+        pairs = materialize(_near_pairs(groups, ordered, threshold, [], newest), "near-pairs")
         drop_materialized(newest)
         if size >= total or pairs.limit(n).count() == n:
             break
@@ -264,7 +289,7 @@ def newest_pairs(df: DataFrame, threshold: float = 0.75, n: int = 3, first: int
     found = pairs.join(times, "id_a").orderBy(F.col("ca").desc(), "id_a", "id_b").limit(n)
     w = Window.orderBy(F.col("ca").desc(), "id_a", "id_b")      # n rows
     out = materialize(found.withColumn("rank", F.row_number().over(w)).drop("ca"), "newest-pairs")
-    drop_materialized(groups, pref, pairs)
+    drop_materialized(groups, ordered, pairs)
     return out
 
 
