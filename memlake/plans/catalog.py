@@ -924,13 +924,13 @@ _STRUCTURED_SQL = f"""
 SELECT query_id, id, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (
   SELECT s.query_id, s.id, s.score, row_number() OVER (PARTITION BY s.query_id ORDER BY s.score DESC, r.created_at DESC, s.id) AS rank
   FROM sc3 s JOIN need3 n ON n.query_id = s.query_id JOIN records r ON r.id = s.id
-  WHERE g_all = n_all AND g_none = 0 AND (n_any = 0 OR g_any > 0) AND n_all + n_any > 0) WHERE rank <= 10"""
+  WHERE g_all = n_all AND g_none = 0 AND (n_any = 0 OR g_any > 0) AND n_all + n_any > 0)"""
 
 
 @register("structured_search", _with(_STRUCTURED_SQL))
 def q_structured_search(spark, sf_dir):
-    """Q5: required, alternative and excluded terms, phrases, prefixes and fields combined; the first ten hits."""
-    res = se.structured_search(_rec(spark, sf_dir), structured_queries(spark, sf_dir), limit=10, stem=False)
+    """Q5: required, alternative and excluded terms, phrases, prefixes and fields combined; every hit, ranked."""
+    res = se.structured_search(_rec(spark, sf_dir), structured_queries(spark, sf_dir), limit=None, stem=False)
     return res.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint"))
 
 
