@@ -99,8 +99,11 @@ def _merged(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _postings(df: DataFrame, stem: bool, fields, by: list[str]) -> DataFrame:
-    at = [F.when(F.col("field") == f, F.array("pos")).otherwise(F.array().cast("array<int>")).alias(f"{f}_at") for f in FIELDS]
-    plain = materialize(_merged(tokens(df, fields, by).select(*by, "id", "term", *at), [*by, "term", "id"]), "postings")
+    # Rows are dealt by id as texts, which are smaller than their tokens; the tokens then group where they are.
+    rows = df.select(*by, "id", *[c for c in ("content", "tags") if c in df.columns]).repartition(*by, "id")
+    at = [F.sort_array(F.collect_list(F.when(F.col("field") == f, F.col("pos")))).alias(f"{f}_at") for f in FIELDS]
+    plain = tokens(rows, fields, by).groupBy(*by, "term", "id").agg(F.count(F.lit(1)).alias("tf"), *at)
+    plain = materialize(plain, "postings")
     if not stem:
         return plain
     # One row per (term, id) from here; both sides are plain tables, so AQE can
@@ -260,9 +263,14 @@ def _placed(name: str, shift=None) -> F.Column:
     return F.when(wanted, at).otherwise(F.array().cast("array<int>"))
 
 
+def _held(postings: DataFrame, terms: DataFrame, by: list[str]) -> DataFrame:
+    """The postings of some terms, so that no others are shuffled."""
+    return postings.join(terms.select(*by, "term").distinct(), [*by, "term"], "left_semi")
+
+
 def _unit_hits(index: TextIndex, units: DataFrame) -> DataFrame:
-    """``(…by, term, id, tf)`` of the units that are no plain term, under a
-    term of their own.  A unit of one token counts the places of its terms:
+    """``(…by, term, id, tf)`` of the units that are no plain term, written,
+    under a term of their own.  A unit of one token counts the places of its terms:
     one join with the postings, as large as the postings that it holds.  A
     phrase is found by its rarest whole token; the others, and a prefix at its
     end (the places of all its terms, united once a prefix), are looked up in
@@ -272,7 +280,8 @@ def _unit_hits(index: TextIndex, units: DataFrame) -> DataFrame:
     one = kinds.where(F.size("tokens") == 1).select(*by, "unit", "field", "prefix", F.col("tokens")[0].alias("token"))
     known = one.where("not prefix").select(*by, "unit", "field", F.col("token").alias("term")).unionByName(
         _expansions(index, one.where("prefix")).select(*by, "unit", "field", "term"))
-    held = known.join(postings.drop("tf"), [*by, "term"])
+    known = materialize(known, "unit-terms")
+    held = known.join(_held(postings, known, by).drop("tf"), [*by, "term"])
     tf = sum((F.size(_placed(f)) for f in FIELDS), F.lit(0))
     singles = held.groupBy(*by, F.col("unit").alias("term"), "id").agg(F.sum(tf).cast("bigint").alias("tf")).where("tf > 0")
 
@@ -281,13 +290,15 @@ def _unit_hits(index: TextIndex, units: DataFrame) -> DataFrame:
     whole = many.where(~last).withColumn("whole", F.col("k") - F.col("prefix").cast("int")).withColumnRenamed("token", "term")
     whole = whole.join(index.terms, [*by, "term"])
     rarest = whole.groupBy(*by, "unit").agg(F.min(F.struct("n_t", "i"))["i"].alias("rare"), F.count(F.lit(1)).alias("found"))
-    whole = whole.join(rarest, [*by, "unit"]).where("found = whole")
+    whole = materialize(whole.join(rarest, [*by, "unit"]).where("found = whole"), "unit-tokens")
     cols = [*by, "unit", "field", "k", "i", "id"]
-    seeds = whole.where("i = rare").join(postings, [*by, "term"]).select(*cols, *[f"{f}_at" for f in FIELDS])
+    seeds = whole.where("i = rare").join(_held(postings, whole.where("i = rare"), by), [*by, "term"]).select(*cols, *[f"{f}_at" for f in FIELDS])
     rows = seeds.select(*by, "unit", "id")
-    others = rows.join(whole.where("i <> rare"), [*by, "unit"]).join(postings, [*by, "term", "id"]).select(*seeds.columns)
+    others = rows.join(whole.where("i <> rare"), [*by, "unit"]).join(
+        _held(postings, whole.where("i <> rare"), by), [*by, "term", "id"]).select(*seeds.columns)
     ends = many.where(last)
-    spread = _expansions(index, ends.select(*by, "token").distinct()).join(postings, [*by, "term"]).groupBy(*by, "token", "id").agg(
+    grown = materialize(_expansions(index, ends.select(*by, "token").distinct()), "unit-ends")
+    spread = grown.join(_held(postings, grown, by), [*by, "term"]).groupBy(*by, "token", "id").agg(
         *[F.flatten(F.collect_list(f"{f}_at")).alias(f"{f}_at") for f in FIELDS])
     ends = rows.join(ends, [*by, "unit"]).join(spread, [*by, "token", "id"]).select(*seeds.columns)
     at = seeds.unionByName(others).unionByName(ends)
@@ -298,7 +309,9 @@ def _unit_hits(index: TextIndex, units: DataFrame) -> DataFrame:
     starts = at.select(*by, "unit", "id", "k", F.explode(F.concat(*[started(f) for f in FIELDS])).alias("s"))
     full = starts.groupBy(*by, "unit", "id", "k", "s").agg(F.count(F.lit(1)).alias("n")).where("n = k")
     phrases = full.groupBy(*by, F.col("unit").alias("term"), "id").agg(F.count(F.lit(1)).alias("tf"))
-    return singles.unionByName(phrases)
+    out = materialize(singles.unionByName(phrases), "unit-hits")
+    drop_materialized(known, whole, grown)
+    return out
 
 
 def _named(units: DataFrame) -> DataFrame:
@@ -332,7 +345,7 @@ def _scored(index: TextIndex, units: DataFrame, scope: list[str], hits: DataFram
     found = known.where(is_seed).join(postings, [*by, "term"])
     rows = found.select(*scope, "id").distinct()
     further = known.where(~is_seed & ((F.col("n_all") > 0) | (F.col("role") == "none")))
-    looked_up = rows.join(further, scope).join(postings, [*by, "term", "id"])
+    looked_up = rows.join(further, scope).join(_held(postings, further, by), [*by, "term", "id"])
     matched = found.unionByName(looked_up.select(*found.columns))
     per_row = matched.groupBy(*scope, "id", "n_all", "n_any").agg(
         F.count_if(F.col("role") == "all").alias("got_all"), F.count_if(F.col("role") == "any").alias("got_any"),
@@ -362,11 +375,12 @@ def _hits(df: DataFrame | None, index: TextIndex | None, stem: bool, by, keys: l
     own = index is None
     index = build_index(df, stem=stem, by=by) if own else index
     scope = [*keys, *[c for c in index.by if c not in keys]]
-    asked = _named(units(index))
-    special = materialize(_unit_hits(index, asked), "unit-hits")
+    asked = materialize(_named(units(index)), "asked")
+    # Read from the table of the queries' units: plain terms need no hits of their own.
+    special = _unit_hits(index, asked) if asked.where("not plain").limit(1).count() else None
     scored, known = _scored(index, asked, scope, special)
     out = materialize(top_k(narrow(scored) if narrow else scored, limit, scope), "hits")
-    drop_materialized(special, known)
+    drop_materialized(asked, known, *([special] if special is not None else []))
     if own:
         index.drop()
     return out
