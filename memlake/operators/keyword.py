@@ -161,7 +161,8 @@ def _first_rows(df: DataFrame, qw: DataFrame, scope: list[str], by: list[str], l
         long = bags.select(*scope, ids.alias("ids")).select(*scope, F.explode("ids").alias("id"))
     rare, met = holders(known.where(F.col("before") < few))
     seeds = materialize(rare.select(*scope, "id").unionByName(long.select(*scope, "id")).distinct(), "keyword-seeds")
-    first = materialize(_scored(df, seeds, bags, scope, by), "keyword-first")
+    # Equal rows are one row, here too: else the bound would count them twice.
+    first = materialize(_scored(df, seeds, bags, scope, by).distinct(), "keyword-first")
     drop_materialized(met)
     least = _ranked(first, scope, limit).where(F.col("rank") == limit).select(*scope, F.col("score").alias("least"))
     # ``rest``: what a row can score that holds none of the words up to here.

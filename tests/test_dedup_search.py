@@ -63,6 +63,22 @@ def test_newest_pairs_stop_early(make_records, first):
     assert dd.newest_pairs(df.limit(0), 0.7).collect() == []
 
 
+def test_pairs_beyond_the_bound_are_dropped_in_the_join(make_records, monkeypatch):
+    """Sets that share one word in ten of many: none of them is gathered as a candidate."""
+    made = {}
+    materialize = dd.materialize
+
+    def counted(df, name="table"):
+        made[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return materialize(df, name)
+    monkeypatch.setattr(dd, "materialize", counted)
+    rows = [rec(str(i), " ".join([f"s{(i + j) % 60}x{j}" for j in range(36)] + [f"w{j}" for j in range(4)]), created=t(i)) for i in range(120)]
+    pairs = dd.near_duplicates(make_records(rows), 0.75)
+    assert pairs.count() == 0
+    assert dd.duplicate_copies(make_records(rows)).count() == 60
+    assert "bit_count" in made["near-pairs"] and "Aggregate" in made["near-pairs"].split("bit_count")[0]      # under the grouping
+
+
 def test_the_newer_set_comes_first(make_records):
     """Sets of n words and the same n plus m: n / (n + m), computed here."""
     sets = {str(k): [f"w{k}x{i}" for i in range(k + 4)] for k in range(6)}
@@ -326,6 +342,16 @@ def test_prefixes_join_no_more_rows_than_their_postings(spark, make_records):
     index.drop()
 
 
+def test_plain_terms_make_no_unit_tables(spark, make_records, monkeypatch):
+    made = []
+    materialize = se.materialize
+    monkeypatch.setattr(se, "materialize", lambda df, name="table": made.append(name) or materialize(df, name))
+    df = make_records([rec("1", "apple pie"), rec("2", "apple jam")])
+    hits = se.search(df, spark.createDataFrame([(1, "apple jam")], "query_id long, query string"), stem=False)
+    assert [r["id"] for r in hits.collect()] == ["2"]
+    assert "hits" in made and not [n for n in made if n.startswith("unit-")]
+
+
 def test_own_index_is_gone_after_the_query(spark, make_records):
     import os
 
@@ -350,6 +376,31 @@ def test_first_rows_of_keyword_search_equal_all_rows_cut(spark, make_records, li
     assert sorted(every) == sorted(tuple(r) for r in kw.keyword_search(df, q, limit=limit).collect())
 
 
+def test_equal_rows_do_not_raise_the_bound(spark, make_records):
+    rows = [rec("1", "a b c d", created=t(1)), rec("2", "a b c", created=t(2)), rec("3", "a b", created=t(3)), rec("4", "a", created=t(4))]
+    q = spark.createDataFrame([(1, "a b c d")], "query_id long, query string")
+    got = kw.keyword_search(make_records(rows + rows), q, limit=3).collect()
+    assert sorted((r["rank"], r["id"]) for r in got) == [(1, "1"), (2, "2"), (3, "3")]
+
+
+def test_words_of_an_owner_meet_its_own_tokens_only(spark, make_records, monkeypatch):
+    """Each owner holds words of its own that all hold "a": owners x words x tokens would be 40 times as much."""
+    made = {}
+
+    def counted(df, name="table"):
+        out = materialize(df, name)
+        made[name] = out.count()
+        return out
+    materialize = kw.materialize
+    monkeypatch.setattr(kw, "materialize", counted)
+    df = make_records([rec(str(i), " ".join(f"{i}a{j}" for j in range(10)), created=t(i)) for i in range(40)])
+    df = df.withColumn("owner", F.col("id"))
+    q = spark.createDataFrame([(str(i), 1, "a") for i in range(40)], "owner string, query_id long, query string")
+    got = kw.keyword_search(df, q, by=["owner"]).collect()
+    assert sorted((r["owner"], r["id"], r["score"]) for r in got) == sorted((str(i), str(i), 1) for i in range(40))
+    assert made["keyword-asked"] == 400 and made["keyword-met"] <= 400      # of "a" in the owner's ten words, a tag besides
+
+
 def test_index_upkeep_and_storage(spark, make_records, tmp_path):
     rows = [rec(str(i), f"common word{i} tail", created=t(i)) for i in range(6)]
     q = spark.createDataFrame([(1, "common"), (2, "word3"), (3, "word5 tail")], "query_id long, query string")
