@@ -13,8 +13,14 @@ consonant and written ``Y`` meanwhile.
 
 from __future__ import annotations
 
+import re
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MIN_BYTES = 3
 MAX_BYTES = 64
 
@@ -90,6 +96,50 @@ def with_stems(terms: DataFrame) -> DataFrame:
             return out
 
 
+_FOUND = {p: re.compile(p) for p in (_SOME, _MORE, _ONE, _VOWEL, _CVC, _DOUBLE)}
+
+
+def stem_word(term: str) -> str:
+    """The stem of one term by the same rules, for rows whose tokens are in Python already."""
+    if not MIN_BYTES <= len(term.encode()) <= MAX_BYTES:
+        return term
+
+    def is_(x, pattern):
+        return _FOUND[pattern].search(x) is not None
+    w = re.sub("^y", "Y", re.sub("([^\x00-\x7f])", r"\1" + _MARK, term))
+    if w.endswith("sses") and len(w) > 4 or w.endswith("ies") and len(w) > 3:
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    fix = False
+    if w.endswith("eed") and len(w) > 3:
+        w = w[:-1] if is_(w[:-3], _SOME) else w
+    elif w.endswith("ed") and is_(w[:-2], _VOWEL):
+        w, fix = w[:-2], True
+    elif w.endswith("ing") and is_(w[:-3], _VOWEL):
+        w, fix = w[:-3], True
+    if fix:
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif is_(w, _DOUBLE):
+            w = w if w[-1] in "lsz" else w[:-1]
+        elif is_(w, _ONE) and is_(w, _CVC):
+            w += "e"
+    if w.endswith("y") and is_(w[:-1], _VOWEL):
+        w = w[:-1] + "i"
+    for rules, least in ((STEP2, _SOME), (STEP3, _SOME), ([(s, "") for s in STEP4], _MORE)):
+        for suffix, new in rules:
+            if w.endswith(suffix) and (suffix != "ion" or len(w) > 3 and w[-4] in "st"):
+                cut = w[:len(w) - len(suffix)]
+                w = cut + new if is_(cut, least) else w
+                break
+    if w.endswith("e") and (is_(w[:-1], _MORE) or is_(w[:-1], _ONE) and not is_(w[:-1], _CVC)):
+        w = w[:-1]
+    if w.endswith("ll") and is_(w, _MORE):
+        w = w[:-1]
+    return w.replace(_MARK, "").replace("Y", "y")
+
+
 def stem_sql(terms: str) -> str:
     """A DuckDB query (term, stem) over the query ``terms`` with a column term."""
     for step in _steps("regexp_matches", "strlen", f"regexp_replace(term, '([^\\x00-\\x7F])', '\\1{_MARK}', 'g')"):

@@ -36,6 +36,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.functions.places import row_postings
 from memlake.functions.stemming import with_stems
 from memlake.functions.text import fts_tokens
 from memlake.operators.rules import Rules, exclude
@@ -92,26 +93,28 @@ def stem_vocabulary(terms: DataFrame) -> DataFrame:
     return with_stems(terms.select("term").distinct())
 
 
-def _merged(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Postings of one (term, id) from the position lists of several parts."""
-    flat = parts.groupBy(*keys).agg(*[F.sort_array(F.flatten(F.collect_list(f"{f}_at"))).alias(f"{f}_at") for f in FIELDS])
-    return flat.select(*keys, (F.size("content_at") + F.size("tags_at")).cast("bigint").alias("tf"), "content_at", "tags_at")
-
-
 def _postings(df: DataFrame, stem: bool, fields, by: list[str]) -> DataFrame:
-    # Rows are dealt by id as texts, which are smaller than their tokens; the tokens then group where they are.
-    rows = df.select(*by, "id", *[c for c in ("content", "tags") if c in df.columns]).repartition(*by, "id")
-    at = [F.sort_array(F.collect_list(F.when(F.col("field") == f, F.col("pos")))).alias(f"{f}_at") for f in FIELDS]
-    plain = tokens(rows, fields, by).groupBy(*by, "term", "id").agg(F.count(F.lit(1)).alias("tf"), *at)
-    plain = materialize(plain, "postings")
-    if not stem:
-        return plain
-    # One row per (term, id) from here; both sides are plain tables, so AQE can
-    # split the partition of a term that most rows hold.
-    stems = materialize(stem_vocabulary(plain), "stems")
-    stemmed = plain.join(stems, "term").drop("term").withColumnRenamed("stem", "term")
-    out = materialize(_merged(stemmed, [*by, "term", "id"]), "postings")
-    drop_materialized(plain, stems)
+    """Each row's tokens become postings where the row is.  Only rows that
+    share their id, parts of one text, are grouped by Spark."""
+    keys = [*by, "id"]
+    rows = df.select(*keys, *[(F.col("content") if f == "content" else _field_text(f)).alias(f) for f in fields])
+    again = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in keys])
+    again = materialize(again, "repeated-ids")
+    types = dict(rows.dtypes)
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in keys], "term string", "tf bigint", *[f"{f}_at array<int>" for f in fields]])
+    cols = [*by, "term", "id", "tf", *[(F.col(f"{f}_at") if f in fields else F.array().cast("array<int>").alias(f"{f}_at")) for f in FIELDS]]
+
+    def made(part):
+        # Dealt by id as texts, whatever the files are like.
+        return part.repartition(*keys).mapInArrow(row_postings(keys, list(fields), stem), schema).select(*cols)
+    if not again.limit(1).count():
+        out = materialize(made(rows), "postings")
+    else:
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+        parts = made(rows.join(again, same, "left_semi")).groupBy(*by, "term", "id").agg(F.sum("tf").alias("tf"), *[
+            F.sort_array(F.flatten(F.collect_list(f"{f}_at"))).alias(f"{f}_at") for f in FIELDS])
+        out = materialize(made(rows.join(again, same, "left_anti")).unionByName(parts), "postings")
+    drop_materialized(again)
     return out
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.porter import stem
+from memlake.functions.stemming import stem_word
 from memlake.operators import dedup as dd
 from memlake.operators import keyword as kw
 from memlake.operators import search as se
@@ -311,6 +312,38 @@ def test_stems_are_computed_inside_the_jvm(spark, make_records):
     assert "Python" not in plan and "regexp" in plan.lower()
 
 
+@pytest.mark.parametrize("stem_too", [False, True])
+def test_postings_are_made_where_the_row_is(spark, make_records, monkeypatch, stem_too):
+    """No token is a row of its own on the way, and parts that share an id are one text."""
+    plans = []
+    materialize = se.materialize
+
+    def kept(df, name="table"):
+        if name == "postings":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name)
+    monkeypatch.setattr(se, "materialize", kept)
+    rows = [rec("1", "Runs, running É éa run", tags=("run", "b")), rec("2", ""), rec("3", "", tags=("x",))]
+    index = se.build_index(make_records(rows), stem=stem_too)
+    got = sorted((r["term"], r["id"], r["tf"], r["content_at"], r["tags_at"]) for r in index.postings.collect())
+    assert not [p for p in plans if "Generate" in p or "Aggregate" in p]
+    run = [("run", "1", 4, [0, 1, 4], [0])] if stem_too else [("run", "1", 2, [4], [0]), ("running", "1", 1, [1], []), ("runs", "1", 1, [0], [])]
+    assert got == sorted([("b", "1", 1, [], [1]), ("x", "3", 1, [], [0]), ("É", "1", 1, [2], []), ("éa", "1", 1, [3], []), *run])
+    index.drop()
+    index = se.build_index(make_records([rec("1", "a b a"), rec("1", "b c"), rec("2", "a")]), stem=stem_too)
+    got = sorted((r["term"], r["id"], r["tf"], r["content_at"]) for r in index.postings.collect())
+    assert got == [("a", "1", 2, [0, 2]), ("a", "2", 1, [0]), ("b", "1", 2, [0, 1]), ("c", "1", 1, [1])]
+    index.drop()
+
+
+def test_stems_of_single_terms_equal_those_of_the_table():
+    rnd = random.Random(12)
+    ends = ["", "s", "es", "ies", "ed", "eed", "ing", "ational", "izer", "ation", "fulness", "iviti", "ness", "ement", "sion", "ll", "e", "y", "yed", "sses", "éé"]
+    for _ in range(20000):
+        term = "".join(rnd.choice("aeiouybcdlstz1é") for _ in range(rnd.randint(1, 9))) + rnd.choice(ends)
+        assert stem_word(term) == stem(term)
+
+
 def widest_join(df):
     """Rows that the largest join of an executed query made."""
     df.collect()
