@@ -32,6 +32,12 @@ least ``least`` (0.8).
   the lightest (if two texts share but the template and are near, both are near
   the lightest that has it) and the one of least hash.  These pairs are verified
   likewise.
+* In what is then still a crowd, every member meets every member of another
+  component, without a further filter: a bucket is cut into blocks of about
+  ``BLOCK`` members or ``BLOCK_BYTES`` of text, each pair of blocks is one
+  group, and the weights that two texts share are summed for all pairs of a
+  group by matrix products.  Blocks of one component are not paired with each
+  other.  So no two near texts of one bucket end in different classes.
 * Classes are the connected components of the verified links.
 
 Defined cases: null texts and texts without a word are classes of their own; a
@@ -59,6 +65,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE, CLASS_BITS = 5, 20
 SAMPLES, BANDS, ROWS, AGREE, SMALL, FEW = 48, 24, 4, 26, 6, 16
+BLOCK, BLOCK_BYTES = 512, 1 << 21
 _U = np.uint64
 _bytes = np.arange(256)
 _LOWER = np.where((_bytes >= 65) & (_bytes <= 90), _bytes + 32, _bytes).astype(_U) + _U(1)
@@ -212,12 +219,12 @@ def _candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return agreed, large
 
 
-def _crowds(large: DataFrame, comps: DataFrame) -> DataFrame:
-    """(doc_id, comp) of the members of large buckets that are not of one component."""
+def _crowds(large: DataFrame, comps: DataFrame, tag: str) -> DataFrame:
+    """(key, doc_id, comp) of the members of large buckets that are not of one component."""
     of = staged(large.join(comps.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left")
-                .select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp")), "op6-large-comps")
+                .select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp")), f"op6-{tag}-comps")
     several = of.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    crowds = staged(of.join(several, "key", "left_semi").select("doc_id", "comp").distinct(), "op6-crowds")
+    crowds = staged(of.join(several, "key", "left_semi"), f"op6-{tag}")
     dropped(of)
     return crowds
 
@@ -237,7 +244,7 @@ def _indexed(table):
 
 def _sharing(crowds: DataFrame, bodies: DataFrame, table) -> DataFrame:
     """Pairs (a < b) of different components that share a shingle."""
-    index = staged(bodies.join(crowds, "doc_id").mapInArrow(_indexed(table), "doc_id long, comp long, weight double, shingle long"), "op6-index")
+    index = staged(bodies.join(crowds.select("doc_id", "comp").distinct(), "doc_id").mapInArrow(_indexed(table), "doc_id long, comp long, weight double, shingle long"), "op6-index")
     one = F.struct("doc_id", "comp")
     shared = staged(index.groupBy("shingle").agg(
         F.count("*").alias("n"), F.min(F.struct("weight", "doc_id", "comp")).alias("c0"),
@@ -253,6 +260,67 @@ def _sharing(crowds: DataFrame, bodies: DataFrame, table) -> DataFrame:
     return pairs
 
 
+def _block_pairs(table, least: float):
+    """The near pairs of different components between two blocks, or in one."""
+    def run(group: pa.Table) -> pa.Table:
+        ids, comps = (group.column(c).combine_chunks().to_numpy() for c in ("doc_id", "comp"))
+        sides = [group.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(bool) for c in ("in_x", "in_y")]
+        texts = [t for chunk in group.column("text").chunks for t in byte_texts(chunk)]
+        bags = [shingles(word_names(t)) for t in texts]
+        # The second and further copies of a shingle in a text are shingles of their own: shared weights are then plain sums.
+        names = [np.repeat(n, c) for n, c in bags]
+        level = [np.arange(len(r)) - np.repeat(np.cumsum(c) - c, c) for r, (_, c) in zip(names, bags, strict=True)]
+        flat = np.concatenate([n + W.mix(j.astype(_U)) for n, j in zip(names, level, strict=True)])
+        weight = table.value[_class(np.concatenate(names))]
+        row = np.repeat(np.arange(len(texts)), [len(n) for n in names])
+        whole = np.bincount(row, weight, len(texts))
+        _, column, held = np.unique(flat, return_inverse=True, return_counts=True)
+        both = held[column] > 1
+        row, weight = row[both], weight[both]
+        _, column = np.unique(column[both], return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        row, weight, column = row[order], weight[order], column[order]
+        x, y = (np.flatnonzero(side) for side in sides)
+        shared = np.zeros((len(x), len(y)))
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            part = slice(*np.searchsorted(column, (at, at + 4096)))
+            here = np.zeros((len(texts), 4096), np.float32)
+            here[row[part], column[part] - at] = np.sqrt(weight[part])
+            shared += here[x] @ here[y].T
+        near = shared >= (least - 1e-3) * (whole[x][:, None] + whole[y][None, :] - shared)
+        i, j = (v[k] for v, k in zip((x, y), np.nonzero(near & (comps[x][:, None] != comps[y][None, :])), strict=True))
+        found = sorted({(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)})
+        links = [(*sorted((int(ids[a]), int(ids[b]))), v) for a, b in found if (v := weighted_jaccard(texts[a], texts[b], table.value)) >= least]
+        return pa.table({"a": pa.array([k[0] for k in links], pa.int64()), "b": pa.array([k[1] for k in links], pa.int64()),
+                         "similarity": pa.array([k[2] for k in links], pa.float64())})
+    return run
+
+
+def _every_pair(crowds: DataFrame, bodies: DataFrame, table, least: float) -> DataFrame:
+    """All near pairs (a < b) of different components in the buckets ``crowds``
+    (key, doc_id, comp), by pairs of blocks."""
+    size = F.greatest(F.lit(1 / BLOCK), F.octet_length("text") / F.lit(BLOCK_BYTES))
+    sized = staged(crowds.join(bodies.select("doc_id", size.alias("size")), "doc_id"), "op6-sized")
+    # A component of half a block and more has blocks of its own; the others of a bucket share theirs.
+    own = sized.groupBy("key", "comp").agg((F.sum("size") < 0.5).alias("mixed"))
+    placed = sized.join(own, ["key", "comp"]).withColumn("part", F.when(F.col("mixed"), 0).otherwise(F.col("comp")))
+    counts = staged(placed.groupBy("key", "mixed", "part").agg(F.ceil(F.sum("size")).cast("int").alias("blocks")), "op6-parts")
+    turn = F.pmod(F.xxhash64("doc_id", F.lit(7)), "blocks").cast("int")
+    members = staged(placed.join(counts, ["key", "mixed", "part"])
+                     .select("key", F.struct("mixed", "part", turn.alias("turn")).alias("block"), "doc_id", "comp"), "op6-members")
+    blocks = members.select("key", "block").distinct()
+    pairs = (blocks.withColumnRenamed("block", "x").join(blocks.withColumnRenamed("block", "y"), "key")
+             .where("x <= y and (x.mixed or y.mixed or x.part <> y.part)"))
+    pairs = staged(pairs, "op6-block-pairs")
+    sides = pairs.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    rows = (sides.join(members, ["key", "block"]).join(bodies.select("doc_id", "text"), "doc_id")
+            .select("key", "x", "y", "doc_id", "comp", "text", (F.col("block") == F.col("x")).alias("in_x"), (F.col("block") == F.col("y")).alias("in_y")))
+    links = rows.groupBy("key", "x", "y").applyInArrow(_block_pairs(table, least), "a long, b long, similarity double")
+    links = staged(links.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "op6-every-pair")
+    dropped(sized, counts, members, pairs)
+    return links
+
+
 def weighted_jaccard(one: np.ndarray, other: np.ndarray, weights: np.ndarray) -> float:
     """Of two UTF-8 texts."""
     a, na = shingles(word_names(one))
@@ -315,17 +383,26 @@ def near_links(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFram
     both = staged(links.unionByName(more), "op6-links")
     dropped(pairs, first, comps, rest, links, more)
     comps = components(both, "op6-c2")
-    crowds = _crowds(large, comps)
-    sharing = _sharing(crowds, bodies, table)
-    agreed = _agreed(sharing, texts, "crowd")
-    further = _checked(agreed.select("a", "b"), bodies, table, least, "crowd")
-    dropped(texts, bodies, large, crowds, sharing, agreed)
-    if not further.limit(1).count():
+    for tag in ("crowds", "left"):
+        crowds = _crowds(large, comps, tag)
+        if not crowds.limit(1).count():
+            dropped(crowds)
+            break
+        if tag == "crowds":
+            sharing = _sharing(crowds, bodies, table)
+            agreed = _agreed(sharing, texts, "crowd")
+            further = _checked(agreed.select("a", "b"), bodies, table, least, "crowd")
+            dropped(sharing, agreed)
+        else:
+            further = _every_pair(crowds, bodies, table, least)
+        dropped(crowds)
+        if further.limit(1).count():
+            every = staged(both.unionByName(further), "op6-all-links")
+            dropped(both, comps)
+            both, comps = every, components(every, f"op6-{tag}-c")
         dropped(further)
-        return both, comps, copies
-    every = staged(both.unionByName(further), "op6-all-links")
-    dropped(both, further, comps)
-    return every, components(every, "op6-c3"), copies
+    dropped(texts, bodies, large)
+    return both, comps, copies
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -140,6 +140,31 @@ def test_near_pairs_in_a_crowd_of_one_template(spark):
     assert got == {i: i for i, _ in rows} | {b: a for a, b in pairs}
 
 
+def test_near_pairs_of_words_that_a_crowd_shares(spark, monkeypatch):
+    """Near texts are of the same three passages in another order; each passage has more holders than are all paired."""
+    monkeypatch.setattr(M, "BLOCK", 64)
+    chance, template = random.Random(9), prose(60, 120, 3000)
+    own = [prose(700 + k, 17, 3000) for k in range(12)]
+    rows = [(i, f"{template} " + f" {i}x ".join(chance.sample(own, 3))) for i in range(120)]
+    got = {r.doc_id: r.class_id for r in M.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_every_pair_of_a_bucket_is_met(spark, monkeypatch, block):
+    monkeypatch.setattr(M, "BLOCK", block)
+    rows = near_rows()
+    rows = [(i, t) for i, t in dict(rows).items() if t and M.word_names(np.frombuffer(t.encode(), np.uint8)).size]
+    docs = frame(spark, rows)
+    table = spark.sparkContext.broadcast(M.weights_table(docs))
+    texts = {i: np.frombuffer(t.encode(), np.uint8) for i, t in rows}
+    comps = {i: i % 7 for i in texts}
+    crowds = spark.createDataFrame([(5, i, comps[i]) for i in texts] + [(6, i, 1) for i in texts], "key long, doc_id long, comp long")
+    wanted = {(a, b): M.weighted_jaccard(texts[a], texts[b], table.value) for a in texts for b in texts if a < b and comps[a] != comps[b]}
+    got = {(r.a, r.b): r.similarity for r in M._every_pair(crowds, docs, table, 0.8).collect()}
+    assert got == {p: v for p, v in wanted.items() if v >= 0.8} and got
+
+
 def test_near_duplicates_of_null_ids_and_nothing(spark):
     text = prose(1, 50)
     got = M.near_duplicates(frame(spark, [(None, text), (1, text), (2, text)])).collect()
