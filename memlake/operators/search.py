@@ -11,8 +11,8 @@ positional table answers every kind of query::
 ``by`` holds owner columns: each owner's rows are a corpus of their own.  The
 index is built once and materialised (``write_index`` keeps it across jobs);
 queries run no job of their own before the action.  A row's tokens (or stems)
-become postings in the task that holds the row.  A query without an index builds its own and writes its hits, so that the index is gone
-when it returns.
+become postings in the task that holds the row.  A query without an index
+builds its own and writes its hits, so that the index is gone when it returns.
 
 A query is a set of *units*: a term, a phrase (consecutive tokens of one field),
 a prefix (its expansions count as one term), each in one field or both.  A unit
