@@ -8,12 +8,13 @@ self-join with prefix filtering:
 2. rows with identical word sets collapse to one representative (the newest)
    with a copy count -- partial aggregation, so a hot group of copies is
    reduced map-side and never expands to all pairs;
-3. words are ordered globally rare-first (document frequency over
-   representatives); each set keeps its first ``n - ceil(t*n) + 1`` words as
-   its prefix -- any pair with Jaccard >= t shares a prefix word;
-4. prefix rows join on the word (length filter ``min >= t*max``, bounds on the
-   overlap by place and by bitmap), candidates are de-duplicated and verified
-   with ``array_intersect``.
+3. words are ordered globally rare-first (by the count of their hash class,
+   of 2^20, over representatives); each set keeps its first
+   ``n - ceil(t*n) + 1`` words as its prefix -- any pair with Jaccard >= t
+   shares a prefix word;
+4. prefixes meet by word (length filter ``min >= t*max``, bounds on the
+   overlap by place and by sketch), candidates are de-duplicated and the words
+   of each are counted where the sets of a family meet.
 
 The output is lossless: pairs between distinct word sets carry both copy
 counts, and ``duplicate_copies`` links every other copy to its
@@ -23,16 +24,20 @@ number of row pairs the pairwise definition would list.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlake.functions import meets
 from memlake.functions.text import word_set
 from memlake.operators.filters import content_key
 from memlake.util import drop_materialized, materialize
 
 EPS = 1e-9
-#: 64-bit words of a set's bitmap.
-BITMAP = 4
+#: Words and pairs of a bucket, about, and buckets at least.
+ROWS, WORDS, LEAST = 1 << 21, 1 << 21, 16
+#: Sets near one set that are cut into blocks beyond this; slots of a set of numbers.
+BLOCK, SLOTS = 1 << 10, 1 << 21
 
 
 # ------------------------------------------------------------- exact
@@ -114,52 +119,73 @@ def duplicate_copies(df: DataFrame, by: list[str] | None = None) -> DataFrame:
             .select(*by, "rep_id", "id"))
 
 
-def _ordered(groups: DataFrame, by: list[str]) -> DataFrame:
-    """``(…by, gid, n_words, n_own, items, bits)`` of every set that shares a
-    word: its shared words rare-first as numbers, the count of the words that it
-    alone holds (they come before all others), and a bitmap.
+def _hashes(by: list[str]) -> F.Column:
+    """A 64-bit hash of each word (and its scope) of a set."""
+    return F.transform(F.split("text", " "), lambda w: F.xxhash64(*by, w))
 
-    Order key: (number of sets holding the word, number of the word).  Bit h of
-    the bitmap tells whether an odd number of the shared words hash to h.
-    """
-    toks = groups.select(*by, "gid", "n_words", F.explode("words").alias("w"))
-    shared = (toks.groupBy(*by, "w").agg(F.count(F.lit(1)).alias("df"))
-              .filter(F.col("df") > 1).withColumn("wid", F.monotonically_increasing_id()))
-    shared = materialize(shared, "shared-words")
-    ranked = toks.join(shared.hint("merge"), by + ["w"])
-    h = F.pmod(F.xxhash64("wid"), F.lit(64 * BITMAP))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(wid), {64 * BITMAP}) % 64 as int))")
-    per = ranked.groupBy(*by, "gid", "n_words").agg(
-        F.sort_array(F.collect_list(F.struct("df", "wid"))).alias("items"),
-        *[F.coalesce(F.bit_xor(F.when(F.floor(h / 64) == k, bit)), F.lit(0).cast("bigint")).alias(f"b{k}") for k in range(BITMAP)])
-    out = materialize(per.select(*by, "gid", "n_words", (F.col("n_words") - F.size("items")).alias("n_own"), "items",
-                                 F.array(*[f"b{k}" for k in range(BITMAP)]).alias("bits")), "ordered")
-    drop_materialized(shared)
-    return out
+
+def _class_counts(groups: DataFrame, by: list[str]) -> np.ndarray:
+    """How often the words of each hash class occur in the sets; 2^20 numbers
+    whatever the input."""
+    sums = (groups.select(_hashes(by).alias("words")).mapInArrow(meets.slots, "slot long, df long")
+            .groupBy("slot").agg(F.sum("df").alias("df")).toArrow())
+    counts = np.zeros(1 << meets.CLASS_BITS, np.int64)
+    counts[sums.column("slot").to_numpy()] = sums.column("df").to_numpy()
+    return counts
 
 
-def _prefixes(ordered: DataFrame, threshold: float, by: list[str]) -> DataFrame:
-    """Shared words in the prefix of every representative, with their places."""
-    plen = (F.col("n_words") - F.ceil(F.col("n_words") * F.lit(threshold) - F.lit(EPS)) + 1).cast("int")
-    taken = F.greatest(plen - F.col("n_own"), F.lit(0))
-    pref = ordered.select(*by, "gid", "n_words", "n_own", *[F.col("bits")[k].alias(f"b{k}") for k in range(BITMAP)],
-                          F.posexplode(F.slice("items", F.lit(1), taken)).alias("_p", "_t"))
-    return pref.select(*by, "gid", "n_words", "n_own", *[f"b{k}" for k in range(BITMAP)],
-                       F.col("_t.wid").alias("w"), (F.col("_p") + F.col("n_own")).alias("pos"))
+def _slots(gids: DataFrame) -> np.ndarray:
+    """Which of ``SLOTS`` slots hold a number of the column."""
+    found = gids.mapInArrow(meets.number_slots(SLOTS), "slot long").distinct().toArrow()
+    held = np.zeros(SLOTS, bool)
+    held[found.column("slot").to_numpy()] = True
+    return held
 
 
-def _length_band(threshold: float):
-    """``(band(n), offsets)``: sets of sizes ``na <= nb`` pass the length
-    filter only if ``na >= t*nb``, i.e. ``ln nb - ln na <= ln(1/t)``.  Bands
-    are ``floor(ln n / w)`` with ``w`` a hair wider than ``ln(1/t)``, so two
-    such sizes are at most one band apart even after rounding; every
-    passing pair meets exactly once through offsets -1, 0, +1.  At t = 1 only
-    equal sizes can pass and the band is the size itself."""
-    import math
-    if threshold >= 1.0:
-        return (lambda n: n.cast("bigint")), (0,)
-    width = -math.log(threshold) * (1.0 + 1e-6)
-    return (lambda n: F.floor(F.log(n.cast("double")) / F.lit(width))), (-1, 0, 1)
+def _candidates(groups: DataFrame, counts: np.ndarray, threshold: float, by: list[str], probes: np.ndarray | None) -> DataFrame:
+    """``(ka, kb)``, numbers of the sets of pairs that may pass.
+
+    The prefix of a set is made where the set is, and dealt by word in buckets:
+    small rows of a word's name, its place and the word before it, and the set's
+    sketch once a bucket.  Length filter and bounds on the overlap, which must
+    reach t/(1+t) * (na + nb), hold in the task that meets a bucket (``meets``);
+    that of the short sketches follows there, before pairs are gathered."""
+    prefixes = (1.0 - threshold) * int(counts.sum())
+    dealt = groups.select("gid", _hashes(by).alias("words")).mapInArrow(
+        meets.deal(threshold, np.minimum(counts, (1 << 31) - 1).astype(np.int32), max(LEAST, int(prefixes / ROWS)), probes),
+        "bucket int, sets binary, rows binary, sketches binary")
+    met = dealt.groupBy("bucket").applyInArrow(meets.meetings(threshold), "ka long, kb long, na int, nb int, both int, " + ", ".join(
+        f"x{k} long" for k in range(meets.SHORT)))
+    needed = (F.col("na") + F.col("nb")) * F.lit(threshold / (1.0 + threshold)) - F.lit(EPS)
+    differ = sum((F.bit_count(f"x{k}") for k in range(meets.SHORT)), F.lit(0))
+    return met.where(F.col("both") - differ >= 2 * needed).groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("met")).select("ka", "kb")
+
+
+def _overlaps(groups: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """``(ka, kb, na, nb, inter)`` of pairs (written, and dropped here).
+
+    Sets of one family meet in one task, so that a set's words go there once and
+    not once a pair: a pair goes to the least number around its first set.  Where
+    very many are near one set, they are cut into blocks, and each pair of blocks is
+    a place of its own."""
+    ends = pairs.select("ka", "kb").unionByName(pairs.select(F.col("kb").alias("ka"), F.col("ka").alias("kb")))
+    nodes = materialize(ends.groupBy("ka").agg(F.least(F.min("kb"), "ka").alias("label"), F.count(F.lit(1)).alias("near")), "near-nodes")
+    hubs = nodes.select(F.col("ka").alias("label"), F.col("near").alias("hub"))
+    blocks = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest("near", "hub", F.lit(BLOCK)) / F.lit(BLOCK)))).cast("bigint")
+    i, j = (F.pmod(F.xxhash64(k), F.col("blocks")) for k in ("ka", "kb"))
+    buckets = max(LEAST, words // WORDS, pairs.count() // ROWS)
+    keyed = pairs.join(nodes.join(hubs, "label").select("ka", "label", blocks.alias("blocks")), "ka").select(
+        F.pmod(F.xxhash64("label", "blocks", F.least(i, j), F.greatest(i, j)), F.lit(buckets)).cast("int").alias("bucket"), "ka", "kb")
+    keyed = materialize(keyed, "near-dealt")
+    wanted = _slots(nodes.select("ka"))
+    drop_materialized(pairs, nodes)
+    members = keyed.select("bucket", F.explode(F.array("ka", "kb")).alias("gid")).distinct()
+    texts = groups.select("gid", "text").mapInArrow(meets.kept(wanted), "gid long, text string").join(members, "gid")
+    rows = keyed.select("bucket", "ka", "kb", F.lit(None).cast("string").alias("text")).unionByName(
+        texts.select("bucket", F.col("gid").alias("ka"), F.lit(None).cast("bigint").alias("kb"), "text"))
+    out = materialize(rows.groupBy("bucket").applyInArrow(meets.overlaps, "ka long, kb long, na long, nb long, inter long"), "near-overlaps")
+    drop_materialized(keyed)
+    return out
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None = None,
@@ -170,83 +196,61 @@ def near_duplicates(df: DataFrame, threshold: float = 0.75, by: list[str] | None
     newer representative.  Each such row stands for ``copies_a * copies_b``
     row pairs; pairs of identical sets are in ``duplicate_copies``.
 
-    The copy-group table and the ordered sets each feed several branches, so
-    both are materialised once (``util.materialize``) and dropped when the pairs
-    are written; pass ``groups`` (from ``near_duplicate_groups``) to share them
-    with ``pair_count``.
+    The copy-group table feeds several steps, so it is materialised once
+    (``util.materialize``) and dropped when the pairs are written; pass ``groups``
+    (from ``near_duplicate_groups``) to share it with ``pair_count``.
     """
     if not 0.0 < threshold <= 1.0:
         raise ValueError("threshold must be in (0, 1]")
     by = list(by or [])
     own = groups is None
     groups = near_duplicate_groups(df, by) if own else groups
-    ordered = _ordered(groups, by)
-    out = materialize(_near_pairs(groups, ordered, threshold, by), "near-pairs")
-    drop_materialized(ordered, *([groups] if own else []))
+    out = _near_pairs(groups, _class_counts(groups, by), threshold, by)
+    if own:
+        drop_materialized(groups)
     return out
 
 
-def _near_pairs(groups: DataFrame, ordered: DataFrame, threshold: float, by: list[str], newer: DataFrame | None = None) -> DataFrame:
-    """Verified pairs; with ``newer`` (numbers of the newest sets) those
+def _near_pairs(groups: DataFrame, counts: np.ndarray, threshold: float, by: list[str], newer: DataFrame | None = None) -> DataFrame:
+    """Verified pairs, written; with ``newer`` (numbers of the newest sets) those
     whose newer set is one of them."""
-    # The join key is (word, length band): a word held in the prefixes of
-    # many sets is split by set length, and only bands that can pass the
-    # length filter meet.  The smaller set of a pair is ``a``, so ``b`` goes to
-    # its own and the band below; of given probes, to the band above too.
-    band, offsets = _length_band(threshold)
-    pref = _prefixes(ordered, threshold, by)
-    probes = pref if newer is None else pref.join(newer, "gid", "left_semi")
-
-    def side(rows, x):
-        return rows.select(*by, "w", band(F.col("n_words")).alias("_band"), F.col("gid").alias(f"k{x}"), F.col("n_words").alias(f"n{x}"),
-                           F.col("n_own").alias(f"o{x}"), F.col("pos").alias(f"p{x}"), *[F.col(f"b{k}").alias(f"{x}{k}") for k in range(BITMAP)])
-    near = [o for o in offsets if o <= 0 or newer is not None]
-    a, b = side(probes, "a"), side(pref, "b")
-    b = b.withColumn("_band", F.explode(F.array(*[F.col("_band") + F.lit(o) for o in near])))
-    once = F.struct("na", "ka") < F.struct("nb", "kb") if newer is None else F.col("ka") != F.col("kb")
-    # Each (pair, shared prefix word) meets once.  Bounds on the overlap, which
-    # must reach t/(1+t) * (na + nb): the words up to this one and after it, on
-    # either side; and half of the shared words less the bits that differ, as each
-    # such bit takes a word that one of the sets lacks.  Both drop pairs before
-    # they are gathered.
-    needed = (F.col("na") + F.col("nb")) * F.lit(threshold / (1.0 + threshold)) - F.lit(EPS)
-    differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(BITMAP)), F.lit(0))
-    both = F.col("na") - F.col("oa") + F.col("nb") - F.col("ob")
-    placed = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    cand = (a.join(b.hint("merge"), by + ["w", "_band"]).filter(once)
-            .filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - F.lit(EPS))
-            .filter((placed >= needed) & (both - differ >= 2 * needed))
-            .groupBy("ka", "kb", "na", "nb")
-            .agg(F.count(F.lit(1)).alias("_shared"), F.max("pa").alias("_pa"), F.max("pb").alias("_pb")))
-    # Every shared word before the last shared prefix word is in both prefixes.
-    reach = F.col("_shared") + F.least(F.col("na") - F.col("_pa") - 1, F.col("nb") - F.col("_pb") - 1)
-    cand = cand.filter(reach >= needed).select("ka", "kb", "na", "nb")
-    # All words that two sets share are numbered.
-    for x in ("a", "b"):
-        cand = cand.join(ordered.select(F.col("gid").alias(f"k{x}"), F.transform("items", lambda i: i["wid"]).alias(f"w{x}")).hint("merge"), f"k{x}")
-    inter = F.size(F.array_intersect("wa", "wb"))
-    ver = cand.select("ka", "kb", (inter / (F.col("na") + F.col("nb") - inter)).alias("jaccard")).filter(F.col("jaccard") >= F.lit(threshold))
-    g = groups.select(*by, "gid", "rep_id", "rep_created_at", "copies")
+    cand = materialize(_candidates(groups, counts, threshold, by, None if newer is None else _slots(newer)), "near-pairs")
+    inter = _overlaps(groups, cand, int(counts.sum()))
+    ver = inter.select("ka", "kb", (F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))).alias("jaccard"))
+    ver = ver.filter(F.col("jaccard") >= F.lit(threshold))
     for x in ("a", "b"):
-        ver = ver.join(g.select(*(by if x == "a" else []), F.col("gid").alias(f"k{x}"), *[
-            F.col(c).alias(f"{c}_{x}") for c in ("rep_id", "rep_created_at", "copies")]).hint("merge"), f"k{x}")
+        g = groups.select(F.col("gid").alias(f"k{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("rep_id", "rep_created_at", "copies")],
+                          *[F.col(c).alias(c if x == "a" else f"_b_{c}") for c in by])
+        ver = ver.join(g.hint("merge"), f"k{x}")
+    for c in by:        # hashes of words may be equal in two scopes; null is no scope
+        ver = ver.where(F.col(c) == F.col(f"_b_{c}"))
     a_newer = F.struct((-F.unix_micros("rep_created_at_a")), F.col("rep_id_a")) < \
         F.struct((-F.unix_micros("rep_created_at_b")), F.col("rep_id_b"))
-    if newer is not None:       # a pair of two probes is found from either side
-        ver = ver.where(a_newer)
-    return ver.select(
+    if newer is not None:
+        ver = ver.withColumn("gid", F.when(a_newer, F.col("ka")).otherwise(F.col("kb"))).join(newer, "gid", "left_semi")
+    out = materialize(ver.select(
         *by,
         F.when(a_newer, F.col("rep_id_a")).otherwise(F.col("rep_id_b")).alias("id_a"),
         F.when(a_newer, F.col("rep_id_b")).otherwise(F.col("rep_id_a")).alias("id_b"),
         "jaccard",
         F.when(a_newer, F.col("copies_a")).otherwise(F.col("copies_b")).alias("copies_a"),
         F.when(a_newer, F.col("copies_b")).otherwise(F.col("copies_a")).alias("copies_b"),
-    )
+    ), "near-verified")
+    drop_materialized(inter)
+    return out
 
 
 def near_duplicate_groups(df: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The materialised copy-group table shared by D4 operators; sets are numbered (``gid``)."""
-    return materialize(copy_groups(word_sets(df, by), by).withColumn("gid", F.monotonically_increasing_id()))
+    """The materialised copy-group table shared by D4 operators: ``(…by, gid,
+    rep_id, rep_created_at, copies, text)``; sets are numbered (``gid``), and their
+    words one sorted text, which takes less room in the shuffle than a list."""
+    by = list(by or [])
+    sets = df.select(*by, "id", "created_at", F.array_join(F.sort_array(word_set("content")), " ").alias("text"))
+    groups = sets.withColumn("set_key", F.sha2("text", 256)).groupBy(*by, "set_key").agg(
+        F.min(F.struct(_newest_key().alias("k"), F.col("created_at"))).alias("_rep"),
+        F.count(F.lit(1)).alias("copies"), F.any_value("text").alias("text")).where("text <> ''")
+    return materialize(groups.select(*by, F.col("_rep.k.id").alias("rep_id"), F.col("_rep.created_at").alias("rep_created_at"), "copies", "text",
+                                     F.monotonically_increasing_id().alias("gid")), "near-groups")
 
 
 def pair_count(df: DataFrame, threshold: float = 0.75, by: list[str] | None = None,
@@ -275,11 +279,11 @@ def newest_pairs(df: DataFrame, threshold: float = 0.75, n: int = 3, first: int
     that gives fewer than ``n`` pairs, ``growth`` times as many are tried.
     """
     groups = near_duplicate_groups(df)
-    ordered = _ordered(groups, [])
+    counts = _class_counts(groups, [])
     total, size = groups.count(), first
     while True:
         newest = materialize(groups.orderBy(F.col("rep_created_at").desc(), "rep_id").limit(size).select("gid"), "newest")
-        pairs = materialize(_near_pairs(groups, ordered, threshold, [], newest), "near-pairs")
+        pairs = _near_pairs(groups, counts, threshold, [], newest)
         drop_materialized(newest)
         if size >= total or pairs.limit(n).count() == n:
             break
@@ -289,7 +293,7 @@ def newest_pairs(df: DataFrame, threshold: float = 0.75, n: int = 3, first: int
     found = pairs.join(times, "id_a").orderBy(F.col("ca").desc(), "id_a", "id_b").limit(n)
     w = Window.orderBy(F.col("ca").desc(), "id_a", "id_b")      # n rows
     out = materialize(found.withColumn("rank", F.row_number().over(w)).drop("ca"), "newest-pairs")
-    drop_materialized(groups, ordered, pairs)
+    drop_materialized(groups, pairs)
     return out
 
 

@@ -4,10 +4,13 @@ import random
 import re
 import sqlite3
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.porter import stem
+from memlake.functions import meets
 from memlake.functions.stemming import stem_word
 from memlake.operators import dedup as dd
 from memlake.operators import keyword as kw
@@ -80,6 +83,63 @@ def test_pairs_beyond_the_bound_are_dropped_in_the_join(make_records, monkeypatc
     assert "bit_count" in made["near-pairs"] and "Aggregate" in made["near-pairs"].split("bit_count")[0]      # under the grouping
 
 
+def test_words_go_once_to_a_family(make_records, monkeypatch):
+    """40 sets, nearly all pairs of them near: the words of a set go where its family meets, not to each of its pairs."""
+    made = {}
+    materialize = dd.materialize
+
+    def kept(df, name="table"):
+        out = materialize(df, name)
+        made[name] = out.collect() if name == "near-dealt" else made.get(name)
+        return out
+    monkeypatch.setattr(dd, "materialize", kept)
+    monkeypatch.setattr(dd, "LEAST", 64)
+    rows = [rec(str(i), " ".join([f"w{j}" for j in range(60)] + [f"own{i}x{j}" for j in range(i % 4)]), created=t(i)) for i in range(40)]
+    rows += [rec(str(100 + i), f"alone{i} other{i}", created=t(i)) for i in range(20)]
+    assert dd.pair_count(make_records(rows), 0.75).first()["pairs"] == 780
+    places = {(r["bucket"], k) for r in made["near-dealt"] for k in (r["ka"], r["kb"])}
+    sets = {k for _, k in places}
+    assert len(made["near-dealt"]) > 10 * len(sets) and len(places) <= 2 * len(sets)
+
+
+@pytest.mark.parametrize("hot, part", [(1 << 15, 1 << 18), (3, 1 << 18), (2, 5)])
+def test_meetings_and_overlaps_equal_brute_force(monkeypatch, hot, part):
+    """Small and long sets, words of many sets cut into blocks, meetings looked at in parts: every pair that passes is
+    met, and what sets share is counted."""
+    monkeypatch.setattr(meets, "HOT", hot)
+    monkeypatch.setattr(meets, "PART", part)
+    monkeypatch.setattr(meets, "OUT", part)
+    rnd = random.Random(hot)
+    sets = [rnd.sample([f"w{j}" for j in range(12)], rnd.randint(1, 8)) for _ in range(60)]
+    long = [f"long{j}" for j in range(1200)]
+    sets += [rnd.sample(long, n) for n in (1200, 1150, 1000, 900, 600, 590, 440)]
+    sets = sorted({tuple(sorted(s)) for s in sets})
+    chance = np.random.default_rng(7)
+    hashes = {w: int(chance.integers(1 << 63)) for w in sorted({w for s in sets for w in s})}
+    name = {w: hashes[w] & 0xFFFFF for w in hashes}
+    counts = np.bincount([name[w] for s in sets for w in s], minlength=1 << 20).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array([[hashes[w] for w in s] for s in sets], pa.list_(pa.int64()))], names=["gid", "words"])
+    for th in (0.5, 0.75, 1.0):
+        want = {}
+        for b in range(len(sets)):
+            for a in range(len(sets)):
+                inter = len(set(sets[a]) & set(sets[b]))
+                if (len(sets[a]), a) < (len(sets[b]), b) and inter / (len(sets[a]) + len(sets[b]) - inter) >= th:
+                    want[a, b] = len(sets[a]), len(sets[b]), inter
+        dealt = pa.Table.from_batches(meets.deal(th, counts, 3, None)([batch])).to_pylist()
+        met = set()
+        for bucket in range(3):
+            here = [x for x in dealt if x["bucket"] == bucket]
+            if here:
+                met |= {(r["ka"], r["kb"]) for part in meets.meetings(th)(iter(pa.Table.from_pylist(here).to_batches())) for r in part.to_pylist()}
+        assert set(want) <= met and all((len(sets[a]), a) < (len(sets[b]), b) for a, b in met), th
+        rows = [{"bucket": 0, "ka": a, "kb": b, "text": None} for a, b in met] + [{"bucket": 0, "ka": g, "kb": None, "text": " ".join(s)} for g, s in enumerate(sets)]
+        schema = pa.schema([("bucket", pa.int32()), ("ka", pa.int64()), ("kb", pa.int64()), ("text", pa.string())])
+        shared = {(r["ka"], r["kb"]): (r["na"], r["nb"], r["inter"])
+                  for part in meets.overlaps(iter(pa.Table.from_pylist(rows, schema).to_batches())) for r in part.to_pylist()}
+        assert set(shared) == met and {k: shared[k] for k in want} == want
+
+
 def test_the_newer_set_comes_first(make_records):
     """Sets of n words and the same n plus m: n / (n + m), computed here."""
     sets = {str(k): [f"w{k}x{i}" for i in range(k + 4)] for k in range(6)}
