@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.places import row_postings
+from memlake.functions.scores import row_scores
 from memlake.functions.stemming import with_stems
 from memlake.functions.text import fts_tokens
 from memlake.operators.rules import Rules, exclude
@@ -49,6 +50,8 @@ FIELDS = ("content", "tags")
 PREFIX_KEY = 6
 #: Files of a stored index, by term hash.
 BUCKETS = 64
+#: Of a search for every hit: units that a task holds at most; hits of a group of rows, about, and groups at least.
+UNITS, HITS, LEAST = 1 << 20, 1 << 21, 16
 
 # Query validity for the ranked route (Q6): barewords only -- ASCII letters,
 # digits, underscore, non-ASCII and 0x1A -- separated by whitespace, and no
@@ -323,11 +326,35 @@ def _named(units: DataFrame) -> DataFrame:
     return units.withColumn("plain", plain).withColumn("term", name)
 
 
-def _scored(index: TextIndex, units: DataFrame, scope: list[str], hits: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def _every_hit(index: TextIndex, known: DataFrame, postings: DataFrame, scope: list[str]) -> DataFrame | None:
+    """``_scored`` of all rows: what is asked of a row meets in the task that has
+    the row, once a unit and not once a query, and all queries are scored there by
+    the table of their units.  None if that is too large for a task, or empty."""
+    by, keys = index.by, [*index.by, "id"]
+    if not 0 < known.count() <= UNITS:
+        return None
+    numbers = materialize(known.select(*by, "term").distinct().withColumn("number", F.monotonically_increasing_id()), "unit-numbers")
+    idf = F.greatest(F.log((F.col("n_rows") - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5)), F.lit(IDF_FLOOR))
+    units = _with_stats(known, index).join(numbers, [*by, "term"]).select(
+        *scope, "number", "term", "role", "repeats", "n_all", "n_any", "n_t", idf.alias("idf"), "avgdl").toArrow()
+    size = sum(units.column("n_t").to_pylist())
+    rows = postings.join(numbers, [*by, "term"]).select(*keys, "number", F.col("tf").cast("bigint").alias("tf"), F.lit(None).cast(
+        index.lengths.schema["created_at"].dataType).alias("created_at"))
+    rows = rows.unionByName(index.lengths.select(*keys, F.lit(-1).cast("bigint").alias("number"), F.col("dl").cast("bigint").alias("tf"), "created_at"))
+    for c in keys:
+        rows = rows.where(F.col(c).isNotNull())
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(max(LEAST, size // HITS))).cast("int")
+    types = dict([*index.lengths.dtypes, *known.dtypes])
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in [*scope, "id"]], "score double", f"created_at {types['created_at']}"])
+    return rows.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(row_scores(units, scope, by, K1, B), schema)
+
+
+def _scored(index: TextIndex, units: DataFrame, scope: list[str], hits: DataFrame | None, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows that satisfy their query, with scores: ``(…scope, id, score,
     created_at)``, and the table of units that this reads.  Roles: ``all`` units
     must occur, one ``any`` unit must if there is one, ``none`` units must not; a
-    query without ``all`` and ``any`` units matches nothing."""
+    query without ``all`` and ``any`` units matches nothing.  ``every``: no top of
+    the ranking is cut off, so the rows of every hit are looked at anyway."""
     by = index.by
     terms, postings = index.terms, index.postings.select(*by, "term", "id", "tf")
     if hits is not None:
@@ -343,6 +370,9 @@ def _scored(index: TextIndex, units: DataFrame, scope: list[str], hits: DataFram
     seeds = seeds.join(need, scope).where("known_all = n_all").select(*scope, "n_all", "n_any", F.col("rare")["term"].alias("rare"))
     # A few rows a query, read three times below.
     known = table = materialize(known.join(seeds, scope), "units")
+    scored = _every_hit(index, known, postings, scope) if every else None
+    if scored is not None:
+        return scored, table
     is_seed = F.when(F.col("n_all") > 0, (F.col("role") == "all") & (F.col("term") == F.col("rare"))).otherwise(F.col("role") == "any")
     found = known.where(is_seed).join(postings, [*by, "term"])
     rows = found.select(*scope, "id").distinct()
@@ -380,7 +410,7 @@ def _hits(df: DataFrame | None, index: TextIndex | None, stem: bool, by, keys: l
     asked = materialize(_named(units(index)), "asked")
     # Read from the table of the queries' units: plain terms need no hits of their own.
     special = _unit_hits(index, asked) if asked.where("not plain").limit(1).count() else None
-    scored, known = _scored(index, asked, scope, special)
+    scored, known = _scored(index, asked, scope, special, limit is None)
     out = materialize(top_k(narrow(scored) if narrow else scored, limit, scope), "hits")
     drop_materialized(asked, known, *([special] if special is not None else []))
     if own:
