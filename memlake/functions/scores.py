@@ -88,3 +88,60 @@ def row_scores(units: pa.Table, scope: list[str], by: list[str], k1: float, b: f
             out = [*queries.take(some).columns, table.column("id").take(at), pa.chunked_array([score[i: i + OUT]]), table.column("created_at").take(at)]
             yield from pa.Table.from_arrays(out, names=[*scope, "id", "score", "created_at"]).combine_chunks().to_batches()
     return run
+
+
+def unit_hits(units: pa.Table, fields: list[str]):
+    """A ``mapInArrow`` function from postings ``(id, term, …fields)``, the fields
+    as how often each holds the term, to ``(term, id, tf)`` of units of one token:
+    ``(unit, token, prefix, field)``.  A row's hits are added up as far as its
+    postings lie together."""
+    asked = units.column("unit").combine_chunks()
+    prefix = np.array(units.column("prefix").to_pylist(), bool)
+    token = units.column("token").to_pylist()
+    size = np.array([len(t) for t in token])
+    weights = np.array([[f is None or f == name for name in fields] for f in units.column("field").to_pylist()], np.int64).reshape(len(token), len(fields))
+    kinds = []
+    for length in [0, *sorted(set(size[prefix].tolist()))]:     # 0: whole tokens
+        of = np.flatnonzero(prefix & (size == length) if length else ~prefix)
+        words = sorted({token[i] for i in of})
+        number = {w: n for n, w in enumerate(words)}
+        mine = np.array([number[token[i]] for i in of], np.int64)
+        turn = np.argsort(mine, kind="stable")
+        kinds.append((length, pa.array(words, pa.string()), of[turn], np.searchsorted(mine[turn], np.arange(len(words) + 1))))
+
+    def found(table):
+        terms = pc.dictionary_encode(table.column("term").combine_chunks())
+        names, at = terms.dictionary, terms.indices.to_numpy(zero_copy_only=False)
+        ids = pc.dictionary_encode(table.column("id").combine_chunks(), null_encoding="encode")
+        rows = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        held = np.stack([table.column(f).to_numpy() for f in fields], axis=1).astype(np.int64)
+        keys, counts = [], []
+        for length, words, of, begins in kinds:
+            if len(words):
+                match = pc.index_in(pc.utf8_slice_codeunits(names, 0, length) if length else names, words).fill_null(-1).to_numpy(zero_copy_only=False)[at]
+                here = np.flatnonzero(match >= 0)
+                many = begins[match[here] + 1] - begins[match[here]]
+                unit = of[_at(begins[match[here]], many)]
+                place = np.repeat(here, many)
+                keys.append(unit * len(ids.dictionary) + rows[place])
+                counts.append((held[place] * weights[unit]).sum(axis=1))
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(keys[counts > 0], kind="stable")
+        keys, counts = keys[counts > 0][order], counts[counts > 0][order]
+        if len(keys):
+            new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            unit, row = np.divmod(keys[new], len(ids.dictionary))
+            yield from pa.Table.from_arrays([asked.take(pa.array(unit)), ids.dictionary.take(pa.array(row)), pa.array(np.add.reduceat(counts, new))],
+                                            names=["term", "id", "tf"]).combine_chunks().to_batches(max_chunksize=OUT)
+
+    def run(batches):
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += batch.num_rows
+            if size >= OUT:
+                yield from found(pa.Table.from_batches(waiting))
+                waiting, size = [], 0
+        if size:
+            yield from found(pa.Table.from_batches(waiting))
+    return run

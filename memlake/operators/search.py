@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions.places import row_postings
-from memlake.functions.scores import row_scores
+from memlake.functions.scores import row_scores, unit_hits
 from memlake.functions.stemming import with_stems
 from memlake.functions.text import fts_tokens
 from memlake.operators.rules import Rules, exclude
@@ -273,22 +273,32 @@ def _held(postings: DataFrame, terms: DataFrame, by: list[str]) -> DataFrame:
     return postings.join(terms.select(*by, "term").distinct(), [*by, "term"], "left_semi")
 
 
-def _unit_hits(index: TextIndex, units: DataFrame) -> DataFrame:
+def _unit_hits(index: TextIndex, units: DataFrame, every: bool = False) -> DataFrame:
     """``(…by, term, id, tf)`` of the units that are no plain term, written,
     under a term of their own.  A unit of one token counts the places of its terms:
-    one join with the postings, as large as the postings that it holds.  A
+    one join with the postings, as large as the postings that it holds, or (in a
+    search for ``every`` hit, without owners) where the postings are read.  A
     phrase is found by its rarest whole token; the others, and a prefix at its
     end (the places of all its terms, united once a prefix), are looked up in
     the rows found, and the starts that all of them agree on are counted."""
     by, postings = index.by, index.postings
     kinds = units.where("not plain").select(*by, "term", "tokens", "prefix", "field").distinct().withColumnRenamed("term", "unit")
     one = kinds.where(F.size("tokens") == 1).select(*by, "unit", "field", "prefix", F.col("tokens")[0].alias("token"))
-    known = one.where("not prefix").select(*by, "unit", "field", F.col("token").alias("term")).unionByName(
-        _expansions(index, one.where("prefix")).select(*by, "unit", "field", "term"))
-    known = materialize(known, "unit-terms")
-    held = known.join(_held(postings, known, by).drop("tf"), [*by, "term"])
     tf = sum((F.size(_placed(f)) for f in FIELDS), F.lit(0))
-    singles = held.groupBy(*by, F.col("unit").alias("term"), "id").agg(F.sum(tf).cast("bigint").alias("tf")).where("tf > 0")
+    if not by and every and one.count() <= UNITS:
+        # Where the postings are: their tokens are few, the terms that a prefix expands to are not.
+        known = None
+        asked = one.toArrow()
+        counted = postings.select("id", "term", *[F.size(f"{f}_at").alias(f) for f in FIELDS]).mapInArrow(
+            unit_hits(asked, list(FIELDS)), f"term string, id {dict(postings.dtypes)['id']}, tf bigint") if asked.num_rows else None
+        singles = one.sparkSession.createDataFrame([], f"term string, id {dict(postings.dtypes)['id']}, tf bigint") if counted is None else \
+            counted.groupBy("term", "id").agg(F.sum("tf").alias("tf"))
+    else:
+        known = one.where("not prefix").select(*by, "unit", "field", F.col("token").alias("term")).unionByName(
+            _expansions(index, one.where("prefix")).select(*by, "unit", "field", "term"))
+        known = materialize(known, "unit-terms")
+        held = known.join(_held(postings, known, by).drop("tf"), [*by, "term"])
+        singles = held.groupBy(*by, F.col("unit").alias("term"), "id").agg(F.sum(tf).cast("bigint").alias("tf")).where("tf > 0")
 
     many = kinds.where(F.size("tokens") > 1).select(*by, "unit", "field", "prefix", F.size("tokens").alias("k"), F.posexplode("tokens").alias("i", "token"))
     last = F.col("prefix") & (F.col("i") == F.col("k") - 1)
@@ -309,13 +319,14 @@ def _unit_hits(index: TextIndex, units: DataFrame) -> DataFrame:
     at = seeds.unionByName(others).unionByName(ends)
 
     # A start counts if every token of the unit stands at its place behind it.
-    def started(name):
-        return F.transform(_placed(name, F.col("i")), lambda p: F.struct(F.lit(name).alias("field"), p.alias("start")))
-    starts = at.select(*by, "unit", "id", "k", F.explode(F.concat(*[started(f) for f in FIELDS])).alias("s"))
-    full = starts.groupBy(*by, "unit", "id", "k", "s").agg(F.count(F.lit(1)).alias("n")).where("n = k")
-    phrases = full.groupBy(*by, F.col("unit").alias("term"), "id").agg(F.count(F.lit(1)).alias("tf"))
+    starts = at.select(*by, "unit", "id", "k", F.struct(*[_placed(f, F.col("i")).alias(f) for f in FIELDS]).alias("s"))
+    full = starts.groupBy(*by, "unit", "id", "k").agg(F.collect_list("s").alias("s")).where(F.size("s") == F.col("k"))
+
+    def agreed(name):
+        return F.size(F.aggregate(F.slice("s", F.lit(2), F.col("k")), F.col("s")[0][name], lambda x, y: F.array_intersect(x, y[name])))
+    phrases = full.select(*by, F.col("unit").alias("term"), "id", sum((agreed(f) for f in FIELDS), F.lit(0)).cast("bigint").alias("tf")).where("tf > 0")
     out = materialize(singles.unionByName(phrases), "unit-hits")
-    drop_materialized(known, whole, grown)
+    drop_materialized(whole, grown, *([known] if known is not None else []))
     return out
 
 
@@ -409,7 +420,7 @@ def _hits(df: DataFrame | None, index: TextIndex | None, stem: bool, by, keys: l
     scope = [*keys, *[c for c in index.by if c not in keys]]
     asked = materialize(_named(units(index)), "asked")
     # Read from the table of the queries' units: plain terms need no hits of their own.
-    special = _unit_hits(index, asked) if asked.where("not plain").limit(1).count() else None
+    special = _unit_hits(index, asked, limit is None) if asked.where("not plain").limit(1).count() else None
     scored, known = _scored(index, asked, scope, special, limit is None)
     out = materialize(top_k(narrow(scored) if narrow else scored, limit, scope), "hits")
     drop_materialized(asked, known, *([special] if special is not None else []))

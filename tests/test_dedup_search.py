@@ -435,6 +435,48 @@ def test_prefixes_join_no_more_rows_than_their_postings(spark, make_records):
     index.drop()
 
 
+@pytest.mark.parametrize("by", [(), ("owner",)])
+def test_every_hit_is_that_of_a_deep_top(spark, make_records, monkeypatch, by):
+    """All hits are scored by rows; with a limit, however large, by queries: same rows, scores and ranks, to the bit."""
+    rnd = random.Random(11)
+    vocab = ["run", "running", "ruin", "rust", "Röd", "a", "b", "c", "naïve"]
+    rows = [rec(str(i % 70), " ".join(rnd.choices(vocab, k=rnd.randint(0, 12))), tags=rnd.sample(["run", "x y", "b"], rnd.randint(0, 2)), created=t(rnd.randint(0, 3)))
+            for i in range(90)]
+    df = make_records([*rows, rec("no id", "run a b c"), rec("no text", "")])
+    df = df.withColumn("id", F.when(F.col("id") != "no id", F.col("id"))).withColumn("content", F.when(F.col("id") != "no text", F.col("content")))
+    df = df.withColumn("owner", F.when(F.col("id") == "5", None).otherwise(F.col("confidence") + F.length("content") % 2))
+    units = [None, [], None, None, ["a"], ["run", "a"], ["a b"], ["b c", "c"], ["nowhere"], ["ru"], ["a ru"]]
+    table = [(n if n else None, *[rnd.choice(units) for _ in range(5)], rnd.choice([None, None, "content", "tags"])) for n in range(150)]
+    q = spark.createDataFrame(table, STRUCTURED)
+    if by:
+        q = q.crossJoin(df.select("owner").distinct())
+    for stem_too in (False, True):
+        index = se.build_index(df, stem=stem_too, by=by)
+        got = [tuple(r) for r in se.structured_search(None, q, limit=None, index=index).collect()]
+        assert len(got) > 300
+        assert sorted(got) == sorted(tuple(r) for r in se.structured_search(None, q, limit=10**6, index=index).collect())
+        if not by and stem_too:
+            monkeypatch.setattr(se, "UNITS", 3)         # more units than a task shall hold
+            assert sorted(got) == sorted(tuple(r) for r in se.structured_search(None, q, limit=None, index=index).collect())
+        index.drop()
+
+
+def test_every_hit_is_sent_once_a_unit(spark, make_records, monkeypatch):
+    """40 queries ask for a word that all rows hold, and for a prefix: no join makes a row a query and hit."""
+    widest = {}
+    materialize = se.materialize
+
+    def kept(df, name="table"):
+        if name in ("hits", "unit-hits"):
+            widest[name] = widest_join(df)
+        return materialize(df, name)
+    monkeypatch.setattr(se, "materialize", kept)
+    df = make_records([rec(str(i), f"all pre{i} pre{i + 1} other", created=t(i)) for i in range(100)])
+    q = spark.createDataFrame([(n, ["all"], ["other", "nowhere"], None, None, ["pre"], None) for n in range(40)], STRUCTURED)
+    assert se.structured_search(df, q, limit=None, stem=False).count() == 4000
+    assert widest["hits"] <= 400 and widest["unit-hits"] == 0
+
+
 def test_plain_terms_make_no_unit_tables(spark, make_records, monkeypatch):
     made = []
     materialize = se.materialize
