@@ -319,11 +319,15 @@ def _unit_hits(index: TextIndex, units: DataFrame, every: bool = False) -> DataF
     at = seeds.unionByName(others).unionByName(ends)
 
     # A start counts if every token of the unit stands at its place behind it.
-    starts = at.select(*by, "unit", "id", "k", F.struct(*[_placed(f, F.col("i")).alias(f) for f in FIELDS]).alias("s"))
-    full = starts.groupBy(*by, "unit", "id", "k").agg(F.collect_list("s").alias("s")).where(F.size("s") == F.col("k"))
+    starts = at.select(*by, "unit", "id", "k", *[_placed(f, F.col("i")).alias(f) for f in FIELDS])
+    full = starts.groupBy(*by, "unit", "id", "k").agg(*[F.sort_array(F.flatten(F.collect_list(f))).alias(f) for f in FIELDS])
 
     def agreed(name):
-        return F.size(F.aggregate(F.slice("s", F.lit(2), F.col("k")), F.col("s")[0][name], lambda x, y: F.array_intersect(x, y[name])))
+        def first_of_k(x, i):
+            def other(j):
+                return ~F.coalesce(F.get(F.col(name), j) == x, F.lit(False))
+            return other(i - 1) & ~other(i + F.col("k") - 1) & other(i + F.col("k"))
+        return F.size(F.filter(name, first_of_k))
     phrases = full.select(*by, F.col("unit").alias("term"), "id", sum((agreed(f) for f in FIELDS), F.lit(0)).cast("bigint").alias("tf")).where("tf > 0")
     out = materialize(singles.unionByName(phrases), "unit-hits")
     drop_materialized(whole, grown, *([known] if known is not None else []))
